@@ -38,8 +38,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salts' winners by digest. The documents then look up their digest's winner; only digests that stand for
     several contents, which a sound digest never has, are looked up by content again.
 
-    Null text counts as empty; a null id is treated as -1's predecessor never: it sorts as the largest id
-    and comes back null. Rows with the same id and text are one document repeated: each gets the same
+    Null text counts as empty; a null id sorts as the largest one and comes back null. Rows with the same id and text are one document repeated: each gets the same
     values. An empty table gives no rows. Other columns are ignored, whatever their names.
     `digest`: text column -> digest column, SHA-256 by default (a weak one still gives right results)."""
     digest = digest or (lambda c: F.sha2(c, 256))

@@ -33,7 +33,8 @@ def _mask(key: Column, bits: int = 5) -> Column:
     h = F.xxhash64(F.lit("mask"), key)
     word = F.lit(0).cast("long")
     for i in range(bits):
-        word = word.bitwiseOR(F.shiftleft(F.lit(1).cast("long"), F.shiftright(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")))
+        at = F.shiftright(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")
+        word = word.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at))
     return word
 
 
