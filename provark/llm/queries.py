@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provark.llm import exact_dedup, secret_scan, url_filter
+from provark.llm import byte_bpe, exact_dedup, gif_media, packing, quality, secret_scan, token_counts, url_filter
 from provark.llm.common import table
 
 #: The rules of op4, and the sites whose pages make up its list.
@@ -13,6 +13,14 @@ RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 LISTED_SITES = r"(^|\.)(spam-farm|cheap-pills)\.example\.(com|net|org)$"
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_media.text_gifs(table(spark, sf_dir, "documents"), keep_media=False)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -25,8 +33,26 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, RULES, listed).drop("probes_passed")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, quality.graded(table(spark, sf_dir, "labels")))
+    rated = quality.rate(docs, model)
+    return rated.withColumn("selected", F.col("tail_prob") >= quality.LEAST_TAIL)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_url_filter, op6_secret_scan)}
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.byte_bpe(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op2_gif_media, op3_exact_dedup, op4_url_filter, op5_quality, op6_secret_scan, op7_byte_bpe, op10_packing)
+}
