@@ -15,16 +15,16 @@ from provark.llm.common import text_batches, texts_of
 
 BITS = 17
 TRIM = ".,;:!?\"'()[]{}"
-#: Buckets above the hashed words: shares of the text's words, in steps.
+#: Buckets above the hashed words: shares of the text's words, a bucket for each step that a share reaches.
 SHARES = ("marked", "shouted", "bare", "repeated", "lines")
-STEPS = 8
+STEPS = 10
 #: A document is selected at this probability of the best grade.
-LEAST_TAIL = 0.5
+LEAST_TAIL = 0.35
 SIZE = (1 << BITS) + len(SHARES) * STEPS
 
 
 class Features:
-    """A text's distinct buckets: its hashed words, and one bucket for each share of odd words.
+    """A text's distinct buckets: its hashed words, and those of its shares of odd words.
 
     marked: words with marks other than closing punctuation; shouted: words of capitals; bare: no letter at
     all; repeated: words that occurred before; lines: lines that occurred before."""
@@ -55,7 +55,7 @@ class Features:
         n = len(distinct)
         lines = [x for x in text.split("\n") if x]
         shares = (sum(s[1] for s in seen) / n, sum(s[2] for s in seen) / n, sum(s[3] for s in seen) / n, 1 - n / len(words), 1 - len(set(lines)) / len(lines) if lines else 0.0)
-        extra = [(1 << BITS) + i * STEPS + min(STEPS - 1, int(x * STEPS)) for i, x in enumerate(shares)]
+        extra = [(1 << BITS) + i * STEPS + k for i, x in enumerate(shares) for k in range(min(STEPS, int(x * 2 * STEPS)))]
         return np.array(sorted({s[0] for s in seen} | set(extra)), np.int64)
 
 
@@ -78,25 +78,24 @@ class OrdinalModel:
         return 1 - self.cumulative(score)[:, grade - 1] if grade > 0 else np.ones(len(score))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int = 200, rate: float = 0.3, l2: float = 1e-4, least_docs: int = 8) -> OrdinalModel:
-    """Full-batch proportional-odds fit with Adagrad. Buckets in fewer than `least_docs` texts keep weight 0.
-    Grades that are absent keep their cuts in order all the same; without rows all weights are 0."""
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int = 120, rate: float = 0.3, l1: float = 0.03, balance: float = 0.0, least_docs: int = 5) -> OrdinalModel:
+    """Full-batch proportional-odds fit: Adagrad with soft thresholds of l1 / sqrt(rows), so that words
+    without a say keep weight 0, as do buckets in fewer than `least_docs` texts. Rare grades weigh more, by
+    their share to the power -`balance`. Without rows all weights are 0."""
     cuts = np.linspace(-1, 1, n_grades - 1) if n_grades > 2 else np.zeros(n_grades - 1)
     weights = np.zeros(SIZE)
     if not len(rows):
         return OrdinalModel(weights, cuts)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    n = len(rows)
+    doc = np.repeat(np.arange(n), [len(r) for r in rows])
     col = np.concatenate(rows).astype(np.int64)
-    often = np.bincount(col, minlength=SIZE) >= least_docs
-    keep = often[col]
+    keep = (np.bincount(col, minlength=SIZE) >= least_docs)[col]
     doc, col = doc[keep], col[keep]
     names, col = np.unique(col, return_inverse=True)
     w, g2, c2 = np.zeros(len(names)), np.full(len(names), 1e-6), np.full(len(cuts), 1e-6)
-    n = len(rows)
     # gaps between cuts as logarithms keep them in order
     first, gaps = cuts[:1].copy(), np.log(np.maximum(np.diff(cuts), 1e-3))
-    balance = n / (n_grades * np.maximum(np.bincount(grades, minlength=n_grades), 1))
-    share = np.sqrt(balance)[grades]
+    share = (n / (n_grades * np.maximum(np.bincount(grades, minlength=n_grades), 1)))[grades] ** balance
     for _ in range(epochs):
         cuts = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
         score = np.bincount(doc, w[col], n)
@@ -105,10 +104,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int =
         low = 1 / (1 + np.exp(-np.clip(edge[grades] - score, -40, 40)))
         p = np.maximum(up - low, 1e-9)
         d_up, d_low = up * (1 - up) / p * share, low * (1 - low) / p * share
-        slope = d_up - d_low  # of minus the log-likelihood by the score
-        g = np.bincount(col, slope[doc], len(names)) / n + l2 * w
+        g = np.bincount(col, (d_up - d_low)[doc], len(names)) / n
         g2 += g * g
-        w -= rate * g / np.sqrt(g2)
+        step = rate / np.sqrt(g2)
+        w -= step * g
+        w = np.sign(w) * np.maximum(0, np.abs(w) - step * l1 / np.sqrt(n))
         d_edge = (np.bincount(grades, d_low, n_grades)[1:] - np.bincount(grades, d_up, n_grades)[:-1]) / n
         d_cut = np.concatenate([[d_edge.sum()], np.cumsum(d_edge[::-1])[::-1][1:] * np.exp(gaps)])
         c2 += d_cut**2
