@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provark.llm import byte_bpe, exact_dedup, gif_media, ngram_join, packing, quality, secret_scan, token_counts, url_filter
+from provark.llm import byte_bpe, exact_dedup, gif_media, ngram_join, packing, quality, secret_scan, suffix_dedup, token_counts, url_filter
 from provark.llm.common import table
 
 #: The rules of op4, and the sites whose pages make up its list.
@@ -48,6 +48,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), length=100)
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -58,5 +62,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_gif_media, op3_exact_dedup, op4_url_filter, op5_quality, op6_secret_scan, op7_byte_bpe, op9_ngram_join, op10_packing)
+    for f in (op1_token_counts, op2_gif_media, op3_exact_dedup, op4_url_filter, op5_quality, op6_secret_scan, op7_byte_bpe, op8_suffix_dedup, op9_ngram_join, op10_packing)
 }
