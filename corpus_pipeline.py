@@ -1,10 +1,64 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: five stages over documents, each working on all that its predecessor kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from provark.llm import exact_dedup, ngram_join, packing, quality, secret_scan
+from provark.llm.common import materialise, table
+
+#: Near copies: shingles of five words, similarity of 0.8 or more.
+WORDS, PERCENT = 5, 80
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: fitted on the labelled documents of this table; what it rejects goes."""
+    model = quality.train(docs, quality.graded(table(spark, sf_dir, "labels")))
+    return quality.select(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Exact dedup: of equal texts, the row with the most code points, then the smallest id, stays."""
+    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of near copies, the smallest id stays."""
+    groups = ngram_join.ngram_components(docs, k=WORDS, percent=PERCENT)
+    kept = groups.filter("doc_id = component_id").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scan: what it finds is masked; every document stays, n_chars follows its text."""
+    masked = secret_scan.redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: concatenated and cut into sequences of 4096 tokens; one row a piece, with its ids."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", classify),
+    ("exact_dedup", drop_copies),
+    ("ngram_jaccard", drop_near_copies),
+    ("secrets", mask_secrets),
+    ("packing", pack_sequences),
+]
+
+#: Training, near-copy groups and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each result stored in the shared folder before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -94,12 +94,11 @@ def secret_scan(docs: DataFrame, **options) -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", scope: int = 200) -> DataFrame:
     """The documents with every found span replaced by `mask`; overlapping spans share one mask. Columns stay."""
-    clash = [c for c in docs.columns if c in ("row", "body", "base", "weak", "found", "more", "bin")]
-    plain = docs.withColumnsRenamed({c: f"__{c}" for c in clash})
-    names = dict(zip(docs.columns, plain.columns, strict=True))
-    text = F.col(names[text_col])
-    plain = plain.withColumn("__id", F.lit(None).cast("long"))
-    found = secret_spans(plain, "__id", names[text_col], scope, keep=tuple(names.values())).drop("doc_id_")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = names[docs.columns.index(text_col)]
+    text = F.col(own)
+    plain = docs.toDF(*names).withColumn("none", F.lit(None).cast("long"))
+    found = secret_spans(plain, "none", own, scope, keep=tuple(names))
 
     def step(state: Column, s: Column) -> Column:
         gap = F.when(s["start"] >= state["at"], F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mask))).otherwise(F.lit(""))
@@ -108,4 +107,4 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", scop
     walked = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
     masked = F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text)))
     out = F.when(F.size("found") > 0, masked).otherwise(text)
-    return found.select(*[(out if c == text_col else F.col(names[c])).alias(c) for c in docs.columns])
+    return found.select(*[(out if c == own else F.col(c)).alias(name) for c, name in zip(names, docs.columns)])
