@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import unicodedata
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provark.llm.common import materialise, text_batches, texts_of
 
-#: Fixed pattern of the vocabulary file's pre-tokenizer: what it matches are the words, the rest goes.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Texts of these characters take the cached path; their normal form is lower() alone. Others go to the library whole.
-PLAIN = regex.compile(r"[\t\n\v\f\r\x20-\x7e\xa1-\xac\xae-İĲ-ž]*+")
+#: The vocabulary file's pre-tokenizer over the characters of PLAIN: what it matches are the words, the rest goes.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+|_+")
+#: Not cached: a text with other characters than these, for which the normal form is more than lower() or the
+#: pattern's classes differ (numbers that are no digits, combining marks, other scripts), goes to the library whole.
+PLAIN = re.compile(r"[^\t\n\v\f\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0132-\u017e]")
 
 
 class WordTokenizer:
@@ -32,13 +32,24 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.library.encode_special_tokens = True
-        self.find = regex.compile(WORDS).findall
+        self.find = WORDS.findall
+        ends = [t.endswith("</w>") for t, _ in sorted(self.library.get_vocab().items(), key=lambda x: x[1])]
+        self.ends = np.array(ends)
         self.max_cached = max_cached
         self.ids: dict[str, bytes] = {}
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Each word's ids: the library encodes them with spaces between, a word ends with its end token."""
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words) or (len(stops) and stops[-1] != len(ids)):
+            return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(words, add_special_tokens=False)]
+        raw, edge = ids.tobytes(), [0, *(stops * 4).tolist()]
+        return [raw[a:b] for a, b in zip(edge, edge[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        plain = [PLAIN.fullmatch(t) is not None and "İ" not in t for t in texts]
+        plain = [PLAIN.search(t) is None for t in texts]
         words = [self.find(t.lower()) if p else None for t, p in zip(texts, plain)]
         needed = set().union(*(w for w in words if w))
         new = needed.difference(self.ids)
@@ -46,10 +57,9 @@ class WordTokenizer:
             self.ids.clear()
             new = needed
         ordered = sorted(new)
-        for at in range(0, len(ordered), 20_000):
-            part = ordered[at : at + 20_000]
-            for w, e in zip(part, self.library.encode_batch(part, add_special_tokens=False)):
-                self.ids[w] = np.array(e.ids, "<u4").tobytes()
+        for at in range(0, len(ordered), 5_000):
+            part = ordered[at : at + 5_000]
+            self.ids.update(zip(part, self._words(part)))
         get = self.ids.__getitem__
         return [b"".join(map(get, w)) if w is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, w in zip(texts, words)]
 
