@@ -29,7 +29,7 @@ class Features:
     marked: words with marks other than closing punctuation; shouted: words of capitals; bare: no letter at
     all; repeated: words that occurred before; lines: lines that occurred before."""
 
-    def __init__(self, max_cached: int = 500_000):
+    def __init__(self, max_cached: int = 200_000):
         self.words: dict[str, tuple[int, bool, bool, bool]] = {}
         self.max_cached = max_cached
 
