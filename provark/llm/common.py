@@ -80,13 +80,9 @@ def lookup(left: DataFrame, right: DataFrame, key: str, size: str, shares: int =
     value = [c for c in right.columns if c != key]
     pack = F.struct(*value)
     hot = right.filter(F.col(size) > bar).select(F.col(key).alias("_hot"), pack.alias("_hot_value"))
-    cold = right.filter(F.col(size) <= bar).select(F.col(key).alias("_cold"), pack.alias("_cold_value"))
-    key_type = dict(left.dtypes)[key]
+    cold = right.filter(F.col(size) <= bar).select(F.col(key).cast("string").alias("_cold"), pack.alias("_cold_value"))
     wide = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    if key_type == "string":
-        spread = F.concat(F.lit("hot:"), F.monotonically_increasing_id().cast("string"))
-        wide = wide.withColumn("_key", F.when(F.col("_hot").isNull(), F.coalesce(F.col(key), spread)).otherwise(spread))
-    else:
-        wide = wide.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)))
+    spread = F.concat(F.lit("hot:"), F.monotonically_increasing_id().cast("string"))
+    wide = wide.withColumn("_key", F.when(F.col("_hot").isNull(), F.coalesce(F.col(key).cast("string"), spread)).otherwise(spread))
     found = F.coalesce("_hot_value", "_cold_value")
     return wide.join(cold, F.col("_key") == F.col("_cold"), "left").select(*left.columns, *[found[c].alias(c) for c in value])
