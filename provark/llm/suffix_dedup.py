@@ -22,6 +22,8 @@ LAST = np.iinfo(np.int64).max
 
 SEGMENT = np.dtype([("doc", "<u4"), ("start", "<u4"), ("count", "<u4")])
 KEYED = np.dtype([("anchor", "<u8"), ("segment", "<u4")])
+#: In KEYED a segment's number carries this bit where the anchor occurs twice within the segment's own text.
+TWICE = np.uint32(1 << 31)
 RUN = np.dtype([("doc", "<u4"), ("start", "<u4"), ("count", "<u4")])
 
 
@@ -115,15 +117,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, chunk_bytes: int = 8 << 20, shard_bytes: int = 2 << 20, keep_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, chunk_bytes: int = 6 << 20, shard_bytes: int = 1 << 20, keep_text: bool = False) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with `keep_text`, kept (bytes).
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a smaller doc_id, or
     earlier in the same document. 1. Texts are stored in chunks with their segments (runs of windows with
     the same anchor); equal segments of a chunk are one. 2. Anchors meet by hash bucket; those of one segment
     only, without a repeat inside, are done: no window of theirs occurs twice. 3. The others' segments go to
-    shards by anchor, where equal ones are again one; each shard's suffix array and permuted common prefixes
-    tell which windows an earlier one equals. 4. Chunks put the windows together and cut the texts.
+    shards by anchor, where equal ones are again one; of those that differ under one anchor, or repeat it, each
+    shard's suffix array and permuted common prefixes tell which windows an earlier one equals. 4. Chunks put the windows together and cut the texts.
     All windows of an anchor meet in one task, in shards of about `shard_bytes` of different segments.
 
     Null text counts as empty. A null id comes last; rows with the same id follow each other in stored order.
@@ -170,7 +172,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             keyed = np.empty(int((~again).sum()) + int((two & ~again).sum()), KEYED)
             fresh = np.flatnonzero(~again)
             fresh = np.concatenate([fresh, np.flatnonzero(two & ~again)])  # counted twice: to be looked at in any case
-            keyed["anchor"], keyed["segment"] = anchor[fresh], fresh
+            keyed["anchor"], keyed["segment"] = anchor[fresh], fresh.astype(np.uint32) | np.where(two[fresh], TWICE, np.uint32(0))
             bucket = (keyed["anchor"] >> np.uint64(20)) % np.uint64(buckets)
             order = np.lexsort((keyed["segment"], bucket))
             keyed, bucket = keyed[order], bucket[order]
@@ -238,8 +240,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if not wanted:
                     continue
                 want = np.concatenate([unpack(w, KEYED) for w in wanted])
-                want = want[np.argsort(want["segment"], kind="stable")]
-                seg = unpack(found, SEGMENT)[want["segment"]]
+                number = want["segment"] & ~TWICE
+                order = np.argsort(number, kind="stable")
+                want, number = want[order], number[order]
+                seg = unpack(found, SEGMENT)[number]
                 offsets = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))])
                 data = np.frombuffer(zstandard.decompress(texts), np.uint8)
                 id_of = np.array([LAST if i is None else i for i in ids], np.int64)
@@ -269,6 +273,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return
         chunk, anchor, number, id_, count, data = (np.concatenate(x) for x in zip(*rows))
         rows.clear()
+        twice, number = number & TWICE > 0, number & ~TWICE
         reach = count - 1 + length
         begin = np.concatenate([[0], np.cumsum(reach)])[:-1]
         by = np.argsort(anchor, kind="stable")
@@ -291,13 +296,19 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if again:
                 old = np.array(again)
                 gone.append((chunk[old].repeat(count[old]), number[old].repeat(count[old]), np.arange(count[old].sum()) - np.repeat(np.cumsum(count[old]) - count[old], count[old])))
+            # a segment alone with its anchor, which it holds once, has no window that occurs again
             kept = np.array(keep)
-            shard = np.frombuffer(b"".join(seen), np.uint8)
-            place = np.concatenate([[0], np.cumsum(reach[kept])])
-            hit = covered_windows(shard, place[:-1], count[kept], length)
-            which = np.searchsorted(place, hit, "right") - 1
-            gone.append((chunk[kept[which]], number[kept[which]], hit - place[which]))
+            _, group, alike = np.unique(anchor[kept], return_inverse=True, return_counts=True)
+            kept = kept[(alike[group] > 1) | twice[kept]]
+            if len(kept):
+                shard = np.frombuffer(b"".join(data[begin[i] : begin[i] + reach[i]].tobytes() for i in kept.tolist()), np.uint8)
+                place = np.concatenate([[0], np.cumsum(reach[kept])])
+                hit = covered_windows(shard, place[:-1], count[kept], length)
+                which = np.searchsorted(place, hit, "right") - 1
+                gone.append((chunk[kept[which]], number[kept[which]], hit - place[which]))
             at = to
+        if not gone:
+            return
         c, s, o = (np.concatenate(x) for x in zip(*gone))
         order = np.lexsort((o, s, c))
         c, s, o = c[order], s[order], o[order]
@@ -343,12 +354,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     stored = materialise(rows.mapInArrow(cut, "chunk long, bucket long, ids array<long>, sizes binary, texts binary, found binary, local binary, keyed binary"), "suffix-chunks")
     chunks = stored.filter("bucket is null")
-    met = stored.filter("bucket is not null").select("chunk", "keyed", "bucket").repartition(n_parts, "bucket").select("chunk", "keyed").mapInArrow(meet, "chunk long, wanted binary")
-    wanted = met.groupBy("chunk").agg(F.collect_list("wanted").alias("wanted"))
-    asked = chunks.select("chunk", "ids", "sizes", "texts", "found").join(wanted, "chunk").select("chunk", "ids", "sizes", "texts", "found", "wanted")
-    shipped = asked.mapInArrow(ship, "bucket long, chunk long, anchors binary, segments binary, ids binary, counts binary, texts binary")
-    hits = shipped.repartition(n_parts, "bucket").mapInArrow(search, "chunk long, gone binary")
-    gone = materialise(hits, "suffix-gone")
+
+    def found_windows() -> DataFrame:
+        met = stored.filter("bucket is not null").select("chunk", "keyed", "bucket").repartition(n_parts, "bucket").select("chunk", "keyed").mapInArrow(meet, "chunk long, wanted binary")
+        wanted = met.groupBy("chunk").agg(F.collect_list("wanted").alias("wanted"))
+        asked = chunks.select("chunk", "ids", "sizes", "texts", "found").join(wanted, "chunk").select("chunk", "ids", "sizes", "texts", "found", "wanted")
+        shipped = asked.mapInArrow(ship, "bucket long, chunk long, anchors binary, segments binary, ids binary, counts binary, texts binary")
+        return materialise(shipped.repartition(n_parts, "bucket").mapInArrow(search, "chunk long, gone binary"), "suffix-gone")
+
+    gone = found_windows()
     release(spark)
     by_chunk = gone.groupBy("chunk").agg(F.collect_list("gone").alias("gone"))
     whole = chunks.join(by_chunk, "chunk", "left").select("ids", "sizes", "texts", "found", "local", "gone")
