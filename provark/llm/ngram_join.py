@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,19 +60,17 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-class Signatures:
-    """Keys such that any two sets with num-hundredths Jaccard similarity share one.
+class Prefixes:
+    """Keys such that any two sets with num-hundredths Jaccard similarity share one: prefix tokens by size class.
 
     Size classes grow by the threshold, so a partner's class is the same or a neighbour; a set signs for its
-    own class's group and the next. A group's hash space is cut into more parts than two partners can
-    differ in, so one part is equal in both: its content, with group and part, is the key. Spare parts make
-    up for empty ones; a set with more empty parts than that also signs with each token of its prefix
-    (the least tokens, one of which partners share)."""
+    own class and the next. Linked sets have at least num / den of either's tokens in common, so in any order
+    of all tokens their prefixes of size - that + 1 tokens meet. The order puts frequent tokens last: first
+    the level of a token's counter, then its hash. A wrong level costs time, never a pair."""
 
-    def __init__(self, num: int, den: int = 100):
-        self.num, self.den = num, den
+    def __init__(self, num: int, levels: np.ndarray, den: int = 100):
+        self.num, self.den, self.levels = num, den, levels
         self.tops = [0, 1]
-        self.parts_of: dict[int, int] = {}
 
     def group(self, size: int) -> int:
         """The class of a size: the first whose top reaches it."""
@@ -80,40 +79,62 @@ class Signatures:
             self.tops.append(max(low, low * self.den // self.num))
         return int(np.searchsorted(self.tops, size))
 
-    def differ(self, total: int) -> int:
-        """The most that two linked sets can differ in, by the sum of their sizes."""
-        return (self.den - self.num) * total // (self.den + self.num)
-
-    def parts(self, g: int) -> int:
-        if g not in self.parts_of:
-            self.group(self.tops[-1] + 1) if g >= len(self.tops) else None
-            most, low = self.differ(2 * self.tops[g]), self.tops[g - 1] + 1
-            m = most + 1
-            if most:
-                empty = m * np.exp(-low / m)
-                m += int(np.ceil(empty + 4 * np.sqrt(empty) + 1))
-            self.parts_of[g] = m
-        return self.parts_of[g]
-
     def of(self, tokens: np.ndarray) -> np.ndarray:
+        """Keys of a set given as ascending tokens."""
         size = len(tokens)
         own = self.group(size)
-        self.group(self.tops[own] + 1)
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(mix(tokens + np.uint64(0x51ED27)), out=sums[1:])
-        top = tokens >> np.uint64(32)
-        keys = []
-        for g in (own, own + 1):
-            m = self.parts(g)
-            part = (top * np.uint64(m)) >> np.uint64(32)
-            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            content = sums[np.append(at[1:], size)] - sums[at]
-            keys.append(mix(content ^ mix(part[at] + np.uint64(g << 32))))
-            partner = min(size * self.den // self.num, self.tops[g])
-            if m - len(at) > m - 1 - self.differ(size + partner):
-                prefix = np.sort(mix(tokens ^ np.uint64(0x7F4A7C15)))[: size - -(-self.num * size // self.den) + 1]
-                keys.append(mix(prefix ^ mix(np.array([(g << 32) | 0xFFFFFFFF], np.uint64))))
-        return np.concatenate(keys)
+        level = self.levels[tokens & np.uint64(len(self.levels) - 1)]
+        first = np.argsort(level, kind="stable")[: size - -(-self.num * size // self.den) + 1]
+        groups = mix(np.array([own, own + 1], np.uint64))
+        return mix(tokens[first][:, None] ^ groups[None, :]).reshape(-1)
+
+
+def token_levels(rows: DataFrame, k: int, counters: int = 1 << 24, pieces: int = 128) -> np.ndarray:
+    """Levels of frequency, one a counter, of all documents' distinct shingles (rows: doc_id, text, mark).
+
+    Every shingle of every document is counted in one of `counters` cells (a power of two); tasks add up their own
+    cells, then pieces of the cells are added up across tasks. A level is a twelfth of a doubling of the count, so a
+    token of a low level is rare for certain. The size is fixed, whatever the corpus: a byte a cell to the
+    driver and to tasks; more cells tell rare tokens apart in a larger corpus."""
+    spark = rows.sparkSession
+    width = counters // pieces
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(counters, np.uint32)
+        held, size = [], 0
+
+        def add() -> None:
+            if held:
+                own, times = np.unique(np.concatenate(held), return_counts=True)
+                cells[own] += times.astype(np.uint32)
+                held.clear()
+
+        for batch in text_batches(batches, 2 << 20):
+            for tokens in shingle_sets(batch.column(1), k):
+                held.append((tokens & np.uint64(counters - 1)).astype(np.uint32))
+                size += len(tokens)
+            if size > 1_000_000:
+                add()
+                size = 0
+        add()
+        blobs = [zstandard.compress(cells[i * width : (i + 1) * width].tobytes(), 1) for i in range(pieces)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array(blobs, pa.binary())], names=["piece", "cells"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(zstandard.decompress(blob), np.uint32).astype(np.uint64)
+                sums[piece] = sums[piece] + own if piece in sums else own
+        for piece, own in sums.items():
+            level = np.minimum(12 * np.log2(1 + own), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([zstandard.compress(level.tobytes(), 1)], pa.binary())], names=["piece", "cells"])
+
+    counted = rows.mapInArrow(count, "piece int, cells binary").repartition(min(pieces, partitions(spark)), "piece").mapInArrow(total, "piece int, cells binary")
+    levels = np.zeros(counters, np.uint8)
+    for r in counted.collect():  # at most `pieces` rows of fixed size
+        levels[r.piece * width : (r.piece + 1) * width] = np.frombuffer(zstandard.decompress(bytes(r.cells)), np.uint8)
+    return levels
 
 
 def divide_skip(sets: list[np.ndarray], num: int, den: int = 100, weight: float = 0.01) -> np.ndarray:
@@ -128,12 +149,16 @@ def divide_skip(sets: list[np.ndarray], num: int, den: int = 100, weight: float
     sizes = sizes[order]
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
-    doc = np.repeat(np.arange(n), sizes)
     tokens = np.concatenate([sets[i] for i in order]) if n else np.zeros(0, np.uint64)
-    _, token, df = np.unique(tokens, return_inverse=True, return_counts=True)
-    by_token = np.argsort(token, kind="stable")
-    lists = doc[by_token]
-    begin = np.concatenate([[0], np.cumsum(df)])
+    by_token = np.argsort(tokens, kind="stable")
+    fresh = tokens[by_token]
+    fresh = np.concatenate([[True], fresh[1:] != fresh[:-1]]) if len(tokens) else np.zeros(0, bool)
+    begin = np.append(np.flatnonzero(fresh), len(tokens))
+    df = np.diff(begin)
+    token = np.empty(len(tokens), np.int32)
+    token[by_token] = np.repeat(np.arange(len(df), dtype=np.int32), df)
+    lists = np.repeat(np.arange(n, dtype=np.int32), sizes)[by_token]
+    del tokens, by_token, fresh
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     label = np.arange(n)
     lowest = np.searchsorted(sizes, -(-num * sizes // den), "left")
@@ -175,15 +200,20 @@ def divide_skip(sets: list[np.ndarray], num: int, den: int = 100, weight: float
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root: connected components of edges (a, b) by rounds of contraction; root is one of the nodes.
 
-    In a round every node takes its least neighbour below it, chains are halved once, and edges are carried
-    to the parents; no node's neighbours are ever gathered. Stops when no edge is left. Tables are stored each round."""
+    In a round every node takes its least neighbour below it as parent, parents' parents are taken until
+    nothing moves, and edges are carried to the roots: what was joined is one node then, so rounds and jumps
+    are logarithmic. No node's neighbours are ever gathered; tables are stored at each step."""
     labels = None
     current = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), f"{name}-edges")
     while current.head(1):
         both = current.select(F.col("b").alias("v"), F.col("a").alias("u")).union(current.select(F.col("a").alias("v"), F.col("a").alias("u")))
-        parent = both.groupBy("v").agg(F.min("u").alias("p"))
-        halved = parent.alias("x").join(parent.alias("y"), F.col("x.p") == F.col("y.v")).select(F.col("x.v").alias("v"), F.col("y.p").alias("p"))
-        step = materialise(halved, f"{name}-step")
+        step = materialise(both.groupBy("v").agg(F.min("u").alias("p")), f"{name}-step")
+        while True:
+            jump = step.alias("x").join(step.alias("y"), F.col("x.p") == F.col("y.v")).select(F.col("x.v").alias("v"), F.col("y.p").alias("p"), (F.col("x.p") != F.col("y.p")).alias("moved"))
+            jumped = materialise(jump, f"{name}-step")
+            if not jumped.filter("moved").head(1):
+                break
+            step = jumped.select("v", "p")
         if labels is None:
             labels = step.select(F.col("v").alias("node"), F.col("p").alias("root"))
         else:
@@ -200,7 +230,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row a document: doc_id, n_shingles, component_id.
 
     Documents link when 100 * common >= percent * all distinct shingles of both; component_id is the smallest id
-    reachable by links. Within a task equal sets are one representative. Representatives' signatures,
+    reachable by links. Within a task equal sets are one representative. Representatives' prefix keys,
     packed by hash bucket, meet once; those that share one form candidate components, which are closed under
     linking. Only their representatives' texts are fetched, and each component is searched by `divide_skip`
     in one task: its memory follows the largest component of near copies with different sets.
@@ -211,12 +241,13 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     buckets = partitions(spark) * 2
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
     pair = np.dtype([("key", "<u8"), ("node", "<u4")])
+    levels = spark.sparkContext.broadcast(token_levels(rows, k))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 32
-        signer, seen, count = Signatures(percent), {}, 0
+        signer, seen, count = Prefixes(percent, levels.value), {}, 0
         held: list[np.ndarray] = []
         names = ["doc_id", "mark", "n_shingles", "node", "first", "bucket", "base", "blob"]
 
@@ -296,8 +327,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def search(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
         sets: list[np.ndarray] = []
-        for chunk in table.column("text").chunks:
-            sets += shingle_sets(chunk, k)
+        for batch in text_batches(iter(table.select(["text"]).to_batches()), 1 << 20):
+            sets += shingle_sets(batch.column(0), k)
         found = divide_skip(sets, percent)
         return pa.table({"node": pa.array(nodes), "root": pa.array(nodes[found])})
 
