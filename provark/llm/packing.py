@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from provark.llm.common import materialise, text_batches, texts_of
 
 #: The vocabulary file's pre-tokenizer over the characters of PLAIN: what it matches are the words, the rest goes.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+|_+")
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Not cached: a text with other characters than these, for which the normal form is more than lower() or the
 #: pattern's classes differ (numbers that are no digits, combining marks, other scripts), goes to the library whole.
 PLAIN = re.compile(r"[^\t\n\v\f\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0132-\u017e]")
@@ -24,14 +24,14 @@ class WordTokenizer:
     """Ids of whole texts by the library's tokenizer, word by word: a BPE never crosses its pre-tokens.
 
     Distinct words are encoded by the library once and cached. Texts with characters for which the normal
-    form is more than lower() are encoded by the library as they are."""
+    form is more than lower(), or with the literal of a special token, are encoded by the library as they are."""
 
     def __init__(self, vocabulary: str, max_cached: int = 500_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.library.encode_special_tokens = True
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
         self.find = WORDS.findall
         ends = [t.endswith("</w>") for t, _ in sorted(self.library.get_vocab().items(), key=lambda x: x[1])]
         self.ends = np.array(ends)
@@ -49,7 +49,7 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        plain = [PLAIN.search(t) is None for t in texts]
+        plain = [PLAIN.search(t) is None and self.special.search(t) is None for t in texts]
         words = [self.find(t.lower()) if p else None for t, p in zip(texts, plain)]
         needed = set().union(*(w for w in words if w))
         new = needed.difference(self.ids)

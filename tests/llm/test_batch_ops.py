@@ -183,3 +183,18 @@ def test_packing(spark, length):
         assert p.boundary == (p.start + p.length < p.doc_tokens)
     assert {k: sorted(v) for k, v in docs.items()} == {k: sorted(v) for k, v in want.items()}
     assert packing.pack(odd(spark).filter("false")).count() == 0
+
+
+def test_word_tokenizer_is_the_plain_library():
+    """Underscores beside other punctuation are one pre-token; literals of special tokens keep the library's default."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rnd = random.Random(10)
+    parts = [*"ab_Z9 \t\n.,-()'<|>{}/é", "__init__(self)", "'s", "_'s", "'ll_", "</w>", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["__init__(self)", "x_, y", "(_a)", "-_-", "a_-b", "a <|endoftext|>b_"]
+    texts += ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 25))) for _ in range(4000)]
+    texts += ["".join(chr(rnd.randrange(32, 127)) for _ in range(rnd.randrange(1, 40))) for _ in range(4000)]
+    got = packing.WordTokenizer("word_bpe_49k.json").encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
