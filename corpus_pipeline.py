@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provark.llm import exact_dedup, ngram_join, packing, quality, secret_scan
@@ -12,6 +12,8 @@ from provark.llm.common import materialise, table
 
 #: Near copies: shingles of five words, similarity of 0.8 or more.
 WORDS, PERCENT = 5, 80
+#: The row key of the two stages that drop copies.
+ROW = "row_key"
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,17 +22,41 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.select(docs, model)
 
 
+def by_id() -> tuple[Column, Column]:
+    """The order of ids: ascending, null last."""
+    return F.col("doc_id").isNull(), F.col("doc_id")
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a key of each row, stored so that it stays: ids may be null or repeated."""
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), f"{name}-rows")
+
+
+def firsts(rows: DataFrame, groups: DataFrame, group: str, *order: Column) -> DataFrame:
+    """Exactly one row of each group, the first by `order`, then by row key; `groups` has the row key as doc_id."""
+    members = groups.select(F.col("doc_id").alias(ROW), F.col(group).alias("group"))
+    ranked = rows.select(ROW, F.struct(*order, ROW).alias("rank")).join(members, ROW)
+    best = ranked.groupBy("group").agg(F.min("rank").alias("rank")).select(F.col(f"rank.{ROW}").alias(ROW))
+    return rows.join(best, ROW, "left_semi").drop(ROW)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact dedup: of equal texts, the row with the most code points, then the smallest id, stays."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Exact dedup: of equal texts, the row with the most code points, then the smallest id, stays.
+
+    One row of each group stays, whatever its id: a null id sorts last and a row that is repeated as it is
+    stays once. Rows with the same id and other texts are documents of their own. Null text counts as empty."""
+    rows = keyed(docs, "exact")
+    length = F.length(F.coalesce("text", F.lit("")))
+    return firsts(rows, exact_dedup.exact_dedup(rows, id_col=ROW), "keep_id", -length, *by_id()).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group of near copies, the smallest id stays."""
-    groups = ngram_join.ngram_components(docs, k=WORDS, percent=PERCENT)
-    kept = groups.filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """N-gram Jaccard join: of each group of near copies, the smallest id stays.
+
+    One row of each group stays, as in `drop_copies`; texts without words are near to none, so all of them stay."""
+    rows = keyed(docs, "near")
+    groups = ngram_join.ngram_components(rows, id_col=ROW, k=WORDS, percent=PERCENT)
+    return firsts(rows, groups, "component_id", *by_id()).select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

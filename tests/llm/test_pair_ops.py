@@ -192,3 +192,27 @@ def test_run_gives_the_last_stage(spark, stages):
     key = lambda df: sorted(tuple(r) for r in df.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect())
     runs = [sum(n for _, _, n, _, _ in key(df)) for df in (corpus_pipeline.run(spark, SF), stages[-1])]
     assert runs[0] == runs[1]
+
+
+def test_stages_keep_one_row_of_each_group(spark):
+    """Null ids, repeated rows and repeated ids: no text is lost, and no copy stays beside its winner."""
+    rnd = random.Random(12)
+    words = lambda n: " ".join(rnd.choice("abcdefgh") * 3 + str(rnd.randrange(999)) for _ in range(n))
+    a, b, c, d, e = (words(60) for _ in range(5))
+    rows = [(None, a), (None, a + " "), (1, a), (2, b), (2, b), (3, c), (3, d), (4, d), (None, e), (None, e), (5, None), (6, ""), (7, c + "\n\n"), (7, b + " ")]
+    docs = spark.createDataFrame(rows, DOC).repartition(3)
+    squeeze = lambda t: re.sub(r"[\x20\x09-\x0d]", "", t or "")
+    best = {}
+    for i, t in rows:
+        best.setdefault(squeeze(t), []).append((-len(t or ""), i is None, i or 0, i, t))
+    want = [min(v)[3:] for v in best.values()]
+    exact = corpus_pipeline.drop_copies(spark, docs, SF)
+    got = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert exact.columns == docs.columns and got(exact) == sorted(want, key=str)
+    near = [(None, a), (None, a + " x"), (9, b), (9, b), (8, b + " y"), (8, c), (None, c + " z"), (8, d), (None, e), (None, e), (6, ""), (6, ""), (None, None)]
+    docs = spark.createDataFrame(near, DOC).repartition(3)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    out = got(kept)
+    assert kept.columns == docs.columns
+    assert [x for x in out if x[0] is not None or not x[1] or x[1] == e] == sorted([(8, b + " y"), (8, c), (8, d), (None, e), (6, ""), (6, ""), (None, None)], key=str)
+    assert len(out) == 8 and sum(bool(t) and t.startswith(a) for _, t in out) == 1
