@@ -236,16 +236,34 @@ def untested(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.filter(F.col("kind").isin(*CALLABLE)).join(tested, "uid", "left_anti")
 
 
+def _targets(known: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """keys, n_<tag>, to_<tag>: how many targets share the keys, and the four least of them."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("dst"))
+    least = known.withColumn("rank", rank).filter("rank <= 4").groupBy(*keys).agg(F.array_sort(F.collect_list("dst")).alias(f"to_{tag}"))
+    return known.groupBy(*keys).agg(F.count("*").alias(f"n_{tag}")).join(least, keys)
+
+
 def resolve_names(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """call_id, dst, confidence: a called name's targets in the nearest tier that has any: the same file
     (.75), else the same directory (.55), else anywhere (.35), divided by min(targets, 3); three at most.
-    calls: call_id, caller, file, name; symbols: uid, file, name. A call to its own caller is none."""
-    own = calls.withColumn("dir", dirname(F.col("file")))
-    known = symbols.select(F.col("uid").alias("dst"), F.col("file").alias("to_file"), dirname(F.col("file")).alias("to_dir"), "name")
-    tier = F.when(F.col("file") == F.col("to_file"), 1).when(F.col("dir") == F.col("to_dir"), 2).otherwise(3)
-    found = own.join(known, "name").filter("caller <> dst").withColumn("tier", tier)
+    calls: call_id, caller, file, name; symbols: uid, file, name. A call to its own caller is none.
+
+    One row a uid in symbols; rows of calls with the same call_id are one call from several places. Each row meets the counts and least targets of its file, directory and name,
+    never all symbols of its name, so rows do not grow with the square of a name's share."""
+    own = calls.filter("caller is not null").withColumn("dir", dirname(F.col("file")))
+    known = symbols.select(F.col("uid").alias("dst"), "file", dirname(F.col("file")).alias("dir"), "name")
+    self_ = known.select("name", F.col("dst").alias("caller"), F.col("file").alias("own_file"), F.col("dir").alias("own_dir"), F.lit(1).alias("own"))
+    met = own.join(self_, ["name", "caller"], "left")
+    scopes = {"file": ["name", "file"], "dir": ["name", "dir"], "any": ["name"]}
+    for tag, keys in scopes.items():
+        met = met.join(_targets(known, keys, tag), keys, "left")
+    within = {"file": F.col("own_file") == F.col("file"), "dir": F.col("own_dir") == F.col("dir"), "any": F.col("own") == 1}
+    n = {t: F.coalesce(f"n_{t}", F.lit(0)) - F.when(within[t], 1).otherwise(0) for t in scopes}
+    pick = lambda f: F.when(n["file"] > 0, f("file", 1)).when(n["dir"] > 0, f("dir", 2)).when(n["any"] > 0, f("any", 3))
+    found = met.select("call_id", "caller", pick(lambda t, k: F.lit(k)).alias("tier"), pick(lambda t, k: n[t]).alias("n"), pick(lambda t, k: F.col(f"to_{t}")).alias("to"))
     by = Window.partitionBy("call_id")
-    near = found.withColumn("best", F.min("tier").over(by)).filter("tier = best").withColumn("n", F.count("*").over(by))
+    near = found.withColumn("best", F.min("tier").over(by)).filter("tier = best").withColumn("n", F.sum("n").over(by))
+    near = near.select("call_id", "tier", "n", F.explode(F.slice(F.filter("to", lambda x: x != F.col("caller")), 1, 3)).alias("dst"))
     near = near.withColumn("rank", F.row_number().over(by.orderBy("dst"))).filter("rank <= 3")
     prior = F.when(F.col("tier") == 1, 0.75).when(F.col("tier") == 2, 0.55).otherwise(0.35)
     return near.select("call_id", "dst", "tier", F.round(prior / F.least("n", F.lit(3)), 3).alias("confidence"))

@@ -210,6 +210,17 @@ def root_cause_band(spark: SparkSession, d: str) -> DataFrame:
     return compare.root_cause(claims, frames, sizes).select("id", "verified")
 
 
+@query("""WITH c AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_suppkey AS f, l_partkey AS line FROM lineitem), fr AS (SELECT DISTINCT l_suppkey AS f, l_partkey AS line FROM lineitem WHERE l_returnflag = 'R')
+SELECT id, line BETWEEN 1 AND 1500 AND EXISTS (SELECT 1 FROM fr WHERE fr.f = c.f AND abs(fr.line - c.line) <= 40) AS verified FROM c""")
+def root_cause_band_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every line item is a claim, the returned ones are frames."""
+    li = table(spark, d, "lineitem")
+    claims = li.select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("id"), F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("line")).distinct()
+    frames = li.filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("line")).distinct()
+    sizes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("file"), F.lit(1500).alias("lines"))
+    return compare.root_cause(claims, frames, sizes).select("id", "verified")
+
+
 @query("""SELECT event_id, CASE event_type WHEN 'click' THEN CASE WHEN user_id % 5 <> 0 THEN 'FIRED' ELSE 'HELD' END WHEN 'error' THEN CASE WHEN value > 100 THEN 'FIRED' ELSE 'HELD' END
   WHEN 'purchase' THEN CASE WHEN contains(props, '7') THEN 'FIRED' ELSE 'HELD' END WHEN 'signup' THEN CASE WHEN user_id % 5 >= 128 THEN 'FIRED' ELSE 'HELD' END ELSE 'UNSUPPORTED' END AS verdict FROM events""")
 def oracle_verdicts(spark: SparkSession, d: str) -> DataFrame:

@@ -277,9 +277,18 @@ b AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY call_id) AS best FRO
 r AS (SELECT *, count(*) OVER (PARTITION BY call_id) AS n, row_number() OVER (PARTITION BY call_id ORDER BY dst) AS rn FROM b)
 SELECT call_id, dst, tier, round(CASE tier WHEN 1 THEN 0.75 WHEN 2 THEN 0.55 ELSE 0.35 END / least(n, 3), 3)::DOUBLE AS confidence FROM r WHERE rn <= 3""")
 def resolve_names(spark: SparkSession, d: str) -> DataFrame:
+    """A share of both tables, as its SQL meets all pairs of a name; `resolve_names_whole` reads all."""
+    return _resolve(table(spark, d, "part").filter("p_partkey % 20 = 0"), table(spark, d, "lineitem").filter("l_orderkey % 50 = 0"))
+
+
+@query()
+def resolve_names_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _resolve(table(spark, d, "part"), table(spark, d, "lineitem"))
+
+
+def _resolve(part: DataFrame, li: DataFrame) -> DataFrame:
     place = lambda a, b: F.concat(F.lit("d"), (a % 5).cast("string"), F.lit("/f"), (b % 11).cast("string"))
-    p = table(spark, d, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("uid"), place(F.col("p_size"), F.col("p_partkey")).alias("file"), F.col("p_brand").alias("name"))
-    li = table(spark, d, "lineitem").filter("l_orderkey % 50 = 0")
+    p = part.select(F.col("p_partkey").alias("uid"), place(F.col("p_size"), F.col("p_partkey")).alias("file"), F.col("p_brand").alias("name"))
     name = F.concat(F.lit("Brand#"), (F.col("l_partkey") % 5 + 1).cast("string"), (F.col("l_suppkey") % 5 + 1).cast("string"))
     calls = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), F.lit(-1).cast("long").alias("caller"), place(F.col("l_suppkey"), F.col("l_partkey")).alias("file"), name.alias("name")).distinct()
     return graph.resolve_names(calls, p)

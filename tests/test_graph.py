@@ -143,3 +143,38 @@ def test_entrypoints(spark):
 def test_stats_of_nothing(spark):
     out = graph.graph_stats(spark.createDataFrame([], NODE), graph.merge_edges(spark.createDataFrame([], EDGE))).filter(F.col("metric") == "resolved_ratio").head()
     assert out.value is None
+
+
+def brute_resolve(calls, symbols):
+    pairs, out = {}, []
+    for call, caller, file, name in calls:
+        pairs.setdefault(call, []).extend((1 if f == file else 2 if f.rpartition("/")[0] == file.rpartition("/")[0] else 3, u) for u, f, n in symbols if n == name and u != caller)
+    for call, own in pairs.items():
+        best = sorted(x for x in own if x[0] == min(own)[0])
+        out += [(call, u, t, round({1: 0.75, 2: 0.55, 3: 0.35}[t] / min(len(best), 3), 3)) for t, u in best[:3]]
+    return sorted(out)
+
+
+def test_resolve_names_against_brute_force(spark):
+    rnd = random.Random(6)
+    file = lambda: f"d{rnd.randrange(3)}/f{rnd.randrange(3)}"
+    symbols = [(u, file(), f"n{rnd.randrange(9)}") for u in range(60)]
+    calls = [(i % 350, rnd.choice([-1, rnd.randrange(60)]), file(), f"n{rnd.randrange(10)}") for i in range(400)]
+    got = graph.resolve_names(spark.createDataFrame(calls, "call_id long, caller long, file string, name string"), spark.createDataFrame(symbols, "uid long, file string, name string"))
+    assert sorted(tuple(r) for r in got.collect()) == brute_resolve(calls, symbols)
+
+
+def test_resolve_names_reads_whole_tables(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    symbols = [(p, f"d{z % 5}/f{p % 11}", b) for p, z, b in spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size", "p_brand").collect()]
+    calls = {(o * 10 + n, -1, f"d{s % 5}/f{p % 11}", f"Brand#{p % 5 + 1}{s % 5 + 1}") for o, n, p, s in spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").collect()}
+    assert sorted(tuple(r) for r in entry.queries()["resolve_names_whole"](spark, d).collect()) == brute_resolve(calls, symbols)
+
+
+def test_root_cause_claims_every_line_item(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    assert entry.queries()["root_cause_band_whole"](spark, d).count() == spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct().count()
