@@ -54,6 +54,11 @@ def boundary_values(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", tx.boundary_values(F.array("l_linenumber", F.col("l_linenumber") + 1)).alias("bounds"))
 
 
+@query(r"""SELECT l_orderkey, l_linenumber, [l_linenumber - 1, l_linenumber, l_linenumber + 1, l_linenumber + 2] AS bounds FROM lineitem""")
+def boundary_values_whole(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tx.boundary_values(F.array("l_linenumber", F.col("l_linenumber") + 1)).alias("bounds"))
+
+
 @query(r"""SELECT doc_id, list_filter([CASE WHEN contains(text, 'MIT License') THEN 'mit' END, CASE WHEN contains(text, 'All rights reserved') THEN 'reserved' END, CASE WHEN contains(text, '@') THEN 'at' END], lambda x: x IS NOT NULL) AS labels FROM documents""")
 def marker_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.markers(F.col("text"), {"MIT License": "mit", "All rights reserved": "reserved", "@": "at"}).alias("labels"))
@@ -186,6 +191,17 @@ def closure_cyclic(spark: SparkSession, d: str) -> DataFrame:
     return graph.closure(edges, seed, 6).select(F.col("uid").cast("long").alias("uid"), "hops").filter("uid <> 1")
 
 
+@query()
+def closure_cyclic_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Who follows whom in the event log, from every user to every other."""
+    e = table(spark, d, "events").select("user_id", "ts", "event_id")
+    step = e.withColumn("b", F.lead("user_id").over(Window.orderBy("ts", "event_id"))).filter("user_id is not null and b is not null")
+    edges = step.select(F.col("user_id").cast("string").alias("src"), F.col("b").cast("string").alias("dst")).distinct()
+    seeds = e.filter("user_id is not null").select(F.col("user_id").cast("string").alias("uid")).distinct()
+    found = graph.closure(edges, seeds, 6).filter("root <> uid")
+    return found.select(F.col("root").cast("long").alias("root"), F.col("uid").cast("long").alias("uid"), "hops")
+
+
 @query(f"""WITH {EDGES_SQL}, p1 AS (SELECT 'region:' || r_regionkey AS root, 'region:' || r_regionkey AS uid FROM region)
 SELECT p1.root, e3.dst AS uid, [p1.uid, e1.dst, e2.dst, e3.dst] AS path, least(e1.confidence, e2.confidence, e3.confidence) AS confidence
 FROM p1 JOIN edges e1 ON e1.src = p1.uid JOIN edges e2 ON e2.src = e1.dst JOIN edges e3 ON e3.src = e2.dst WHERE e3.kind = 'PLACED'""")
@@ -317,6 +333,15 @@ def affected_closure(spark: SparkSession, d: str) -> DataFrame:
     return graph.affected(changed, known, graph.merge_edges(key_edges(spark, d)).filter("kind <> 'PLACED'"), nodes.filter("kind = 'region'"))
 
 
+@query(f"""WITH {NODES_SQL}, {EDGES_SQL}, s AS (SELECT uid FROM nodes WHERE file = 'crm/customer/3'), u1 AS (SELECT DISTINCT src AS uid FROM edges JOIN s ON dst = s.uid), u2 AS (SELECT DISTINCT src AS uid FROM edges JOIN u1 ON dst = u1.uid),
+u AS (SELECT uid FROM u1 UNION SELECT uid FROM u2), a AS (SELECT uid FROM s UNION SELECT uid FROM u)
+SELECT 'symbol' AS kind, uid FROM s UNION ALL SELECT 'dependent', uid FROM u UNION ALL SELECT DISTINCT 'file', file FROM nodes WHERE uid IN (SELECT uid FROM a) UNION ALL SELECT 'entrypoint', uid FROM a WHERE starts_with(uid, 'region')""")
+def affected_closure_whole(spark: SparkSession, d: str) -> DataFrame:
+    nodes = key_nodes(spark, d)
+    changed = spark.createDataFrame([("crm/customer/3",)], "file string")
+    return graph.affected(changed, nodes, graph.merge_edges(key_edges(spark, d)).filter("kind <> 'PLACED'"), nodes.filter("kind = 'region'"))
+
+
 # -- flows ------------------------------------------------------------------------------------------
 _FLOWS = f"""{EDGES_SQL}, src AS (SELECT 's' || r_regionkey AS ref, 'region:' || r_regionkey AS owner, 0.5 + 0.1 * (r_regionkey % 3) AS c FROM region),
 snk AS (SELECT 'k' || c_custkey AS ref, 'customer:' || c_custkey AS owner, 0.3 + 0.1 * (c_custkey % 7) AS c FROM customer),

@@ -178,3 +178,30 @@ def test_root_cause_claims_every_line_item(spark):
 
     d = "/root/testdata/sf0.001"
     assert entry.queries()["root_cause_band_whole"](spark, d).count() == spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct().count()
+
+
+def test_closure_of_the_whole_event_log(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    users = [r.user_id for r in spark.read.parquet(f"{d}/events.parquet").orderBy("ts", "event_id").collect()]
+    steps, want = {}, set()
+    for a, b in zip(users, users[1:]):
+        steps.setdefault(a, set()).add(b)
+    for root in set(users):
+        hops, level = {root: 0}, {root}
+        for h in range(1, 7):
+            level = {b for a in level for b in steps.get(a, ())} - set(hops)
+            hops |= dict.fromkeys(level, h)
+        want |= {(root, u, h) for u, h in hops.items() if u != root}
+    got = [tuple(r) for r in entry.queries()["closure_cyclic_whole"](spark, d).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_affected_and_boundaries_read_whole_tables(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.01"
+    symbols = entry.queries()["affected_closure_whole"](spark, d).filter("kind = 'symbol'").count()
+    assert symbols == spark.read.parquet(f"{d}/customer.parquet").filter("c_custkey % 10 = 3").count()
+    assert entry.queries()["boundary_values_whole"](spark, d).count() == spark.read.parquet(f"{d}/lineitem.parquet").count()
