@@ -54,7 +54,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     base: assignments, access identifiers and hexadecimal runs. found: base and the linked weak candidates.
     An opaque mixed run is a `secret` only within `scope` code points (between starts) of an access identifier,
-    an `endpoint` only that near to an access identifier or another secret; weak runs that overlap base spans
+    an `endpoint` only that near to a base span of any kind, never to another weak part; weak runs that overlap base spans
     are none. The parts meet in an interval join: bins of `scope` starts, each weak part against its own
     and both neighbouring bins. A bin holds at most `scope` parts, so no bin can be hot.
 
