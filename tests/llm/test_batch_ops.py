@@ -155,7 +155,30 @@ def test_recursion_and_heap_agree():
     own = byte_bpe.coder("byte_bpe_multi_50k.tiktoken")
     rnd = random.Random(9)
     pieces = [bytes(rnd.choice(b"aeinrst \xc3\xa9") for _ in range(rnd.randrange(1, 40))) for _ in range(500)]
-    assert own.encode_pieces(pieces) == [[own.ranks[p]] if p in own.ranks else own._by_heap(p) for p in pieces]
+    pieces += [bytes(rnd.choice(letters) for _ in range(n)) for n in (200, 256, 257, 700, 1500) for letters in (b"a", b"ab", b"aeinrst", bytes(range(256)))]
+    pieces += [b"", *pieces[:5]]
+    heap = [[own.ranks[p]] if p in own.ranks else own._by_heap(p) for p in pieces]
+    for least in (0, 256, 2000):  # all by the heap, as in production, all by the recursion
+        own.long_bytes, before = least, own.long_bytes
+        try:
+            tokens, offsets = own.encode(pieces)
+        finally:
+            own.long_bytes = before
+        assert [tokens[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == heap
+    assert own.decode(tokens, offsets) == pieces
+
+
+def test_long_pieces_as_the_library(spark):
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = byte_bpe.coder("byte_bpe_multi_50k.tiktoken").ranks
+    library = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice(letters) for _ in range(n)) for n in (1, 30, 255, 256, 257, 1000, 5000) for letters in ("a", "abcdefgh", "\u00e9\u4e2d\U0001f600")]
+    rows = byte_bpe.byte_bpe(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()
+    assert {r.doc_id: r.ids for r in rows} == dict(enumerate(map(library.encode_ordinary, texts)))
+    assert all(bytes(r.decoded).decode() == texts[r.doc_id] for r in rows)
 
 
 @pytest.mark.parametrize("length", [16, 4096])
