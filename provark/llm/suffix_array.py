@@ -75,6 +75,27 @@ def _scan(sa: np.ndarray, text: np.ndarray, small: np.ndarray, starts: np.ndarra
         c += 1 if up else -1
 
 
+def _scan_each(sa: np.ndarray, text: np.ndarray, small: np.ndarray, border: np.ndarray, up: bool) -> None:
+    """The same scan item by item, for texts whose buckets are too small for `_scan` to gain from them."""
+    # the bucket that a suffix induces into; none for the first suffix, the other type and (last) an empty place
+    bucket = np.full(len(text) + 1, -1, np.int64)
+    bucket[1:-1] = np.where(small[:-1] != up, text[:-1], -1)
+    bucket, at, out = bucket.tolist(), border.tolist(), sa.tolist()
+    if up:
+        for j in out:
+            c = bucket[j]
+            if c >= 0:
+                out[at[c]] = j - 1
+                at[c] += 1
+    else:
+        for j in reversed(out):
+            c = bucket[j]
+            if c >= 0:
+                at[c] -= 1
+                out[at[c]] = j - 1
+    sa[:] = out
+
+
 def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The order of all suffixes induced from the order of the leftmost-smaller ones."""
     n = len(text)
@@ -85,10 +106,12 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, starts: np.nda
     heads = starts[:-1].copy()
     sa[heads[text[-1]]] = n - 1
     heads[text[-1]] += 1
-    _scan(sa, text, small, starts, heads, True)
+    wide = n > 1000 * len(heads)
+    _scan(sa, text, small, starts, heads, True) if wide else _scan_each(sa, text, small, heads, True)
     placed = sa >= 0
     sa[placed] = np.where(small[sa[placed]], -1, sa[placed])
-    _scan(sa, text, small, starts, starts[1:].copy(), False)
+    tails = starts[1:].copy()
+    _scan(sa, text, small, starts, tails, False) if wide else _scan_each(sa, text, small, tails, False)
     return sa
 
 

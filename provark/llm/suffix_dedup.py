@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provark.llm.common import materialise, partitions, text_batches, text_bytes
+from provark.llm.common import materialise, partitions, shared_dir, text_batches, text_bytes
 from provark.llm.hashing import PrefixHash, mix
 from provark.llm.suffix_array import permuted_lcp, suffix_array
 
@@ -24,6 +24,10 @@ SEGMENT = np.dtype([("doc", "<u4"), ("start", "<u4"), ("count", "<u4")])
 KEYED = np.dtype([("anchor", "<u8"), ("segment", "<u4")])
 #: In KEYED a segment's number carries this bit where the anchor occurs twice within the segment's own text.
 TWICE = np.uint32(1 << 31)
+#: And this one where the anchor is a hot one.
+HOT = np.uint32(1 << 30)
+#: Windows of a hot anchor go on by the anchor's place in the window, in ranges of so many places.
+RANGE = 8
 RUN = np.dtype([("doc", "<u4"), ("start", "<u4"), ("count", "<u4")])
 
 
@@ -43,6 +47,16 @@ def unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
     return out
 
 
+def _sliding(values: np.ndarray, span: int, pick) -> np.ndarray:
+    """pick (minimum or maximum) of each `span` neighbouring values."""
+    out, have = values, 1
+    while have < span:
+        move = min(have, span - have)
+        out = pick(out[: len(out) - move], out[move:])
+        have += move
+    return out
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with the same anchor: SEGMENT rows, anchors, content hashes, and whether the anchor
     occurs twice within the run's text. A window's anchor is the least hash of its strings of ANCHOR
@@ -55,13 +69,10 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     at = np.arange(n - ANCHOR + 1)
     hashes = prefix.of(at, at + ANCHOR)
     span = length - ANCHOR + 1
-    least, have = hashes, 1
-    while have * 2 <= span:
-        least = np.minimum(least[: len(least) - have], least[have:])
-        have *= 2
-    if have < span:
-        move = span - have
-        least = np.minimum(least[: len(least) - move], least[move:])
+    least = _sliding(hashes, span, np.minimum)
+    # a string is the anchor of some window if its hash is the largest of the least ones of the windows that hold it
+    edge = np.zeros(span - 1, np.uint64)
+    leading = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), span, np.maximum) == hashes)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
     valid = np.arange(len(least)) + length <= offsets[doc + 1]
     where = np.flatnonzero(valid)
@@ -76,13 +87,45 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     out["doc"], out["start"], out["count"] = owner, start - offsets[owner], count
     content = prefix.of(start, start + count - 1 + length)
     # how often the anchor occurs among the run's own strings
-    reach = count + span - 1
-    edge = np.concatenate([[0], np.cumsum(reach)])
-    flat = np.arange(edge[-1]) + np.repeat(start - edge[:-1], reach)
-    times = np.add.reduceat(hashes[flat] == np.repeat(anchor, reach), edge[:-1], dtype=np.int64)
+    lo, hi = np.searchsorted(leading, start), np.searchsorted(leading, start + count + span - 1)
+    edge = np.concatenate([[0], np.cumsum(hi - lo)])
+    flat = np.arange(edge[-1]) + np.repeat(lo - edge[:-1], hi - lo)
+    times = np.add.reduceat(hashes[leading[flat]] == np.repeat(anchor, hi - lo), edge[:-1], dtype=np.int64)
     return out, anchor, content, times > 1
 
 
+def gathered(data: np.ndarray, begin: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of `reach` bytes from `begin`, one after the other, and where each begins there."""
+    at = np.concatenate([[0], np.cumsum(reach)])
+    return data[np.arange(at[-1]) + np.repeat(begin - at[:-1], reach)], at[:-1]
+
+
+def refined(data: np.ndarray, begin: np.ndarray, count: np.ndarray, anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of hot anchors (window starts `begin`, `count` windows each) in parts: their segment, the first
+    window's place in it, windows, and key.
+
+    Windows that equal one another hold their anchor first at the same place, so they have what all windows of
+    one range of places have in common: bytes from RANGE - 1 behind the first window's start to its end."""
+    prefix, whole = PrefixHash(data), np.repeat(np.arange(len(begin)), count)
+    start = np.arange(len(whole)) - np.repeat(np.cumsum(count) - count, count)
+    window = begin[whole] + start
+    at = np.arange(len(data) - ANCHOR + 1)
+    hashes = prefix.of(at, at + ANCHOR)
+    place = np.flatnonzero(np.isin(hashes, anchor))
+    by = np.lexsort((place, hashes[place]))
+    place, value = place[by], hashes[place[by]]
+    names = np.unique(value)
+    group = np.searchsorted(names, anchor[whole])
+    # the anchor's first occurrence at or behind the window's start: both sides are ordered by (anchor, place)
+    joint = np.searchsorted(np.searchsorted(names, value) * (len(data) + 1) + place, group * (len(data) + 1) + window)
+    offset = place[joint] - window
+    part = offset // RANGE
+    fresh = np.flatnonzero(np.concatenate([[True], (whole[1:] != whole[:-1]) | (part[1:] != part[:-1]) | (place[joint][1:] != place[joint][:-1])]))
+    core = place[joint][fresh] - part[fresh] * RANGE
+    key = mix(mix(anchor[whole[fresh]]) ^ prefix.of(core, core + length - RANGE + 1) ^ part[fresh].astype(np.uint64))
+    return whole[fresh], start[fresh], np.diff(np.append(fresh, len(whole))), key
+
+
 def covered_windows(data: np.ndarray, at: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
     """For segments laid out in order of age (starts `at`, `count` windows each): the places of windows that an
     earlier window equals. Suffixes that share `length` bytes are neighbours in the suffix array."""
@@ -111,13 +154,16 @@ def runs(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps whose results are stored."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """df as a table in the shared folder, dealt by `key` as it is written: joins by that key move only the other side.
 
+    The session's catalogue knows the table by a name of its own, since a bare path has no buckets."""
+    spark, own = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{own}").saveAsTable(own)
+    return spark.table(own)
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, chunk_bytes: int = 6 << 20, shard_bytes: int = 1 << 20, keep_text: bool = False) -> DataFrame:
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, chunk_bytes: int = 6 << 20, shard_bytes: int = 1 << 20, task_bytes: int = 128 << 20, hot_segments: int = 4096, keep_text: bool = False) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with `keep_text`, kept (bytes).
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a smaller doc_id, or
@@ -125,13 +171,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the same anchor); equal segments of a chunk are one. 2. Anchors meet by hash bucket; those of one segment
     only, without a repeat inside, are done: no window of theirs occurs twice. 3. The others' segments go to
     shards by anchor, where equal ones are again one; of those that differ under one anchor, or repeat it, each
-    shard's suffix array and permuted common prefixes tell which windows an earlier one equals. 4. Chunks put the windows together and cut the texts.
-    All windows of an anchor meet in one task, in shards of about `shard_bytes` of different segments.
+    shard's suffix array and permuted common prefixes tell which windows an earlier one equals. 4. Chunks put the
+    windows together and cut the texts. Chunks are bucketed as they are stored, so texts are never shuffled, only
+    segments that meet others. Buckets number at least one for each `task_bytes` of text, counted before. An anchor of
+    over `hot_segments` segments is split: its windows go on by the place of the anchor in them and by
+    the bytes that all windows of that place share. Hashes only bring together; bytes decide.
 
     Null text counts as empty. A null id comes last; rows with the same id follow each other in stored order.
     Empty tables give no rows; other columns are ignored. Offsets in a text are below 2 ** 32."""
     spark = docs.sparkSession
-    n_parts = partitions(spark)
+    counted = docs.agg(F.sum(F.octet_length(F.col(text_col)))).head()[0] or 0
+    n_parts = max(partitions(spark), -(-counted // task_bytes))
     buckets = n_parts * 2
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     none64, nothing = (lambda n: pa.nulls(n, pa.int64())), (lambda n: pa.nulls(n, pa.binary()))
@@ -167,8 +217,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             seg, anchor, content_, two = np.concatenate(found), np.concatenate(anchors), np.concatenate(content), np.concatenate(twice)
             key = mix(content_ ^ mix(anchor))
             by = np.argsort(key, kind="stable")
+            begin, reach = offsets[seg["doc"]] + seg["start"], seg["count"].astype(np.int64) - 1 + length
             again = np.zeros(len(seg), bool)
             again[by[1:]] = key[by[1:]] == key[by[:-1]]
+            first = by[np.maximum.accumulate(np.where(again[by], 0, np.arange(len(by))))]
+            raw = memoryview(data)
+            for i, j in zip(by[again[by]].tolist(), first[again[by]].tolist()):  # equal keys, so equal texts but for a collision
+                if raw[begin[i] : begin[i] + reach[i]] != raw[begin[j] : begin[j] + reach[j]]:
+                    again[i] = False
             keyed = np.empty(int((~again).sum()) + int((two & ~again).sum()), KEYED)
             fresh = np.flatnonzero(~again)
             fresh = np.concatenate([fresh, np.flatnonzero(two & ~again)])  # counted twice: to be looked at in any case
@@ -219,6 +275,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         same = np.zeros(len(anchor), bool)
         same[1:] = anchor[1:] == anchor[:-1]
         same[:-1] |= same[1:].copy()
+        edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        hot = np.repeat(np.diff(np.append(edge, len(anchor))) > hot_segments, np.diff(np.append(edge, len(anchor))))
+        every["segment"][order[hot]] |= HOT
         wanted = order[same]
         every, chunk = every[wanted], chunk[wanted]
         order = np.lexsort((every["segment"], chunk))
@@ -240,24 +299,36 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if not wanted:
                     continue
                 want = np.concatenate([unpack(w, KEYED) for w in wanted])
-                number = want["segment"] & ~TWICE
-                order = np.argsort(number, kind="stable")
-                want, number = want[order], number[order]
+                want = want[np.argsort(want["segment"] & ~(TWICE | HOT), kind="stable")]
+                number, twice, hot = want["segment"] & ~(TWICE | HOT), want["segment"] & TWICE, want["segment"] & HOT > 0
                 seg = unpack(found, SEGMENT)[number]
                 offsets = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<i8"))])
                 data = np.frombuffer(zstandard.decompress(texts), np.uint8)
                 id_of = np.array([LAST if i is None else i for i in ids], np.int64)
-                bucket = (want["anchor"] >> np.uint64(20)) % np.uint64(buckets)
-                begin = offsets[seg["doc"]] + seg["start"]
-                reach = seg["count"].astype(np.int64) - 1 + length
+                begin, count, key, skip = offsets[seg["doc"]] + seg["start"], seg["count"].astype(np.int64), want["anchor"], np.zeros(len(want), np.int64)
+                if hot.any():
+                    own = np.flatnonzero(hot)
+                    split = []
+                    ends = np.cumsum(count[own] - 1 + length)
+                    for at in np.split(own, np.unique(np.searchsorted(ends, np.arange(1 << 19, ends[-1], 1 << 19)))):  # some text at a time
+                        if len(at):
+                            which, *more = refined(*gathered(data, begin[at], count[at] - 1 + length), count[at], key[at], length)
+                            split.append((at[which], *more))
+                    which, shift, parts_, keys = (np.concatenate(x) for x in zip(*split))
+                    cold = np.flatnonzero(~hot)
+                    origin = np.concatenate([cold, which])
+                    skip = np.concatenate([skip[cold], shift])
+                    begin, count = begin[origin] + skip, np.concatenate([count[cold], parts_])
+                    key, number, twice, seg = np.concatenate([key[cold], keys]), number[origin], twice[origin], seg[origin]
+                bucket = (key >> np.uint64(20)) % np.uint64(buckets)
+                reach = count - 1 + length
                 order = np.argsort(bucket, kind="stable")
                 edge = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
                 for a, b in zip(edge, np.append(edge[1:], len(order))):
                     own = order[a:b]
-                    at = np.concatenate([[0], np.cumsum(reach[own])])
-                    flat = np.arange(at[-1]) + np.repeat(begin[own] - at[:-1], reach[own])
+                    text, _ = gathered(data, begin[own], reach[own])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(bucket[own[0]])]), pa.array([chunk]), pa.array([want["anchor"][own].tobytes()]), pa.array([want["segment"][own].tobytes()]), pa.array([zstandard.compress(id_of[seg["doc"][own]].tobytes(), 1)]), pa.array([seg["count"][own].tobytes()]), pa.array([zstandard.compress(data[flat].tobytes(), 3)])],
+                        [pa.array([int(bucket[own[0]])]), pa.array([chunk]), pa.array([key[own].tobytes()]), pa.array([np.stack([number[own] | twice[own], skip[own].astype(np.uint32)]).tobytes()]), pa.array([zstandard.compress(id_of[seg["doc"][own]].tobytes(), 1)]), pa.array([count[own].astype("<u4").tobytes()]), pa.array([zstandard.compress(text.tobytes(), 3)])],
                         names=shard_names,
                     )
 
@@ -268,10 +339,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for r in range(batch.num_rows):
                 _, chunk, anchors, numbers, ids, counts, texts = (batch.column(i)[r].as_py() for i in range(7))
                 a = np.frombuffer(anchors, "<u8")
-                rows.append((np.full(len(a), chunk), a, np.frombuffer(numbers, "<u4"), np.frombuffer(zstandard.decompress(ids), "<i8"), np.frombuffer(counts, "<u4").astype(np.int64), np.frombuffer(zstandard.decompress(texts), np.uint8)))
+                rows.append((np.full(len(a), chunk), a, *np.frombuffer(numbers, "<u4").reshape(2, -1), np.frombuffer(zstandard.decompress(ids), "<i8"), np.frombuffer(counts, "<u4").astype(np.int64), np.frombuffer(zstandard.decompress(texts), np.uint8)))
         if not rows:
             return
-        chunk, anchor, number, id_, count, data = (np.concatenate(x) for x in zip(*rows))
+        chunk, anchor, number, skip, id_, count, data = (np.concatenate(x) for x in zip(*rows))
         rows.clear()
         twice, number = number & TWICE > 0, number & ~TWICE
         reach = count - 1 + length
@@ -286,7 +357,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         while at < len(edge) - 1:
             to = max(at + 1, int(np.searchsorted(total, total[at] + shard_bytes, "right")) - 1)
             own = by[edge[at] : edge[to]]
-            own = own[np.lexsort((number[own], chunk[own], id_[own]))]  # by age
+            own = own[np.lexsort((skip[own], number[own], chunk[own], id_[own]))]  # by age
             seen: dict[bytes, int] = {}
             keep, again = [], []
             for i in own.tolist():
@@ -295,7 +366,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 seen.setdefault(text, i)
             if again:
                 old = np.array(again)
-                gone.append((chunk[old].repeat(count[old]), number[old].repeat(count[old]), np.arange(count[old].sum()) - np.repeat(np.cumsum(count[old]) - count[old], count[old])))
+                gone.append((chunk[old].repeat(count[old]), number[old].repeat(count[old]), np.arange(count[old].sum()) - np.repeat(np.cumsum(count[old]) - count[old] - skip[old], count[old])))
             # a segment alone with its anchor, which it holds once, has no window that occurs again
             kept = np.array(keep)
             _, group, alike = np.unique(anchor[kept], return_inverse=True, return_counts=True)
@@ -305,7 +376,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 place = np.concatenate([[0], np.cumsum(reach[kept])])
                 hit = covered_windows(shard, place[:-1], count[kept], length)
                 which = np.searchsorted(place, hit, "right") - 1
-                gone.append((chunk[kept[which]], number[kept[which]], hit - place[which]))
+                gone.append((chunk[kept[which]], number[kept[which]], hit - place[which] + skip[kept[which]]))
             at = to
         if not gone:
             return
@@ -352,18 +423,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if ids:
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    stored = materialise(rows.mapInArrow(cut, "chunk long, bucket long, ids array<long>, sizes binary, texts binary, found binary, local binary, keyed binary"), "suffix-chunks")
+    cut_rows = rows.mapInArrow(cut, "chunk long, bucket long, ids array<long>, sizes binary, texts binary, found binary, local binary, keyed binary")
+    stored = _bucketed(cut_rows, "chunk", min(n_parts, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))), "suffix_chunks")
     chunks = stored.filter("bucket is null")
-
-    def found_windows() -> DataFrame:
-        met = stored.filter("bucket is not null").select("chunk", "keyed", "bucket").repartition(n_parts, "bucket").select("chunk", "keyed").mapInArrow(meet, "chunk long, wanted binary")
-        wanted = met.groupBy("chunk").agg(F.collect_list("wanted").alias("wanted"))
-        asked = chunks.select("chunk", "ids", "sizes", "texts", "found").join(wanted, "chunk").select("chunk", "ids", "sizes", "texts", "found", "wanted")
-        shipped = asked.mapInArrow(ship, "bucket long, chunk long, anchors binary, segments binary, ids binary, counts binary, texts binary")
-        return materialise(shipped.repartition(n_parts, "bucket").mapInArrow(search, "chunk long, gone binary"), "suffix-gone")
-
-    gone = found_windows()
-    release(spark)
+    met = stored.filter("bucket is not null").select("chunk", "keyed", "bucket").repartition(n_parts, "bucket").select("chunk", "keyed").mapInArrow(meet, "chunk long, wanted binary")
+    wanted = met.groupBy("chunk").agg(F.collect_list("wanted").alias("wanted"))
+    asked = chunks.select("chunk", "ids", "sizes", "texts", "found").join(wanted.hint("shuffle_hash"), "chunk").select("chunk", "ids", "sizes", "texts", "found", "wanted")
+    shipped = asked.mapInArrow(ship, "bucket long, chunk long, anchors binary, segments binary, ids binary, counts binary, texts binary")
+    gone = materialise(shipped.repartition(n_parts, "bucket").mapInArrow(search, "chunk long, gone binary"), "suffix-gone")
     by_chunk = gone.groupBy("chunk").agg(F.collect_list("gone").alias("gone"))
-    whole = chunks.join(by_chunk, "chunk", "left").select("ids", "sizes", "texts", "found", "local", "gone")
+    whole = chunks.join(by_chunk.hint("shuffle_hash"), "chunk", "left").select("ids", "sizes", "texts", "found", "local", "gone")
     return whole.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else ""))
