@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -40,3 +42,26 @@ class PrefixHash:
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
+_LONG = 1 << 16
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of data, eight bytes at a time with a mix between, so that no sum of powers stands for a
+    stretch; words of one length up to eight bytes never collide. Very long stretches take a BLAKE2 digest."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + _BASE)
+    long_ = np.flatnonzero(size > _LONG)
+    for i in long_.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    who = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, left = starts[who], size[who]
+    while len(who):
+        keep = np.uint64(0xFFFFFFFFFFFFFFFF) >> (8 * (8 - np.minimum(left, 8))).astype(np.uint64)
+        out[who] = mix(out[who] ^ (eight[at] & keep))
+        on = left > 8
+        who, at, left = who[on], at[on] + 8, left[on] - 8
+    return out

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import heapq
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provark.llm.common import lookup, materialise, partitions, text_batches, text_bytes
-from provark.llm.hashing import PrefixHash, mix
+from provark.llm.hashing import mix, word_hashes
 
 #: White space [\x20\x09-\x0D], and A-Z in lower case.
 SPACE = np.zeros(256, bool)
@@ -37,7 +40,7 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
         begins[inner] = word[inner]
         ends[inner - 1] = word[inner - 1]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    hashes = PrefixHash(data).of(starts, stops) if len(starts) else np.zeros(0, np.uint64)
+    hashes = word_hashes(data, starts, stops)
     first = np.searchsorted(starts, offsets)
 
     def fold(at: np.ndarray, m: int) -> np.ndarray:
@@ -137,34 +140,101 @@ def token_levels(rows: DataFrame, k: int, counters: int = 1 << 24, pieces: int =
     return levels
 
 
-def divide_skip(sets: list[np.ndarray], num: int, den: int = 100, weight: float = 0.01) -> np.ndarray:
+def word_lists(column: pa.Array) -> list[list[bytes]]:
+    """Each text's words, A-Z lower-cased; bytes.split() parts at just the white space of SPACE. Null has none."""
+    lower = LOWER.tobytes()
+    return [t.translate(lower).split() for t in column.cast(pa.binary()).fill_null(b"").to_pylist()]
+
+
+def exact_sets(lists: Iterable[list[bytes]], k: int) -> list[np.ndarray]:
+    """The sets of `shingle_sets` with numbers for shingles in place of hashes: equal numbers, equal words.
+
+    Words are numbered, then pairs of the number so far and the next word, k - 1 times."""
+    names: dict[bytes, int] = {}
+    short: dict[tuple, int] = {}
+    parts, few = [], {}
+    for d, words in enumerate(lists):
+        if len(words) < k:
+            few[d] = np.array([-1 - short.setdefault(tuple(words), len(short))] if words else [], np.int64)
+        parts.append(np.fromiter((names.setdefault(w, len(names)) for w in words), np.int64, len(words)))
+    at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    code = ids = np.concatenate([np.zeros(0, np.int64), *parts])
+    place = np.arange(len(ids))
+    left = np.repeat(at[1:], np.diff(at)) - place  # words from here to the end
+    for j in range(1, k):
+        on = left > j
+        place, left = place[on], left[on]
+        _, code = np.unique(code[on] << 32 | ids[place + j], return_inverse=True)
+    low = np.searchsorted(place, at)
+    return [few[d] if d in few else np.unique(code[low[d] : low[d + 1]]) for d in range(len(parts))]
+
+
+def merge_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
+    """What occurs in at least `need` (one or more) ascending lists, and how often, from a heap of their heads.
+
+    A head that too few lists share goes with the next ones up to need - 1 lists: those jump, by binary search,
+    to the head that is then least, since nothing before it can occur often enough."""
+    heap = [(x[0], i) for i, x in enumerate(lists) if x]
+    heapq.heapify(heap)
+    at = [0] * len(lists)
+    while len(heap) >= need:
+        top, taken = heap[0][0], []
+        while heap and heap[0][0] == top:
+            taken.append(heapq.heappop(heap)[1])
+        if len(taken) >= need:
+            yield top, len(taken)
+            for i in taken:
+                at[i] += 1
+        else:
+            while len(taken) < need - 1:
+                taken.append(heapq.heappop(heap)[1])
+            if not heap:
+                return
+            least = heap[0][0]
+            for i in taken:
+                at[i] = bisect_left(lists[i], least, at[i])
+        for i in taken:
+            if at[i] < len(lists[i]):
+                heapq.heappush(heap, (lists[i][at[i]], i))
+
+
+def divide_skip(sets: list[np.ndarray], num: int, den: int = 100, weight: float = 0.01, labels: list | None = None) -> np.ndarray:
     """The least index reachable by links from each set of a shard. Linked: den * both >= num * either.
 
     Sets go in order of size; each asks for the earlier ones with at least T = ceil(num / den * size) common
-    tokens. Its L longest inverted lists stay aside; the short ones are merged, and what occurs T - L times there
-    is probed for in the long ones by binary search. Candidates already in the set's component are passed over."""
+    tokens. Its L longest inverted lists stay aside; the short ones are merged by a heap, and what occurs T - L
+    times there is probed for in the long ones by binary search. Candidates already in the set's component are passed
+    over; components are a union-find. `labels`: sets with the same label are in one component from the start."""
     n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    order = np.argsort(sizes, kind="stable")
-    sizes = sizes[order]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    tokens = np.concatenate([sets[i] for i in order]) if n else np.zeros(0, np.uint64)
-    by_token = np.argsort(tokens, kind="stable")
-    fresh = tokens[by_token]
-    fresh = np.concatenate([[True], fresh[1:] != fresh[:-1]]) if len(tokens) else np.zeros(0, bool)
-    begin = np.append(np.flatnonzero(fresh), len(tokens))
-    df = np.diff(begin)
-    token = np.empty(len(tokens), np.int32)
-    token[by_token] = np.repeat(np.arange(len(df), dtype=np.int32), df)
-    lists = np.repeat(np.arange(n, dtype=np.int32), sizes)[by_token]
-    del tokens, by_token, fresh
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    def join(i: int, j: int) -> None:
+        i, j = find(i), find(j)
+        root[max(i, j)] = min(i, j)
+
+    alike: dict = {}
+    for i, label in enumerate(labels or []):
+        join(alike.setdefault(label, i), i)
+    first: dict[bytes, int] = {}
+    for i, s in enumerate(sets):
+        if len(s):
+            join(first.setdefault(s.tobytes(), i), i)
+    order = sorted(first.values(), key=lambda i: (len(sets[i]), i))  # equal sets are one
+    sizes = np.array([len(sets[i]) for i in order], np.int64)
+    tokens = np.concatenate([sets[i] for i in order]) if order else np.zeros(0, np.int64)
+    _, token, df = np.unique(tokens, return_inverse=True, return_counts=True)
+    lists = np.repeat(np.arange(len(order)), sizes)[np.argsort(token, kind="stable")].tolist()
+    begin = np.concatenate([[0], np.cumsum(df)]).tolist()
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    label = np.arange(n)
-    lowest = np.searchsorted(sizes, -(-num * sizes // den), "left")
-    for x in range(n):
-        size, low = int(sizes[x]), int(lowest[x])
-        if not size or low >= x:
+    lowest = np.searchsorted(sizes, -(-num * sizes // den), "left").tolist()
+    for x, me in enumerate(order):
+        size, low = int(sizes[x]), lowest[x]
+        if low >= x:
             continue
         own = token[bounds[x] : bounds[x + 1]]
         own = own[df[own] > 1]
@@ -172,29 +242,28 @@ def divide_skip(sets: list[np.ndarray], num: int, den: int = 100, weight: float
         if len(own) < need:
             continue
         own = own[np.argsort(df[own], kind="stable")]
-        longest = int(df[own[-1]])
-        aside = int(min(need - 1, max(need / (weight * np.log2(longest) + 1), 0)))
-        short, long_ = own[: len(own) - aside], own[len(own) - aside :]
-        merged = np.concatenate([lists[begin[t] : begin[t + 1]] for t in short])
-        merged = merged[(merged >= low) & (merged < x)]
-        found, times = np.unique(merged, return_counts=True)
-        keep = times >= need - aside
-        found, times = found[keep], times[keep]
-        while len(found):
-            fresh = label[found] != label[x]
-            found, times = found[fresh], times[fresh]
-            ask, both, found, times = found[:64], times[:64].copy(), found[64:], times[64:]
-            if not len(ask):
-                break
+        aside = int(min(need - 1, need / (weight * np.log2(int(df[own[-1]])) + 1)))
+        own = own.tolist()
+        short = []
+        for t in own[: len(own) - aside]:
+            a = bisect_left(lists, low, begin[t], begin[t + 1])
+            short.append(lists[a : bisect_left(lists, x, a, begin[t + 1])])
+        long_ = own[len(own) - aside :]
+        mine = find(me)
+        for y, both in merge_skip(short, need - aside):
+            if find(order[y]) == mine:
+                continue
+            bar, left = num * (size + int(sizes[y])), len(long_)
             for t in long_:
-                row = lists[begin[t] : begin[t + 1]]
-                at = np.minimum(np.searchsorted(row, ask), len(row) - 1)
-                both += row[at] == ask
-            linked = ask[den * both >= num * (size + sizes[ask] - both)]
-            if len(linked):
-                groups = np.unique(np.append(label[linked], label[x]))
-                label[np.isin(label, groups)] = groups[0]
-    return order[label][rank] if n else label
+                if (den + num) * (both + left) < bar:  # too few lists are left
+                    break
+                left -= 1
+                a = bisect_left(lists, y, begin[t], begin[t + 1])
+                both += a < begin[t + 1] and lists[a] == y
+            if (den + num) * both >= bar:
+                join(me, order[y])
+                mine = find(me)
+    return np.array([find(i) for i in range(n)], np.int64)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -226,14 +295,83 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return labels
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
+def _searcher(k: int, percent: int):
+    """What a group of (node, label, text) does: the links between labels, as (a, b) where a is another label than b."""
+
+    def search(table: pa.Table) -> pa.Table:
+        batches = text_batches(iter(table.select(["text"]).to_batches()), 1 << 20)
+        sets = exact_sets((w for batch in batches for w in word_lists(batch.column(0))), k)
+        labels = table.column("label").to_pylist()
+        found = [labels[i] for i in divide_skip(sets, percent, labels=labels).tolist()]
+        moved = sorted({(a, b) for a, b in zip(labels, found) if a != b})
+        return pa.table({"a": pa.array([a for a, _ in moved], pa.int64()), "b": pa.array([b for _, b in moved], pa.int64())})
+
+    return search
+
+
+def _block(n: Column, block: int, salt: int) -> Column:
+    """A node's block among those of a component of n nodes, each of about `block` nodes."""
+    return F.when(n > block, F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(n / (block * 0.9)))).otherwise(F.lit(0)).cast("long")
+
+
+def _follow(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, root, label) with each label replaced by the one that it is linked to."""
+    return labels.join(links, F.col("label") == F.col("a"), "left").select("node", "root", F.coalesce("b", "label").alias("label"))
+
+
+def linked_labels(texts: DataFrame, search, block: int) -> DataFrame:
+    """(node, label): nodes with the same label are reachable by links within their candidate component.
+
+    texts: stored (node, root, n, text), n the nodes of the component. 1. A component of up to `block` nodes is
+    searched in one task, a larger one in blocks. 2. The blocks' labels stand for their members and are searched in turn,
+    as long as that joins them. 3. Members outside of a component's largest label are asked, in groups of `block`,
+    against each of its blocks: no link between different labels is left out, and no task holds more than two blocks."""
+    edges = "a long, b long"
+    blocks = texts.withColumn("sub", _block(F.col("n"), block, 0))
+    found = materialise(blocks.withColumn("label", F.col("node")).groupBy("root", "sub").applyInArrow(search, edges), "ngram-links")
+    labels = _follow(texts.select("node", "root", F.col("node").alias("label")), found)
+    if not texts.filter(F.col("n") > block).head(1):
+        return labels.select("node", "label")
+    small = labels.join(texts.filter(F.col("n") <= block).select("node"), "node", "left_semi")
+    large = blocks.filter(F.col("n") > block)
+    labels = materialise(_follow(large.select("node", "root", F.col("node").alias("label")), found), "ngram-labels")
+    for turn in range(1, 40):
+        leaders = labels.filter("node = label").select("node", "root")
+        many = materialise(leaders.groupBy("root").agg(F.count("*").alias("m")).filter("m > 1"), "ngram-many")
+        sizes = many.agg(F.sum("m"), F.max("m")).head()
+        if not sizes[0]:
+            break
+        asked = lookup(leaders, many, "root", "m").filter("m is not null").withColumn("part", _block(F.col("m"), block, turn))
+        asked = large.select("node", "text").join(asked, "node").withColumn("label", F.col("node"))
+        found = materialise(asked.groupBy("root", "part").applyInArrow(search, edges), "ngram-links")
+        labels = materialise(_follow(labels, found), "ngram-labels")
+        if sizes[1] <= block or found.count() * 10 < sizes[0]:
+            break
+    sizes = labels.groupBy("root", "label").agg(F.count("*").alias("c")).groupBy("root").agg(F.max(F.struct("c", "label"))["label"].alias("most"), F.sum("c").alias("all"), F.max("c").alias("c"))
+    open_ = materialise(sizes.filter(F.col("all") > F.col("c")).select("root", "most", F.col("all").alias("n_all"), (F.col("all") - F.col("c")).alias("n_rest")), "ngram-open")
+    if open_.head(1):
+        known = large.select("node", "sub", "text").join(labels, "node")
+        known = lookup(known, open_, "root", "n_all").filter("n_all is not null")
+        subs, groups = F.ceil(F.col("n_all") / (block * 0.9)), F.ceil(F.col("n_rest") / block)
+        columns = ["root", "sub", "group", "label", "text"]
+        members = known.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), groups - 1))).select(columns)
+        rest = known.filter("label != most").withColumn("group", F.pmod(F.xxhash64("node", F.lit(-1)), groups))
+        rest = rest.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), subs - 1))).select(columns)
+        met = materialise(members.union(rest).groupBy("root", "sub", "group").applyInArrow(search, edges), "ngram-links")
+        joined = components(met, "ngram-last").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        labels = _follow(labels, joined)
+    return small.select("node", "label").union(labels.select("node", "label"))
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, block: int = 256) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id.
 
     Documents link when 100 * common >= percent * all distinct shingles of both; component_id is the smallest id
-    reachable by links. Within a task equal sets are one representative. Representatives' prefix keys,
+    reachable by links. Within a task texts of the same words are one representative. Representatives' prefix keys,
     packed by hash bucket, meet once; those that share one form candidate components, which are closed under
-    linking. Only their representatives' texts are fetched, and each component is searched by `divide_skip`
-    in one task: its memory follows the largest component of near copies with different sets.
+    linking. Only their representatives' texts are fetched, and each component is searched by `divide_skip`,
+    in blocks of about `block` representatives (`linked_labels`), over the words themselves: hashes of words only bring
+    texts together.
 
     Null text counts as empty; documents without words link with nothing. Rows with the same id count as one
     document with several texts. A null id sorts last. Empty tables give no rows; other columns are ignored."""
@@ -268,9 +406,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         size = 0
         for batch in text_batches(batches, 2 << 20):
             nodes, firsts, sizes = [], [], []
-            for tokens in shingle_sets(batch.column(1), k):
+            for tokens, words in zip(shingle_sets(batch.column(1), k), word_lists(batch.column(1))):
                 sizes.append(len(tokens))
-                content = tokens.tobytes() if len(tokens) <= 2 else bytes(np.array([mix(tokens).sum(), mix(tokens ^ np.uint64(77)).sum(), len(tokens)], np.uint64))
+                content = hashlib.blake2b(b" ".join(words), digest_size=20).digest()
                 node = seen.get(content) if len(tokens) else None
                 firsts.append(node is None)
                 if node is None:
@@ -324,17 +462,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = met.filter("other is null").select("doc_id", "mark", "n_shingles", "node", "first")
     labels = components(met.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), "ngram")
 
-    def search(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_numpy()
-        sets: list[np.ndarray] = []
-        for batch in text_batches(iter(table.select(["text"]).to_batches()), 1 << 20):
-            sets += shingle_sets(batch.column(0), k)
-        found = divide_skip(sets, percent)
-        return pa.table({"node": pa.array(nodes), "root": pa.array(nodes[found])})
-
-    wanted = members.filter("first").join(labels, "node").select("node", "root", F.col("doc_id").alias("id"), F.col("mark").alias("m"))
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m"))).dropDuplicates(["node"]).select("node", "root", "text")
-    linked = texts.groupBy("root").applyInArrow(search, "node long, root long")
-    rooted = materialise(members.join(linked, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root")), "ngram-rooted")
+    counts = materialise(labels.groupBy("root").agg(F.count("*").alias("n")), "ngram-counts")
+    wanted = members.filter("first").join(lookup(labels, counts, "root", "n"), "node").select("node", "root", "n", F.col("doc_id").alias("id"), F.col("mark").alias("m"))
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m"))).dropDuplicates(["node"]).select("node", "root", "n", "text")
+    linked = linked_labels(materialise(texts, "ngram-texts"), _searcher(k, percent), block)
+    rooted = materialise(members.join(linked, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("root")), "ngram-rooted")
     least = materialise(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")), "ngram-least")
     return lookup(rooted, least, "root", "size").select("doc_id", "n_shingles", "component_id")

@@ -55,7 +55,7 @@ def passages():
     return [(5, base[:500]), (2, base[100:700]), (9, None), (8, ""), (7, "a" * 5000), (1, "ab" * 300), (4, base[:150] + "zz" + base[:150] + base[50:240]), (6, base), (3, "é" * 400), (10, base[1000:1100]), (11, base[1000:1099]), (12, ("xyz123" * 20)[:110] * 3), (None, base[200:400]), (13, base[:500])]
 
 
-@pytest.mark.parametrize("parts, options", [(1, {}), (4, {"chunk_bytes": 300, "shard_bytes": 500})])
+@pytest.mark.parametrize("parts, options", [(1, {}), (4, {"chunk_bytes": 300, "shard_bytes": 500}), (3, {"chunk_bytes": 300, "hot_segments": 1, "task_bytes": 1000})])
 def test_suffix_dedup(spark, parts, options):
     docs = spark.createDataFrame(passages(), DOC).withColumn("chunk", F.lit("clash")).withColumn("n_bytes", F.lit(1)).repartition(parts)
     rows = suffix_dedup.suffix_dedup(docs, keep_text=True, **options).collect()
@@ -64,6 +64,19 @@ def test_suffix_dedup(spark, parts, options):
     assert suffix_dedup.suffix_dedup(docs.filter("false")).count() == 0
 
 
+def test_suffix_dedup_with_hot_passages_and_repeated_rows(spark):
+    rnd = random.Random(8)
+    shared = "".join(rnd.choice("abcdefg hij") for _ in range(180))
+    texts = ["".join(rnd.choice("klmno pq") for _ in range(rnd.randrange(60))) + shared[rnd.randrange(70) :] + "".join(rnd.choice("klmno pq") for _ in range(rnd.randrange(60))) for _ in range(150)]
+    rows = list(enumerate(texts + texts[:20] + ["a" * 400, "ab" * 200, "a" * 300]))
+    docs = spark.createDataFrame(rows, DOC).repartition(4)
+    for options in ({"hot_segments": 4}, {"hot_segments": 4, "chunk_bytes": 2000, "shard_bytes": 2000}, {}):
+        got = suffix_dedup.suffix_dedup(docs, **options).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_suffix(rows), options
+    same = spark.createDataFrame([(1, texts[0])] * 3 + [(None, texts[0])] * 2, DOC)  # a row repeated: the first stored one keeps its text
+    assert sorted(r.n_removed for r in suffix_dedup.suffix_dedup(same).collect()) == [0] + [len(texts[0])] * 4
+
+
 def brute_join(rows, k, percent):
     sets = {}
     for i, t in rows:
@@ -104,15 +117,51 @@ def near_copies(seed, n):
     return rows + [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "One"), (n + 4, "one"), (n + 5, "one two"), (n + 6, "x " * 5000)]
 
 
-@pytest.mark.parametrize("k, percent", [(3, 90), (5, 80), (2, 50)])
-def test_ngram_components(spark, k, percent):
+@pytest.mark.parametrize("k, percent, block", [(3, 90, 256), (5, 80, 4), (2, 50, 10)])
+def test_ngram_components(spark, k, percent, block):
     rows = near_copies(k, 250)
     docs = spark.createDataFrame(rows, DOC).withColumn("node", F.lit("clash")).withColumn("root", F.lit(1)).repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs, k=k, percent=percent).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs, k=k, percent=percent, block=block).collect()}
     assert got == brute_join(rows, k, percent)
     assert ngram_join.ngram_components(docs.filter("false"), k=k, percent=percent).count() == 0
 
 
+def test_words_that_a_sum_of_powers_cannot_tell_apart(spark):
+    words = ["a", "b"]
+    for _ in range(10):
+        words = [words[0] + words[1], words[1] + words[0]]
+    rows = [(1, words[0]), (2, words[1]), (3, f"{words[0]} {words[1]} x"), (4, f"{words[1]} {words[0]} x"), (5, words[0].upper())]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 4), 5: (1, 1)}
+
+
+def test_word_hashes_and_exact_sets():
+    from provark.llm.hashing import word_hashes
+
+    rnd = random.Random(6)
+    words = {bytes(rnd.choice(b"ab\0\xff") for _ in range(rnd.randrange(0, 30))) for _ in range(3000)} | {b"q" * 70_000, b"q" * 70_001, b"\0", b"\0\0"}
+    words = sorted(words)
+    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    assert len(set(word_hashes(data, ends - [len(w) for w in words], ends).tolist())) == len(words)
+    lists = [[rnd.choice([b"x", b"y", b"z"]) for _ in range(rnd.randrange(0, 9))] for _ in range(200)]
+    for k in (1, 2, 3, 5):
+        sets = ngram_join.exact_sets(lists, k)
+        want = [{tuple(w[a : a + k]) for a in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set() for w in lists]
+        assert [len(s) for s in sets] == [len(s) for s in want]
+        for i in range(0, 200, 7):
+            for j in range(200):
+                assert len(np.intersect1d(sets[i], sets[j])) == len(want[i] & want[j])
+
+
+def test_merge_skip():
+    rnd = random.Random(1)
+    for _ in range(300):
+        lists = [sorted(rnd.sample(range(40), rnd.randrange(0, 25))) for _ in range(rnd.randrange(1, 9))]
+        times = collections.Counter(v for x in lists for v in x)
+        for need in (1, 2, 4, 9):
+            assert list(ngram_join.merge_skip(lists, need)) == sorted((v, n) for v, n in times.items() if n >= need)
+
+
 def test_divide_skip_on_random_sets():
     rnd = random.Random(2)
     for percent in (50, 80, 90):
