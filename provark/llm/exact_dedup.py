@@ -18,15 +18,21 @@ def normalised(text: Column) -> Column:
     return out
 
 
+#: What ids count down from in a winner's number; a null id counts as one beyond the largest.
+TOP = "9223372036854775808"
+
+
 def _winner(length: Column, doc_id: Column) -> Column:
     """One number that is larger for a longer text and, among equals, for a smaller id."""
-    tail = F.lit(9223372036854775807).cast("decimal(38,0)") - doc_id.cast("decimal(20,0)")
+    top = F.lit(TOP).cast("decimal(20,0)")
+    tail = top - F.coalesce(doc_id.cast("decimal(20,0)"), top)
     return (length.cast("decimal(11,0)") * F.lit("100000000000000000000").cast("decimal(21,0)") + tail).cast("decimal(38,0)")
 
 
 def _winner_id(winner: Column) -> Column:
-    tail = winner % F.lit("100000000000000000000").cast("decimal(21,0)")
-    return (F.lit(9223372036854775807).cast("decimal(38,0)") - tail).cast("long")
+    """The id in a winner's number; null where it is that of no id."""
+    tail = (winner % F.lit("100000000000000000000").cast("decimal(21,0)")).cast("decimal(20,0)")
+    return F.when(tail > 0, (F.lit(TOP).cast("decimal(20,0)") - tail).cast("long"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=None, salts: int = 16) -> DataFrame:
@@ -38,23 +44,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salts' winners by digest. The documents then look up their digest's winner; only digests that stand for
     several contents, which a sound digest never has, are looked up by content again.
 
-    Null text counts as empty; a null id sorts as the largest one and comes back null. Rows with the same id and text are one document repeated: each gets the same
-    values. An empty table gives no rows. Other columns are ignored, whatever their names.
+    Null text counts as empty; a null id sorts behind every other and comes back null. Rows with the same id (or
+    without one) and as many code points in their original texts are one document repeated: each gets the same values;
+    of rows with the same id and different lengths only the longest is kept. An empty table gives no rows. Other
+    columns are ignored, whatever their names.
     `digest`: text column -> digest column, SHA-256 by default (a weak one still gives right results)."""
     digest = digest or (lambda c: F.sha2(c, 256))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"))
-    rows = rows.select("doc_id", "norm", digest(F.col("norm")).alias("digest"), _winner(F.col("n"), F.coalesce("doc_id", F.lit(9223372036854775807))).alias("win"))
+    rows = rows.select("doc_id", "norm", digest(F.col("norm")).alias("digest"), _winner(F.col("n"), F.col("doc_id")).alias("win"))
     salted = rows.withColumn("salt", F.spark_partition_id() % salts).groupBy("digest", "norm", "salt").agg(F.max("win").alias("win"), F.count("*").alias("size"))
     whole = salted.groupBy("digest", "norm").agg(F.max("win").alias("win"), F.sum("size").alias("size"))
     contents = whole.select("digest", F.sha2("norm", 256).alias("text_sha256"), "win", "size")
-    classes = materialise(contents.withColumn("keep_id", _winner_id(F.col("win"))).drop("win"), "exact-classes")
+    classes = materialise(contents.withColumnRenamed("win", "best"), "exact-classes")
     several = classes.groupBy("digest").agg(F.count("*").alias("k")).filter("k > 1")
-    columns = ["doc_id", "keep_id", F.col("size").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id") == F.lit(9223372036854775807)).alias("kept"), "text_sha256"]
-    largest = F.lit(9223372036854775807)
+    own = ["doc_id", "win"]
     if several.head(1):
-        wide = classes.withColumnRenamed("text_sha256", "text_key")
-        found = lookup(rows.select("doc_id", F.sha2("norm", 256).alias("text_key")), wide.select("text_key", "size", "keep_id"), "text_key", "size").withColumnRenamed("text_key", "text_sha256")
+        wide = classes.select(F.col("text_sha256").alias("key"), "best", "size")
+        found = lookup(rows.select(*own, F.sha2("norm", 256).alias("key")), wide, "key", "size").withColumnRenamed("key", "text_sha256")
     else:
-        found = lookup(rows.select("doc_id", "digest"), classes, "digest", "size")
-    out = found.select(*columns)
-    return out.withColumn("keep_id", F.when(F.col("keep_id") != largest, F.col("keep_id")))
+        found = lookup(rows.select(*own, "digest"), classes, "digest", "size")
+    return found.select("doc_id", _winner_id(F.col("best")).alias("keep_id"), F.col("size").alias("group_size"), (F.col("win") == F.col("best")).alias("kept"), "text_sha256")
