@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provark.llm.common import ascii_lower
+from provark.llm.common import ascii_lower, lookup, materialise
 
 #: Rules (host, path, verdict); a rule fits its host and all subdomains where the path starts with its own.
 Rule = tuple[str, str, str]
@@ -55,37 +55,37 @@ def url_filter(
 ) -> DataFrame:
     """One row a page: page_id, host, path, rule, verdict, listed, probes_passed.
 
-    Keys of a page are its canonical URL and, for each shape (labels of the host, characters of the path)
-    that the rules have, its host's last labels with the head of its path. Keys that pass the blocked Bloom
-    filter go to an exact hash join with the listed keys, which removes false positives. The longest fitting
-    rule decides; without one, a listed canonical URL is blocked and any other allowed.
-    Filter and listed keys are broadcast only while their counted rows stay below `broadcast_bytes`; beyond
-    that both joins are shuffled, misses dealt out by row.
+    The longest fitting rule decides; without one, a listed canonical URL is blocked and any other allowed.
+    Rules, which the caller holds as a list, are looked up in a constant map: for each shape (labels of the host,
+    characters of the path) that they have, by the host's last labels and the head of the path.
+    Distinct canonical URLs, counted on the map side, pass the blocked Bloom filter or not; possible hits go to an
+    exact hash join with the listed ones, which removes false positives; pages look theirs up, where a URL may hold any
+    share of all pages. Filter and list are broadcast only while their counted rows stay below `broadcast_bytes`;
+    beyond that both joins are shuffled, over keys that occur once. probes_passed: 1 where the page's URL passed the filter.
 
     Null or malformed URLs have empty host and path and no rule; they are allowed. Rows with the same id stay
     apart. Empty pages, rules or list are fine. Other columns are ignored, whatever their names."""
-    spark: SparkSession = pages.sparkSession
     shapes = sorted({(h.count(".") + 1, len(p)) for h, p, _ in rules})
     host, path = host_path(F.col(url_col))
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    entries = listed.select(F.concat(F.lit("u "), F.col(listed_col)).alias("key")).filter("key is not null").distinct().select("key", F.lit(None).cast("string").alias("rule"), F.lit("block").alias("judged"))
-    if rules:
-        entries = entries.union(spark.createDataFrame([(f"r {h}{p}", f"{h}{p}", v) for h, p, v in rules], "key string, rule string, judged string"))
+    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    rows = rows.withColumn("key", F.when(F.col("host") != "", canonical(F.col("host"), F.col("path"))))
+    entries = materialise(listed.select(F.col(listed_col).cast("string").alias("entry")).filter("entry is not null").distinct(), "url-list")
     n = entries.count()
     blocks = 1 << max(4, (n * bits_per_key // 64).bit_length())
     small = lambda df, size: F.broadcast(df) if size <= broadcast_bytes else df
-    filter_rows = small(bloom_blocks(entries, "key", blocks), blocks * 16)
-    keys = [F.when(F.col("host") != "", F.concat(F.lit("u "), canonical(F.col("host"), F.col("path"))))]
-    for labels, length in shapes:
-        fits = (F.size(F.split("host", r"\.")) >= labels) & (F.length("path") >= length)
-        keys.append(F.when(fits, F.concat(F.lit("r "), F.substring_index("host", ".", -labels), F.substring("path", 1, length))))
-    probes = rows.select("*", F.explode_outer(F.array_compact(F.array(*keys))).alias("probe"))
-    probes = probes.withColumns({"at": _block(F.coalesce("probe", F.lit("")), blocks), "bits": _mask(F.coalesce("probe", F.lit("")))})
-    passed = F.coalesce(F.col("word").bitwiseAND(F.col("bits")) == F.col("bits"), F.lit(False)) & F.col("probe").isNotNull()
-    hits = probes.join(filter_rows, F.col("at") == F.col("block"), "left").withColumn("passed", passed)
-    hits = hits.withColumn("candidate", F.when(F.col("passed"), F.col("probe")).otherwise(F.concat(F.lit("- "), F.col("row").cast("string"))))
-    exact = hits.join(small(entries, n * 256), F.col("candidate") == F.col("key"), "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("judged"))))
-    out = exact.groupBy("row", "page_id", "host", "path").agg(best.alias("best"), F.coalesce(F.max(F.col("key").isNotNull() & F.col("rule").isNull()), F.lit(False)).alias("listed"), F.sum(F.col("passed").cast("long")).alias("probes_passed"))
+    filter_rows = small(bloom_blocks(entries, "entry", blocks), blocks * 16)
+    probes = rows.filter("key is not null").groupBy("key").agg(F.count("*").alias("size"))
+    passed = probes.join(filter_rows, _block(F.col("key"), blocks) == F.col("block")).filter(F.col("word").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key")))
+    exact = passed.join(small(entries, n * 256), F.col("key") == F.col("entry"), "left").select("key", "size", F.col("entry").isNotNull().alias("on_list"))
+    known = lookup(rows, materialise(exact, "url-hits"), "key", "size")
+    best = F.lit(None).cast("struct<n:int,rule:string,judged:string>")
+    if rules:
+        held = F.create_map(*[x for h, p, v in rules for x in (F.lit(f"{h}{p}"), F.struct(F.lit(len(h + p)).alias("n"), F.lit(f"{h}{p}").alias("rule"), F.lit(v).alias("judged")))])
+        fit = lambda labels, length: F.when(
+            (F.size(F.split("host", r"\.")) >= labels) & (F.length("path") >= length),
+            F.try_element_at(held, F.concat(F.substring_index("host", ".", -labels), F.substring("path", 1, length))),
+        )
+        best = F.array_max(F.array_compact(F.array(*[fit(*shape) for shape in shapes])))
+    out = known.withColumn("best", best).withColumn("listed", F.coalesce("on_list", F.lit(False)))
     verdict = F.coalesce(F.col("best.judged"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
-    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "listed", "probes_passed")
+    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "listed", F.col("on_list").isNotNull().cast("long").alias("probes_passed"))
