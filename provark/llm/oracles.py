@@ -45,9 +45,10 @@ pos AS (SELECT r, o, m, (sum(length(b) + length(m)) OVER (PARTITION BY r, o ORDE
 span AS (SELECT r, o, s, s + length(m) AS e FROM pos WHERE
   (o = 0 AND length(regexp_extract(m, {_lit(ASSIGN)}, 2)) >= 6) OR (o = 1 AND length(m) >= 20) OR (o = 2 AND length(m) >= 24)
   OR (o = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')) OR o = 4),
-linked AS (SELECT * FROM span w WHERE o >= 3
-  AND NOT EXISTS (SELECT 1 FROM span b WHERE b.r = w.r AND b.o < 3 AND b.s < w.e AND w.s < b.e)
-  AND EXISTS (SELECT 1 FROM span a WHERE a.r = w.r AND a.o < 3 AND abs(a.s - w.s) <= 200 AND (a.o = 1 OR w.o = 4))),
+free AS (SELECT * FROM span w WHERE o >= 3 AND NOT EXISTS (SELECT 1 FROM span b WHERE b.r = w.r AND b.o < 3 AND b.s < w.e AND w.s < b.e)),
+part AS (SELECT * FROM span WHERE o < 3 UNION ALL SELECT * FROM free),
+linked AS (SELECT * FROM free w WHERE EXISTS (SELECT 1 FROM part a WHERE a.r = w.r AND abs(a.s - w.s) <= 200
+  AND ((w.o = 3 AND a.o IN (1, 4)) OR (w.o = 4 AND a.o < 4)))),
 kept AS (SELECT r, o, s, e, ['assign', 'access', 'hex', 'secret', 'endpoint'][o + 1] || ':' || s || ':' || e AS txt FROM (SELECT * FROM span WHERE o < 3 UNION ALL SELECT * FROM linked)),
 agg AS (SELECT r, count(*) FILTER (o = 0) AS n0, count(*) FILTER (o = 1) AS n1, count(*) FILTER (o = 2) AS n2, count(*) FILTER (o > 2) AS n3,
   string_agg(txt, ',' ORDER BY s, o) FILTER (o < 3) AS base, string_agg(txt, ',' ORDER BY s, o) AS spans FROM kept GROUP BY r)

@@ -21,23 +21,37 @@ KINDS = ("assign", "access", "hex", "secret", "endpoint")
 SPAN = "array<struct<start:int,ord:int,end:int,good:boolean>>"
 
 
+def _gather(items: Column, first: Column, at: str, one, to, keep: str = SPAN) -> Column:
+    """Walks `items` from the state field `at`; collects one(at, item) and moves to to(at, item).
+
+    What is collected goes into blocks of 256 that are put together at the end, so no long array grows by single copies."""
+
+    def step(state: Column, item: Column) -> Column:
+        full, new = F.size(state["out"]) >= 256, F.array(one(state[at], item))
+        return F.struct(
+            to(state[at], item).alias(at),
+            F.when(full, new).otherwise(F.concat(state["out"], new)).alias("out"),
+            F.when(full, F.concat(state["done"], F.array(state["out"]))).otherwise(state["done"]).alias("done"),
+        )
+
+    start = F.struct(first.alias(at), F.array().cast(keep).alias("out"), F.array().cast(f"array<{keep}>").alias("done"))
+    return F.aggregate(items, start, step, lambda state: F.flatten(F.concat(state["done"], F.array(state["out"]))))
+
+
 def spans(text: Column, pattern: str, ord_: int, good=None) -> Column:
     """Leftmost non-overlapping matches as (start, ord, end, good); code points, end exclusive.
 
     The matches and the pieces between them, in turn, make up the text: their lengths add up to positions."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
+    pieces = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.element_at(between, i))
-        end = start + F.length(F.element_at(found, i))
-        keep = F.lit(True) if good is None else good(F.element_at(found, i))
-        one = F.struct(start.cast("int").alias("start"), F.lit(ord_).alias("ord"), end.cast("int").alias("end"), keep.alias("good"))
-        return F.struct(end.cast("int").alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+    def one(at: Column, z: Column) -> Column:
+        start = at + F.length(z["0"])
+        keep = F.lit(True) if good is None else good(z["1"])
+        return F.struct(start.cast("int").alias("start"), F.lit(ord_).alias("ord"), (start + F.length(z["1"])).cast("int").alias("end"), keep.alias("good"))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    walked = F.aggregate(F.sequence(F.lit(1), F.size(found)), first, step)["out"]
-    return F.when(F.size(found) > 0, F.filter(walked, lambda s: s["good"])).otherwise(F.array().cast(SPAN))
+    # the last piece has no match behind it: its place is null, and so is its span's
+    walked = _gather(pieces, F.lit(0), "at", one, lambda at, z: (at + F.length(z["0"]) + F.length(z["1"])).cast("int"))
+    return F.filter(walked, lambda s: s["end"].isNotNull() & s["good"])
 
 
 def joined(spans_: Column) -> Column:
@@ -53,26 +67,32 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row a document: doc_id, base and found (arrays of start, ord, end, good), and the `keep` columns.
 
     base: assignments, access identifiers and hexadecimal runs. found: base and the linked weak candidates.
-    An opaque mixed run is a `secret` only within `scope` code points (between starts) of an access identifier,
-    an `endpoint` only that near to a base span of any kind, never to another weak part; weak runs that overlap base spans
-    are none. The parts meet in an interval join: bins of `scope` starts, each weak part against its own
-    and both neighbouring bins. A bin holds at most `scope` parts, so no bin can be hot.
+    Weak candidates are opaque mixed runs (`secret`) and `endpoint`s that overlap no base span. One is reported only
+    where a complementary part starts within `scope` code points of its own start: for a secret, an access
+    identifier or an endpoint; for an endpoint, a base span of any kind or a secret. The parts meet in an
+    interval join: bins of `scope` starts, each weak part against its own and both neighbouring bins. A bin
+    holds at most `scope` parts of a kind, so no bin can be hot; overlaps are found in such bins too.
 
     Null text counts as empty. Rows with the same id stay apart. Empty tables give no rows."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text.alias("body"), *keep)
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6
     base = F.array_sort(F.concat(spans(F.col("body"), ASSIGN, 0, value), spans(F.col("body"), ACCESS_LONG, 1), spans(F.col("body"), HEX_LONG, 2)))
-    rows = rows.withColumn("base", base)
-    apart = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-    weak = F.filter(F.concat(spans(F.col("body"), OPAQUE, 3, _mixed), spans(F.col("body"), ENDPOINT, 4)), apart)
-    stored = materialise(rows.withColumn("weak", F.when(F.size("base") > 0, weak).otherwise(F.array().cast(SPAN))).drop("body"), "secret-spans")
-    some = stored.filter((F.size("weak") > 0) & (F.size("base") > 0))
-    anchors = some.select("row", F.explode("base").alias("a")).withColumn("bin", F.explode(F.array(*[F.floor(F.col("a.start") / scope) + d for d in (-1, 0, 1)])))
-    parts = some.select("row", F.explode("weak").alias("w")).withColumn("bin", F.floor(F.col("w.start") / scope))
+    weak = F.concat(spans(F.col("body"), OPAQUE, 3, _mixed), spans(F.col("body"), ENDPOINT, 4))
+    stored = materialise(rows.withColumn("base", base).withColumn("weak", weak).drop("body"), "secret-spans")
+    some = stored.filter((F.size("weak") > 0) & (F.size("base") + F.size("weak") > 1))
+    bins = lambda s: F.sequence(F.floor(F.col(f"{s}.start") / scope), F.floor((F.col(f"{s}.end") - 1) / scope))
+    weaks, bases = some.select("row", F.explode("weak").alias("w")), some.select("row", F.explode("base").alias("b"))
+    hit = (F.col("b.start") < F.col("w.end")) & (F.col("w.start") < F.col("b.end"))
+    covered = weaks.withColumn("bin", F.explode(bins("w"))).join(bases.withColumn("bin", F.explode(bins("b"))), ["row", "bin"]).filter(hit).select("row", "w").distinct()
+    free = materialise(weaks.join(covered, ["row", "w"], "left_anti"), "secret-weak")
+    parts = free.withColumn("bin", F.floor(F.col("w.start") / scope))
+    others = bases.select("row", F.col("b").alias("a")).union(free.select("row", F.col("w").alias("a")))
+    others = others.withColumn("bin", F.explode(F.array(*[F.floor(F.col("a.start") / scope) + d for d in (-1, 0, 1)])))
     near = F.abs(F.col("a.start") - F.col("w.start")) <= scope
-    complements = (F.col("a.ord") == 1) | (F.col("w.ord") == 4)
-    linked = parts.join(anchors, ["row", "bin"]).filter(near & complements).groupBy("row").agg(F.collect_set("w").alias("more"))
+    of_secret, of_endpoint = F.col("a.ord").isin(1, 4), F.col("a.ord") < 4
+    complements = ((F.col("w.ord") == 3) & of_secret) | ((F.col("w.ord") == 4) & of_endpoint)
+    linked = parts.join(others, ["row", "bin"]).filter(near & complements).groupBy("row").agg(F.collect_set("w").alias("more"))
     out = stored.join(linked, "row", "left")
     found = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN))))
     return out.select("doc_id", "base", found.alias("found"), *keep)
@@ -100,11 +120,10 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", scop
     plain = docs.toDF(*names).withColumn("none", F.lit(None).cast("long"))
     found = secret_spans(plain, "none", own, scope, keep=tuple(names))
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= state["at"], F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], gap).alias("out"))
+    def one(at: Column, s: Column) -> Column:
+        return F.when(s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), F.lit(mask))).otherwise(F.lit(""))
 
-    walked = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    masked = F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text)))
+    gaps = _gather(F.col("found"), F.lit(0), "at", one, lambda at, s: F.greatest(at, s["end"]), "array<string>")
+    masked = F.concat(F.array_join(gaps, ""), F.substring(text, F.array_max(F.transform("found", lambda s: s["end"])) + 1, F.length(text)))
     out = F.when(F.size("found") > 0, masked).otherwise(text)
     return found.select(*[(out if c == own else F.col(c)).alias(name) for c, name in zip(names, docs.columns)])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from provark.llm import common, exact_dedup, secret_scan, url_filter
 
 DOC = "doc_id long, text string"
-EDGE_DOCS = [(1, "a b"), (2, "ab"), (3, None), (4, ""), (5, " \t\n"), (6, "a  b"), (7, "x" * 200_000), (7, "x" * 200_000), (8, "é b"), (None, "a b ")]
+EDGE_DOCS = [(1, "a b"), (2, "ab"), (3, None), (4, ""), (5, " \t\n"), (6, "a  b"), (7, "x" * 200_000), (7, "x" * 200_000), (8, "é b"), (None, "a b "), (None, "n n"), (None, "n  n"), (9, "x y"), (9, "x y "), (9223372036854775807, "top"), (None, "top"), (-9223372036854775808, "low"), (0, "low")]
 
 
 def brute_dedup(rows):
@@ -21,7 +21,7 @@ def brute_dedup(rows):
     for i, t in rows:
         own = groups[squeeze(t)]
         keep = min(own)[2]
-        out.append((i, keep, len(own), i == keep, hashlib.sha256(squeeze(t).encode()).hexdigest()))
+        out.append((i, keep, len(own), (-len(t or ""), i if i is not None else 1 << 63) == min(own)[:2], hashlib.sha256(squeeze(t).encode()).hexdigest()))
     return sorted(out, key=str)
 
 
@@ -69,6 +69,19 @@ def test_url_filter_edges(spark):
     assert url_filter.url_filter(pages.filter("false"), RULES, listed).count() == 0
 
 
+def test_url_filter_shuffled_equals_broadcast(spark):
+    rnd = random.Random(3)
+    urls = ["http://hot.example.com/en/x"] * 300 + [f"http://h{rnd.randrange(40)}.org/{rnd.randrange(30)}/" for _ in range(600)] + [None] * 100
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(5)
+    listed = spark.createDataFrame([(f"h{i}.org/{j}",) for i in range(0, 40, 3) for j in range(0, 30, 2)] + [("hot.example.com/en/x",)], "canonical string")
+    want = {u: u is not None and re.sub("^http://|/$", "", u) in {r.canonical for r in listed.collect()} for u in set(urls)}
+    for limit in (0, 32 << 20):
+        out = url_filter.url_filter(pages, RULES, listed, broadcast_bytes=limit)
+        got = {r.page_id: r for r in out.collect()}
+        assert {i: got[i].listed for i in got} == {i: want[u] for i, u in enumerate(urls)}
+        assert all(r.probes_passed for r in got.values() if r.listed) and sum(r.probes_passed for r in got.values()) < 900
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(2000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     blocks = url_filter.bloom_blocks(keys, "key", 512)
@@ -91,7 +104,8 @@ def brute_found(t, scope=200):
     mixed = lambda s: re.search("[0-9]", s) and re.search("[a-z]", s) and re.search("[A-Z]", s)
     weak = [(m.start(), 3, m.end()) for m in re.finditer(secret_scan.OPAQUE, t) if mixed(m.group())] + [(m.start(), 4, m.end()) for m in re.finditer(secret_scan.ENDPOINT, t)]
     weak = [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in base)]
-    return sorted(base + [w for w in weak if any(abs(b[0] - w[0]) <= scope and (b[1] == 1 or w[1] == 4) for b in base)])
+    complement = {3: (1, 4), 4: (0, 1, 2, 3)}
+    return sorted(base + [w for w in weak if any(abs(b[0] - w[0]) <= scope and b[1] in complement[w[1]] for b in base + weak)])
 
 
 def secret_texts(seed, n):
@@ -114,7 +128,19 @@ def test_weak_parts_need_their_complement(spark):
     key, opaque, ip = "AKIA" + "B2" * 8, "aB3" * 12, "10.1.2.3"
     rows = [(1, f"{opaque} {ip}"), (2, f"{key} {opaque} {ip}"), (3, f"{key}{' ' * 300}{opaque}"), (4, f"token=abcdef {ip} {opaque}")]
     got = {r.doc_id: r.n_linked for r in secret_scan.secret_scan(spark.createDataFrame(rows, DOC)).collect()}
-    assert got == {1: 0, 2: 2, 3: 0, 4: 1}
+    assert got == {1: 2, 2: 2, 3: 0, 4: 2}
+    alone = spark.createDataFrame([(1, opaque), (2, ip), (3, f"{opaque} {opaque}"), (4, f"{ip} {ip}"), (5, f"{opaque}{' ' * 200}{ip}")], DOC)
+    assert {r.n_linked for r in secret_scan.secret_scan(alone).collect()} == {0}  # parts of one kind, or too far apart
+
+
+def test_very_many_secrets_in_one_text(spark):
+    text = "".join(f"token=abc{i:05d} 10.0.0.{i % 256} " for i in range(4000))
+    row = secret_scan.secret_scan(spark.createDataFrame([(1, text)], DOC)).collect()[0]
+    assert (row.n_assign, row.n_linked) == (4000, 4000)
+    want = brute_found(text)
+    assert row.spans == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in want)
+    masked = secret_scan.redact(spark.createDataFrame([(1, text)], DOC)).collect()[0].text
+    assert masked == "[SECRET] [SECRET] " * 4000
 
 
 def test_redaction_keeps_columns_and_hides_spans(spark):
