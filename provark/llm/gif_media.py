@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from provark.llm.common import text_batches, texts_of
 
 UNIT, TABLE = 64, 4096
+#: Canvases and images of more pixels are refused: a header of a few bytes may claim four billion.
+MOST_PIXELS = 1 << 26
 
 
 @dataclass
@@ -174,19 +176,26 @@ def _interlaced(height: int) -> list[int]:
     return [y for start, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(start, height, step)]
 
 
-def read_gif(data: bytes, canvases: bool = True) -> tuple[int, int, list[Frame]]:
-    """Width, height and frames. Palettes, interlacing, transparency and disposal (keep, background,
-    previous) apply to the canvases; without `canvases` only samples and timing are read."""
+def read_gif(data: bytes) -> tuple[int, int, list[Frame]]:
+    """Width, height and all frames of `frames_of`, held together."""
+    frames = list(frames_of(data))
+    return *struct.unpack("<HH", data[6:10]), frames
+
+
+def frames_of(data: bytes) -> Iterator[Frame]:
+    """Frames one by one, each with its canvas. Palettes, interlacing, transparency and disposal (keep,
+    background, previous) apply. A broken file raises ValueError, struct.error or LookupError."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _background, _ = struct.unpack("<HHBBB", data[6:13])
+    if width * height > MOST_PIXELS:
+        raise ValueError("too large a canvas")
     at = 13
     palette = b""
     if flags & 0x80:
         n = 3 << ((flags & 7) + 1)
         palette, at = data[at : at + n], at + n
-    canvas = np.zeros((height, width, 4), np.uint8) if canvases else None
-    frames: list[Frame] = []
+    canvas = np.zeros((height, width, 4), np.uint8)
     delay, disposal, transparent, clock = 0, 0, None, 0
 
     def sub_blocks(at: int) -> tuple[bytes, int]:
@@ -211,6 +220,8 @@ def read_gif(data: bytes, canvases: bool = True) -> tuple[int, int, list[Frame]]
                 n = 3 << ((local & 7) + 1)
                 own, at = data[at : at + n], at + n
             bits = data[at]
+            if bits not in WIDTHS or w * h > MOST_PIXELS:
+                raise ValueError("a code size beyond 2 to 8, or too large an image")
             body, at = sub_blocks(at + 1)
             samples = lzw_decode(body, bits, w * h)
             if local & 0x40:
@@ -218,77 +229,89 @@ def read_gif(data: bytes, canvases: bool = True) -> tuple[int, int, list[Frame]]
                 straight = np.empty_like(rows)
                 straight[_interlaced(h)] = rows
                 samples = straight.tobytes()
-            shown = None
-            if canvas is not None:
-                before = canvas.copy() if disposal == 3 else None
-                index = np.frombuffer(samples.ljust(w * h, b"\0"), np.uint8).reshape(h, w)[: max(0, height - top), : max(0, width - left)]
-                colours = np.zeros((256, 4), np.uint8)
-                rgb = np.frombuffer(own, np.uint8).reshape(-1, 3)
-                colours[: len(rgb), :3], colours[: len(rgb), 3] = rgb, 255
-                area = canvas[top : top + h, left : left + w]
-                drawn = colours[index]
-                seen = np.ones(index.shape, bool) if transparent is None else index != transparent
+            before = canvas.copy() if disposal == 3 else None
+            index = np.frombuffer(samples.ljust(w * h, b"\0"), np.uint8).reshape(h, w)[: max(0, height - top), : max(0, width - left)]
+            colours = np.zeros((256, 4), np.uint8)
+            rgb = np.frombuffer(own, np.uint8).reshape(-1, 3)
+            colours[: len(rgb), :3], colours[: len(rgb), 3] = rgb, 255
+            area = canvas[top : top + h, left : left + w]
+            drawn = colours[index]
+            if transparent is None:
+                area[:] = drawn
+            else:
+                seen = index != transparent
                 area[seen] = drawn[seen]
-                shown = canvas.copy()
-                if disposal == 2:
-                    area[:] = 0
-                elif disposal == 3:
-                    canvas[:] = before
-            frames.append(Frame(samples, left, top, w, h, delay, disposal, transparent, clock, shown))
+            yield Frame(samples, left, top, w, h, delay, disposal, transparent, clock, canvas.copy())
+            if disposal == 2:
+                area[:] = 0
+            elif disposal == 3:
+                canvas[:] = before
             clock += delay
             delay, disposal, transparent = 0, 0, None
         else:
             raise ValueError("an unknown block")
-    return width, height, frames
 
 
 def histogram(values: np.ndarray, bins: int = 8) -> list[int]:
-    return np.bincount(values.reshape(-1) * np.int64(bins) // 256, minlength=bins).tolist()
+    return np.bincount(values.reshape(-1), minlength=256).reshape(bins, -1).sum(1).tolist()
+
+
+FRAME = pa.struct([("start_cs", pa.int64()), ("delay_cs", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("red", "green", "blue")], ("transparent_px", pa.int64())])
+FRAME_SQL = "start_cs long, delay_cs long, red array<long>, green array<long>, blue array<long>, transparent_px long"
+
+
+def shown(frame: Frame) -> dict:
+    """A timed frame's columns: when it starts and how long it lasts, 8-bin histograms of the opaque pixels shown."""
+    opaque = frame.canvas[..., 3] > 0
+    own = frame.canvas if opaque.all() else frame.canvas[opaque]
+    return {"start_cs": frame.start_cs, "delay_cs": frame.delay_cs, "red": histogram(own[..., 0]), "green": histogram(own[..., 1]), "blue": histogram(own[..., 2]), "transparent_px": int(opaque.size - opaque.sum())}
 
 
 def gif_frames(media: DataFrame, id_col: str = "doc_id", gif_col: str = "gif") -> DataFrame:
     """One row a frame of stored GIFs: id, frame, start_cs, delay_cs, width, height, red, green, blue (8-bin
-    histograms of the opaque pixels shown) and transparent_px. Null or broken files give no rows."""
+    histograms of the opaque pixels shown) and transparent_px. Null or broken files, and those of over
+    MOST_PIXELS pixels, give no rows."""
+    schema = pa.schema([("id", pa.int64()), ("frame", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), *FRAME])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             for i, gif in enumerate(batch.column(1).to_pylist()):
                 try:
-                    width, height, frames = read_gif(gif or b"")
-                except (ValueError, struct.error, IndexError):
+                    rows = [{"id": batch.column(0)[i].as_py(), "frame": k, "width": f.canvas.shape[1], "height": f.canvas.shape[0]} | shown(f) for k, f in enumerate(frames_of(gif or b""))]
+                except (ValueError, struct.error, LookupError):
                     continue
-                rows = []
-                for k, f in enumerate(frames):
-                    solid = f.canvas[f.canvas[..., 3] > 0]
-                    rows.append({"id": batch.column(0)[i].as_py(), "frame": k, "start_cs": f.start_cs, "delay_cs": f.delay_cs, "width": width, "height": height, "red": histogram(solid[:, 0]), "green": histogram(solid[:, 1]), "blue": histogram(solid[:, 2]), "transparent_px": int(width * height - len(solid))})
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, pa.schema([("id", pa.int64()), ("frame", pa.int64()), ("start_cs", pa.int64()), ("delay_cs", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), ("red", pa.list_(pa.int64())), ("green", pa.list_(pa.int64())), ("blue", pa.list_(pa.int64())), ("transparent_px", pa.int64())]))
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
     rows = media.select(media[id_col].cast("long").alias("id"), media[gif_col].alias("gif"))
-    return rows.mapInArrow(run, "id long, frame long, start_cs long, delay_cs long, width long, height long, red array<long>, green array<long>, blue array<long>, transparent_px long")
+    return rows.mapInArrow(run, f"id long, frame long, width long, height long, {FRAME_SQL}")
 
 
 def text_gifs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
     """One row a document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature, n_frames, duration_cs and, with `keep_media`, the stored gif.
+    media_sha256, feature, n_frames, duration_cs, frames (timed, each with its colour histograms: `shown`) and,
+    with `keep_media`, the stored gif.
 
     The payload is the UTF-8 text with bytes 0 up to a positive multiple of 64, one 8-bit sample a byte in
-    rows of 64. Digests are taken from what was read back. feature: frames, duration and the 8-bin
-    histogram of the grey shown. Null text counts as empty; equal texts give equal values; null ids come
+    rows of 64. The stored bytes are read back frame by frame, through palette, transparency and disposal. feature:
+    frames, duration and the sum of the shown frames' 8-bin red histograms (the palette is grey). Null text counts as empty; equal texts give equal values; null ids come
     back null, rows with the same id stay apart, other columns are ignored. A narrow map."""
 
     def one(text: str) -> tuple:
         raw = text.encode("utf-8", "surrogatepass")
         payload = raw + bytes(-len(raw) % UNIT or (UNIT if not raw else 0))
         gif = write_gif(payload)
-        _, _, frames = read_gif(gif, canvases=False)
-        back = b"".join(f.samples for f in frames)
-        counts = histogram(np.frombuffer(back, np.uint8))
-        feature = f"frames={len(frames)};cs={sum(f.delay_cs for f in frames)};grey={'/'.join(map(str, counts))}"
-        return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(gif), hashlib.sha256(gif).hexdigest(), feature, len(frames), sum(f.delay_cs for f in frames), gif
-
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_cs"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        parts, timed = [], []
+        for frame in frames_of(gif):
+            parts.append(frame.samples)
+            timed.append(shown(frame))
+        back = b"".join(parts)
+        counts, lasts = [sum(c) for c in zip(*[f["red"] for f in timed])], sum(f["delay_cs"] for f in timed)
+        feature = f"frames={len(timed)};cs={lasts};grey={'/'.join(map(str, counts))}"
+        return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(gif), hashlib.sha256(gif).hexdigest(), feature, len(timed), lasts, timed, gif
+
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_cs", "frames"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(FRAME)]
     if keep_media:
         names, types = [*names, "gif"], [*types, pa.binary()]
 
@@ -297,6 +320,6 @@ def text_gifs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
             rows = [one(t)[: len(names)] for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=["doc_id", *names])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_cs long"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_cs long, frames array<struct<start_cs:bigint,delay_cs:bigint,red:array<bigint>,green:array<bigint>,blue:array<bigint>,transparent_px:bigint>>"
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, schema + (", gif binary" if keep_media else ""))

@@ -56,7 +56,7 @@ def test_gif_round_trip(kind):
     rnd = random.Random(3)
     for n in (64, 128, 4096, 70_016, 200_000 // 64 * 64):
         data = bytes(rnd.randrange(256) for _ in range(n)) if kind == "random" else b"A" * n if kind == "run" else bytes(rnd.choice(b"the cat ") for _ in range(n))
-        _, _, frames = gif_media.read_gif(gif_media.write_gif(data, rows=512), canvases=False)
+        _, _, frames = gif_media.read_gif(gif_media.write_gif(data, rows=512))
         assert b"".join(f.samples for f in frames) == data
 
 
@@ -81,12 +81,48 @@ def test_disposal_transparency_and_timing(spark):
     assert colour(frames[2]) == [red, red, red, blue]  # the frame before was taken back
     assert colour(frames[3]) == [red, green, red, none]  # the frame before was cleared, colour 0 is clear
     assert [f.start_cs for f in frames] == [0, 5, 12, 14]
-    media = spark.createDataFrame([(1, bytearray(data)), (2, None), (3, bytearray(b"GIF89a broken"))], "doc_id long, gif binary")
+    size = lambda d, w, h: d[:6] + w.to_bytes(2, "little") + h.to_bytes(2, "little") + d[10:]
+    code = data.index(b"\x2c") + 10  # the first image's least code size
+    bad = [b"GIF89a broken", size(data, 65535, 65535), data[:code] + b"\x0b" + data[code + 1 :], data[:20], data[: code + 3] + b"\xff" * 40]
+    media = spark.createDataFrame([(1, bytearray(data)), (2, None), *[(3 + i, bytearray(b)) for i, b in enumerate(bad)]], "doc_id long, gif binary")
     rows = gif_media.gif_frames(media).orderBy("frame").collect()
     assert [(r.id, r.start_cs, r.transparent_px) for r in rows] == [(1, 0, 0), (1, 5, 0), (1, 12, 0), (1, 14, 1)]
     assert rows[0].red == [0, 0, 0, 0, 0, 0, 0, 4]
 
 
+def plain_decode(data):
+    """Samples of a GIF without local palettes, code by code and bit by bit."""
+    at, out = 13 + 3 * 2 ** ((data[10] & 7) + 1), b""
+    while data[at] != 0x3B:
+        image = data[at] == 0x2C
+        at += 10 if image else 2
+        least, at = (data[at], at + 1) if image else (0, at)
+        body = b""
+        while data[at]:
+            body += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+        if not image:
+            continue
+        bits = "".join(f"{b:08b}"[::-1] for b in body)
+        width, place, last, words = least + 1, 0, None, {}
+        while True:
+            code = int(bits[place : place + width][::-1], 2)
+            place += width
+            if code == 1 << least:
+                words, width, last = {i: bytes([i]) for i in range(1 << least)}, least + 1, None
+                continue
+            if code == (1 << least) + 1:
+                break
+            word = words[code] if code in words else last + last[:1]
+            if last is not None and len(words) < 4094:
+                words[len(words) + 2] = last + word[:1]
+            out, last = out + word, word
+            if len(words) + 2 >= 1 << width and width < 12:
+                width += 1
+    return out
+
+
 def test_text_gifs(spark):
     rows = gif_media.text_gifs(odd(spark)).collect()
     texts = sorted(((i, (t or "").encode()) for i, t in ODD), key=str)
@@ -94,6 +130,9 @@ def test_text_gifs(spark):
     got = sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows), key=str)
     padded = [(i, b, b + bytes(max(64, -(-len(b) // 64) * 64) - len(b))) for i, b in texts]
     assert got == sorted(((i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])) for i, b, p in padded), key=str)
+    assert all(plain_decode(bytes(r.gif)) == next(p for i, b, p in padded if (i, len(b)) == (r.doc_id, r.n_bytes)) for r in rows if r.n_bytes < 20_000)
+    assert all(sum(f.red) == sum(f.blue) == r.payload_bytes and r.feature.endswith("/".join(map(str, f.red))) for r in rows for f in r.frames if len(r.frames) == 1)
+    assert all([f.start_cs for f in r.frames] == list(range(0, 10 * r.n_frames, 10)) for r in rows)
     assert all(hashlib.sha256(r.gif).hexdigest() == r.media_sha256 and len(r.gif) == r.media_bytes for r in rows)
     assert gif_media.text_gifs(odd(spark).filter("false")).count() == 0
 
