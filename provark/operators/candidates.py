@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from provark.functions.text import split_location
 from provark.operators.flows import hypothesis_priority
 from provark.operators.rules import severity_rank
+from provark.plans.storage import numbered
 
 #: What each further channel adds, and the most that corroboration reaches.
 STEP, MOST = 0.06, 0.95
@@ -21,7 +22,7 @@ def correlation_key(candidates: DataFrame) -> DataFrame:
 
 
 def corroborated(confidence: Column, channels: Column) -> Column:
-    return F.when(channels > 1, F.greatest(confidence, F.least(F.lit(MOST), confidence + STEP * (channels - 1)))).otherwise(confidence)
+    return F.when(channels > 1, F.least(F.lit(MOST), confidence + STEP * (channels - 1))).otherwise(confidence)
 
 
 def correlate(candidates: DataFrame) -> DataFrame:
@@ -54,13 +55,8 @@ def prioritise(rows: DataFrame) -> DataFrame:
 
 
 def handles(rows: DataFrame) -> DataFrame:
-    """rows with handle V01, V02 ... by priority, then seq. Numbers come from range partitions and their counts:
-    rows are numbered within a bucket of equal leading priority, no single task sorts them all."""
-    bucketed = rows.withColumn("_b", F.floor(F.col("priority") * 1000))
-    counts = bucketed.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = counts.select("_b", (F.sum("_n").over(Window.orderBy(F.desc("_b"))) - F.col("_n")).alias("_before"))
-    at = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("priority"), "seq")) + F.col("_before")
-    return bucketed.join(F.broadcast(before), "_b").withColumn("handle", F.format_string("V%02d", at.cast("long"))).drop("_b", "_before")
+    """rows with handle V01, V02 ... by priority, then seq, numbered over range partitions."""
+    return numbered(rows, [F.desc("priority"), F.col("seq")], "_at").withColumn("handle", F.format_string("V%02d", F.col("_at") + 1)).drop("_at")
 
 
 def statuses(rows: DataFrame) -> DataFrame:

@@ -63,10 +63,11 @@ def crash_buckets(crashes: DataFrame) -> DataFrame:
 
 
 def reproduction_gate(executions: DataFrame, required: int = 2) -> DataFrame:
-    """plan_id, fired, outcome: reproduced, below threshold, held, or unresolved where nothing supports a verdict."""
-    out = executions.groupBy("plan_id").agg(F.count_if(F.col("verdict") == "FIRED").alias("fired"), F.count_if(F.col("verdict") == "HELD").alias("held"))
-    outcome = F.when(F.col("fired") >= required, "reproduced").when(F.col("fired") > 0, "below threshold").when(F.col("held") > 0, "held").otherwise("unresolved")
-    return out.withColumn("outcome", outcome)
+    """plan_id, fired, outcome: reproduced, below threshold, unresolved (nothing fired and some execution could not be
+    judged), or held."""
+    out = executions.groupBy("plan_id").agg(F.count_if(F.col("verdict") == "FIRED").alias("fired"), F.count_if(F.col("verdict") == "HELD").alias("held"), F.count("*").alias("_all"))
+    outcome = F.when(F.col("fired") >= required, "reproduced").when(F.col("fired") > 0, "below threshold").when(F.col("held") == F.col("_all"), "held").otherwise("unresolved")
+    return out.withColumn("outcome", outcome).drop("_all")
 
 
 def uncovered(branches: DataFrame, covered: DataFrame, limit: int = 200) -> DataFrame:

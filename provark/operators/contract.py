@@ -7,6 +7,8 @@ import ast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provark.plans.storage import numbered
+
 METRICS = "seq long, scope string, case_id string, kind string, metric string, v_type string, v_num double, v_str string, v_bool boolean"
 
 
@@ -22,11 +24,7 @@ def holdout(cases: DataFrame, ratio: float = 0.4, id_col: str = "case_id") -> Da
     every second. The number of an id comes from range-partitioned counts, not from one sorted task."""
     stride = max(2, round(1 / ratio))
     ids = cases.select(F.col(id_col).alias("case_id")).distinct()
-    bucketed = ids.withColumn("_b", F.substring("case_id", 1, 3))
-    counts = bucketed.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
-    at = F.row_number().over(Window.partitionBy("_b").orderBy("case_id")) - 1 + F.col("_before")
-    return bucketed.join(F.broadcast(before), "_b").withColumn("_at", at).select("case_id", (F.col("_at") % stride == stride - 1).alias("held"))
+    return numbered(ids, [F.col("case_id")], "_at").select("case_id", (F.col("_at") % stride == stride - 1).alias("held"))
 
 
 def profiles(metrics: DataFrame, monotonic: tuple[str, ...] = ("ret_seq",), cap: int = 8, longest: int = 40) -> DataFrame:
@@ -36,8 +34,9 @@ def profiles(metrics: DataFrame, monotonic: tuple[str, ...] = ("ret_seq",), cap:
     (names with `len`), else count. All strings, at most `cap` distinct of at most `longest`: enum. Mixed
     types make no profile. Booleans are told from numbers first. A set grows to cap + 1 values at most."""
     order = Window.partitionBy("scope", "metric").orderBy("seq")
-    steps = metrics.withColumn("_up", F.coalesce(F.col("v_num") >= F.lag("v_num").over(order), F.lit(True)))
-    grouped = steps.groupBy("scope", "metric").agg(
+    named = metrics.filter(F.col("metric").isin(*monotonic))  # only these need an order, the rest is a plain aggregate
+    steps = named.withColumn("_up", F.coalesce(F.col("v_num") >= F.lag("v_num").over(order), F.lit(True))).groupBy("scope", "metric").agg(F.bool_and("_up").alias("_up"))
+    grouped = metrics.groupBy("scope", "metric").agg(
         F.count("*").alias("samples"),
         F.count_if(F.col("v_type") == "bool").alias("_b"),
         F.count_if(F.col("v_type") == "num").alias("_n"),
@@ -45,7 +44,6 @@ def profiles(metrics: DataFrame, monotonic: tuple[str, ...] = ("ret_seq",), cap:
         F.min("v_num").alias("low"),
         F.max("v_num").alias("high"),
         F.bool_and("v_bool").alias("all_true"),
-        F.bool_and("_up").alias("_up"),
         F.max(F.length("v_str")).alias("_long"),
     )
     texts = metrics.filter("v_type = 'str'").select("scope", "metric", "v_str").distinct()
@@ -54,7 +52,7 @@ def profiles(metrics: DataFrame, monotonic: tuple[str, ...] = ("ret_seq",), cap:
     every = lambda c: F.col(c) == F.col("samples")
     numeric = F.when(F.col("metric").isin(*monotonic) & F.col("_up"), "monotonic").when((F.col("low") == 0) & (F.col("high") == 0), "zero").when(F.contains("metric", F.lit("len")), "length").otherwise("count")
     kind = F.when(every("_b"), "boolean").when(every("_n"), numeric).when(every("_s") & (F.size("values") <= cap) & (F.col("_long") <= longest), "enum")
-    out = grouped.join(sets, ["scope", "metric"], "left").withColumn("kind", kind).filter("kind is not null")
+    out = grouped.join(steps, ["scope", "metric"], "left").join(sets, ["scope", "metric"], "left").withColumn("kind", kind).filter("kind is not null")
     return out.select("scope", "metric", "kind", "samples", "low", "high", F.when(F.col("kind") == "enum", F.col("values")).alias("values"), F.when(F.col("kind") == "boolean", F.col("all_true")).alias("all_true"))
 
 
@@ -100,6 +98,8 @@ class Predicate:
     def __init__(self, text: str):
         if len(text) > MOST_CHARACTERS:
             raise Rejected("too long")
+        if "\n" in text or ";" in text:
+            raise Rejected("several lines or statements")
         try:
             tree = ast.parse(text, mode="eval")
         except (SyntaxError, ValueError, RecursionError) as e:
@@ -115,6 +115,7 @@ class Predicate:
             raise Rejected("no comparison")
         self._tree = tree.body
         self._check(self._tree)
+        self.types = self._typed(self._tree)
 
     def _check(self, n: ast.AST) -> None:
         allowed = (ast.BoolOp, ast.And, ast.Or, ast.UnaryOp, ast.Not, ast.USub, ast.BinOp, ast.Add, ast.Sub, ast.Mult, ast.Div, ast.FloorDiv, ast.Mod, ast.Compare, ast.Eq, ast.NotEq, ast.Lt, ast.LtE, ast.Gt, ast.GtE, ast.In, ast.NotIn, ast.Name, ast.Load, ast.Constant, ast.List, ast.Tuple)
@@ -122,15 +123,56 @@ class Predicate:
             if not isinstance(x, allowed) or isinstance(x, ast.Constant) and not isinstance(x.value, (bool, int, float, str)):
                 raise Rejected(type(x).__name__)
 
+    def _typed(self, tree: ast.AST) -> dict[str, str]:
+        """num, str or bool of each metric, by what it is compared with or used as; num where nothing tells."""
+        types: dict[str, str] = {}
+        tell = lambda n, t: types.setdefault(n.id, t) if isinstance(n, ast.Name) and t else None
+        kind = lambda n: {bool: "bool", str: "str"}.get(type(n.value)) if isinstance(n, ast.Constant) else None
+        for n in ast.walk(tree):
+            if isinstance(n, ast.Compare):
+                sides = [n.left, *n.comparators]
+                for a, b in zip(sides, sides[1:]):
+                    told = next((kind(x) for x in b.elts if kind(x)), None) if isinstance(b, (ast.List, ast.Tuple)) else kind(b)
+                    tell(a, told)
+                    tell(b, kind(a))
+            elif isinstance(n, ast.BoolOp):
+                for x in n.values:
+                    tell(x, "bool")
+            elif isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.Not):
+                tell(n.operand, "bool")
+        return types
+
+    def type_of(self, metric: str) -> str:
+        return self.types.get(metric, "num")
+
     def column(self, values: dict[str, Column]) -> Column:
-        """The predicate over the given columns; null where a metric is missing or an operation fails."""
+        """The predicate over the given columns, each of its metric's type (`type_of`); null where a metric is missing
+        or an operation fails. Values of different types are unequal, and have no order."""
         missing = [m for m in self.metrics if m not in values]
         if missing:
             return F.lit(None).cast("boolean")
         known = F.lit(True)
         for m in self.metrics:
             known &= values[m].isNotNull()
-        return F.when(known, self._of(self._tree, values))
+        return F.when(known, self._truth(self._tree, values))
+
+    def _kind(self, n: ast.AST) -> str:
+        if isinstance(n, ast.Name):
+            return self.type_of(n.id)
+        if isinstance(n, ast.Constant):
+            return "bool" if isinstance(n.value, bool) else "str" if isinstance(n.value, str) else "num"
+        if isinstance(n, (ast.Compare, ast.BoolOp)) or isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.Not):
+            return "bool"
+        return "num"
+
+    def _truth(self, n: ast.AST, v: dict[str, Column]) -> Column:
+        """A value as a condition: numbers other than 0 and texts that are not empty hold."""
+        own, kind = self._of(n, v), self._kind(n)
+        return own if kind == "bool" else own != 0.0 if kind == "num" else F.length(own) > 0
+
+    def _number(self, n: ast.AST, v: dict[str, Column]) -> Column:
+        kind = self._kind(n)
+        return F.lit(None).cast("double") if kind == "str" else self._of(n, v).cast("double")
 
     def _of(self, n: ast.AST, v: dict[str, Column]) -> Column:
         if isinstance(n, ast.Name):
@@ -138,54 +180,68 @@ class Predicate:
         if isinstance(n, ast.Constant):
             return F.lit(float(n.value) if isinstance(n.value, int) and not isinstance(n.value, bool) else n.value)
         if isinstance(n, ast.UnaryOp):
-            return ~self._of(n.operand, v) if isinstance(n.op, ast.Not) else -self._of(n.operand, v)
+            return ~self._truth(n.operand, v) if isinstance(n.op, ast.Not) else -self._number(n.operand, v)
         if isinstance(n, ast.BoolOp):
-            parts = [self._of(x, v) for x in n.values]
-            out = parts[0]
-            for p in parts[1:]:
-                out = out & p if isinstance(n.op, ast.And) else out | p
+            out = self._truth(n.values[0], v)
+            for x in n.values[1:]:
+                out = out & self._truth(x, v) if isinstance(n.op, ast.And) else out | self._truth(x, v)
             return out
         if isinstance(n, ast.BinOp):
-            a, b = self._of(n.left, v), self._of(n.right, v)
+            a, b = self._number(n.left, v), self._number(n.right, v)
             quotient = F.floor(F.try_divide(a, b)).cast("double")
             return {ast.Add: lambda: a + b, ast.Sub: lambda: a - b, ast.Mult: lambda: a * b, ast.Div: lambda: F.try_divide(a, b), ast.FloorDiv: lambda: quotient, ast.Mod: lambda: a - b * quotient}[type(n.op)]()
         if isinstance(n, ast.Compare):
             out, left = None, n.left
             for op, right in zip(n.ops, n.comparators):
-                if isinstance(op, (ast.In, ast.NotIn)):
-                    if not isinstance(right, (ast.List, ast.Tuple)):
-                        raise Rejected("in needs a list")
-                    one = self._of(left, v).isin(*[self._of(x, v) for x in right.elts])
-                    one = ~one if isinstance(op, ast.NotIn) else one
-                else:
-                    a, b = self._of(left, v), self._of(right, v)
-                    one = {ast.Eq: a == b, ast.NotEq: a != b, ast.Lt: a < b, ast.LtE: a <= b, ast.Gt: a > b, ast.GtE: a >= b}[type(op)]
+                one = self._compared(left, op, right, v)
                 out = one if out is None else out & one
                 left = right
             return out
         raise Rejected(type(n).__name__)
 
+    def _compared(self, left: ast.AST, op: ast.cmpop, right: ast.AST, v: dict[str, Column]) -> Column:
+        kind = self._kind(left)
+        if isinstance(op, (ast.In, ast.NotIn)):
+            if not isinstance(right, (ast.List, ast.Tuple)):
+                raise Rejected("in needs a list")
+            same = [self._of(x, v) for x in right.elts if self._kind(x) == kind]
+            found = self._of(left, v).isin(*same) if same else F.lit(False)
+            return ~found if isinstance(op, ast.NotIn) else found
+        other = self._kind(right)
+        if "str" in (kind, other) and kind != other:
+            return F.lit(isinstance(op, ast.NotEq)) if isinstance(op, (ast.Eq, ast.NotEq)) else F.lit(None).cast("boolean")
+        a, b = (self._of(left, v), self._of(right, v)) if kind == other else (self._number(left, v), self._number(right, v))
+        return {ast.Eq: a == b, ast.NotEq: a != b, ast.Lt: a < b, ast.LtE: a <= b, ast.Gt: a > b, ast.GtE: a >= b}[type(op)]
+
 
 def scope_matches(clause: Column, record: Column) -> Column:
-    """`*`, the same, `mod:*` and `…*` as prefixes, or a bare function name."""
+    """`*` or nothing, the same, `mod:*` and `…*` as prefixes, or a bare function name."""
     return (
-        (clause == "*")
+        F.coalesce(clause.isin("*", ""), F.lit(True))
         | (clause == record)
         | (clause.endswith("*") & F.startswith(record, F.substring(clause, 1, F.length(clause) - 1)))
         | (~F.contains(clause, F.lit(":")) & (clause == F.substring_index(record, ":", -1)))
     )
 
 
+def _metric(records: DataFrame, name: str, kind: str) -> Column:
+    """A metric of its type; a flag counts as 1 or 0 where a number is wanted."""
+    at = lambda c, t: F.try_element_at(c, F.lit(name)) if c in records.columns else F.lit(None).cast(t)
+    flag = at("flags", "boolean")
+    return {"num": lambda: F.coalesce(at("metrics", "double"), flag.cast("double")), "str": lambda: at("texts", "string"), "bool": lambda: flag}[kind]()
+
+
 def verdicts(records: DataFrame, clauses: list[tuple[str, str, str]], mode: str = "full") -> DataFrame:
     """clause_id, scope, applicable, passed, failed, status, counterexample (case_id) over wide records
-    (seq, scope, case_id, metrics map<string,double>). clauses: (clause_id, scope, predicate).
+    (seq, scope, case_id, metrics map<string,double> and, where there are any, texts map<string,string> and flags
+    map<string,boolean>). clauses: (clause_id, scope, predicate).
 
     mode full counts everything; mode first stops at the first failure: passes before it, at most 1 failure.
     Never applicable: UNSUPPORTED, which is not false."""
     parts = []
     for clause_id, scope, text in clauses:
         predicate = Predicate(text)
-        value = predicate.column({m: F.try_element_at("metrics", F.lit(m)) for m in predicate.metrics})
+        value = predicate.column({m: _metric(records, m, predicate.type_of(m)) for m in predicate.metrics})
         parts.append(F.struct(F.lit(clause_id).alias("clause_id"), F.lit(scope).alias("clause_scope"), F.when(scope_matches(F.lit(scope), F.col("scope")), value).alias("ok")))
     rows = records.select("seq", "case_id", F.explode(F.array(*parts)).alias("v")).select("seq", "case_id", "v.*")
     failed = F.col("ok") == F.lit(False)

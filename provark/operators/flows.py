@@ -32,12 +32,12 @@ def clamp(value: Column, low: float, high: float) -> Column:
 
 def taint_confidence(prior: Column, hops: Column, interpolated: Column, validated: Column, sanitized: Column) -> Column:
     bonus = F.when(interpolated, 0.15).otherwise(0.0) - F.when(validated, 0.15).otherwise(0.0) - F.when(sanitized, 0.35).otherwise(0.0)
-    return clamp(prior + bonus - F.least(F.lit(0.2), 0.03 * hops), 0.05, 0.95)
+    return F.round(clamp(prior + bonus - F.least(F.lit(0.2), 0.03 * hops), 0.05, 0.95), 3)
 
 
 def call_path_confidence(source: Column, sink: Column, resolved: Column, nodes: Column, sanitized: Column) -> Column:
-    base = F.least(source, sink) * F.when(resolved, 1.0).otherwise(0.6) * F.greatest(F.lit(0.4), 1 - 0.08 * (nodes - 2))
-    return clamp(base * F.when(sanitized, 0.55).otherwise(1.0), 0.05, 0.9)
+    base = F.least(source, sink) * F.when(resolved, 1.0).otherwise(0.6) * F.greatest(F.lit(0.4), 1 - 0.08 * F.greatest(F.lit(0), nodes - 2))
+    return F.round(clamp(base * F.when(sanitized, 0.55).otherwise(1.0), 0.05, 0.9), 3)
 
 
 def proximity_confidence(source: Column, sink: Column) -> Column:

@@ -59,8 +59,9 @@ def resolved(provenance: Column) -> Column:
 
 def merge_edges(edges: DataFrame, resolving_only: bool = False) -> DataFrame:
     """One row a (src, kind, dst): provenance united, the best confidence, 1.0 where several providers agree
-    (with `resolving_only`, only where one of them resolves), and whether it is resolved."""
-    merged = edges.groupBy("src", "kind", "dst").agg(union_sets("provenance").alias("provenance"), F.max("confidence").alias("confidence"), F.min("seq").alias("seq"))
+    (with `resolving_only`, only where one of them resolves), whether it is resolved, and the last attrs if there are any."""
+    attrs = [F.max_by("attrs", "seq").alias("attrs")] if "attrs" in edges.columns else []
+    merged = edges.groupBy("src", "kind", "dst").agg(union_sets("provenance").alias("provenance"), F.max("confidence").alias("confidence"), F.min("seq").alias("seq"), *attrs)
     agreed = F.size("provenance") > 1
     promoted = agreed & resolved(F.col("provenance")) if resolving_only else agreed
     return merged.withColumns({"confidence": F.when(promoted, 1.0).otherwise(F.col("confidence")), "resolved": resolved(F.col("provenance"))})
@@ -124,13 +125,14 @@ def neighbours(edges: DataFrame, kind: str = "CALLS") -> DataFrame:
     return out.join(into, "uid", "full").select("uid", F.coalesce("callees", none).alias("callees"), F.coalesce("callers", none).alias("callers"))
 
 
-def closure(edges: DataFrame, seeds: DataFrame, depth: int = 6, reverse: bool = False) -> DataFrame:
-    """root, uid, hops: what each seed (column uid) reaches within `depth` steps, itself left out.
+def closure(edges: DataFrame, seeds: DataFrame, depth: int = 6, reverse: bool = False, together: bool = False) -> DataFrame:
+    """root, uid, hops: what each seed (column uid) reaches within `depth` steps, itself left out; with `together`
+    what any of them reaches, under one empty root.
 
     All roots advance together, a level at a time; a pair once seen is not seen again. Levels are stored,
     so the lineage stays flat; the loop ends at the bound or where nothing new comes."""
     steps = edges.select(F.col("dst" if reverse else "src").alias("a"), F.col("src" if reverse else "dst").alias("b")).distinct()
-    seen = stored(seeds.select(F.col("uid").alias("root"), F.col("uid").alias("uid"), F.lit(0).alias("hops")).distinct(), "closure")
+    seen = stored(seeds.select((F.lit("") if together else F.col("uid")).alias("root"), F.col("uid").alias("uid"), F.lit(0).alias("hops")).distinct(), "closure")
     frontier = seen
     for level in range(1, depth + 1):
         step = frontier.join(steps, frontier["uid"] == steps["a"]).select("root", F.col("b").alias("uid")).distinct()
@@ -206,14 +208,21 @@ def subgraph(edges: DataFrame, uid: str, depth: int = 2, limit: int = 200, direc
 
 
 def siblings(nodes: DataFrame, limit: int = 40) -> DataFrame:
-    """uid, sibling, tier, rank: others of the same file (1), then of the same directory (2).
+    """uid, sibling, tier, rank: others of the same file (1), then of the same directory (2), `limit` of them.
 
-    Each side is a directory at most; what ranks beyond `limit` goes."""
+    A node meets only the first of its file and of its directory, never all of either: the first limit + 1 of each
+    file, and of a directory the first 2 * limit of those, of which a file of its own can hold `limit` at most."""
     own = nodes.select("uid", "file", dirname(F.col("file")).alias("dir"))
-    other = own.select(F.col("uid").alias("sibling"), F.col("file").alias("other_file"), "dir")
-    pairs = own.join(other, "dir").filter("uid <> sibling").withColumn("tier", F.when(F.col("file") == F.col("other_file"), 1).otherwise(2))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("uid").orderBy("tier", "sibling")))
-    return ranked.filter(F.col("rank") <= limit).select("uid", "sibling", "tier", "rank")
+    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("uid"))
+    first = own.withColumn("_n", nth("file", "dir")).filter(F.col("_n") <= limit + 1)
+    listed = lambda rows, key, name: rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("uid", "file"))).alias(name))
+    near = first.filter(F.col("_n") <= limit).withColumn("_n", nth("dir")).filter(F.col("_n") <= 2 * limit)
+    met = own.join(listed(first, "file", "_file"), "file").join(listed(near, "dir", "_dir"), "dir")
+    same = F.filter("_file", lambda s: s["uid"] != F.col("uid"))
+    others = F.filter("_dir", lambda s: s["file"] != F.col("file"))
+    tiered = lambda a, t: F.transform(a, lambda s: F.struct(s["uid"].alias("sibling"), F.lit(t).alias("tier")))
+    every = met.select("uid", F.posexplode(F.slice(F.concat(tiered(same, 1), tiered(others, 2)), 1, limit)).alias("_at", "s"))
+    return every.select("uid", "s.sibling", "s.tier", (F.col("_at") + 1).alias("rank"))
 
 
 def innermost(points: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ("file",), at: str = "line", order: str = "seq") -> DataFrame:
@@ -284,10 +293,13 @@ def mark_entrypoints(nodes: DataFrame) -> DataFrame:
 def content_hash(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: the digest of a set of rows, whatever their order.
 
-    Rows are hashed, sorted within 256 buckets, and buckets hashed again, so that no task gets all rows."""
-    rows = df.select(digest(*[F.col(c) for c in columns]).alias("h")).distinct()
-    buckets = rows.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda s: s["h"]), ""), 256).alias("content_hash"))
+    A tree over the rows' digests by their leading characters, six, then three, then none: at most 4096 branches
+    meet at an inner node, and a leaf holds a sixteen-millionth of all rows."""
+    level = df.select(digest(*[F.col(c) for c in columns]).alias("h")).distinct().withColumn("b", F.col("h"))
+    folded = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda s: s["h"]), ""), 256)
+    for wide in (6, 3):
+        level = level.withColumn("g", F.substring("b", 1, wide)).groupBy("g").agg(folded.alias("h")).withColumnRenamed("g", "b")
+    return level.agg(folded.alias("content_hash"))
 
 
 def dangling(nodes: DataFrame, edges: DataFrame, uid: str = "uid", src: str = "src", dst: str = "dst") -> DataFrame:
@@ -305,9 +317,10 @@ def orphans(nodes: DataFrame, edges: DataFrame, uid: str = "uid", src: str = "sr
 def affected(changed: DataFrame, nodes: DataFrame, edges: DataFrame, entrypoints: DataFrame, depth: int = 6, cap: int = 4000) -> DataFrame:
     """What a change of files touches: kind (symbol, dependent, file, entrypoint) and uid.
 
-    Dependents beyond `cap` (by hops, then uid) are left out, as the report is bounded."""
+    Dependents are what one search from all symbols at once finds beyond them; those beyond `cap` (by hops, then
+    uid) are left out, as the report is bounded."""
     symbols = nodes.join(changed.select("file"), "file", "left_semi").select("uid")
-    up = closure(edges, symbols, depth, reverse=True).groupBy("uid").agg(F.min("hops").alias("hops")).orderBy("hops", "uid").limit(cap).select("uid")
+    up = closure(edges, symbols, depth, reverse=True, together=True).orderBy("hops", "uid").limit(cap).select("uid")
     every = symbols.union(up).distinct()
     files = nodes.join(every, "uid", "left_semi").select(F.col("file").alias("uid")).distinct()
     label = lambda df, kind: df.select(F.lit(kind).alias("kind"), "uid")

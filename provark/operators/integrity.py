@@ -11,13 +11,14 @@ from provark.functions.text import digest
 GENESIS = "0" * 64
 
 
-def link_hash(evidence: Column, previous: Column) -> Column:
-    """A record's own hash: of its evidence and the hash before it."""
-    return F.sha2(F.concat_ws("|", previous, evidence), 256)
+def link_hash(key: Column, seq: Column, evidence: Column, previous: Column) -> Column:
+    """A record's own hash: of the hash before it, its chain, its place there and the digest of all its fields."""
+    return F.sha2(F.concat_ws("|", previous, key.cast("string"), seq.cast("string"), evidence), 256)
 
 
 def build_chain(rows: DataFrame, key: str, order: str, evidence: list[str]) -> DataFrame:
-    """key, seq (from 1), evidence_hash, previous_hash, hash of append-only records.
+    """key, seq (from 1), evidence_hash, previous_hash, hash of append-only records. `evidence` names every field that
+    must not change unnoticed: actor, action, subject, time and payload of an audit record.
 
     A chain is sequential by nature: one fold over a key's ordered digests; keys are independent. A key's
     digests are held together, 64 bytes a record."""
@@ -27,7 +28,7 @@ def build_chain(rows: DataFrame, key: str, order: str, evidence: list[str]) -> D
 
     def step(acc: Column, x: Column) -> Column:
         previous = F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], F.lit(GENESIS))
-        return F.concat(acc, F.array(F.struct((F.size(acc) + 1).alias("seq"), x["e"].alias("evidence_hash"), previous.alias("previous_hash"), link_hash(x["e"], previous).alias("hash"))))
+        return F.concat(acc, F.array(F.struct((F.size(acc) + 1).alias("seq"), x["e"].alias("evidence_hash"), previous.alias("previous_hash"), link_hash(F.col("key"), F.size(acc) + 1, x["e"], previous).alias("hash"))))
 
     return lists.select("key", F.explode(F.aggregate("l", first, step)).alias("r")).select("key", "r.*")
 
@@ -41,7 +42,7 @@ def verify_chain(chain: DataFrame) -> DataFrame:
     reason = (
         F.when(F.col("seq") != F.col("_n"), "sequence gap")
         .when(F.col("previous_hash") != F.col("_p"), "previous hash does not match")
-        .when(F.col("hash") != link_hash(F.col("evidence_hash"), F.col("previous_hash")), "hash does not match")
+        .when(F.col("hash") != link_hash(F.col("key"), F.col("seq"), F.col("evidence_hash"), F.col("previous_hash")), "hash does not match")
     )
     out = checked.withColumn("_r", reason).groupBy("key").agg(F.count("*").alias("records"), F.min(F.when(F.col("_r").isNotNull(), F.struct("seq", "_r"))).alias("_b"))
     return out.select("key", "records", F.col("_b").isNull().alias("valid"), F.col("_b.seq").alias("break_seq"), F.col("_b._r").alias("reason"))
@@ -51,38 +52,58 @@ def chain_head(chain: DataFrame) -> DataFrame:
     return chain.groupBy("key").agg(F.coalesce(F.max_by("hash", "seq"), F.lit(GENESIS)).alias("head"), F.max("seq").alias("seq"))
 
 
+#: Shares of files and of relationships below which a check warns or fails.
+COVERED, BARELY_COVERED, RESOLVED = 0.98, 0.75, 0.6
+#: Fixed value: percentage points by which coverage may move.
+MOST_SWING = 10.0
+
+
 def health_checks(metrics: DataFrame) -> DataFrame:
-    """check, status (PASS, WARN, FAIL), fatal, measurable from one row of counts: files, parsed, skipped, nodes,
-    edges, dangling, resolved_ratio, entrypoints, languages_missing, providers. A null count is unmeasurable."""
-    checks = [
-        ("has_files", F.col("files") > 0, "FAIL", True),
-        ("has_nodes", F.col("nodes") > 0, "FAIL", True),
-        ("has_edges", F.col("edges") > 0, "WARN", False),
-        ("no_dangling", F.col("dangling") == 0, "FAIL", False),
-        ("parse_rate", F.try_divide("parsed", "files") >= 0.9, "WARN", False),
-        ("few_skipped", F.try_divide("skipped", "files") <= 0.2, "WARN", False),
-        ("resolved_ratio", F.col("resolved_ratio") >= 0.3, "WARN", False),
-        ("entrypoints", F.col("entrypoints") > 0, "WARN", False),
-        ("languages", F.col("languages_missing") == 0, "WARN", False),
-        ("providers", F.col("providers") >= 2, "WARN", False),
-    ]
-    rows = [F.struct(F.lit(n).alias("check"), F.when(ok.isNull(), "WARN").when(ok, "PASS").otherwise(bad).alias("status"), (F.lit(fatal) & F.coalesce(~ok, F.lit(False))).alias("fatal"), ok.isNotNull().alias("measurable")) for n, ok, bad, fatal in checks]
+    """check, severity (OK, INFO, WARN, FAIL) of one row of an index's counts: nodes, relationships, calls, discovered
+    and indexed files, symbols, functions, code_files, resolved_ratio, entrypoints, missing_grammars (of languages that
+    the tree has), provider (contributed, enabled, off), configs, dependencies, tests, silent_languages."""
+    c = F.col
+    of = lambda *pairs: F.coalesce(*[F.when(cond, F.lit(severity)) for cond, severity in pairs], F.lit("OK"))
+    share = F.try_divide("indexed", "discovered")
+    checks = {
+        "non_empty": of((c("nodes") == 0, "FAIL")),
+        "file_coverage": of((c("discovered") == 0, "FAIL"), (share < BARELY_COVERED, "FAIL"), (share < COVERED, "WARN")),
+        "symbols": of((c("symbols") == 0, "FAIL"), ((c("code_files") >= 5) & (c("functions") < F.floor(c("code_files") / 2)), "WARN")),
+        "relationships": of((c("relationships") == 0, "FAIL"), (c("calls") == 0, "WARN")),
+        "resolution": of((c("relationships") == 0, "INFO"), (c("resolved_ratio") < RESOLVED, "WARN")),
+        "entrypoints": of((c("entrypoints") == 0, "WARN")),
+        "grammars": of((c("missing_grammars") > 0, "WARN")),
+        "provider": of((c("provider") == "off", "INFO"), (c("provider") != "contributed", "WARN")),
+        "sections": of(((c("configs") == 0) | (c("dependencies") == 0) | (c("tests") == 0), "INFO")),
+        "language_parity": of((c("silent_languages") > 0, "WARN")),
+    }
+    rows = [F.struct(F.lit(name).alias("check"), severity.alias("severity")) for name, severity in checks.items()]
     return metrics.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
 
 
 def health_grade(checks: DataFrame) -> DataFrame:
-    """F for a fatal failure, C for any other or an unmeasurable warning, A without warnings, B up to two, else C."""
-    out = checks.agg(F.bool_or("fatal").alias("fatal"), F.count_if(F.col("status") == "FAIL").alias("fails"), F.count_if(F.col("status") == "WARN").alias("warns"), F.count_if((F.col("status") == "WARN") & ~F.col("measurable")).alias("blind"))
-    grade = F.when(F.col("fatal"), "F").when((F.col("fails") > 0) | (F.col("blind") > 0), "C").when(F.col("warns") == 0, "A").when(F.col("warns") <= 2, "B").otherwise("C")
+    """F where one of the first four checks fails; C for any other failure, and where reachability cannot be measured (no
+    entrypoints or no calls); A without warnings, B up to two, else C."""
+    at = lambda severity, *names: F.count_if((F.col("severity") == severity) & (F.col("check").isin(*names) if names else F.lit(True)))
+    out = checks.agg(
+        at("FAIL", "non_empty", "file_coverage", "symbols", "relationships").alias("fatal"),
+        at("FAIL").alias("fails"),
+        at("WARN").alias("warns"),
+        at("WARN", "entrypoints", "relationships").alias("blind"),
+    )
+    grade = F.when(F.col("fatal") > 0, "F").when((F.col("fails") > 0) | (F.col("blind") > 0), "C").when(F.col("warns") == 0, "A").when(F.col("warns") <= 2, "B").otherwise("C")
     return out.select(grade.alias("grade"), "fails", "warns")
 
 
 def assurance_level(rows: DataFrame) -> DataFrame:
-    """rows with level: R where a stage failed; C with unsupported clauses, unmeasured coverage or a swing over 10
-    points; B with unproved siblings; else A."""
+    """rows with level: R where the gauntlet did not pass or the exploit still works; C where replay or contract did
+    not pass, clauses are unsupported, or coverage (before, after; in percent) moved by over 10 points or was not
+    measured; B with unproved siblings; else A. A missing stage (null) has not passed."""
+    passed = lambda c: F.coalesce(F.col(c), F.lit(False))
+    swing = F.round(F.abs(F.col("coverage_after") - F.col("coverage_before")), 2)
     level = (
-        F.when(F.col("failed_stages") > 0, "R")
-        .when((F.col("unsupported") > 0) | F.col("coverage_swing").isNull() | (F.abs("coverage_swing") > 10), "C")
+        F.when(~passed("gauntlet_passed") | ~passed("exploit_eliminated"), "R")
+        .when(~passed("replay_passed") | ~passed("contract_passed") | (F.col("unsupported") > 0) | swing.isNull() | (swing > MOST_SWING), "C")
         .when(F.col("unproved_siblings") > 0, "B")
         .otherwise("A")
     )
@@ -141,7 +162,9 @@ def claims(evidence: DataFrame, subjects: DataFrame, questions: list[str]) -> Da
 
 
 def residual_risks(runs: DataFrame) -> DataFrame:
-    """run_id, risk: stated limitations, and what the level itself leaves open."""
-    stated = runs.select("run_id", F.explode_outer("limitations").alias("risk")).filter("risk is not null")
-    own = runs.select("run_id", F.when(F.col("level") == "R", "the change was refuted").when(F.col("level") == "C", "behaviour not fully measured").when(F.col("level") == "B", "similar places unproved").alias("risk")).filter("risk is not null")
-    return stated.union(own)
+    """run_id, risk: at B the limitations that name an unproved place (`unproved: ...`), at C every limitation, at R one
+    line that says so; A leaves none open."""
+    unproved = F.filter("limitations", lambda x: x.startswith("unproved:"))
+    refuted = F.array(F.lit("the change was refuted"))
+    risks = F.when(F.col("level") == "B", unproved).when(F.col("level") == "C", F.col("limitations")).when(F.col("level") == "R", refuted)
+    return runs.select("run_id", F.explode(risks).alias("risk"))

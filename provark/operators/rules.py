@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,16 +26,18 @@ class Rule:
     severity: str = "medium"
     confidence: float = 0.5
     unless: str = ""
+    #: Literals of which a line that matches holds one: tried before the pattern; none means any line is tried.
+    literals: tuple[str, ...] = ()
 
 
 #: An own small rule set over prose and pages; code rules come as an extension of the same form.
 TEXT_RULES = [
-    Rule("email", "source", "personal", r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", severity="medium", confidence=0.8),
-    Rule("ip", "source", "network", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", severity="low", confidence=0.6),
-    Rule("phone", "source", "personal", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", severity="medium", confidence=0.9),
-    Rule("secret", "sink", "credential", r"(password|token|secret|api_key)[ ]*[:=]", cwe="CWE-798", severity="high", confidence=0.7, unless=r"(example|placeholder|changeme)"),
-    Rule("access_key", "sink", "credential", r"AKIA[A-Z0-9]{16}", cwe="CWE-798", severity="critical", confidence=0.95),
-    Rule("license", "control", "license", r"(MIT License|Apache License|GNU General Public License|All rights reserved)", severity="info", confidence=0.5),
+    Rule("email", "source", "personal", r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", severity="medium", confidence=0.8, literals=("@",)),
+    Rule("ip", "source", "network", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", severity="low", confidence=0.6, literals=(".",)),
+    Rule("phone", "source", "personal", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", severity="medium", confidence=0.9, literals=("+1 (",)),
+    Rule("secret", "sink", "credential", r"(password|token|secret|api_key)[ ]*[:=]", cwe="CWE-798", severity="high", confidence=0.7, unless=r"(example|placeholder|changeme)", literals=("password", "token", "secret", "api_key")),
+    Rule("access_key", "sink", "credential", r"AKIA[A-Z0-9]{16}", cwe="CWE-798", severity="critical", confidence=0.95, literals=("AKIA",)),
+    Rule("license", "control", "license", r"(MIT License|Apache License|GNU General Public License|All rights reserved)", severity="info", confidence=0.5, literals=("License", "All rights reserved")),
     Rule("spanish_only", "control", "language", r"[ñó]", languages=("es",), severity="info", confidence=0.3),
 ]
 
@@ -74,7 +78,8 @@ def match_rules(lines: DataFrame, rules: list[Rule], language: str | None = None
     severity, confidence, snippet (what matched first). All rules are tried in one projection."""
     hits = []
     for i, r in enumerate(rules):
-        found = F.col("content").rlike(r.pattern)
+        found = F.lit(True) if not r.literals else reduce(or_, [F.contains("content", F.lit(x)) for x in r.literals])
+        found &= F.col("content").rlike(r.pattern)
         if r.unless:
             found &= ~F.col("content").rlike(r.unless)
         if language:
@@ -97,7 +102,7 @@ def union_engines(findings: list[DataFrame], keys: tuple[str, ...] = ("rule", "f
         f = f.withColumn("_engine", F.lit(i))
         every = f if every is None else every.unionByName(f)
     first = F.row_number().over(Window.partitionBy(*keys).orderBy("_engine"))
-    return every.withColumn("_n", first).filter("_n = 1").drop("_n", "_engine").orderBy("file", "line", "rule")
+    return every.withColumn("_n", first).filter("_n = 1").drop("_n", "_engine")
 
 
 def severity_rank(severity: Column) -> Column:

@@ -69,6 +69,41 @@ def contract_recheck(spark: SparkSession, d: str) -> DataFrame:
     return contract.recheck(contract.verdicts(records(spark, d), CLAUSES))
 
 
+def typed_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records with numbers, texts and flags: the metrics of `long_metrics` in wide form."""
+    m = long_metrics(spark, d)
+    of = lambda t, v: F.map_from_entries(F.collect_list(F.when(F.col("v_type") == t, F.struct("metric", v))))
+    return m.groupBy("seq", "scope", "case_id").agg(of("num", "v_num").alias("metrics"), of("str", "v_str").alias("texts"), of("bool", "v_bool").alias("flags"))
+
+
+_CHECKED = """SELECT clause_id, count(ok) AS applicable, count(*) FILTER (ok) AS passed, count(*) FILTER (ok = false) AS failed, CASE WHEN count(ok) = 0 THEN 'UNSUPPORTED' WHEN count(*) FILTER (ok = false) > 0 THEN 'FALSIFIED' ELSE 'SURVIVING' END AS status FROM j GROUP BY clause_id"""
+_COLUMNS = ("clause_id", "applicable", "passed", "failed", "status")
+
+
+@query(f"""WITH {EVENTS_SQL}, j AS (SELECT 't1' AS clause_id, 't' || seq % 5 IN ('t0', 't1') AS ok FROM e UNION ALL SELECT 't2', 't' || seq % 5 <> 't4' FROM e UNION ALL SELECT 't3', 't' || seq % 5 >= 't0' FROM e
+  UNION ALL SELECT 't4', NULL FROM e UNION ALL SELECT 't5', CASE WHEN scope = 'click' THEN 't' || seq % 5 NOT IN ('t9') AND k >= 0 END FROM e) {_CHECKED}""")
+def enum_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Clauses over texts: membership, equality and order; an unknown text metric is unsupported."""
+    clauses = [("t1", "", "tag in ['t0', 't1']"), ("t2", "*", "tag != 't4'"), ("t3", "*", "'t0' <= tag"), ("t4", "*", "no_tag == 'x'"), ("t5", "click", "tag not in ['t9'] and k >= 0")]
+    return contract.verdicts(typed_records(spark, d), clauses).select(*_COLUMNS)
+
+
+@query(f"""WITH {EVENTS_SQL}, j AS (SELECT 'b1' AS clause_id, value >= 0 AS ok FROM e UNION ALL SELECT 'b2', NOT (value >= 0) FROM e UNION ALL SELECT 'b3', value >= 0 OR k > 50 FROM e UNION ALL SELECT 'b4', CASE WHEN scope = 'view' THEN (value >= 0)::INT + 1 <= 2 END FROM e) {_CHECKED}""")
+def boolean_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Clauses over flags: compared, negated, joined with numbers, and counted as 1 or 0."""
+    clauses = [("b1", "*", "big == True"), ("b2", "*", "not (big == True)"), ("b3", "*", "big or k > 50"), ("b4", "view", "big + 1 <= 2")]
+    return contract.verdicts(typed_records(spark, d), clauses).select(*_COLUMNS)
+
+
+@query(f"""WITH {_METRICS}, half AS (SELECT scope, metric, max(n) AS high, count(b) > 0 AS flag, bool_and(b) AS all_true FROM m WHERE seq % 2 = 0 GROUP BY ALL), whole AS (SELECT scope, metric, max(n) AS top FROM m GROUP BY ALL)
+SELECT h.scope, h.metric, CASE WHEN flag THEN NULL ELSE greatest(high, top) END AS high, flag FROM half h JOIN whole USING (scope, metric)""")
+def falsification(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles of every second record, falsified by all records and widened: tops rise to what was seen."""
+    m = long_metrics(spark, d)
+    wide, _ = contract.falsify(contract.profiles(m.filter("seq % 2 = 0")), typed_records(spark, d), m)
+    return wide.select("scope", "metric", "high", (F.col("kind") == "boolean").alias("flag"))
+
+
 @query(f"""WITH {_PROFILES}, x AS (SELECT scope, metric, max(n) AS top, list(DISTINCT s) FILTER (s IS NOT NULL) AS news FROM (SELECT scope, metric, n + 5 AS n, NULL AS s FROM m WHERE t = 'num' AND seq % 100 = 0 UNION ALL SELECT scope, 'tag', NULL, 'new' FROM e WHERE seq % 1000 = 0) GROUP BY scope, metric)
 SELECT p.scope, p.metric, CASE WHEN kind = 'zero' AND top > 0 THEN 'count' ELSE kind END AS kind, low, greatest(high, top) AS high, CASE WHEN kind = 'enum' THEN list_sort(list_distinct(list_concat(vals, coalesce(news, [])))) END AS values FROM p LEFT JOIN x ON p.scope = x.scope AND p.metric = x.metric""")
 def widened_profiles(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +221,7 @@ def crash_buckets(spark: SparkSession, d: str) -> DataFrame:
     return compare.crash_buckets(rows)
 
 
-_GATE = """SELECT o_custkey::VARCHAR AS plan_id, count(*) FILTER (o_orderstatus = 'F') AS fired, CASE WHEN count(*) FILTER (o_orderstatus = 'F') >= 2 THEN 'reproduced' WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN 'below threshold' WHEN count(*) FILTER (o_orderstatus = 'O') > 0 THEN 'held' ELSE 'unresolved' END AS outcome FROM orders GROUP BY o_custkey"""
+_GATE = """SELECT o_custkey::VARCHAR AS plan_id, count(*) FILTER (o_orderstatus = 'F') AS fired, CASE WHEN count(*) FILTER (o_orderstatus = 'F') >= 2 THEN 'reproduced' WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN 'below threshold' WHEN count(*) FILTER (o_orderstatus = 'O') = count(*) THEN 'held' ELSE 'unresolved' END AS outcome FROM orders GROUP BY o_custkey"""
 
 
 @query(_GATE)
@@ -200,19 +235,9 @@ def case_deltas(spark: SparkSession, d: str) -> DataFrame:
     return compare.deltas(table(spark, d, "events"), "user_id", "event_id", "value").select("event_id", "user_id", "delta")
 
 
-@query("""WITH c AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_suppkey AS f, l_partkey AS line FROM lineitem WHERE l_orderkey % 20 = 0), fr AS (SELECT DISTINCT l_suppkey AS f, l_partkey AS line FROM lineitem WHERE l_orderkey % 20 = 1)
-SELECT id, line BETWEEN 1 AND 1500 AND EXISTS (SELECT 1 FROM fr WHERE fr.f = c.f AND abs(fr.line - c.line) <= 40) AS verified FROM c""")
-def root_cause_band(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    claims = li.filter("l_orderkey % 20 = 0").select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("id"), F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("line")).distinct()
-    frames = li.filter("l_orderkey % 20 = 1").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("line")).distinct()
-    sizes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("file"), F.lit(1500).alias("lines"))
-    return compare.root_cause(claims, frames, sizes).select("id", "verified")
-
-
 @query("""WITH c AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_suppkey AS f, l_partkey AS line FROM lineitem), fr AS (SELECT DISTINCT l_suppkey AS f, l_partkey AS line FROM lineitem WHERE l_returnflag = 'R')
 SELECT id, line BETWEEN 1 AND 1500 AND EXISTS (SELECT 1 FROM fr WHERE fr.f = c.f AND abs(fr.line - c.line) <= 40) AS verified FROM c""")
-def root_cause_band_whole(spark: SparkSession, d: str) -> DataFrame:
+def root_cause_band(spark: SparkSession, d: str) -> DataFrame:
     """Every line item is a claim, the returned ones are frames."""
     li = table(spark, d, "lineitem")
     claims = li.select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("id"), F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("line")).distinct()
@@ -236,7 +261,7 @@ def _chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE t AS (SELECT conv_id AS key, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS seq, sha256('=' || replace(replace(role, '%', '%25'), '|', '%7C') || '|' || '=' || replace(replace(text, '%', '%25'), '|', '%7C')) AS e FROM conversations),
-c AS (SELECT key, seq, e, repeat('0', 64) AS previous_hash, sha256(repeat('0', 64) || '|' || e) AS hash FROM t WHERE seq = 1 UNION ALL SELECT t.key, t.seq, t.e, c.hash, sha256(c.hash || '|' || t.e) FROM c JOIN t ON t.key = c.key AND t.seq = c.seq + 1)
+c AS (SELECT key, seq, e, repeat('0', 64) AS previous_hash, sha256(repeat('0', 64) || '|' || key || '|' || seq || '|' || e) AS hash FROM t WHERE seq = 1 UNION ALL SELECT t.key, t.seq, t.e, c.hash, sha256(c.hash || '|' || t.key || '|' || t.seq || '|' || t.e) FROM c JOIN t ON t.key = c.key AND t.seq = c.seq + 1)
 SELECT key, max(seq) AS seq, arg_max(hash, seq) AS head FROM c GROUP BY key""")
 def chain_head(spark: SparkSession, d: str) -> DataFrame:
     return integrity.chain_head(_chain(spark, d)).select("key", "seq", "head")
@@ -251,25 +276,42 @@ def chain_verify(spark: SparkSession, d: str) -> DataFrame:
     return integrity.verify_chain(chain)
 
 
-@query("""WITH m AS (SELECT 'has_files' AS "check", 'PASS' AS status UNION ALL SELECT 'has_nodes', 'PASS' UNION ALL SELECT 'has_edges', 'PASS' UNION ALL SELECT 'no_dangling', 'FAIL' UNION ALL SELECT 'parse_rate', CASE WHEN (SELECT count(*) FROM documents WHERE n_chars > 200) / (SELECT count(*) FROM documents) >= 0.9 THEN 'PASS' ELSE 'WARN' END UNION ALL
-  SELECT 'few_skipped', CASE WHEN (SELECT count(*) FROM documents WHERE n_chars <= 200) / (SELECT count(*) FROM documents) <= 0.2 THEN 'PASS' ELSE 'WARN' END UNION ALL SELECT 'resolved_ratio', 'PASS' UNION ALL SELECT 'entrypoints', 'WARN' UNION ALL SELECT 'languages', 'PASS' UNION ALL SELECT 'providers', 'PASS') SELECT * FROM m""")
+_INDEXES = """i AS (SELECT l_suppkey AS id, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_linestatus = 'F') AS f, count(*) FILTER (l_linenumber = 1) AS one, count(*) FILTER (l_linenumber = 7) AS seven, count(*) FILTER (l_quantity < 45) AS q FROM lineitem GROUP BY 1),
+k AS (SELECT id, unnest(['non_empty', 'file_coverage', 'symbols', 'relationships', 'resolution', 'entrypoints', 'grammars', 'provider', 'sections', 'language_parity']) AS "check",
+  unnest([CASE WHEN n = 0 THEN 'FAIL' ELSE 'OK' END, CASE WHEN q / n < 0.75 THEN 'FAIL' WHEN q / n < 0.98 THEN 'WARN' ELSE 'OK' END, CASE WHEN n >= 5 AND f < n // 2 THEN 'WARN' ELSE 'OK' END,
+    CASE WHEN one = 0 THEN 'WARN' ELSE 'OK' END, CASE WHEN r / n < 0.6 THEN 'WARN' ELSE 'OK' END, CASE WHEN seven = 0 THEN 'WARN' ELSE 'OK' END, CASE WHEN id % 7 = 0 THEN 'WARN' ELSE 'OK' END,
+    CASE id % 3 WHEN 0 THEN 'OK' WHEN 1 THEN 'WARN' ELSE 'INFO' END, CASE WHEN seven = 0 OR r = 0 OR one = 0 THEN 'INFO' ELSE 'OK' END, CASE WHEN id % 11 = 0 THEN 'WARN' ELSE 'OK' END]) AS severity FROM i)"""
+
+
+def _indexes(spark: SparkSession, d: str) -> DataFrame:
+    """A supplier's line items stand for the counts of an index."""
+    n, c = F.count_if, F.col
+    i = table(spark, d, "lineitem").groupBy(c("l_suppkey").alias("id")).agg(F.count("*").alias("nodes"), n(c("l_returnflag") == "R").alias("r"), n(c("l_linestatus") == "F").alias("functions"), n(c("l_linenumber") == 1).alias("calls"), n(c("l_linenumber") == 7).alias("entrypoints"), n(c("l_quantity") < 45).alias("indexed"))
+    provider = F.when(c("id") % 3 == 0, "contributed").when(c("id") % 3 == 1, "enabled").otherwise("off")
+    one = lambda cond: F.when(cond, 1).otherwise(0)
+    return i.withColumns({"discovered": c("nodes"), "relationships": c("nodes"), "symbols": c("nodes"), "code_files": c("nodes"), "resolved_ratio": c("r") / c("nodes"), "missing_grammars": one(c("id") % 7 == 0), "provider": provider, "configs": c("entrypoints"), "dependencies": c("r"), "tests": c("calls"), "silent_languages": one(c("id") % 11 == 0)})
+
+
+@query(f"WITH {_INDEXES} SELECT \"check\", severity, count(*) AS n FROM k GROUP BY ALL")
 def health_checks(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "documents").agg(F.count("*").alias("files"), F.count_if(F.col("n_chars") > 200).alias("parsed"), F.count_if(F.col("n_chars") <= 200).alias("skipped"))
-    m = m.withColumns({"nodes": F.col("files"), "edges": F.col("files"), "dangling": F.lit(2), "resolved_ratio": F.lit(0.5), "entrypoints": F.lit(None).cast("long"), "languages_missing": F.lit(0), "providers": F.lit(3)})
-    return integrity.health_checks(m).select("check", "status")
+    return integrity.health_checks(_indexes(spark, d)).groupBy("check", "severity").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'C' AS grade, 1::BIGINT AS fails, (SELECT count(*) FROM region WHERE r_regionkey = 0) AS warns")
+@query(f"""WITH {_INDEXES}, s AS (SELECT count(*) FILTER (severity = 'FAIL') AS fails, count(*) FILTER (severity = 'WARN') AS warns, count(*) FILTER (severity = 'FAIL' AND "check" IN ('non_empty', 'file_coverage', 'symbols', 'relationships')) AS fatal, count(*) FILTER (severity = 'WARN' AND "check" IN ('entrypoints', 'relationships')) AS blind FROM k WHERE id = 3)
+SELECT CASE WHEN fatal > 0 THEN 'F' WHEN fails > 0 OR blind > 0 THEN 'C' WHEN warns = 0 THEN 'A' WHEN warns <= 2 THEN 'B' ELSE 'C' END AS grade, fails, warns FROM s""")
 def health_grade(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "region").agg(F.count("*").alias("files")).select("files", F.col("files").alias("parsed"), F.lit(0).alias("skipped"), F.lit(9).alias("nodes"), F.lit(9).alias("edges"), F.lit(2).alias("dangling"), F.lit(0.5).alias("resolved_ratio"), F.lit(None).cast("long").alias("entrypoints"), F.lit(0).alias("languages_missing"), F.lit(3).alias("providers"))
-    return integrity.health_grade(integrity.health_checks(m))
+    """The grade of one index."""
+    return integrity.health_grade(integrity.health_checks(_indexes(spark, d).filter("id = 3")))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'R' WHEN o_orderkey % 5 = 0 OR o_orderkey % 11 = 0 OR o_custkey % 30 > 10 THEN 'C' WHEN o_orderkey % 3 = 0 THEN 'B' ELSE 'A' END AS level FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 13 = 0 THEN 'R' WHEN o_orderkey % 5 = 0 OR o_orderkey % 17 = 0 OR o_orderkey % 19 = 0 OR o_orderkey % 11 = 0 OR o_custkey % 30 > 10 THEN 'C' WHEN o_orderkey % 3 = 0 THEN 'B' ELSE 'A' END AS level FROM orders""")
 def assurance_level(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     one = lambda c: F.when(c, 1).otherwise(0)
-    rows = table(spark, d, "orders").select(k, one(k % 7 == 0).alias("failed_stages"), one(k % 5 == 0).alias("unsupported"), F.when(k % 11 != 0, F.col("o_custkey") % 30).alias("coverage_swing"), one(k % 3 == 0).alias("unproved_siblings"))
+    rows = table(spark, d, "orders").select(
+        k, (k % 7 != 0).alias("gauntlet_passed"), (k % 13 != 0).alias("exploit_eliminated"), F.when(k % 17 != 0, True).alias("replay_passed"), (k % 19 != 0).alias("contract_passed"), one(k % 5 == 0).alias("unsupported"),
+        F.lit(50.0).alias("coverage_before"), F.when(k % 11 != 0, 50.0 - F.col("o_custkey") % 30).alias("coverage_after"), one(k % 3 == 0).alias("unproved_siblings"),
+    )
     return integrity.assurance_level(rows).select("o_orderkey", "level")
 
 

@@ -48,14 +48,8 @@ def identifier_functions(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", tx.slugify(F.col("p_name")).alias("slug"), tx.clean_metric(F.col("p_type")).alias("metric"), tx.safe_charset(F.col("p_name")).alias("safe"), tx.count_of(F.col("p_type"), "AEIOU ").cast("long").alias("vowels"), tx.last_identifier(F.replace("p_type", F.lit(" "), F.lit("."))).alias("last_word"))
 
 
-@query(r"""SELECT l_orderkey, l_linenumber, list_slice(list_distinct_keep, 1, 12) AS bounds FROM (SELECT l_orderkey, l_linenumber, [l_linenumber - 1, l_linenumber, l_linenumber + 1, l_linenumber + 2] AS list_distinct_keep FROM lineitem WHERE l_linenumber <= 2)""")
-def boundary_values(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").filter("l_linenumber <= 2")
-    return rows.select("l_orderkey", "l_linenumber", tx.boundary_values(F.array("l_linenumber", F.col("l_linenumber") + 1)).alias("bounds"))
-
-
 @query(r"""SELECT l_orderkey, l_linenumber, [l_linenumber - 1, l_linenumber, l_linenumber + 1, l_linenumber + 2] AS bounds FROM lineitem""")
-def boundary_values_whole(spark: SparkSession, d: str) -> DataFrame:
+def boundary_values(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tx.boundary_values(F.array("l_linenumber", F.col("l_linenumber") + 1)).alias("bounds"))
 
 
@@ -179,23 +173,17 @@ def closure_depth6(spark: SparkSession, d: str) -> DataFrame:
     return graph.closure(graph.merge_edges(key_edges(spark, d)), seeds, 6).groupBy("root", "hops").agg(F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE n AS (SELECT DISTINCT user_id AS a, lead(user_id) OVER (ORDER BY ts, event_id) AS b, CAST(ts AS DATE) AS day FROM events),
-e AS (SELECT DISTINCT a, b FROM n WHERE b IS NOT NULL AND a < 40 AND b < 40), c AS (SELECT 1::BIGINT AS uid, 0 AS hops UNION SELECT b, hops + 1 FROM c JOIN e ON uid = a WHERE hops < 6)
-SELECT uid, min(hops) AS hops FROM c WHERE uid <> 1 GROUP BY uid""")
+@query("""WITH RECURSIVE n AS (SELECT user_id AS a, lead(user_id) OVER (ORDER BY ts, event_id) AS b FROM events),
+e AS (SELECT DISTINCT a, b FROM n WHERE a IS NOT NULL AND b IS NOT NULL), c AS (SELECT DISTINCT a AS root, a AS uid, 0 AS hops FROM (SELECT user_id AS a FROM events WHERE user_id IS NOT NULL) UNION SELECT root, b, hops + 1 FROM c JOIN e ON uid = a WHERE hops < 6)
+SELECT root, uid, min(hops) AS hops FROM c WHERE uid <> root GROUP BY root, uid""")
 def closure_cyclic(spark: SparkSession, d: str) -> DataFrame:
-    """A dense graph with cycles: who follows whom in the event log."""
-    e = table(spark, d, "events").select("user_id", "ts", "event_id")
-    step = e.withColumn("b", F.lead("user_id").over(Window.orderBy("ts", "event_id"))).filter("b is not null and user_id < 40 and b < 40")
-    edges = step.select(F.col("user_id").cast("string").alias("src"), F.col("b").cast("string").alias("dst")).distinct()
-    seed = spark.createDataFrame([("1",)], "uid string")
-    return graph.closure(edges, seed, 6).select(F.col("uid").cast("long").alias("uid"), "hops").filter("uid <> 1")
-
-
-@query()
-def closure_cyclic_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Who follows whom in the event log, from every user to every other."""
-    e = table(spark, d, "events").select("user_id", "ts", "event_id")
-    step = e.withColumn("b", F.lead("user_id").over(Window.orderBy("ts", "event_id"))).filter("user_id is not null and b is not null")
+    """A dense graph with cycles: who follows whom in the event log, from every user to every other. What follows
+    a row is read within its day, and across days between their ends, so no task orders the whole log."""
+    e = table(spark, d, "events").select("user_id", "ts", "event_id").withColumn("day", F.to_date("ts"))
+    inner = e.withColumn("b", F.lead("user_id").over(Window.partitionBy("day").orderBy("ts", "event_id"))).select("user_id", "b")
+    ends = e.groupBy("day").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"), F.max_by("user_id", F.struct("ts", "event_id")).alias("last"))
+    across = ends.select(F.col("last").alias("user_id"), F.lead("first").over(Window.orderBy("day")).alias("b"))  # a row a day
+    step = inner.union(across).filter("user_id is not null and b is not null")
     edges = step.select(F.col("user_id").cast("string").alias("src"), F.col("b").cast("string").alias("dst")).distinct()
     seeds = e.filter("user_id is not null").select(F.col("user_id").cast("string").alias("uid")).distinct()
     found = graph.closure(edges, seeds, 6).filter("root <> uid")
@@ -219,7 +207,7 @@ r AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)"""
 
 def _reach(spark: SparkSession, d: str) -> DataFrame:
     nodes = key_nodes(spark, d)
-    edges = graph.merge_edges(key_edges(spark, d)).filter("kind <> 'PLACED'")
+    edges = graph.merge_edges(key_edges(spark, d))
     entry = nodes.filter("kind = 'region' and seq < 3").select("uid")
     return graph.reachability(nodes, edges, entry)
 
@@ -257,10 +245,10 @@ def subgraph2(spark: SparkSession, d: str) -> DataFrame:
     return graph.subgraph(graph.merge_edges(key_edges(spark, d)), "nation:4", 2, 200)
 
 
-@query(f"""WITH {NODES_SQL}, o AS (SELECT uid, file, regexp_replace(file, '/[^/]*$', '') AS dir FROM nodes WHERE kind IN ('nation', 'supplier'))
+@query(f"""WITH {NODES_SQL}, o AS (SELECT uid, file, regexp_replace(file, '/[^/]*$', '') AS dir FROM nodes)
 SELECT uid, sibling, tier, rank FROM (SELECT a.uid, b.uid AS sibling, CASE WHEN a.file = b.file THEN 1 ELSE 2 END AS tier, row_number() OVER (PARTITION BY a.uid ORDER BY CASE WHEN a.file = b.file THEN 1 ELSE 2 END, b.uid) AS rank FROM o a JOIN o b ON a.dir = b.dir AND a.uid <> b.uid) WHERE rank <= 40""")
 def siblings(spark: SparkSession, d: str) -> DataFrame:
-    return graph.siblings(key_nodes(spark, d).filter("kind in ('nation', 'supplier')"))
+    return graph.siblings(key_nodes(spark, d))
 
 
 @query(f"WITH {NODES_SQL} SELECT uid, name FROM nodes WHERE contains(lower(name), '12') OR contains(lower(uid), '12') ORDER BY lower(name) <> '12', length(uid), uid LIMIT 40")
@@ -286,19 +274,14 @@ def untested_entities(spark: SparkSession, d: str) -> DataFrame:
     return graph.untested(nodes, graph.merge_edges(key_edges(spark, d)).filter("kind = 'PLACED'").withColumn("kind", F.lit("TESTED_BY"))).select("uid")
 
 
-@query("""WITH s AS (SELECT p_partkey AS uid, 'd' || p_size % 5 || '/f' || p_partkey % 11 AS file, p_brand AS name, 'd' || p_size % 5 AS dir FROM part WHERE p_partkey % 20 = 0),
-c AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, 'd' || l_suppkey % 5 || '/f' || l_partkey % 11 AS file, 'd' || l_suppkey % 5 AS dir, 'Brand#' || (l_partkey % 5 + 1) || (l_suppkey % 5 + 1) AS name FROM lineitem WHERE l_orderkey % 50 = 0),
-j AS (SELECT call_id, s.uid AS dst, CASE WHEN c.file = s.file THEN 1 WHEN c.dir = s.dir THEN 2 ELSE 3 END AS tier FROM c JOIN s USING (name)),
-b AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY call_id) AS best FROM j) WHERE tier = best),
-r AS (SELECT *, count(*) OVER (PARTITION BY call_id) AS n, row_number() OVER (PARTITION BY call_id ORDER BY dst) AS rn FROM b)
-SELECT call_id, dst, tier, round(CASE tier WHEN 1 THEN 0.75 WHEN 2 THEN 0.55 ELSE 0.35 END / least(n, 3), 3)::DOUBLE AS confidence FROM r WHERE rn <= 3""")
+@query("""WITH s AS (SELECT p_partkey AS uid, 'd' || p_size % 5 || '/f' || p_partkey % 11 AS file, p_brand AS name, 'd' || p_size % 5 AS dir FROM part),
+c AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS call_id, 'd' || l_suppkey % 5 || '/f' || l_partkey % 11 AS file, 'd' || l_suppkey % 5 AS dir, 'Brand#' || (l_partkey % 5 + 1) || (l_suppkey % 5 + 1) AS name FROM lineitem),
+t AS (SELECT 1 AS tier, name, file AS place, count(*) AS n, list_sort(list(uid))[:3] AS ids FROM s GROUP BY name, file UNION ALL SELECT 2, name, dir, count(*), list_sort(list(uid))[:3] FROM s GROUP BY name, dir UNION ALL SELECT 3, name, '', count(*), list_sort(list(uid))[:3] FROM s GROUP BY name),
+j AS (SELECT call_id, tier, n, ids FROM c JOIN t USING (name) WHERE place = CASE tier WHEN 1 THEN file WHEN 2 THEN dir ELSE '' END),
+b AS (SELECT call_id, min(tier) AS tier FROM j GROUP BY call_id),
+p AS (SELECT call_id, tier, sum(n) AS n, list_sort(flatten(list(ids)))[:3] AS ids FROM j JOIN b USING (call_id, tier) GROUP BY call_id, tier)
+SELECT call_id, unnest(ids) AS dst, tier, round(CASE tier WHEN 1 THEN 0.75 WHEN 2 THEN 0.55 ELSE 0.35 END / least(n, 3), 3)::DOUBLE AS confidence FROM p""")
 def resolve_names(spark: SparkSession, d: str) -> DataFrame:
-    """A share of both tables, as its SQL meets all pairs of a name; `resolve_names_whole` reads all."""
-    return _resolve(table(spark, d, "part").filter("p_partkey % 20 = 0"), table(spark, d, "lineitem").filter("l_orderkey % 50 = 0"))
-
-
-@query()
-def resolve_names_whole(spark: SparkSession, d: str) -> DataFrame:
     return _resolve(table(spark, d, "part"), table(spark, d, "lineitem"))
 
 
@@ -323,23 +306,13 @@ def orphans(spark: SparkSession, d: str) -> DataFrame:
     return graph.orphans(key_nodes(spark, d), edges).select("uid")
 
 
-@query(f"""WITH {NODES_SQL}, {EDGES_SQL}, s AS (SELECT uid FROM nodes WHERE file = 'crm/customer/3' AND seq < 200), u1 AS (SELECT DISTINCT src AS uid FROM edges JOIN s ON dst = s.uid), u2 AS (SELECT DISTINCT src AS uid FROM edges JOIN u1 ON dst = u1.uid),
-u AS (SELECT uid FROM u1 UNION SELECT uid FROM u2), a AS (SELECT uid FROM s UNION SELECT uid FROM u)
-SELECT 'symbol' AS kind, uid FROM s UNION ALL SELECT 'dependent', uid FROM u UNION ALL SELECT DISTINCT 'file', file FROM nodes WHERE uid IN (SELECT uid FROM a) UNION ALL SELECT 'entrypoint', uid FROM a WHERE starts_with(uid, 'region')""")
-def affected_closure(spark: SparkSession, d: str) -> DataFrame:
-    nodes = key_nodes(spark, d)
-    known = nodes.filter("kind <> 'customer' or seq < 200")
-    changed = spark.createDataFrame([("crm/customer/3",)], "file string")
-    return graph.affected(changed, known, graph.merge_edges(key_edges(spark, d)).filter("kind <> 'PLACED'"), nodes.filter("kind = 'region'"))
-
-
 @query(f"""WITH {NODES_SQL}, {EDGES_SQL}, s AS (SELECT uid FROM nodes WHERE file = 'crm/customer/3'), u1 AS (SELECT DISTINCT src AS uid FROM edges JOIN s ON dst = s.uid), u2 AS (SELECT DISTINCT src AS uid FROM edges JOIN u1 ON dst = u1.uid),
 u AS (SELECT uid FROM u1 UNION SELECT uid FROM u2), a AS (SELECT uid FROM s UNION SELECT uid FROM u)
 SELECT 'symbol' AS kind, uid FROM s UNION ALL SELECT 'dependent', uid FROM u UNION ALL SELECT DISTINCT 'file', file FROM nodes WHERE uid IN (SELECT uid FROM a) UNION ALL SELECT 'entrypoint', uid FROM a WHERE starts_with(uid, 'region')""")
-def affected_closure_whole(spark: SparkSession, d: str) -> DataFrame:
+def affected_closure(spark: SparkSession, d: str) -> DataFrame:
     nodes = key_nodes(spark, d)
     changed = spark.createDataFrame([("crm/customer/3",)], "file string")
-    return graph.affected(changed, nodes, graph.merge_edges(key_edges(spark, d)).filter("kind <> 'PLACED'"), nodes.filter("kind = 'region'"))
+    return graph.affected(changed, nodes, graph.merge_edges(key_edges(spark, d)), nodes.filter("kind = 'region'"))
 
 
 # -- flows ------------------------------------------------------------------------------------------
@@ -349,8 +322,7 @@ f AS (SELECT src.ref AS source_ref, snk.ref AS sink_ref, src.c AS sc, snk.c AS k
 
 
 def _pairs(spark: SparkSession, d: str, cap: int = 20_000) -> DataFrame:
-    edges = graph.merge_edges(key_edges(spark, d)).filter("kind in ('HAS_NATION', 'HAS_CUSTOMER')")
-    nodes = key_nodes(spark, d)
+    edges, nodes = graph.merge_edges(key_edges(spark, d)), key_nodes(spark, d)
     sources = nodes.filter("kind = 'region'").select(F.concat(F.lit("s"), F.col("seq").cast("string")).alias("ref"), F.col("uid").alias("owner"), (0.5 + 0.1 * (F.col("seq") % 3)).alias("confidence"))
     sinks = nodes.filter("kind = 'customer'").select(F.concat(F.lit("k"), F.col("seq").cast("string")).alias("ref"), F.col("uid").alias("owner"), (0.3 + 0.1 * (F.col("seq") % 7)).alias("confidence"))
     return flows.pair_flows(sources, sinks, graph.shortest_paths(edges, sources.select(F.col("owner").alias("uid")), 3), cap)
@@ -361,11 +333,11 @@ def flow_pairs_capped(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d, 500).select("source_ref", "sink_ref", F.round("path_confidence", 3).alias("path_confidence"))
 
 
-@query(f"WITH {_FLOWS} SELECT source_ref, sink_ref, round(least(0.9, greatest(0.05, least(sc, kc) * CASE WHEN pc = 1 THEN 1.0 ELSE 0.6 END * greatest(0.4, 1 - 0.08 * (3 - 2)) * 0.55)), 4)::DOUBLE AS confidence, round(least(sc, kc) * 0.5, 4)::DOUBLE AS proximity FROM f")
+@query(f"WITH {_FLOWS} SELECT source_ref, sink_ref, round(least(0.9, greatest(0.05, least(sc, kc) * CASE WHEN pc = 1 THEN 1.0 ELSE 0.6 END * greatest(0.4, 1 - 0.08 * (3 - 2)) * 0.55)), 3)::DOUBLE AS confidence, round(least(sc, kc) * 0.5, 4)::DOUBLE AS proximity FROM f")
 def flow_confidence(spark: SparkSession, d: str) -> DataFrame:
     p = _pairs(spark, d, 1 << 30)
     value = flows.call_path_confidence(F.col("source_confidence"), F.col("sink_confidence"), F.col("path_confidence") == 1, F.size("path"), F.lit(True))
-    return p.select("source_ref", "sink_ref", F.round(value, 4).alias("confidence"), F.round(flows.proximity_confidence(F.col("source_confidence"), F.col("sink_confidence")), 4).alias("proximity"))
+    return p.select("source_ref", "sink_ref", value.alias("confidence"), F.round(flows.proximity_confidence(F.col("source_confidence"), F.col("sink_confidence")), 4).alias("proximity"))
 
 
 _SURFACE = """SELECT o_orderkey, round(((CASE o_orderpriority WHEN '1-URGENT' THEN 5 WHEN '2-HIGH' THEN 4 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 2 ELSE 1 END / 5)
@@ -402,8 +374,8 @@ def top_flows(spark: SparkSession, d: str) -> DataFrame:
     return flows.top_flows(rows).select("ref", F.col("p").alias("severity"), "confidence")
 
 
-@query("""SELECT p_partkey, round(least(0.95, greatest(0.05, 0.5 + CASE WHEN p_size % 2 = 0 THEN 0.15 ELSE 0 END - CASE WHEN p_size % 3 = 0 THEN 0.15 ELSE 0 END - CASE WHEN p_size % 5 = 0 THEN 0.35 ELSE 0 END - least(0.2, 0.03 * (p_size % 9)))), 4)::DOUBLE AS taint,
+@query("""SELECT p_partkey, round(least(0.95, greatest(0.05, 0.5 + CASE WHEN p_size % 2 = 0 THEN 0.15 ELSE 0 END - CASE WHEN p_size % 3 = 0 THEN 0.15 ELSE 0 END - CASE WHEN p_size % 5 = 0 THEN 0.35 ELSE 0 END - least(0.2, 0.03 * (p_size % 9)))), 3)::DOUBLE AS taint,
  round(least(0.97, 0.55 + CASE WHEN p_size % 4 = 0 THEN 0.2 ELSE 0 END + CASE WHEN p_size % 2 = 0 THEN 0.15 ELSE 0 END + least(0.1, 0.02 * (p_size % 9))), 2)::DOUBLE AS triage FROM part""")
 def taint_and_triage(spark: SparkSession, d: str) -> DataFrame:
     p, s = table(spark, d, "part"), F.col("p_size")
-    return p.select("p_partkey", F.round(flows.taint_confidence(F.lit(0.5), s % 9, s % 2 == 0, s % 3 == 0, s % 5 == 0), 4).alias("taint"), flows.triage(F.when(s % 4 == 0, "CWE-1").otherwise(""), s % 2 == 0, s % 9).alias("triage"))
+    return p.select("p_partkey", flows.taint_confidence(F.lit(0.5), s % 9, s % 2 == 0, s % 3 == 0, s % 5 == 0).alias("taint"), flows.triage(F.when(s % 4 == 0, "CWE-1").otherwise(""), s % 2 == 0, s % 9).alias("triage"))

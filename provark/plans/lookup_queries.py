@@ -85,10 +85,11 @@ def sibling_shortlist(spark: SparkSession, d: str) -> DataFrame:
     return candidates.sibling_shortlist(rows, ["@", "1"], repaired).select("id", "line", "rule_id", "confidence")
 
 
-@query("SELECT run_id, risk FROM (SELECT o_orderkey AS run_id, 'status ' || o_orderstatus AS risk FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'the change was refuted' WHEN 1 THEN 'behaviour not fully measured' WHEN 2 THEN 'similar places unproved' END FROM orders) WHERE risk IS NOT NULL")
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders) SELECT k AS run_id, 'unproved: ' || s AS risk FROM o WHERE k % 3 = 0 AND k % 4 IN (1, 2) UNION ALL
+SELECT k, 'coverage moved' FROM o WHERE k % 4 = 1 UNION ALL SELECT k, 'the change was refuted' FROM o WHERE k % 4 = 0""")
 def residual_risks(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    stated = F.when(k % 3 == 0, F.array(F.concat(F.lit("status "), F.col("o_orderstatus")))).otherwise(F.array().cast("array<string>"))
+    stated = F.array_compact(F.array(F.when(k % 3 == 0, F.concat(F.lit("unproved: "), F.col("o_orderstatus"))), F.lit("coverage moved")))
     level = F.when(k % 4 == 0, "R").when(k % 4 == 1, "C").when(k % 4 == 2, "B").otherwise("A")
     return integrity.residual_risks(table(spark, d, "orders").select(k.alias("run_id"), stated.alias("limitations"), level.alias("level")))
 

@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +48,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with each row's place, from 0, in the order given: range partitions are stored sorted, and a partition's rows
+    follow those of the partitions before it. One count a partition is broadcast; no task sorts all rows."""
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stored(sorted_.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "numbered")
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return rows.join(F.broadcast(before), "_part").withColumn(name, F.col("_row") + F.col("_before")).drop("_part", "_row", "_before")
+
+
 def tenant_rows(df: DataFrame, tenant: str, column: str = "tenant_id") -> DataFrame:
     """The rows of one tenant; every read of a tenant table goes through here, and prunes its partitions."""
     return df.filter(df[column] == tenant)

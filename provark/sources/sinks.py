@@ -43,7 +43,7 @@ def append_audit(chain: DataFrame | None, records: DataFrame, key: str, order: s
 
     def step(acc, x):
         previous = F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], head)
-        return F.concat(acc, F.array(F.struct((at + F.size(acc) + 1).alias("seq"), x["e"].alias("evidence_hash"), previous.alias("previous_hash"), link_hash(x["e"], previous).alias("hash"))))
+        return F.concat(acc, F.array(F.struct((at + F.size(acc) + 1).alias("seq"), x["e"].alias("evidence_hash"), previous.alias("previous_hash"), link_hash(F.col("key"), at + F.size(acc) + 1, x["e"], previous).alias("hash"))))
 
     return base.select("key", F.explode(F.aggregate("l", start, step)).alias("r")).select("key", "r.*")
 

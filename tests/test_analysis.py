@@ -27,7 +27,7 @@ def test_clause_verdicts(spark):
     assert verdict(spark, "arg_lines_raw % 0 == 1", 5).status == "UNSUPPORTED"
 
 
-@pytest.mark.parametrize("text_", ["__import__('os')", "a.b > 1", "a[0] > 1", "1 < 2", "a + 1", "", "a > " + "1" * 500, "(lambda: 1)() > a", "a > 1 if b else c", "[x for x in a] == 1"])
+@pytest.mark.parametrize("text_", ["__import__('os')", "a.b > 1", "a[0] > 1", "1 < 2", "a + 1", "", "a > " + "1" * 500, "(lambda: 1)() > a", "a > 1 if b else c", "a > 1; b", "(a >\n 1)", "[x for x in a] == 1"])
 def test_hostile_predicates(text_):
     with pytest.raises(contract.Rejected):
         contract.Predicate(text_)
@@ -89,9 +89,54 @@ def test_replay(spark):
 
 
 def test_assurance(spark):
-    rows = [("A", 0, 0, 1.0, 0), ("B", 0, 0, 1.0, 2), ("C", 0, 1, 1.0, 0), ("C", 0, 0, 11.0, 0), ("C", 0, 0, None, 0), ("R", 1, 0, 1.0, 0)]
-    df = spark.createDataFrame(rows, "want string, failed_stages int, unsupported int, coverage_swing double, unproved_siblings int")
+    good = dict(gauntlet_passed=True, exploit_eliminated=True, replay_passed=True, contract_passed=True, unsupported=0, coverage_before=70.0, coverage_after=71.0, unproved_siblings=0)
+    cases = [("A", {}), ("A", {"coverage_after": 80.0}), ("B", {"unproved_siblings": 2}), ("C", {"unsupported": 1}), ("C", {"coverage_after": 59.9}), ("C", {"coverage_after": None}), ("C", {"replay_passed": False, "unproved_siblings": 1}), ("C", {"contract_passed": None}), ("R", {"gauntlet_passed": False}), ("R", {"exploit_eliminated": False, "unsupported": 1})]
+    schema = "want string, gauntlet_passed boolean, exploit_eliminated boolean, replay_passed boolean, contract_passed boolean, unsupported int, coverage_before double, coverage_after double, unproved_siblings int"
+    df = spark.createDataFrame([(want, *(good | more).values()) for want, more in cases], schema)
     assert all(r.want == r.level for r in integrity.assurance_level(df).collect())
+    risks = integrity.residual_risks(spark.createDataFrame([(x, x, ["unproved: a.py:3", "coverage moved"]) for x in "ABCR"], "run_id string, level string, limitations array<string>"))
+    assert sorted(map(tuple, risks.collect())) == [("B", "unproved: a.py:3"), ("C", "coverage moved"), ("C", "unproved: a.py:3"), ("R", "the change was refuted")]
+
+
+INDEX = dict(nodes=50, relationships=40, calls=20, discovered=10, indexed=10, symbols=30, functions=20, code_files=10, resolved_ratio=0.7, entrypoints=3, missing_grammars=0, provider="contributed", configs=1, dependencies=1, tests=1, silent_languages=0)
+
+
+@pytest.mark.parametrize("change, failing, grade", [
+    ({}, {}, "A"), ({"indexed": 9}, {"file_coverage": "WARN"}, "B"), ({"indexed": 7}, {"file_coverage": "FAIL"}, "F"), ({"nodes": 0}, {"non_empty": "FAIL"}, "F"), ({"functions": 4}, {"symbols": "WARN"}, "B"), ({"symbols": 0}, {"symbols": "FAIL"}, "F"),
+    ({"relationships": 0}, {"relationships": "FAIL", "resolution": "INFO"}, "F"), ({"calls": 0}, {"relationships": "WARN"}, "C"), ({"entrypoints": 0}, {"entrypoints": "WARN"}, "C"), ({"tests": 0, "provider": "off"}, {"sections": "INFO", "provider": "INFO"}, "A"),
+    ({"resolved_ratio": 0.5, "missing_grammars": 1, "silent_languages": 1}, {"resolution": "WARN", "grammars": "WARN", "language_parity": "WARN"}, "C"),
+])
+def test_index_health(spark, change, failing, grade):
+    row = INDEX | change
+    schema = ", ".join(f"{k} {'string' if k == 'provider' else 'double' if k == 'resolved_ratio' else 'int'}" for k in row)
+    checks = integrity.health_checks(spark.createDataFrame([tuple(row.values())], schema))
+    assert {r.check: r.severity for r in checks.collect() if r.severity != "OK"} == failing
+    assert integrity.health_grade(checks).head().grade == grade
+
+
+def test_flow_confidences(spark):
+    from provark.operators import flows
+
+    lit = lambda *xs: [F.lit(x) for x in xs]
+    value = lambda c: spark.range(1).select(c).head()[0]
+    assert value(flows.call_path_confidence(*lit(0.5, 0.5, True, 1, False))) == 0.5  # one node is no longer a path than two
+    assert value(flows.call_path_confidence(*lit(0.7, 0.9, False, 4, False))) == 0.353
+    assert value(flows.taint_confidence(*lit(0.123456, 1, False, False, False))) == 0.093
+
+
+def test_clauses_over_texts_and_flags(spark):
+    rows = [(1, "m:f", "c1", {"n": 3.0}, {"op": "ping"}, {"ok": True}), (2, "m:f", "c2", {"n": 4.0}, {"op": "x"}, {"ok": False}), (3, "m:f", "c3", {}, {}, {})]
+    records = spark.createDataFrame(rows, "seq long, scope string, case_id string, metrics map<string,double>, texts map<string,string>, flags map<string,boolean>")
+    judge = lambda p, scope="": tuple(contract.verdicts(records, [("c", scope, p)]).select("passed", "failed").head())
+    assert judge("op in ['ping', 'x']") == (2, 0) and judge("op == 'ping'") == (1, 1) and judge("op not in ['ping']", "m:*") == (1, 1)
+    assert judge("ok == True") == (1, 1) and judge("not (ok == True)") == (1, 1) and judge("ok and n <= 3") == (1, 1) and judge("ok + n == 4") == (2, 0)
+    assert judge("op == 5") == (0, 0)  # a number is asked for and there is none
+    assert judge("op in ['ping', 3] and op != 'x'") == (1, 1)
+    long = [(s, "m:f", f"c{s}", "call", m, t, n, x, b) for s, m, t, n, x, b in [(1, "op", "str", None, "ping", None), (2, "op", "str", None, "x", None), (1, "ok", "bool", None, None, True), (2, "ok", "bool", None, None, False), (1, "n", "num", 3.0, None, None), (2, "n", "num", 4.0, None, None)]]
+    metrics = spark.createDataFrame(long, contract.METRICS)
+    wide, last = contract.falsify(contract.profiles(metrics.filter("seq = 1")), records, metrics)
+    assert {r.metric: (r.high, r["values"]) for r in wide.collect()} == {"n": (4.0, None), "op": (None, ["ping", "x"]), "ok": (None, None)}
+    assert {r.clause_id: r.status for r in last.collect()} == {"m:f/n": "SURVIVING", "m:f/op": "SURVIVING", "m:f/ok": "FALSIFIED"}
 
 
 def test_chain(spark):
@@ -116,9 +161,9 @@ def test_certificates(spark):
 
 
 def test_reproductions(spark):
-    rows = [("a", "FIRED"), ("a", "FIRED"), ("b", "FIRED"), ("b", "HELD"), ("c", "UNSUPPORTED")]
+    rows = [("a", "FIRED"), ("a", "FIRED"), ("b", "FIRED"), ("b", "HELD"), ("c", "UNSUPPORTED"), ("d", "HELD"), ("d", "UNSUPPORTED"), ("e", "HELD")]
     got = {r.plan_id: r.outcome for r in compare.reproduction_gate(spark.createDataFrame(rows, "plan_id string, verdict string")).collect()}
-    assert got == {"a": "reproduced", "b": "below threshold", "c": "unresolved"}
+    assert got == {"a": "reproduced", "b": "below threshold", "c": "unresolved", "d": "unresolved", "e": "held"}
 
 
 def test_calls_and_returns(spark):

@@ -170,14 +170,14 @@ def test_resolve_names_reads_whole_tables(spark):
     d = "/root/testdata/sf0.001"
     symbols = [(p, f"d{z % 5}/f{p % 11}", b) for p, z, b in spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size", "p_brand").collect()]
     calls = {(o * 10 + n, -1, f"d{s % 5}/f{p % 11}", f"Brand#{p % 5 + 1}{s % 5 + 1}") for o, n, p, s in spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").collect()}
-    assert sorted(tuple(r) for r in entry.queries()["resolve_names_whole"](spark, d).collect()) == brute_resolve(calls, symbols)
+    assert sorted(tuple(r) for r in entry.queries()["resolve_names"](spark, d).collect()) == brute_resolve(calls, symbols)
 
 
 def test_root_cause_claims_every_line_item(spark):
     import __spark_entry__ as entry
 
     d = "/root/testdata/sf0.001"
-    assert entry.queries()["root_cause_band_whole"](spark, d).count() == spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct().count()
+    assert entry.queries()["root_cause_band"](spark, d).count() == spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct().count()
 
 
 def test_closure_of_the_whole_event_log(spark):
@@ -194,7 +194,7 @@ def test_closure_of_the_whole_event_log(spark):
             level = {b for a in level for b in steps.get(a, ())} - set(hops)
             hops |= dict.fromkeys(level, h)
         want |= {(root, u, h) for u, h in hops.items() if u != root}
-    got = [tuple(r) for r in entry.queries()["closure_cyclic_whole"](spark, d).collect()]
+    got = [tuple(r) for r in entry.queries()["closure_cyclic"](spark, d).collect()]
     assert len(got) == len(want) and set(got) == want
 
 
@@ -202,6 +202,6 @@ def test_affected_and_boundaries_read_whole_tables(spark):
     import __spark_entry__ as entry
 
     d = "/root/testdata/sf0.01"
-    symbols = entry.queries()["affected_closure_whole"](spark, d).filter("kind = 'symbol'").count()
+    symbols = entry.queries()["affected_closure"](spark, d).filter("kind = 'symbol'").count()
     assert symbols == spark.read.parquet(f"{d}/customer.parquet").filter("c_custkey % 10 = 3").count()
-    assert entry.queries()["boundary_values_whole"](spark, d).count() == spark.read.parquet(f"{d}/lineitem.parquet").count()
+    assert entry.queries()["boundary_values"](spark, d).count() == spark.read.parquet(f"{d}/lineitem.parquet").count()
