@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import difflib
 import hashlib
-import hmac
 import json
+import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import StringType
 
 #: Fields that differ from run to run and are taken out before a comparison.
 VOLATILE = {"timestamp", "duration", "duration_ms", "elapsed", "request_id", "trace_id", "pid"}
@@ -46,47 +47,72 @@ def without_volatile(texts: pd.Series) -> pd.Series:
 
 
 def hmac_sha256(key: bytes):
-    @F.pandas_udf(StringType())
-    def sign(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else hmac.new(key, t.encode(), hashlib.sha256).hexdigest())
+    """text column -> signature: two SHA-256 over the key's fixed pads, as the standard composes them."""
+    own = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    pad = lambda by: F.lit(bytearray(b ^ by for b in own))
+
+    def sign(text) -> Column:
+        inner = F.sha2(F.concat(pad(0x36), F.encode(text, "UTF-8")), 256)
+        return F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 256)
 
     return sign
 
 
 def hmac_verify(key: bytes):
-    @F.pandas_udf(BooleanType())
-    def verify(texts: pd.Series, signatures: pd.Series) -> pd.Series:
-        good = [t is not None and s is not None and hmac.compare_digest(hmac.new(key, t.encode(), hashlib.sha256).hexdigest(), s) for t, s in zip(texts, signatures)]
-        return pd.Series(good, dtype=bool)
-
-    return verify
+    """(text, signature) columns -> whether the signature is the text's; false where either is null."""
+    return lambda text, signature: F.coalesce(hmac_sha256(key)(text) == (F.col(signature) if isinstance(signature, str) else signature), F.lit(False))
 
 
 @F.pandas_udf(StringType())
 def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
-    one = lambda a, b: "".join(difflib.unified_diff((a or "").splitlines(True), (b or "").splitlines(True), "a", "b"))
+    """Diffs of texts, null as empty; a last line without an end is marked as such."""
+    ended = lambda line: line if line.endswith("\n") else f"{line}\n{NO_END}\n"
+    one = lambda a, b: "".join(map(ended, difflib.unified_diff(_lines(a), _lines(b), "a", "b")))
     return pd.Series([one(a, b) for a, b in zip(before, after)], dtype=object)
 
 
+NO_END = "\\ No newline at end of file"
+
+
+def _lines(text: str | None) -> list[str]:
+    """Lines with their line feeds; nothing else ends one."""
+    return re.findall(r"[^\n]*\n|[^\n]+", text or "")
+
+
+def hunks(patch: str) -> list[tuple[int, int, list[str]]]:
+    """(first old line from 0, old lines, changed and kept lines) of each hunk; a head's lengths tell where it ends."""
+    out: list[tuple[int, int, list[str]]] = []
+    old = new = 0
+    for line in _lines(patch):
+        if line.startswith("\\ ") and out and out[-1][2]:
+            out[-1][2][-1] = out[-1][2][-1].removesuffix("\n")
+        elif old > 0 or new > 0:
+            out[-1][2].append(line)
+            old -= line[:1] in "- \n"
+            new -= line[:1] in "+ \n"
+        elif head := re.match(r"@@ -(\d+)(?:,(\d+))? \+\d+(?:,(\d+))? @@", line):
+            first, old, new = int(head[1]), int(head[2] or 1), int(head[3] or 1)
+            out.append((first - (old > 0), old, []))
+    return out
+
+
 def apply_patch(before: str, patch: str) -> str:
-    """The text after a unified diff; ValueError where a context or removed line does not match."""
-    source, out, at = before.splitlines(True), [], 0
-    for line in patch.splitlines(True):
-        if line.startswith(("---", "+++")):
-            continue
-        if line.startswith("@@"):
-            first = line.split()[1].lstrip("-").split(",")
-            start = int(first[0]) - (0 if first[1:] == ["0"] else 1)
-            out += source[at:start]
-            at = start
-        elif line[:1] == "+":
-            out.append(line[1:])
-        elif line[:1] in "- ":
-            if at >= len(source) or source[at] != line[1:]:
-                raise ValueError("the patch does not fit")
-            if line[0] == " ":
-                out.append(source[at])
-            at += 1
+    """The text after a unified diff; ValueError where a context or removed line does not match or hunks overlap."""
+    source, out, at = _lines(before), [], 0
+    for start, _, lines in hunks(patch):
+        if start < at:
+            raise ValueError("hunks overlap")
+        out += source[at:start]
+        at = start
+        for line in lines:
+            if line[:1] == "+":
+                out.append(line[1:])
+            elif line[:1] in "- ":
+                if at >= len(source) or source[at] != line[1:]:
+                    raise ValueError("the patch does not fit")
+                if line[0] == " ":
+                    out.append(source[at])
+                at += 1
     return "".join(out + source[at:])
 
 
@@ -107,13 +133,6 @@ def patched(before: pd.Series, patch: pd.Series) -> pd.Series:
 def hunk_summary(patch: pd.Series) -> pd.Series:
     """`hunk: -removed +added` for each hunk, joined by `; `."""
 
-    def one(text):
-        hunks = []
-        for line in (text or "").splitlines():
-            if line.startswith("@@"):
-                hunks.append([0, 0])
-            elif hunks and line[:1] in "+-" and line[:3] not in ("+++", "---"):
-                hunks[-1][line[0] == "+"] += 1
-        return "; ".join(f"hunk: -{a} +{b}" for a, b in hunks)
-
+    count = lambda lines, sign: sum(x[:1] == sign for x in lines)
+    one = lambda text: "; ".join(f"hunk: -{count(x, '-')} +{count(x, '+')}" for _, _, x in hunks(text or ""))
     return patch.map(one)

@@ -120,39 +120,82 @@ def oracle_verdict(kind: Column, exit_code: Column, timed_out: Column, signals:
 
 
 def diff_lines(patches: DataFrame, id_col: str = "id", patch_col: str = "patch") -> DataFrame:
-    """id, at, file, op (+, - or blank), content of the lines of unified diffs, with the file that they change."""
-    rows = patches.select(F.col(id_col).alias("id"), F.posexplode(F.split(patch_col, "\n")).alias("at", "raw"))
-    by = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    named = F.when(F.col("raw").startswith("+++ "), F.regexp_replace(F.substring("raw", 5, 1 << 20), "^b/", ""))
-    return rows.select("id", "at", F.last(named, ignorenulls=True).over(by).alias("file"), "raw")
+    """id, at, file, op, raw of the lines of unified diffs. op: `@` a hunk's head, `f` the file that the lines behind
+    it change (the old name where it is removed), `+`, `-` or a blank inside a hunk, null for anything else.
+
+    A hunk's head says how many lines it has, so a removed line that begins with dashes is no file's head."""
+    line = "struct<at:int,file:string,op:string,raw:string>"
+    length = lambda raw, side: F.coalesce(F.nullif(F.regexp_extract(raw, rf"^@@ {side}[0-9]+(?:,([0-9]+))?", 1), F.lit("")).cast("int"), F.lit(1))
+    name = lambda raw: F.regexp_replace(F.regexp_extract(raw, r"^(?:---|\+\+\+) ([^\t]*)", 1), "^[ab]/", "")
+
+    def step(s, raw):
+        inside, first = (s["old"] > 0) | (s["new"] > 0), F.substring(raw, 1, 1)
+        kind = F.when(first.isin("+", "-"), first).when(first == "\\", F.lit(None)).otherwise(" ")
+        op = F.when(inside, kind).when(raw.startswith("@@ "), "@").when(raw.startswith("+++ "), "f")
+        was = F.when(~inside & raw.startswith("--- "), name(raw)).otherwise(s["was"])
+        file = F.when(op == "f", F.when(name(raw) == "/dev/null", was).otherwise(name(raw))).otherwise(s["file"])
+        own = F.array(F.struct(s["at"].alias("at"), file.alias("file"), op.alias("op"), raw.alias("raw")))
+        return F.struct(
+            (s["at"] + 1).alias("at"),
+            F.when(op == "@", length(raw, "-")).otherwise(s["old"] - F.when(op.isin("-", " "), 1).otherwise(0)).alias("old"),
+            F.when(op == "@", length(raw, r"-\S+ \+")).otherwise(s["new"] - F.when(op.isin("+", " "), 1).otherwise(0)).alias("new"),
+            was.alias("was"),
+            file.alias("file"),
+            F.concat(s["out"], own).alias("out"),
+        )
+
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+    start = F.struct(zero.alias("at"), zero.alias("old"), zero.alias("new"), none.alias("was"), none.alias("file"), F.array().cast(f"array<{line}>").alias("out"))
+    walked = F.aggregate(F.split(patch_col, "\n"), start, step, lambda s: s["out"])
+    return patches.select(F.col(id_col).alias("id"), F.explode(walked).alias("l")).select("id", "l.*")
 
 
 def diff_stats(patches: DataFrame, id_col: str = "id", patch_col: str = "patch") -> DataFrame:
-    """id, files, hunks, added, removed."""
+    """id, files (different ones), hunks, added, removed."""
+    n = lambda op: F.count_if(F.col("op") == op)
     rows = diff_lines(patches, id_col, patch_col)
-    plus = F.col("raw").startswith("+") & ~F.col("raw").startswith("+++")
-    minus = F.col("raw").startswith("-") & ~F.col("raw").startswith("---")
-    return rows.groupBy("id").agg(F.count_if(F.col("raw").startswith("+++ ")).alias("files"), F.count_if(F.col("raw").startswith("@@")).alias("hunks"), F.count_if(plus).alias("added"), F.count_if(minus).alias("removed"))
-
-
-def policy_violations(patches: DataFrame, protected: list[str], max_files: int = 10, max_added: int = 400, banned_imports: tuple[str, ...] = ("os.system", "ctypes", "pickle")) -> DataFrame:
-    """id, rule, detail: a row for each broken rule (protected path, binary, too many files, too large, import)."""
-    rows = diff_lines(patches)
-    stats = diff_stats(patches)
+    return rows.groupBy("id").agg(F.count_distinct(F.when(F.col("op") == "f", F.col("file"))).alias("files"), n("@").alias("hunks"), n("+").alias("added"), n("-").alias("removed"))
+
+
+#: The order of assurance levels, the best first.
+LEVELS = ("A", "B", "C", "R")
+
+
+def policy_violations(
+    patches: DataFrame,
+    protected: list[str],
+    max_files: int = 10,
+    max_added: int = 400,
+    banned_imports: tuple[str, ...] = ("os.system", "ctypes", "pickle"),
+    radius: DataFrame | None = None,
+    max_radius: float = 0.8,
+    levels: DataFrame | None = None,
+    least_level: str = "B",
+) -> DataFrame:
+    """id, rule, detail: a row for each broken rule: protected path, binary, too many files, too large, import and,
+    where given, a blast radius (id, score) beyond its bound and a certificate's level (id, level) below the least."""
+    rows, stats = diff_lines(patches), diff_stats(patches)
     guard = "|".join(glob_to_regex(p) for p in protected) or "$^"
-    paths = rows.filter(F.col("file").rlike(guard)).select("id", F.lit("protected_path").alias("rule"), F.col("file").alias("detail")).distinct()
-    binary = rows.filter(F.col("raw").startswith("Binary files")).select("id", F.lit("binary").alias("rule"), F.lit("").alias("detail")).distinct()
-    imports = rows.filter(F.col("raw").rlike(r"^\+\s*(import|from)\s+(" + "|".join(i.replace(".", r"\.") for i in banned_imports) + r")\b")).select("id", F.lit("import").alias("rule"), F.col("raw").alias("detail"))
-    many = stats.filter(F.col("files") > max_files).select("id", F.lit("file_count").alias("rule"), F.col("files").cast("string").alias("detail"))
-    large = stats.filter(F.col("added") > max_added).select("id", F.lit("size").alias("rule"), F.col("added").cast("string").alias("detail"))
-    return paths.union(binary).union(imports).union(many).union(large)
+    told = lambda df, rule, detail: df.select("id", F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
+    out = told(rows.filter((F.col("op") == "f") & F.col("file").rlike(guard)), "protected_path", F.col("file")).distinct()
+    out = out.union(told(rows.filter(F.col("op").isNull() & F.col("raw").startswith("Binary files")), "binary", F.lit("")).distinct())
+    named = r"^\+\s*(import|from)\s+(" + "|".join(i.replace(".", r"\.") for i in banned_imports) + r")\b"
+    out = out.union(told(rows.filter((F.col("op") == "+") & F.col("raw").rlike(named)), "import", F.col("raw")))
+    out = out.union(told(stats.filter(F.col("files") > max_files), "file_count", F.col("files")))
+    out = out.union(told(stats.filter(F.col("added") > max_added), "size", F.col("added")))
+    if radius is not None:
+        out = out.union(told(radius.join(patches.select("id"), "id", "left_semi").filter(F.col("score") > max_radius), "blast_radius", F.col("score")))
+    if levels is not None:
+        below = levels.join(patches.select("id"), "id", "left_semi").filter(F.col("level").isin(*LEVELS[LEVELS.index(least_level) + 1 :]))
+        out = out.union(told(below, "assurance_level", F.col("level")))
+    return out
 
 
 def before_after(patches: DataFrame) -> DataFrame:
     """id, before, after: the texts on both sides of a diff's hunks."""
-    rows = diff_lines(patches).filter(~F.col("raw").rlike(r"^(\+\+\+|---|@@)"))
-    side = lambda drop: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("raw").startswith(drop), F.struct("at", F.substring("raw", 2, 1 << 20).alias("x"))))), lambda s: s["x"]), "\n")
-    return rows.groupBy("id").agg(side("+").alias("before"), side("-").alias("after"))
+    rows = diff_lines(patches).filter(F.col("op").isin("+", "-", " "))
+    side = lambda op: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("op").isin(op, " "), F.struct("at", F.substring("raw", 2, 1 << 20).alias("x"))))), lambda s: s["x"]), "\n")
+    return rows.groupBy("id").agg(side("-").alias("before"), side("+").alias("after"))
 
 
 def spec_dedup(specs: DataFrame) -> DataFrame:

@@ -151,3 +151,12 @@ def triage(confidence_cwe: Column, reachable: Column, callers: Column) -> Column
     """.55, .2 more with a class, .15 if reachable, .02 a caller up to .1; at most .97."""
     value = 0.55 + F.when(confidence_cwe != "", 0.2).otherwise(0.0) + F.when(reachable, 0.15).otherwise(0.0) + F.least(F.lit(0.1), 0.02 * callers)
     return F.round(F.least(F.lit(0.97), value), 2)
+
+
+def security_stats(flows: DataFrame) -> DataFrame:
+    """metric, key, flows, reachable, sanitized: flows by source kind, by sink kind and by basis."""
+    def by(metric: str) -> DataFrame:
+        own = flows.groupBy(F.col(metric).alias("key"))
+        return own.agg(F.count("*").alias("flows"), F.count_if("reachable").alias("reachable"), F.count_if("sanitized").alias("sanitized")).select(F.lit(metric).alias("metric"), "key", "flows", "reachable", "sanitized")
+
+    return by("source_kind").union(by("sink_kind")).union(by("basis"))

@@ -168,3 +168,19 @@ def residual_risks(runs: DataFrame) -> DataFrame:
     refuted = F.array(F.lit("the change was refuted"))
     risks = F.when(F.col("level") == "B", unproved).when(F.col("level") == "C", F.col("limitations")).when(F.col("level") == "R", refuted)
     return runs.select("run_id", F.explode(risks).alias("risk"))
+
+
+def attach(findings: DataFrame, symbols: DataFrame, flows: DataFrame, tests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the evidence of findings (ref, file, line): the innermost symbol around each (LOCATED_IN), the
+    flows that end there (file, line; EXHIBITS) and the tests of that symbol (uid, test; COVERED_BY). Every end of an
+    edge is a node, once; what no one knows of a finding has no edge."""
+    from provark.operators.graph import innermost
+
+    owned = innermost(findings.select("ref", "file", "line"), symbols).filter("owner is not null")
+    to = lambda df, relation, target: df.select(F.col("ref").alias("source_ref"), F.lit(relation).alias("relation"), F.col(target).alias("target_ref"))
+    ending = findings.select("ref", "file", "line").join(flows.select("file", "line", F.col("ref").alias("flow")), ["file", "line"])
+    tested = owned.join(tests.select(F.col("uid").alias("owner"), "test"), "owner")
+    edges = to(owned, "LOCATED_IN", "owner").union(to(ending, "EXHIBITS", "flow")).union(to(tested, "COVERED_BY", "test")).distinct()
+    kind = F.create_map(*[F.lit(x) for x in ("LOCATED_IN", "symbol", "EXHIBITS", "flow", "COVERED_BY", "test")])[F.col("relation")]
+    nodes = findings.select("ref", F.lit("finding").alias("type")).union(edges.select(F.col("target_ref").alias("ref"), kind.alias("type"))).distinct()
+    return nodes, edges

@@ -80,3 +80,13 @@ def capped(rows: DataFrame, n: int = 40) -> DataFrame:
     more = rows.limit(n + 1)
     flag = more.agg((F.count("*") > n).alias("truncated"))
     return more.limit(n).crossJoin(F.broadcast(flag))  # one row
+
+
+def sandbox_totals(executions: DataFrame) -> DataFrame:
+    """executions, bytes, peak_ram, cpu_ms of sandbox executions; null measurements count as none."""
+    return executions.agg(F.count("*").alias("executions"), F.sum("bytes").alias("bytes"), F.max("ram").alias("peak_ram"), F.sum("cpu_ms").alias("cpu_ms"))
+
+
+def language_parity(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Languages that have files and no callable symbol: a parser that failed rather than code that is not there."""
+    return files.select("language").filter("language is not null").distinct().join(symbols.select("language"), "language", "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provark.functions.text import lines_of, minified_reason
+from provark.plans.storage import stored
 
 #: Suffixes of languages, and what a scan passes over.
 LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "rb": "ruby", "php": "php", "sh": "shell", "md": "markdown", "json": "json", "yml": "yaml", "yaml": "yaml", "toml": "toml"}
@@ -36,8 +37,8 @@ def list_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ()) -
 
 
 def index_tree(spark: SparkSession, root: str, max_files: int = 4000) -> DataFrame:
-    """Files of a known language as records, at most `max_files` in order of path."""
-    known = list_files(spark, root).filter(language(F.col("path")).isNotNull()).limit(max_files)
+    """Files of a known language as records, among the first `max_files` files in order of path."""
+    known = list_files(spark, root).limit(max_files).filter(language(F.col("path")).isNotNull())
     return file_records(known.select("path", F.decode("content", "UTF-8").alias("text")))
 
 
@@ -55,7 +56,8 @@ def file_records(files: DataFrame) -> DataFrame:
 def json_corpus(spark: SparkSession, path: str, schema: str, limit: int = 40) -> DataFrame:
     """Cases of a folder of JSON files in order of file name; files that do not parse are left out."""
     rows = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return rows.withColumn("file", F.input_file_name()).cache().filter("_corrupt_record is null").drop("_corrupt_record").orderBy("file").limit(limit)
+    whole = stored(rows.withColumn("file", F.input_file_name()), "json-corpus")  # the corrupt column needs more than itself read
+    return whole.filter("_corrupt_record is null").drop("_corrupt_record").orderBy("file").limit(limit)
 
 
 def pipe_table(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -143,15 +145,31 @@ def test_files(files: DataFrame, frameworks: dict[str, list[str]]) -> DataFrame:
 
 
 def http_routes(files: DataFrame) -> DataFrame:
-    """method, path, params, files: routes of decorators and of app.get(...) calls, merged by method and path."""
+    """method, path, params, files: routes merged by method and path; a path begins with `/`. Families: decorators
+    and app.get(...) calls by method, @app.route with its methods (GET without), comparisons with a pathname (GET),
+    and file paths: Next.js `app/**/route.*` by the methods that it exports, `pages/api/**` for any method (ANY).
+    params: placeholders of the path, and query parameters that the file reads."""
     shapes = [r"""@\w+\.(get|post|put|delete|patch)\(\s*["']([^"']+)""", r"""\b(?:app|router)\.(get|post|put|delete|patch)\(\s*["'`]([^"'`]+)"""]
     every = None
     for s in shapes:
         both = F.arrays_zip(F.regexp_extract_all("text", F.lit(s), F.lit(1)).alias("m"), F.regexp_extract_all("text", F.lit(s), F.lit(2)).alias("p"))
         rows = files.select(F.col("path").alias("file"), F.explode(both).alias("r")).select("file", F.upper("r.m").alias("method"), F.col("r.p").alias("path"))
         every = rows if every is None else every.union(rows)
-    params = F.regexp_extract_all("path", F.lit(r"[{:<](?:\w+:)?(\w+)[}>]?"), F.lit(1))
-    return every.distinct().withColumn("_p", params).groupBy("method", "path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_p")))).alias("params"), F.array_sort(F.collect_set("file")).alias("files"))
+    found = lambda pattern, i: F.regexp_extract_all("text", F.lit(pattern), F.lit(i))
+    route = r"""@\w+\.route\(\s*["']([^"']+)["']([^)]*)\)"""
+    flask = files.select(F.col("path").alias("file"), F.explode(F.arrays_zip(found(route, 1).alias("p"), found(route, 2).alias("o"))).alias("r"))
+    named = F.regexp_extract_all("r.o", F.lit(r"""["'](GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)["']"""), F.lit(1))
+    every = every.union(flask.select("file", F.explode(F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("GET")))).alias("method"), F.col("r.p").alias("path")))
+    every = every.union(files.select(F.col("path").alias("file"), F.lit("GET").alias("method"), F.explode(found(r"""pathname\s*===?\s*["']([^"']+)["']""", 1)).alias("path")))
+    below = lambda pattern: F.regexp_replace(F.concat(F.lit("/"), F.regexp_extract("path", pattern, 1)), r"/$", "")
+    app, api = r"(?:^|/)app/(.*?)/?route\.[jt]sx?$", r"(?:^|/)pages/(api/.*?)(?:/index)?\.[jt]sx?$"
+    exported = found(r"export\s+(?:async\s+)?(?:function|const)\s+(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b", 1)
+    every = every.union(files.filter(F.col("path").rlike(app)).select(F.col("path").alias("file"), F.explode(exported).alias("method"), F.when(below(app) == "", "/").otherwise(below(app)).alias("path")))
+    every = every.union(files.filter(F.col("path").rlike(api)).select(F.col("path").alias("file"), F.lit("ANY").alias("method"), below(api).alias("path")))
+    reads = files.select(F.col("path").alias("file"), F.concat(found(r"""(?:request\.args\.get|searchParams\.get|query\.get)\(\s*["'](\w+)""", 1), found(r"req\.query\.(\w+)", 1)).alias("_q"))
+    params = F.regexp_extract_all("path", F.lit(r"[{:<\[](?:\w+:)?(\w+)[}>\]]?"), F.lit(1))
+    known = every.distinct().filter(F.col("path").startswith("/")).join(reads, "file", "left")
+    return known.withColumn("_p", F.concat(params, F.coalesce("_q", F.array().cast("array<string>")))).groupBy("method", "path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_p")))).alias("params"), F.array_sort(F.collect_set("file")).alias("files"))
 
 
 def edge_pattern(nodes: DataFrame, edges: DataFrame, kind: str, source_kind: str | None = None, target_kind: str | None = None) -> DataFrame:
