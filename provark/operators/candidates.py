@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from provark.functions.text import split_location
 from provark.operators.flows import hypothesis_priority
-from provark.operators.rules import severity_rank
+from provark.operators.rules import SEVERITY, severity_rank
 from provark.plans.storage import numbered
 
 #: What each further channel adds, and the most that corroboration reaches.
@@ -26,13 +26,23 @@ def corroborated(confidence: Column, channels: Column) -> Column:
 
 
 def correlate(candidates: DataFrame) -> DataFrame:
-    """One row a (file, class): maxima of confidence, reachability and radius, all evidence, the channels, the
-    row of the worst severity (then the first) for what describes it, and whether any has a plan.
+    """One row a (file, class): maxima of confidence, reachability and radius, all evidence, the channels, severity and
+    location of the worst severity (then the first), the class's CWE, and whether any has a plan.
 
-    Descriptions and rule ids come as arrays in order of seq. Confidence rises by .06 for each further channel."""
+    Rule ids, and descriptions where candidates have them, come as arrays in order of their first seq. The clause_id,
+    where candidates have one, is what folding in order of seq leaves: a worse severity brings its own, an empty place
+    takes what comes. Confidence rises by .06 for each further channel."""
     best = lambda c: F.max_by(c, F.struct(severity_rank(F.col("severity")), -F.col("seq"))).alias(c)
     ordered = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(c).alias("x")))), lambda s: s["x"]))
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    extra = [F.filter(ordered("description"), lambda x: x != "").alias("descriptions")] if "description" in candidates.columns else []
+    if "clause_id" in candidates.columns:
+        # The row that first reached each severity, the worst first; then whatever came first.
+        reached = [F.min_by(filled("clause_id"), F.when(severity_rank(F.col("severity")) >= r, F.col("seq"))) for r in range(max(SEVERITY.values()), -1, -1)]
+        extra.append(F.coalesce(*reached, F.min_by(filled("clause_id"), F.when(filled("clause_id").isNotNull(), F.col("seq")))).alias("clause_id"))
     out = correlation_key(candidates).groupBy("file", "class").agg(
+        *extra,
+        F.max(filled("cwe")).alias("cwe"),
         F.min("seq").alias("seq"),
         F.max("confidence").alias("_confidence"),
         F.max("reachability").alias("reachability"),

@@ -139,7 +139,7 @@ _CANDIDATES = f"""{RULES_SQL}, cand AS (
   SELECT doc_id * 1000 + 1000000000, 'review', doc_id::VARCHAR, 'CWE-798', CASE WHEN toxic = 1 THEN 'high' ELSE 'low' END, 0.5, CASE WHEN toxic = 1 THEN 0.7 ELSE 0.4 END, 0.3, false, doc_id % 2 = 0, 'review.label' FROM labels WHERE toxic = 1 OR quality = 0),
 sev AS (SELECT *, CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END AS sr FROM cand),
 corr AS (SELECT file, class, min(seq) AS seq, max(reachability)::DOUBLE AS reachability, max(blast)::DOUBLE AS blast_radius, bool_or(measured) AS measured, bool_or(has_plan) AS has_plan, arg_max(severity, sr * 100000000000 - seq) AS severity, max(sr) AS sr,
-  count(DISTINCT channel) AS channels, count(*) AS merged, CASE WHEN count(DISTINCT channel) > 1 THEN greatest(max(confidence), least(0.95, max(confidence) + 0.06 * (count(DISTINCT channel) - 1))) ELSE max(confidence) END AS c FROM sev GROUP BY file, class),
+  count(DISTINCT channel) AS channels, count(*) AS merged, CASE WHEN count(DISTINCT channel) > 1 THEN least(0.95, max(confidence) + 0.06 * (count(DISTINCT channel) - 1)) ELSE max(confidence) END AS c FROM sev GROUP BY file, class),
 pri AS (SELECT *, round(c, 4)::DOUBLE AS confidence, round((CASE WHEN measured THEN greatest(0.01, reachability) * greatest(0.01, round(c, 4)) * greatest(0.01, blast_radius) ELSE sr / 5 * greatest(0.01, round(c, 4)) END)::VARCHAR::DECIMAL(30, 20), 6)::DOUBLE AS priority FROM corr)"""
 
 
@@ -148,6 +148,18 @@ def correlate_merge(spark: SparkSession, d: str) -> DataFrame:
     return candidates.correlate(_candidates(spark, d)).select("file", "class", "seq", "severity", "confidence", F.size("channels").alias("channels"), "merged", "has_plan")
 
 
+@query(f"""WITH {_CANDIDATES}, noted AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 'c' || seq % 11 END AS clause, channel || ' ' || severity AS said FROM sev),
+ids AS (SELECT file, class, list(rule_id ORDER BY s) AS rule_ids FROM (SELECT file, class, rule_id, min(seq) AS s FROM noted GROUP BY ALL) GROUP BY ALL),
+texts AS (SELECT file, class, list(said ORDER BY s) AS descriptions FROM (SELECT file, class, said, min(seq) AS s FROM noted GROUP BY ALL) GROUP BY ALL),
+held AS (SELECT file, class, coalesce({", ".join(f"nullif(first_{r}, '')" for r in (5, 4, 3, 2, 1))}, any_clause) AS clause_id FROM (SELECT file, class, {", ".join(f"arg_min(coalesce(clause, ''), seq) FILTER (sr >= {r}) AS first_{r}" for r in (5, 4, 3, 2, 1))}, arg_min(clause, seq) FILTER (clause IS NOT NULL) AS any_clause FROM noted GROUP BY ALL))
+SELECT file, class, CASE WHEN class LIKE 'CWE-%' THEN class END AS cwe, rule_ids, descriptions, clause_id FROM ids JOIN texts USING (file, class) JOIN held USING (file, class)""")
+def correlate_details(spark: SparkSession, d: str) -> DataFrame:
+    """What a correlated candidate keeps of those it came from: class, rules, descriptions, clause."""
+    clause = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("c"), (F.col("seq") % 11).cast("string")))
+    rows = _candidates(spark, d).withColumns({"clause_id": clause, "description": F.concat_ws(" ", "channel", "severity")})
+    return candidates.correlate(rows).select("file", "class", "cwe", "rule_ids", "descriptions", "clause_id")
+
+
 @query(f"WITH {_CANDIDATES} SELECT file, class, confidence FROM pri WHERE channels > 1")
 def corroborated(spark: SparkSession, d: str) -> DataFrame:
     return candidates.correlate(_candidates(spark, d)).filter(F.size("channels") > 1).select("file", "class", "confidence")

@@ -171,6 +171,20 @@ def taint_flows(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.substring_index("path", "/", 1).cast("long").alias("id"), "source_kind", "source_line", "sink_kind", "sink_line", "sanitized")
 
 
+@query("""SELECT s_suppkey AS id, unnest(['path_join', 'index_write']) AS rule, unnest([2, 7]) AS line FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT s_suppkey, 'c_copy', 3 FROM supplier WHERE s_suppkey % 3 = 1 AND s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'c_copy', 4 FROM supplier WHERE s_suppkey % 3 = 1""")
+def bound_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Rules on bounds: paths joined unchecked, writes at a free index, copies in C; twins that check have none."""
+    k = F.col("s_suppkey")
+    free = F.lit("def f(root, name):\n    return root / name\n\ndef g(a, xs):\n    i = 0\n    for x in xs:\n        a[i] = x\n        i += 1\n")
+    bound = F.lit("def f(root, name):\n    return (root / name).resolve()\n\ndef g(a, xs):\n    i = 0\n    while i < len(a):\n        a[i] = xs\n        i += 1\n")
+    native = F.concat(F.lit("// strcpy(a, b);\n"), F.when(k % 2 == 0, "int n = len;").otherwise("int n = MIN(len, 8);"), F.lit("\nmemcpy(a, b, n);\n  strcpy(a, b);\n"))
+    text = F.when(k % 3 == 0, free).when(k % 3 == 1, native).otherwise(bound)
+    path = F.when(k % 3 == 1, _text(k, "/a.c")).otherwise(_text(k, "/a.py"))
+    found = code_rules.scan(table(spark, d, "supplier").select(path.alias("path"), text.alias("text")))
+    return found.select(F.substring_index("file", "/", 1).cast("long").alias("id"), "rule", "line")
+
+
 # -- sinks --------------------------------------------------------------------------------------------
 @query("SELECT user_id::VARCHAR AS run_id, count(*) AS events, max(seq) AS last FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) GROUP BY 1")
 def event_sink(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Rules over syntax trees of Python sources, in batches; sources are parsed, never run."""
+"""Rules over syntax trees of Python sources, in batches, and over lines of C sources; sources are parsed, never run."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from provark.functions.text import lines_of
 from provark.sources.taint import _name
 
 FINDING = "rule string, file string, line int, cwe string, severity string, snippet string"
@@ -22,7 +24,17 @@ RULES = {
     "secret": ("CWE-798", "high"),
     "bind_all": ("CWE-605", "medium"),
     "template": ("CWE-79", "medium"),
+    "index_write": ("CWE-1284", "high"),
+    "path_join": ("CWE-22", "high"),
+    "c_copy": ("CWE-787", "critical"),
 }
+#: C calls that copy without a length, what shows a bound, and the lines before and after a call that may show it.
+UNBOUNDED = ("strcpy(", "strcat(", "sprintf(", "gets(")
+BOUNDS = ("MIN(", "min(", "sizeof", "<=", ">=", "clamp", "CAP")
+BEFORE, AFTER = 11, 4
+#: Calls and parts that hold a path to its root, and words of a variable that names one.
+CONTAINING, INSIDE = ("resolve", "relative_to", "samefile", "commonpath"), ("parents", "parts")
+ROOTS = ("ROOT", "DIR", "PATH", "BASE")
 
 
 def _true(n: ast.AST) -> bool:
@@ -38,6 +50,31 @@ def _built(n: ast.AST) -> bool:
     return isinstance(n, ast.JoinedStr) and any(isinstance(v, ast.FormattedValue) for v in n.values) or isinstance(n, ast.BinOp) and isinstance(n.op, (ast.Add, ast.Mod)) or isinstance(n, ast.Call) and _name(n.func).endswith("format")
 
 
+def _names(n: ast.AST) -> set[str]:
+    return {x.id for x in ast.walk(n) if isinstance(x, ast.Name)}
+
+
+def _free_writes(f: ast.FunctionDef | ast.AsyncFunctionDef) -> list[ast.AST]:
+    """Writes at an index that the function steps on and never compares with anything."""
+    inside = list(ast.walk(f))
+    stepped = {n.target.id for n in inside if isinstance(n, ast.AugAssign) and isinstance(n.target, ast.Name)}
+    free = stepped.difference(*[_names(n) for n in inside if isinstance(n, ast.Compare)])
+    places = [t for n in inside if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Subscript)]
+    return [t for t in places if isinstance(t.slice, ast.Name) and t.slice.id in free]
+
+
+def _open_joins(f: ast.FunctionDef | ast.AsyncFunctionDef) -> list[ast.AST]:
+    """Paths that `/` joins from a parameter, in a function that nowhere asks whether the result stays inside."""
+    given = {a.arg for a in f.args.posonlyargs + f.args.args}.difference(("self", "cls"))
+    inside = list(ast.walk(f))
+    resolves = any(isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in CONTAINING for n in inside)
+    member = [n for n in inside if isinstance(n, ast.Compare) and any(isinstance(o, (ast.In, ast.NotIn)) for o in n.ops)]
+    if not given or resolves or any(w in ast.dump(n) for n in member for w in INSIDE):
+        return []
+    rooted = lambda n: not isinstance(n, ast.Name) or any(w in n.id.upper() for w in ROOTS)
+    return [n for n in inside if isinstance(n, ast.BinOp) and isinstance(n.op, ast.Div) and rooted(n.left) and given & _names(n.right)]
+
+
 def findings(path: str, text: str) -> list[tuple]:
     """Findings of a file in order of line and rule; one that does not parse has none."""
     try:
@@ -75,15 +112,43 @@ def findings(path: str, text: str) -> list[tuple]:
             value = n.value.value.lower()
             if any(w in names for w in ("password", "secret", "token", "api_key")) and len(value) >= 6 and not any(w in value for w in ("example", "changeme", "placeholder", "your")):
                 hit("secret", n)
+        elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            for place in _free_writes(n):
+                hit("index_write", place)
+            for place in _open_joins(n):
+                hit("path_join", place)
     return sorted(out, key=lambda f: (f[2], f[0]))
 
 
-def scan(files: DataFrame) -> DataFrame:
-    """Findings of Python files (path, text)."""
+def c_findings(files: DataFrame) -> DataFrame:
+    """Copies of C files (path, text) without a bound in sight, in built-in expressions: memcpy where no line from 11
+    before to 4 after shows a bound, a call without a length (names that end like one too) always; the first of the two
+    that a line holds decides. Comment lines are none."""
+    lines = lines_of(F.coalesce("text", F.lit("")))
+    holds = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
+
+    def place(line, i):
+        first = F.greatest(i - BEFORE, F.lit(0))
+        near = F.array_join(F.slice("lines", first + 1, i + AFTER + 1 - first), "\n")
+        copied = F.when(F.contains(line, F.lit("memcpy(")), ~holds(near, BOUNDS)).otherwise(holds(line, UNBOUNDED))
+        bare = F.trim(line)
+        comment = F.startswith(bare, F.lit("//")) | F.startswith(bare, F.lit("*")) | F.startswith(bare, F.lit("/*"))
+        return F.when(copied & ~comment, F.struct((i + 1).alias("line"), F.substring(bare, 1, 200).alias("snippet")))
+
+    rows = files.filter("path like '%.c' or path like '%.h'").select("path", lines.alias("lines"))
+    hits = rows.select("path", F.explode(F.array_compact(F.transform("lines", place))).alias("h"))
+    cwe, severity = RULES["c_copy"]
+    return hits.select(F.lit("c_copy").alias("rule"), F.col("path").alias("file"), "h.line", F.lit(cwe).alias("cwe"), F.lit(severity).alias("severity"), "h.snippet")
+
+
+def scan(files: DataFrame, skip_tests: bool = True) -> DataFrame:
+    """Findings of Python and C files (path, text), those of test folders left out; a null text has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in FINDING.split(", ")]
         for batch in batches:
             yield pd.DataFrame([f for p, t in zip(batch["path"], batch["text"]) for f in findings(p, t or "")], columns=names)
 
-    return files.filter("path like '%.py'").select("path", "text").mapInPandas(run, FINDING)
+    own = files.filter(~F.concat(F.lit("/"), F.col("path")).contains("/tests/")) if skip_tests else files
+    python = own.filter("path like '%.py' or path like '%.pyi'").select("path", "text").mapInPandas(run, FINDING)
+    return python.unionByName(c_findings(own))

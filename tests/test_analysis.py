@@ -79,6 +79,23 @@ def test_correlation_and_priority(spark):
     assert ranks.orderBy(F.desc("p")).head().severity == "critical"
 
 
+def test_correlation_keeps_what_a_fold_in_order_keeps(spark):
+    import random
+
+    dice = random.Random(5)
+    rows = [(i, "static", f"{dice.choice('ab')}.py:{i}", dice.choice(["low", "medium", "high", "odd"]), 0.5, 0.5, 0.5, "", "r.x", [], False, True, dice.choice([None, "", f"c{i}"]), dice.choice([None, "", "d1", "d2"])) for i in range(60)]
+    rows += [(100 + i, "static", f"lone{i}.py:1", s, 0.5, 0.5, 0.5, "", "r.x", [], False, True, c, None) for i, (s, c) in enumerate([("low", None), ("odd", "k")])]
+    want: dict = {}
+    for r in rows:
+        file, rank = r[2].split(":")[0], rules.SEVERITY.get(r[3], 0)
+        top, clause, said = want.get(file, (-1, "", []))
+        clause = (r[12] or clause) if rank > top else (clause or r[12] or "")
+        want[file] = (max(top, rank), clause, said + [r[13]] * bool(r[13] and r[13] not in said))
+    got = candidates.correlate(spark.createDataFrame(rows, CAND + ", clause_id string, description string")).collect()
+    assert {r.file: (r.clause_id or "", r.descriptions) for r in got} == {f: v[1:] for f, v in want.items()}
+    assert {r.cwe for r in got} == {None}
+
+
 def test_replay(spark):
     side = lambda rows: spark.createDataFrame(rows, "case_id string, exit_code int, response_hash string")
     out = compare.replay(side([("a", 0, "x"), ("b", 0, "y"), ("c", 0, "z")]), side([("a", 0, "x"), ("b", 0, "other"), ("d", 0, "w")]))

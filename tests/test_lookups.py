@@ -19,6 +19,12 @@ def f(x, cur, app):
     app.run(debug=True, host="0.0.0.0")
     password = "hunter2hunter2"
     render_template_string(x)
+
+def g(root, name, a, xs):
+    i = 0
+    for x in xs:
+        a[i] = root / name
+        i += 1
 """
     good = """import os, subprocess, yaml, requests
 def f(x, cur, app):
@@ -31,11 +37,24 @@ def f(x, cur, app):
     app.run(host="127.0.0.1")
     password = "changeme-now"
     render_template_string("x")
+
+def g(root, name, speed, a, xs):
+    i = 0
+    while i < 9:
+        a[i] = (root / name).resolve()
+        i += 1
+
+def h(speed, time):
+    return speed / time
 """
-    files = spark.createDataFrame([("bad.py", bad), ("good.py", good), ("broken.py", "def ("), ("none.py", None)], "path string, text string")
+    c_bad = "\n".join(["int n = len;", "memcpy(a, b, n);", "// gets(a);", *[""] * 12, "int m = MIN(n, 8);", "memcpy(a, b, m);", "strcat(a, b);"])
+    files = spark.createDataFrame([("bad.py", bad), ("good.py", good), ("broken.py", "def ("), ("none.py", None), ("bad.c", c_bad), ("none.h", None), ("good.c", "memcpy(a, b, sizeof a);"), ("tests/bad.py", bad), ("a/tests/bad.c", c_bad)], "path string, text string")
     rows = code_rules.scan(files).collect()
-    assert {r.file for r in rows} == {"bad.py"}
+    assert {r.file for r in rows} == {"bad.py", "bad.c"}
     assert {r.rule for r in rows} == set(code_rules.RULES)
+    assert sorted(r.line for r in rows if r.file == "bad.c") == [2, 18]
+    assert {r.rule: r.line for r in rows if r.rule in ("index_write", "path_join")} == {"index_write": 17, "path_join": 17}
+    assert code_rules.scan(files, skip_tests=False).count() == 2 * len(rows)
 
 
 def test_entrypoint_rollup(spark):
