@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provark.functions.text import glob_to_regex
+from provark.operators.graph import innermost
 
 
 def change_set(before: DataFrame, after: DataFrame, key: str = "path", value: str = "sha256") -> DataFrame:
@@ -70,19 +71,34 @@ def reproduction_gate(executions: DataFrame, required: int = 2) -> DataFrame:
     return out.withColumn("outcome", outcome).drop("_all")
 
 
-def uncovered(branches: DataFrame, covered: DataFrame, limit: int = 200) -> DataFrame:
-    return branches.join(covered.select("file", "line").distinct(), ["file", "line"], "left_anti").orderBy("file", "line").limit(limit)
+def uncovered(branches: DataFrame, covered: DataFrame, limit: int = 200, symbols: DataFrame | None = None, focus: DataFrame | None = None) -> DataFrame:
+    """Branches (file, line) on lines that nothing covered, the first `limit` by file and line. With symbols (file, uid,
+    start_line, end_line, seq) each has its owner, the innermost one; with a focus (uid) too, those of other owners and
+    of none are left out, before the limit."""
+    out = branches.join(covered.select("file", "line").distinct(), ["file", "line"], "left_anti")
+    if symbols is not None:
+        out = innermost(out, symbols)
+        if focus is not None:
+            out = out.join(focus.select(F.col("uid").alias("owner")), "owner", "left_semi")
+    return out.orderBy("file", "line").limit(limit)
 
 
-def root_cause(claims: DataFrame, frames: DataFrame, sizes: DataFrame, band: int = 40) -> DataFrame:
-    """claims (id, file, line) with verified: the file exists, the line is in it, and a frame lies within the band.
+def root_cause(claims: DataFrame, frames: DataFrame, sizes: DataFrame, band: int = 40, symbols: DataFrame | None = None, scopes: DataFrame | None = None) -> DataFrame:
+    """claims (id, file, line) with verified: the file exists, the line is in it, and a frame lies within the band or,
+    where symbols (file, uid, name, start_line, end_line, seq) and scopes (scope) are given, the innermost symbol around
+    it ran: a scope is its uid, or ends with a colon and its name. Beyond the last line and at null lines nothing is.
 
     A band join: file and the line's bucket of `band` are hash keys, each claim against three buckets."""
     f = frames.select("file", F.col("line").alias("_at"), F.floor(F.col("line") / band).alias("_b"))
     c = claims.withColumn("_b", F.explode(F.array(*[F.floor(F.col("line") / band) + d for d in (-1, 0, 1)])))
-    near = c.join(f, ["file", "_b"]).filter(F.abs(F.col("line") - F.col("_at")) <= band).select("id").distinct().withColumn("_near", F.lit(True))
-    known = claims.join(sizes.select("file", "lines"), "file", "left").join(near, "id", "left")
-    return known.select("id", "file", "line", F.coalesce((F.col("line") >= 1) & (F.col("line") <= F.col("lines")) & F.col("_near"), F.lit(False)).alias("verified"))
+    on_path = c.join(f, ["file", "_b"]).filter(F.abs(F.col("line") - F.col("_at")) <= band).select("id")
+    if symbols is not None and scopes is not None:
+        owned = innermost(claims.select("id", "file", "line"), symbols).join(symbols.select(F.col("uid").alias("owner"), "name"), "owner")
+        ended = scopes.filter(F.contains("scope", F.lit(":"))).select(F.substring_index("scope", ":", -1).alias("name"))
+        on_path = on_path.union(owned.join(scopes.select(F.col("scope").alias("owner")), "owner", "left_semi").select("id")).union(owned.join(ended, "name", "left_semi").select("id"))
+    ran = on_path.distinct().withColumn("_ran", F.lit(True))
+    known = claims.join(sizes.select("file", "lines"), "file", "left").join(ran, "id", "left")
+    return known.select("id", "file", "line", F.coalesce((F.col("line") >= 1) & (F.col("line") <= F.col("lines")) & F.col("_ran"), F.lit(False)).alias("verified"))
 
 
 def call_pairs(events: DataFrame) -> DataFrame:

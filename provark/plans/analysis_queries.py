@@ -247,15 +247,31 @@ def case_deltas(spark: SparkSession, d: str) -> DataFrame:
     return compare.deltas(table(spark, d, "events"), "user_id", "event_id", "value").select("event_id", "user_id", "delta")
 
 
+def _claimed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    li = table(spark, d, "lineitem")
+    claims = li.select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("id"), F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("line")).distinct()
+    frames = li.filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("line")).distinct()
+    return claims, frames, table(spark, d, "supplier").select(F.col("s_suppkey").alias("file"), F.lit(1500).alias("lines"))
+
+
 @query("""WITH c AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_suppkey AS f, l_partkey AS line FROM lineitem), fr AS (SELECT DISTINCT l_suppkey AS f, l_partkey AS line FROM lineitem WHERE l_returnflag = 'R')
 SELECT id, line BETWEEN 1 AND 1500 AND EXISTS (SELECT 1 FROM fr WHERE fr.f = c.f AND abs(fr.line - c.line) <= 40) AS verified FROM c""")
 def root_cause_band(spark: SparkSession, d: str) -> DataFrame:
     """Every line item is a claim, the returned ones are frames."""
-    li = table(spark, d, "lineitem")
-    claims = li.select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("id"), F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("line")).distinct()
-    frames = li.filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("line")).distinct()
-    sizes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("file"), F.lit(1500).alias("lines"))
-    return compare.root_cause(claims, frames, sizes).select("id", "verified")
+    return compare.root_cause(*_claimed(spark, d)).select("id", "verified")
+
+
+@query("""WITH c AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_suppkey AS f, l_partkey AS line FROM lineitem), fr AS (SELECT DISTINCT l_suppkey AS f, l_partkey AS line FROM lineitem WHERE l_returnflag = 'R'),
+ran AS (SELECT DISTINCT s_suppkey AS f, s_nationkey % 15 AS j FROM supplier)
+SELECT id, line BETWEEN 1 AND 1500 AND ((line - 1) // 100 % 5 = 3 OR EXISTS (SELECT 1 FROM ran WHERE ran.f = c.f AND ran.j = (c.line - 1) // 100) OR EXISTS (SELECT 1 FROM fr WHERE fr.f = c.f AND abs(fr.line - c.line) <= 40)) AS verified FROM c""")
+def root_cause_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """The same claims; fifteen symbols a file, one of which ran under its uid, and one name that ran everywhere."""
+    supplier = table(spark, d, "supplier")
+    j = F.col("j")
+    uid = lambda n: F.concat_ws("/", F.col("s_suppkey").cast("string"), n.cast("string"))
+    symbols = supplier.select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(14))).alias("j")).select(F.col("s_suppkey").alias("file"), uid(j).alias("uid"), F.concat(F.lit("n"), (j % 5).cast("string")).alias("name"), (j * 100 + 1).alias("start_line"), (j * 100 + 100).alias("end_line"), j.alias("seq"))
+    scopes = supplier.select(uid(F.col("s_nationkey") % 15).alias("scope")).union(spark.createDataFrame([("any.py:n3",), ("n4",)], "scope string"))
+    return compare.root_cause(*_claimed(spark, d), symbols=symbols, scopes=scopes).select("id", "verified")
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'click' THEN CASE WHEN user_id % 5 <> 0 THEN 'FIRED' ELSE 'HELD' END WHEN 'error' THEN CASE WHEN value > 100 THEN 'FIRED' ELSE 'HELD' END

@@ -107,6 +107,16 @@ def uncovered_branches(spark: SparkSession, d: str) -> DataFrame:
     return compare.uncovered(li.filter("l_returnflag = 'A'").select("file", "line").distinct(), li.filter("l_returnflag <> 'A'"))
 
 
+@query("""SELECT l_suppkey AS file, l_partkey AS line, l_suppkey * 100 + l_partkey // 500 AS owner FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A') WHERE (l_suppkey, l_partkey) NOT IN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag <> 'A') AND l_partkey // 500 = 1 ORDER BY file, line LIMIT 200""")
+def uncovered_in_focus(spark: SparkSession, d: str) -> DataFrame:
+    """Uncovered branches with their owners, of two symbols a file; only the second is in focus."""
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("line"), "l_returnflag")
+    k = F.col("s_suppkey")
+    symbols = table(spark, d, "supplier").select(k.alias("file"), F.explode(F.array(F.lit(0), F.lit(1))).alias("j")).select("file", (F.col("file") * 100 + F.col("j")).alias("uid"), (F.col("j") * 500).alias("start_line"), (F.col("j") * 500 + 499).alias("end_line"), F.col("j").alias("seq"))
+    branches, covered = li.filter("l_returnflag = 'A'").select("file", "line").distinct(), li.filter("l_returnflag <> 'A'")
+    return compare.uncovered(branches, covered, symbols=symbols, focus=symbols.filter("seq = 1").select("uid"))
+
+
 @query("SELECT count(DISTINCT (l_suppkey, l_partkey)) AS covered, (SELECT count(*) * 50 FROM supplier) AS total, round(100 * count(DISTINCT (l_suppkey, l_partkey)) / (SELECT count(*) * 50 FROM supplier), 2) AS percent FROM lineitem WHERE l_returnflag = 'A'")
 def coverage_percent(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("line"))

@@ -301,3 +301,18 @@ def test_checkpoint_rows(spark, tmp_path):
     assert back.count() == 5
     row = spark.read.parquet(str(tmp_path / "manifest")).head()
     assert row.rows == 5 and len(row.state_hash) == 64
+
+
+def test_root_cause_by_frame_or_scope_and_branches_by_owner(spark):
+    symbols = spark.createDataFrame([("a.py", "a.py#f", "f", 1, 50, 1), ("a.py", "a.py#g", "g", 10, 20, 2), ("a.py", "a.py#h", "h", 200, 210, 3)], "file string, uid string, name string, start_line int, end_line int, seq long")
+    claims = spark.createDataFrame([("frame", "a.py", 95), ("uid", "a.py", 5), ("name", "a.py", 15), ("cold", "a.py", 205), ("past", "a.py", 999), ("gone", "b.py", 5), ("void", "a.py", None), ("none", None, 3)], "id string, file string, line int")
+    frames = spark.createDataFrame([("a.py", 135), ("a.py", 999)], "file string, line int")
+    sizes = spark.createDataFrame([("a.py", 300)], "file string, lines int")
+    scopes = spark.createDataFrame([("a.py#f",), ("x.py:g",), ("h",), (None,)], "scope string")
+    ran = lambda **more: {r.id for r in compare.root_cause(claims, frames, sizes, **more).collect() if r.verified}
+    assert ran() == {"frame"}
+    assert ran(symbols=symbols, scopes=scopes) == {"frame", "uid", "name"}
+    branches, covered = claims.select("file", "line"), claims.filter("id = 'uid'").select("file", "line")
+    owned = compare.uncovered(branches, covered, symbols=symbols).collect()
+    assert {r.line: r.owner for r in owned if r.file == "a.py" and r.line} == {95: None, 15: "a.py#g", 205: "a.py#h", 999: None}
+    assert [r.line for r in compare.uncovered(branches, covered, symbols=symbols, focus=symbols.filter("name = 'g'").select("uid")).collect()] == [15]
