@@ -31,11 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors.
 
-    The table is read with df's own schema, so an empty one is fine too."""
+    The table is read with df's own schema, so an empty one is fine too. Its forget() deletes the files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.forget = lambda: _delete(spark, path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing reads any more; a run that fails before leaves it in the shared folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -56,4 +56,17 @@ SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesc
 FROM d LEFT JOIN agg USING (r)
 """
 
-ORACLES = {"op3_exact_dedup": OP3, "op4_url_filter": OP4, "op6_secret_scan": OP6}
+#: The table of crc32 is folded from its polynomial, a digit's byte at a time.
+OP11 = """
+WITH t AS (SELECT list_transform(range(256), lambda v: list_reduce(list_prepend(v::BIGINT, range(8)), lambda c, i: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+s AS (SELECT sale_id, (floor(epoch(sold_at) / 60))::BIGINT AS slot, (floor(floor(100 * total + 0.5) / 1))::BIGINT AS level,
+             1 + coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(sale_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+                     lambda c, d: xor(c >> 8, t[(xor(c, d) & 255) + 1])), 4294967295) % 5, 0) AS w FROM sales, t),
+g AS (SELECT slot, level, count(*) AS n, sum(w) AS w FROM s WHERE slot IS NOT NULL AND level IS NOT NULL GROUP BY ALL),
+a AS (SELECT q.slot, q.level, sum(p.n) AS n, sum(p.w) AS w FROM g q JOIN g p ON p.slot < q.slot AND p.level > q.level GROUP BY ALL)
+SELECT sale_id, s.slot, s.level, CASE WHEN s.slot IS NOT NULL AND s.level IS NOT NULL THEN coalesce(n, 0)::BIGINT END AS n_sales,
+       CASE WHEN s.slot IS NOT NULL AND s.level IS NOT NULL THEN coalesce(a.w, 0)::BIGINT END AS n_rows
+FROM s LEFT JOIN a ON s.slot = a.slot AND s.level = a.level
+"""
+
+ORACLES = {"op11_dominance": OP11, "op3_exact_dedup": OP3, "op4_url_filter": OP4, "op6_secret_scan": OP6}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provark.llm import byte_bpe, exact_dedup, gif_media, ngram_join, packing, quality, secret_scan, suffix_dedup, token_counts, url_filter
+from provark.llm import byte_bpe, dominance, exact_dedup, gif_media, ngram_join, packing, quality, secret_scan, suffix_dedup, token_counts, url_filter
 from provark.llm.common import table
 
 #: The rules of op4, and the sites whose pages make up its list.
@@ -60,7 +60,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op11_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dominance.sales_above(table(spark, sf_dir, "sales"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_gif_media, op3_exact_dedup, op4_url_filter, op5_quality, op6_secret_scan, op7_byte_bpe, op8_suffix_dedup, op9_ngram_join, op10_packing)
+    for f in (
+        op1_token_counts,
+        op2_gif_media,
+        op3_exact_dedup,
+        op4_url_filter,
+        op5_quality,
+        op6_secret_scan,
+        op7_byte_bpe,
+        op8_suffix_dedup,
+        op9_ngram_join,
+        op10_packing,
+        op11_dominance,
+    )
 }
