@@ -69,4 +69,20 @@ SELECT sale_id, s.slot, s.level, CASE WHEN s.slot IS NOT NULL AND s.level IS NOT
 FROM s LEFT JOIN a ON s.slot = a.slot AND s.level = a.level
 """
 
-ORACLES = {"op11_dominance": OP11, "op3_exact_dedup": OP3, "op4_url_filter": OP4, "op6_secret_scan": OP6}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS g
+        FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM (SELECT *, least(10, len(w)) AS n FROM i WHERE len(w) > 0))),
+cut AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS g
+        FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win))),
+occ AS (SELECT r, k, cut.n, item FROM cut JOIN win ON cut.g = win.g AND cut.n = win.n),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM occ) GROUP BY r),
+found AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM occ GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN found USING (r)
+"""
+
+ORACLES = {"op12_decontamination": OP12, "op11_dominance": OP11, "op3_exact_dedup": OP3, "op4_url_filter": OP4, "op6_secret_scan": OP6}

@@ -128,7 +128,8 @@ def graded(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, max_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fits on at most `max_rows` rated documents, taken in the order of a hash of their ids.
 
-    Only the sample's features, never its texts, reach the driver: below `max_rows` x 2 ** 17 buckets."""
+    Several rows with one id count as one, the one with the least features, so the bound is one of rows. Only the
+    sample's features, never its texts, reach the driver: below `max_rows` x 2 ** 17 buckets."""
     sample = ratings.select(F.col("doc_id").alias("rated"), F.col("grade").cast("int")).orderBy(F.xxhash64("rated"), "rated").limit(max_rows)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +140,8 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, max_rows: int
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("rated")).select("doc_id", "grade", "text")
-    found = rows.mapInArrow(featurise, "doc_id long, grade int, buckets binary").toArrow()
+    found = rows.mapInArrow(featurise, "doc_id long, grade int, buckets binary")
+    found = found.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("buckets").alias("buckets")).toArrow()
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
     blobs, grades = found.column("buckets").to_pylist(), found.column("grade").to_numpy()
     return fit([np.frombuffer(blobs[i], "<i4") for i in order], grades[order].astype(np.int64), n_grades)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provark.llm import byte_bpe, dominance, exact_dedup, gif_media, ngram_join, packing, quality, secret_scan, suffix_dedup, token_counts, url_filter
+from provark.llm import byte_bpe, decontaminate, dominance, exact_dedup, gif_media, ngram_join, packing, quality, secret_scan, suffix_dedup, token_counts, url_filter, vector_codes
 from provark.llm.common import table
 
 #: The rules of op4, and the sites whose pages make up its list.
@@ -64,6 +64,14 @@ def op11_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.sales_above(table(spark, sf_dir, "sales"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,5 +86,7 @@ QUERIES = {
         op9_ngram_join,
         op10_packing,
         op11_dominance,
+        op12_decontamination,
+        op13_vector_codes,
     )
 }
