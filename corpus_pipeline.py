@@ -12,8 +12,6 @@ from provark.llm.common import materialise, table
 
 #: Near copies: shingles of five words, similarity of 0.8 or more.
 WORDS, PERCENT = 5, 80
-#: The row key of the two stages that drop copies.
-ROW = "row_key"
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,17 +25,21 @@ def by_id() -> tuple[Column, Column]:
     return F.col("doc_id").isNull(), F.col("doc_id")
 
 
-def keyed(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a key of each row, stored so that it stays: ids may be null or repeated."""
-    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), f"{name}-rows")
+def keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """docs with a key of each row, stored so that it stays, and the key's name, which no column has: ids may be null
+    or repeated."""
+    key, taken = "row_key", {c.lower() for c in docs.columns}
+    while key in taken:
+        key += "_"
+    return materialise(docs.withColumn(key, F.monotonically_increasing_id()), f"{name}-rows"), key
 
 
-def firsts(rows: DataFrame, groups: DataFrame, group: str, *order: Column) -> DataFrame:
+def firsts(rows: DataFrame, key: str, groups: DataFrame, group: str, *order: Column) -> DataFrame:
     """Exactly one row of each group, the first by `order`, then by row key; `groups` has the row key as doc_id."""
-    members = groups.select(F.col("doc_id").alias(ROW), F.col(group).alias("group"))
-    ranked = rows.select(ROW, F.struct(*order, ROW).alias("rank")).join(members, ROW)
-    best = ranked.groupBy("group").agg(F.min("rank").alias("rank")).select(F.col(f"rank.{ROW}").alias(ROW))
-    return rows.join(best, ROW, "left_semi").drop(ROW)
+    members = groups.select(F.col("doc_id").alias(key), F.col(group).alias("group"))
+    ranked = rows.select(key, F.struct(*order, F.col(key).alias("key")).alias("rank")).join(members, key)
+    best = ranked.groupBy("group").agg(F.min("rank").alias("rank")).select(F.col("rank.key").alias(key))
+    return rows.join(best, key, "left_semi").drop(key)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,24 +47,26 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     One row of each group stays, whatever its id: a null id sorts last and a row that is repeated as it is
     stays once. Rows with the same id and other texts are documents of their own. Null text counts as empty."""
-    rows = keyed(docs, "exact")
+    rows, key = keyed(docs, "exact")
     length = F.length(F.coalesce("text", F.lit("")))
-    return firsts(rows, exact_dedup.exact_dedup(rows, id_col=ROW), "keep_id", -length, *by_id()).select(docs.columns)
+    return firsts(rows, key, exact_dedup.exact_dedup(rows, id_col=key), "keep_id", -length, *by_id()).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of near copies, the smallest id stays.
 
     One row of each group stays, as in `drop_copies`; texts without words are near to none, so all of them stay."""
-    rows = keyed(docs, "near")
-    groups = ngram_join.ngram_components(rows, id_col=ROW, k=WORDS, percent=PERCENT)
-    return firsts(rows, groups, "component_id", *by_id()).select(docs.columns)
+    rows, key = keyed(docs, "near")
+    groups = ngram_join.ngram_components(rows, id_col=key, k=WORDS, percent=PERCENT)
+    return firsts(rows, key, groups, "component_id", *by_id()).select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret scan: what it finds is masked; every document stays, n_chars follows its text."""
+    """Secret scan: what it finds is masked; every document stays, n_chars, where there is one, follows its text."""
     masked = secret_scan.redact(docs)
-    return masked.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
+    if kind := dict(docs.dtypes).get("n_chars"):
+        masked = masked.withColumn("n_chars", F.length("text").cast(kind))
+    return masked.select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
