@@ -171,6 +171,45 @@ def taint_flows(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.substring_index("path", "/", 1).cast("long").alias("id"), "source_kind", "source_line", "sink_kind", "sink_line", "sanitized")
 
 
+#: Parts of programs: where data comes from, how a name gets it, what is asked about it, where it goes.
+_SOURCES = ("input()", "os.environ.get('K')", "request.args.get('q')", "sys.argv[1]", "request.form['x']")
+_CARRIERS = (
+    "    x = @\n",
+    "    x: str = @\n",
+    "    (x := @)\n",
+    "    if c():\n        x = @\n    else:\n        x = ''\n",
+    "    x = ''\n    for y in some():\n        x += @\n",
+    "    x = @ if c() else 'a'\n",
+    "    x = [y for y in @]\n",
+    "    x = ''\n    try:\n        x = @\n        go()\n        x = ''\n    except ValueError:\n        pass\n",
+    "    with held() as x:\n        x = @\n",
+    "    z = @\n    x, w = z, 1\n",
+    "    x = z = ''\n    while c():\n        x = z\n        z = @\n",
+    '    x = f"a{@}"\n',
+    "    x = @\n    if c():\n        x = ''\n",
+    "    x = @\n    x = ''\n",
+)
+_ASKED = ("", "    if not ok(x):\n        return\n", "    if ok(x):\n        pass\n", "    x = int(x)\n", "    if c():\n        x = int(x)\n", "    x = shlex.quote(x)\n")
+_SINKS = ("eval(x)", "os.system('ls ' + x)", "subprocess.run(x)", "cursor.execute('a = %s' % x)", 'exec(f"{x}")')
+
+
+def flow_programs(orders: DataFrame) -> DataFrame:
+    """path and text of a program an order: its parts are dealt by the order's key, in over 4,000 combinations; half of
+    them stand in a function, half at a module's level."""
+    k = F.xxhash64(F.col("o_orderkey").cast("long"))
+    nth = lambda parts, by: F.element_at(F.array(*map(F.lit, parts)), (F.pmod(F.shiftrightunsigned(k, by), F.lit(len(parts))) + 1).cast("int"))
+    head = nth(("def f():\n", "if c():\n"), 2)
+    body = F.concat(F.replace(nth(_CARRIERS, 8), F.lit("@"), nth(_SOURCES, 16)), nth(_ASKED, 24), F.lit("    "), nth(_SINKS, 32), F.lit("\n"))
+    return orders.select(_text(F.col("o_orderkey"), "/a.py").alias("path"), F.concat(head, body).alias("text"))
+
+
+@query()
+def taint_programs(spark: SparkSession, d: str) -> DataFrame:
+    """Flows of programs of many shapes, counted by all that is said of them. No SQL: tests run the programs' paths."""
+    found = taint.taint_flows(flow_programs(table(spark, d, "orders")))
+    return found.groupBy("function", "source_kind", "sink_kind", "hops", "interpolated", "validated", "sanitized").agg(F.count("*").alias("flows"), F.sum(F.col("sink_line") - F.col("source_line")).alias("lines"))
+
+
 @query("""SELECT s_suppkey AS id, unnest(['path_join', 'index_write']) AS rule, unnest([2, 7]) AS line FROM supplier WHERE s_suppkey % 3 = 0
 UNION ALL SELECT s_suppkey, 'c_copy', 3 FROM supplier WHERE s_suppkey % 3 = 1 AND s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'c_copy', 4 FROM supplier WHERE s_suppkey % 3 = 1""")
 def bound_findings(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provark.functions.text import lines_of
-from provark.sources.taint import _name
+from provark.sources.flow_states import FlowStates, Mark, State, Value, dotted, either, marked, scopes
 
 FINDING = "rule string, file string, line int, cwe string, severity string, snippet string"
 #: Class and severity of each rule.
@@ -35,6 +35,8 @@ BEFORE, AFTER = 11, 4
 #: Calls and parts that hold a path to its root, and words of a variable that names one.
 CONTAINING, INSIDE = ("resolve", "relative_to", "samefile", "commonpath"), ("parents", "parts")
 ROOTS = ("ROOT", "DIR", "PATH", "BASE")
+#: Calls that only make another path of a path, and such as only look whether it is there.
+PATHS, PROBES = ("Path", "PurePath", "PosixPath", "str", "fspath", "abspath", "normpath", "joinpath"), ("exists", "is_file", "is_dir")
 
 
 def _true(n: ast.AST) -> bool:
@@ -47,32 +49,78 @@ def _false(n: ast.AST) -> bool:
 
 def _built(n: ast.AST) -> bool:
     """A text put together at run time."""
-    return isinstance(n, ast.JoinedStr) and any(isinstance(v, ast.FormattedValue) for v in n.values) or isinstance(n, ast.BinOp) and isinstance(n.op, (ast.Add, ast.Mod)) or isinstance(n, ast.Call) and _name(n.func).endswith("format")
-
-
-def _names(n: ast.AST) -> set[str]:
-    return {x.id for x in ast.walk(n) if isinstance(x, ast.Name)}
-
-
-def _free_writes(f: ast.FunctionDef | ast.AsyncFunctionDef) -> list[ast.AST]:
-    """Writes at an index that the function steps on and never compares with anything."""
-    inside = list(ast.walk(f))
-    stepped = {n.target.id for n in inside if isinstance(n, ast.AugAssign) and isinstance(n.target, ast.Name)}
-    free = stepped.difference(*[_names(n) for n in inside if isinstance(n, ast.Compare)])
-    places = [t for n in inside if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Subscript)]
-    return [t for t in places if isinstance(t.slice, ast.Name) and t.slice.id in free]
-
-
-def _open_joins(f: ast.FunctionDef | ast.AsyncFunctionDef) -> list[ast.AST]:
-    """Paths that `/` joins from a parameter, in a function that nowhere asks whether the result stays inside."""
-    given = {a.arg for a in f.args.posonlyargs + f.args.args}.difference(("self", "cls"))
-    inside = list(ast.walk(f))
-    resolves = any(isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in CONTAINING for n in inside)
-    member = [n for n in inside if isinstance(n, ast.Compare) and any(isinstance(o, (ast.In, ast.NotIn)) for o in n.ops)]
-    if not given or resolves or any(w in ast.dump(n) for n in member for w in INSIDE):
-        return []
-    rooted = lambda n: not isinstance(n, ast.Name) or any(w in n.id.upper() for w in ROOTS)
-    return [n for n in inside if isinstance(n, ast.BinOp) and isinstance(n.op, ast.Div) and rooted(n.left) and given & _names(n.right)]
+    return isinstance(n, ast.JoinedStr) and any(isinstance(v, ast.FormattedValue) for v in n.values) or isinstance(n, ast.BinOp) and isinstance(n.op, (ast.Add, ast.Mod)) or isinstance(n, ast.Call) and dotted(n.func).endswith("format")
+
+
+class Bounds(FlowStates):
+    """What a function's parameters and counters come to, on flow states.
+
+    An origin is a parameter, a step of a counter, or a path joined from a parameter. A write at a counter is open where
+    some path from its last step asked nothing about it. A joined path is open where some path uses it, gives it away or
+    drops it without a call or question that keeps it inside its root."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.writes: list[ast.AST] = []
+        self.joins: dict[int, ast.AST] = {}
+        self.open: set[int] = set()
+        self.kept: set[int] = set()
+
+    def begin(self, f: ast.FunctionDef | ast.AsyncFunctionDef) -> State:
+        given = [*f.args.posonlyargs, *f.args.args, *f.args.kwonlyargs, *filter(None, (f.args.vararg, f.args.kwarg))]
+        return {a.arg: {("parameter", f.lineno): Mark()} for a in given if a.arg not in ("self", "cls")}
+
+    def step(self, n: ast.AugAssign, old: Value, new: Value) -> Value:
+        return {("step", n.lineno): Mark()} if isinstance(n.target, ast.Name) else either(old, new)
+
+    def store(self, n: ast.Subscript | ast.Attribute, value: Value, state: State) -> None:
+        if isinstance(n, ast.Subscript) and isinstance(n.slice, ast.Name):
+            index = state.get(n.slice.id, {})
+            if any(kind == "step" and not m.checked for (kind, _), m in index.items()):
+                self.writes.append(n)
+        if isinstance(n, ast.Attribute):
+            self.leave(value)
+
+    def binary(self, n: ast.BinOp, left: Value, right: Value) -> Value:
+        if isinstance(n.op, ast.Div) and self._root(n.left) and any(kind == "parameter" for kind, _ in right):
+            self.joins[n.lineno] = n
+            return left | {("join", n.lineno): Mark()}
+        return either(left, right)
+
+    def _root(self, n: ast.AST) -> bool:
+        if isinstance(n, ast.BinOp) and isinstance(n.op, ast.Div):
+            return self._root(n.left)
+        if isinstance(n, ast.Call):
+            return dotted(n.func).split(".")[-1] in PATHS
+        return any(w in dotted(n).split(".")[-1].upper() for w in ROOTS)
+
+    def call(self, n: ast.Call, arguments: list[Value], owner: Value, state: State) -> Value:
+        value, name = either(*arguments, owner), dotted(n.func).split(".")[-1]
+        if isinstance(n.func, ast.Attribute) and n.func.attr in CONTAINING:
+            for x in ast.walk(n):
+                if isinstance(x, ast.Name) and x.id in state:
+                    state[x.id] = self._inside(state[x.id])
+            return self._inside(value)
+        if name not in PATHS and name not in PROBES:
+            self.leave(value)
+        return marked(value, hops=1)
+
+    def check(self, question: ast.AST, state: State) -> State:
+        state = super().check(question, state)
+        if any(isinstance(x, ast.Attribute) and x.attr in INSIDE for x in ast.walk(question)):
+            names = {x.id for x in ast.walk(question) if isinstance(x, ast.Name)} & state.keys()
+            state = state | {n: self._inside(state[n]) for n in names}
+        return state
+
+    def _inside(self, value: Value) -> Value:
+        self.kept |= {line for kind, line in value if kind == "join"}
+        return marked(value, cleaned=True)
+
+    def leave(self, value: Value) -> None:
+        self.open |= {line for (kind, line), m in value.items() if kind == "join" and not m.cleaned}
+
+    def open_joins(self) -> list[ast.AST]:
+        return [n for line, n in self.joins.items() if line in self.open or line not in self.kept]
 
 
 def findings(path: str, text: str) -> list[tuple]:
@@ -89,7 +137,7 @@ def findings(path: str, text: str) -> list[tuple]:
 
     for n in ast.walk(tree):
         if isinstance(n, ast.Call):
-            called, words = _name(n.func), {k.arg: k.value for k in n.keywords}
+            called, words = dotted(n.func), {k.arg: k.value for k in n.keywords}
             first = n.args[0] if n.args else None
             if called in ("os.system", "os.popen") and not isinstance(first, ast.Constant) or called.startswith("subprocess.") and _true(words.get("shell")):
                 hit("shell", n)
@@ -108,15 +156,19 @@ def findings(path: str, text: str) -> list[tuple]:
             if called.endswith(("render_template_string", "Markup")) and first is not None and not isinstance(first, ast.Constant):
                 hit("template", n)
         elif isinstance(n, ast.Assign) and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str):
-            names = " ".join(_name(t).lower() for t in n.targets)
+            names = " ".join(dotted(t).lower() for t in n.targets)
             value = n.value.value.lower()
             if any(w in names for w in ("password", "secret", "token", "api_key")) and len(value) >= 6 and not any(w in value for w in ("example", "changeme", "placeholder", "your")):
                 hit("secret", n)
-        elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            for place in _free_writes(n):
-                hit("index_write", place)
-            for place in _open_joins(n):
-                hit("path_join", place)
+    for _, node, body in scopes(tree)[1:]:
+        states = Bounds()
+        try:
+            states.block(body, states.begin(node))
+        except RecursionError:
+            continue
+        for rule, places in (("index_write", states.writes), ("path_join", states.open_joins())):
+            for place in places:
+                hit(rule, place)
     return sorted(out, key=lambda f: (f[2], f[0]))
 
 

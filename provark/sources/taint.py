@@ -1,4 +1,4 @@
-"""Data flow inside functions: Python sources are parsed, never run; rows of flows come out of batches."""
+"""Data flow inside functions and modules: Python sources are parsed, never run; rows of flows come out of batches."""
 
 from __future__ import annotations
 
@@ -8,106 +8,63 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Calls that bring data in, run it, or clean it.
+from provark.sources.flow_states import FlowStates, Mark, Origin, State, Value, dotted, either, marked, scopes
+
+#: What brings data in (calls, and things read without a call), what runs it, and what cleans it.
 SOURCES = {"input": "stdin", "request.args.get": "http", "request.form.get": "http", "request.get_json": "http", "os.environ.get": "env", "os.getenv": "env", "sys.stdin.read": "stdin", "open": "file"}
+READ = {"request.args": "http", "request.form": "http", "request.json": "http", "request.cookies": "http", "request.headers": "http", "sys.argv": "argv", "os.environ": "env"}
 SINKS = {"eval": "code", "exec": "code", "os.system": "command", "subprocess.run": "command", "subprocess.call": "command", "subprocess.Popen": "command", "cursor.execute": "sql", "pickle.loads": "deserialisation", "yaml.load": "deserialisation"}
 CLEANERS = {"shlex.quote", "html.escape", "int", "float", "re.escape", "quote"}
 FLOW = "path string, function string, source_kind string, source_line int, sink_kind string, sink_line int, hops int, interpolated boolean, validated boolean, sanitized boolean"
 
 
-def _name(n: ast.AST) -> str:
-    if isinstance(n, ast.Attribute):
-        return f"{_name(n.value)}.{n.attr}".lstrip(".")
-    return n.id if isinstance(n, ast.Name) else ""
-
-
-class _Function(ast.NodeVisitor):
-    """Taint of names in one function: where it came from, over how many steps, and what happened on the way."""
-
-    def __init__(self, path: str, name: str):
-        self.path, self.name, self.names, self.flows = path, name, {}, []
-
-    def of(self, n: ast.AST) -> dict | None:
-        if isinstance(n, ast.Name):
-            return self.names.get(n.id)
-        if isinstance(n, ast.Call):
-            called = _name(n.func)
-            if called in SOURCES:
-                return {"kind": SOURCES[called], "line": n.lineno, "hops": 0, "interpolated": False, "sanitized": False, "validated": False}
-            for a in [*n.args, *[k.value for k in n.keywords], *([n.func.value] if isinstance(n.func, ast.Attribute) else [])]:
-                t = self.of(a)
-                if t:
-                    return t | {"hops": t["hops"] + 1, "sanitized": t["sanitized"] or called in CLEANERS, "interpolated": t["interpolated"] or called.endswith(".format")}
-            return None
-        if isinstance(n, (ast.JoinedStr, ast.BinOp)):
-            t = self.first(ast.iter_child_nodes(n))
-            return t and t | {"interpolated": True}
-        return self.first(ast.iter_child_nodes(n))
-
-    def first(self, nodes) -> dict | None:
-        return next((t for t in map(self.of, nodes) if t), None)
-
-    def bind(self, target: ast.AST, t: dict | None) -> None:
-        for n in ast.walk(target):
-            if isinstance(n, ast.Name):
-                if t:
-                    self.names[n.id] = t | {"hops": t["hops"] + 1}
-                else:
-                    self.names.pop(n.id, None)
-
-    def visit_Assign(self, n: ast.Assign) -> None:
-        self.generic_visit(n)
-        for target in n.targets:
-            self.bind(target, self.of(n.value))
-
-    def visit_AugAssign(self, n: ast.AugAssign) -> None:
-        self.generic_visit(n)
-        t = self.of(n.value)
-        if t:
-            self.bind(n.target, t)
-
-    def visit_For(self, n: ast.For) -> None:
-        self.bind(n.target, self.of(n.iter))
-        self.generic_visit(n)
-
-    def visit_If(self, n: ast.If) -> None:
-        for x in ast.walk(n.test):
-            if isinstance(x, ast.Name) and x.id in self.names and isinstance(n.test, (ast.Call, ast.Compare, ast.UnaryOp)):
-                self.names[x.id] = self.names[x.id] | {"validated": True}
-        self.generic_visit(n)
-
-    def visit_Call(self, n: ast.Call) -> None:
-        self.generic_visit(n)
-        called = _name(n.func)
-        if called in SINKS:
-            t = self.first([*n.args, *[k.value for k in n.keywords]])
-            if t:
-                self.flows.append((self.path, self.name, t["kind"], t["line"], SINKS[called], n.lineno, t["hops"], t["interpolated"], t["validated"], t["sanitized"]))
-
-    def visit_FunctionDef(self, n) -> None:
-        return None  # a function inside is looked at by itself
-
-    visit_AsyncFunctionDef = visit_FunctionDef
+class Taint(FlowStates):
+    """Origins are outside data; a flow is a sink's first argument that may hold any, once for each origin."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.found: dict[tuple[Origin, str, int], Mark] = {}
+
+    def source(self, n: ast.AST) -> str | None:
+        return SOURCES.get(dotted(n.func)) if isinstance(n, ast.Call) else READ.get(dotted(n))
+
+    def call(self, n: ast.Call, arguments: list[Value], owner: Value, state: State) -> Value:
+        name = dotted(n.func)
+        if name in SINKS:
+            for origin, mark in next((a for a in arguments if a), {}).items():
+                key = origin, SINKS[name], n.lineno
+                self.found[key] = mark.joined(self.found.get(key, mark))
+        if name in SOURCES:
+            return {}
+        given = marked(either(*arguments, owner), hops=1)
+        if name in CLEANERS:
+            given = marked(given, cleaned=True)
+        return marked(given, interpolated=True) if isinstance(n.func, ast.Attribute) and n.func.attr == "format" else given
 
 
 def flows_of(path: str, text: str) -> list[tuple]:
-    """Flows of a file; one that does not parse has none."""
+    """Flows of a file, of its module level too; one that does not parse has none, nor has a scope nested too deeply."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     out = []
-    for n in ast.walk(tree):
-        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            visitor = _Function(path, n.name)
-            for statement in n.body:
-                visitor.visit(statement)
-            out += visitor.flows
+    for name, _, body in scopes(tree):
+        states = Taint()
+        try:
+            states.block(body, {})
+        except RecursionError:
+            continue
+        for ((kind, line), sink, at), m in sorted(states.found.items(), key=lambda f: (f[0][2], f[0][0])):
+            out.append((path, name, kind, line, sink, at, m.hops, m.interpolated, m.checked, m.cleaned))
     return out
 
 
 def taint_flows(files: DataFrame) -> DataFrame:
-    """Flows within functions of Python files (path, text); score them with flows.taint_confidence."""
+    """Flows within functions of Python files (path, text); score them with flows.taint_confidence.
+
+    A flow is given once for each source and sink line, over all paths between them: `hops` are the fewest, it is
+    interpolated if any path does so, validated and sanitized only if all paths are. Null texts have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in FLOW.split(", ")]
