@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provark.functions import arrow_udfs
@@ -15,6 +15,7 @@ from provark.plans.bindings import EDGES_SQL, NODES_SQL, key_edges, key_nodes, r
 from provark.plans.storage import query, shared_dir, stored, table
 from provark.sources import code_rules, readers, sinks, taint
 from provark.streaming import events as ev
+from provark.streaming import follow
 
 
 def _text(*parts) -> Column:
@@ -509,6 +510,37 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return spark.table(name).groupBy("run_id").agg(F.count("*").alias("events"), F.max("seq").alias("last"), F.count_distinct("seq").alias("different"))
 
 
+@query("""WITH e AS (SELECT user_id::VARCHAR AS run_id, row_number() OVER w AS seq, epoch_us(ts) AS micros, event_id, user_id % 3 = 0 AND row_number() OVER w = count(*) OVER (PARTITION BY user_id) AS done
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, coalesce(lag(seq) OVER w, 0) AS before, lead(seq) OVER w AS behind, lead(micros) OVER w AS later FROM e WHERE done OR event_id % 97 <> 0 WINDOW w AS (PARTITION BY run_id ORDER BY seq))
+SELECT run_id, 'event' AS kind, seq, seq AS until, micros FROM g UNION ALL SELECT run_id, 'end', seq, seq, micros FROM g WHERE done
+UNION ALL SELECT run_id, 'gap', before + 1, seq - 1, NULL FROM g WHERE seq > before + 1
+UNION ALL SELECT run_id, 'heartbeat', seq, seq, micros + 15000000 FROM g WHERE NOT done AND (behind IS NULL OR behind > seq + 1 OR later - micros > 15000000)""")
+def live_follow(spark: SparkSession, d: str) -> DataFrame:
+    """Runs followed live: the events come in three instalments, some one late, some again, some never; the follower starts
+    anew for each from its checkpoint. A user is a run; every third ends with its last event."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    by = Window.partitionBy("user_id")
+    seq = F.row_number().over(by.orderBy("ts", "event_id")).cast("long")
+    done = (F.col("user_id") % 3 == 0) & (F.col("_seq") == F.count("*").over(by))
+    rows = e.withColumn("_seq", seq).select(F.col("user_id").cast("string").alias("run_id"), F.col("_seq").alias("seq"), "ts", F.when(done, "done").otherwise("log").alias("t"), F.lit("{}").alias("payload"), "event_id")
+    span = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).head()
+    third = (span.b - span.a) / 3
+    due = F.when(F.col("ts") < F.lit(span.a + third), 0).when(F.col("ts") < F.lit(span.a + 2 * third), 1).otherwise(2)
+    late = F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    again = F.when(F.col("event_id") % 5 == 0, F.array(due + late, due + late + 1)).otherwise(F.array(due + late))
+    sent = rows.filter("t = 'done' or event_id % 97 <> 0").select("*", F.explode(again).alias("part"))
+    last = spark.createDataFrame([("", 1, span.b + 20 * third, "log", "{}", 4)], "run_id string, seq long, ts timestamp, t string, payload string, part int")
+    sent = stored(sent.drop("event_id").unionByName(last), "sent")
+    source, out, state = (_folder(spark, n) for n in ("instalments", "followed", "state"))
+    apart = int(third.total_seconds() * 1000) + 86_400_000  # how late an event may be
+    for part in range(5):
+        sent.filter(F.col("part") == part).drop("part").write.mode("append").parquet(source)
+        follow.drain_to(follow.follow(ev.read_events(spark, source, 1000), f"{apart} milliseconds", apart), out, state)
+    found = spark.read.schema(follow.FOLLOWED).parquet(out).filter("run_id <> ''")
+    return found.select("run_id", "kind", "seq", "until", F.unix_micros("ts").alias("micros"))
+
+
 @query("SELECT DISTINCT user_id::VARCHAR AS run_id FROM events WHERE event_type = 'signup'")
 def finished_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs with a terminal event: a follower stops there."""
