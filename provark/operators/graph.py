@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provark.functions.text import digest, dirname, merge_maps
-from provark.plans.storage import stored
+from provark.operators.reach import reach, search
 
 #: The providers that resolve, and the kinds that say nothing.
 RESOLVING = ("gitnexus", "runtime", "semgrep")
@@ -129,72 +129,53 @@ def closure(edges: DataFrame, seeds: DataFrame, depth: int = 6, reverse: bool =
     """root, uid, hops: what each seed (column uid) reaches within `depth` steps, itself left out; with `together`
     what any of them reaches, under one empty root.
 
-    All roots advance together, a level at a time; a pair once seen is not seen again. Levels are stored,
-    so the lineage stays flat; the loop ends at the bound or where nothing new comes."""
-    steps = edges.select(F.col("dst" if reverse else "src").alias("a"), F.col("src" if reverse else "dst").alias("b")).distinct()
-    seen = stored(seeds.select((F.lit("") if together else F.col("uid")).alias("root"), F.col("uid").alias("uid"), F.lit(0).alias("hops")).distinct(), "closure")
-    frontier = seen
-    for level in range(1, depth + 1):
-        step = frontier.join(steps, frontier["uid"] == steps["a"]).select("root", F.col("b").alias("uid")).distinct()
-        fresh = stored(step.join(seen, ["root", "uid"], "left_anti").withColumn("hops", F.lit(level)), "closure")
-        if not fresh.head(1):
-            break
-        seen, frontier = seen.unionByName(fresh), fresh
-    return seen.filter("hops > 0")
+    Roots travel as bits (see reach); pairs are made of them at the end. Who needs counts only asks reach for those."""
+    return reach(edges, seeds, depth, reverse, together).pairs()
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_nodes: int = 11) -> DataFrame:
-    """root, uid, path, confidence, providers: a shortest path from each source to whatever it reaches.
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_nodes: int = 11, asked: DataFrame | None = None) -> DataFrame:
+    """root, uid, path, confidence, providers: a shortest path from each source to whatever it reaches, or to what is
+    asked for (root, uid).
 
     Among shortest paths the least one stays, which is what a first-in-first-out search over sorted
     neighbours finds. confidence is the weakest hop of that path; providers are united over it."""
-    steps = edges.groupBy("src", "dst").agg(F.max("confidence").alias("c"), union_sets("provenance").alias("p"))
-    start = sources.select(F.col("uid").alias("root"), F.col("uid").alias("uid"), F.array("uid").alias("path"), F.lit(1.0).alias("confidence"), F.array().cast("array<string>").alias("providers")).distinct()
-    seen = stored(start, "paths")
-    frontier = seen
-    for _ in range(max_nodes - 1):
-        step = frontier.join(steps, frontier["uid"] == steps["src"])
-        step = step.select("root", F.col("dst").alias("uid"), F.concat("path", F.array("dst")).alias("path"), F.least("confidence", "c").alias("confidence"), F.array_sort(F.array_union("providers", "p")).alias("providers"))
-        best = step.groupBy("root", "uid").agg(F.min_by(F.struct("path", "confidence", "providers"), "path").alias("b")).select("root", "uid", "b.*")
-        fresh = stored(best.join(seen.select("root", "uid"), ["root", "uid"], "left_anti"), "paths")
-        if not fresh.head(1):
-            break
-        seen, frontier = seen.unionByName(fresh), fresh
-    return seen
-
-
-def reachability(nodes: DataFrame, edges: DataFrame, entrypoints: DataFrame, precision: str = "union", max_nodes: int = 12) -> DataFrame:
-    """uid, reachable, measured, path, confidence, providers, hops for every node.
-
-    One search from all entrypoints at once; a node keeps its least shortest path, confidence is that path's
-    weakest hop. Without any entrypoint nothing is measured: reachable is false and measured too."""
+    return search(edges, sources, max_nodes).paths(asked)
+
+
+def reachability(nodes: DataFrame, edges: DataFrame, entrypoints: DataFrame, precision: str = "union", max_nodes: int = 12, kinds: Iterable[str] = (), paths: bool = True) -> DataFrame:
+    """uid, reachable, measured, hops, confidence, called, and path and providers if `paths`, for every node.
+
+    One search from all entrypoints at once over edges of the kinds given (all without); of equally short paths a node has
+    the one that a search back from it over sorted callers meets first, confidence is that path's weakest hop. called: an
+    edge of those kinds leads to the node, at any precision. Without any entrypoint nothing is measured: reachable is
+    false and measured too. Providers of an entrypoint itself are none."""
     measured = bool(entrypoints.head(1))
-    steps = admitted(edges, precision).groupBy("src", "dst").agg(F.max("confidence").alias("c"), union_sets("provenance").alias("p"))
-    seen = stored(entrypoints.select(F.col("uid"), F.array("uid").alias("path"), F.lit(1.0).alias("confidence"), F.array().cast("array<string>").alias("providers")).distinct(), "reach")
-    frontier = seen
-    for _ in range(max_nodes - 1):
-        step = frontier.join(steps, frontier["uid"] == steps["src"]).select(F.col("dst").alias("uid"), F.concat("path", F.array("dst")).alias("path"), F.least("confidence", "c").alias("confidence"), F.array_sort(F.array_union("providers", "p")).alias("providers"))
-        best = step.groupBy("uid").agg(F.min_by(F.struct("path", "confidence", "providers"), "path").alias("b")).select("uid", "b.*")
-        fresh = stored(best.join(seen.select("uid"), "uid", "left_anti"), "reach")
-        if not fresh.head(1):
-            break
-        seen, frontier = seen.unionByName(fresh), fresh
-    found = nodes.select("uid").distinct().join(seen, "uid", "left")
-    return found.select("uid", F.col("path").isNotNull().alias("reachable"), F.lit(measured).alias("measured"), "path", "confidence", "providers", (F.size("path") - 1).alias("hops"))
+    own = edges.filter(F.col("kind").isin(*kinds)) if kinds else edges
+    tree = search(admitted(own, precision), entrypoints, max_nodes, nearest=True)
+    seen = tree.found().drop("root")
+    if paths:
+        seen = seen.join(tree.paths().select("uid", "path", "providers"), "uid")
+    called = own.select(F.col("dst").alias("uid")).distinct().withColumn("called", F.lit(True))
+    found = nodes.select("uid").distinct().join(seen, "uid", "left").join(called, "uid", "left")
+    told = ["path", "providers"] if paths else []
+    return found.select("uid", F.col("hops").isNotNull().alias("reachable"), F.lit(measured).alias("measured"), "hops", "confidence", *told, F.coalesce("called", F.lit(False)).alias("called"))
 
 
 def reachability_score(reach: DataFrame) -> DataFrame:
-    """.05 unmeasured; unreachable .15 at union and .05 at resolved precision; else the hops' decay by confidence."""
+    """.05 unmeasured; unreachable .15 if anything calls it, else .05; else the hops' decay by confidence."""
     decay = F.greatest(F.lit(0.4), 1 - 0.08 * F.col("hops")) * F.greatest("confidence", F.lit(0.5))
-    score = F.when(~F.col("measured"), 0.05).when(~F.col("reachable"), 0.15).otherwise(decay)
+    score = F.when(~F.col("measured"), 0.05).when(~F.col("reachable"), F.when(F.col("called"), 0.15).otherwise(0.05)).otherwise(decay)
     return reach.withColumn("score", F.round(score, 3))
 
 
 def blast_radius(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int = 6) -> DataFrame:
-    """uid, direct, transitive, modules, score: callers within `depth`, their directories, min(1, .2 + .03 n + .08 m)."""
-    callers = closure(edges, seeds, depth, reverse=True).join(nodes.select("uid", dirname(F.col("file")).alias("module")), "uid", "left")
-    counts = callers.groupBy(F.col("root").alias("uid")).agg(F.count_if(F.col("hops") == 1).alias("direct"), F.count("*").alias("transitive"), F.count_distinct("module").alias("modules"))
-    out = seeds.select("uid").distinct().join(counts, "uid", "left").fillna(0, ["direct", "transitive", "modules"])
+    """uid, direct, transitive, modules, score: callers within `depth`, their directories, min(1, .2 + .03 n + .08 m).
+
+    Callers and directories are counted as bits; no pair of a seed and a caller is made."""
+    found = reach(edges, seeds, depth, reverse=True)
+    counts = found.counts().groupBy(F.col("root").alias("uid")).agg(F.sum(F.when(F.col("hops") == 1, F.col("n")).otherwise(0)).alias("direct"), F.sum("n").alias("transitive"))
+    modules = found.groups(nodes.select("uid", dirname(F.col("file")).alias("label")).distinct()).select(F.col("root").alias("uid"), F.col("n").alias("modules"))
+    out = seeds.select("uid").distinct().join(counts, "uid", "left").join(modules, "uid", "left").fillna(0, ["direct", "transitive", "modules"])
     return out.withColumn("score", F.round(F.least(F.lit(1.0), 0.2 + 0.03 * F.col("transitive") + 0.08 * F.col("modules")), 3))
 
 
@@ -203,7 +184,7 @@ def subgraph(edges: DataFrame, uid: str, depth: int = 2, limit: int = 200, direc
     both = edges.select("src", "dst")
     both = both if directed else both.union(edges.select(F.col("dst"), F.col("src")))
     seed = edges.sparkSession.createDataFrame([(uid,)], "uid string")
-    found = closure(both, seed, depth).select("uid", "hops").union(seed.select("uid", F.lit(0).alias("hops")))
+    found = closure(both, seed, depth, together=True).select("uid", "hops").union(seed.select("uid", F.lit(0).alias("hops")))
     return found.groupBy("uid").agg(F.min("hops").alias("hops")).orderBy("hops", "uid").limit(limit)
 
 

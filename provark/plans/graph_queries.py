@@ -170,15 +170,16 @@ def neighbours(spark: SparkSession, d: str) -> DataFrame:
 SELECT root, hops, count(*) AS n FROM (SELECT root, uid, min(hops) AS hops FROM c GROUP BY root, uid) WHERE hops > 0 GROUP BY root, hops""")
 def closure_depth6(spark: SparkSession, d: str) -> DataFrame:
     seeds = key_nodes(spark, d).filter("kind = 'region'").select("uid")
-    return graph.closure(graph.merge_edges(key_edges(spark, d)), seeds, 6).groupBy("root", "hops").agg(F.count("*").alias("n"))
+    return graph.reach(graph.merge_edges(key_edges(spark, d)), seeds, 6).counts()
 
 
 @query("""WITH RECURSIVE n AS (SELECT user_id AS a, lead(user_id) OVER (ORDER BY ts, event_id) AS b FROM events),
 e AS (SELECT DISTINCT a, b FROM n WHERE a IS NOT NULL AND b IS NOT NULL), c AS (SELECT DISTINCT a AS root, a AS uid, 0 AS hops FROM (SELECT user_id AS a FROM events WHERE user_id IS NOT NULL) UNION SELECT root, b, hops + 1 FROM c JOIN e ON uid = a WHERE hops < 6)
-SELECT root, uid, min(hops) AS hops FROM c WHERE uid <> root GROUP BY root, uid""")
+SELECT root, hops, count(*) AS n FROM (SELECT root, uid, min(hops) AS hops FROM c WHERE uid <> root GROUP BY root, uid) GROUP BY root, hops""")
 def closure_cyclic(spark: SparkSession, d: str) -> DataFrame:
-    """A dense graph with cycles: who follows whom in the event log, from every user to every other. What follows
-    a row is read within its day, and across days between their ends, so no task orders the whole log."""
+    """A dense graph with cycles: who follows whom in the event log, from every user to every other, counted
+    by steps: users travel as bits, pairs are never made. What follows a row is read within its day, and across days
+    between their ends, so no task orders the whole log."""
     e = table(spark, d, "events").select("user_id", "ts", "event_id").withColumn("day", F.to_date("ts"))
     inner = e.withColumn("b", F.lead("user_id").over(Window.partitionBy("day").orderBy("ts", "event_id"))).select("user_id", "b")
     ends = e.groupBy("day").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"), F.max_by("user_id", F.struct("ts", "event_id")).alias("last"))
@@ -186,8 +187,7 @@ def closure_cyclic(spark: SparkSession, d: str) -> DataFrame:
     step = inner.union(across).filter("user_id is not null and b is not null")
     edges = step.select(F.col("user_id").cast("string").alias("src"), F.col("b").cast("string").alias("dst")).distinct()
     seeds = e.filter("user_id is not null").select(F.col("user_id").cast("string").alias("uid")).distinct()
-    found = graph.closure(edges, seeds, 6).filter("root <> uid")
-    return found.select(F.col("root").cast("long").alias("root"), F.col("uid").cast("long").alias("uid"), "hops")
+    return graph.reach(edges, seeds, 6).counts().select(F.col("root").cast("long").alias("root"), "hops", "n")
 
 
 @query(f"""WITH {EDGES_SQL}, p1 AS (SELECT 'region:' || r_regionkey AS root, 'region:' || r_regionkey AS uid FROM region)
@@ -209,7 +209,7 @@ def _reach(spark: SparkSession, d: str) -> DataFrame:
     nodes = key_nodes(spark, d)
     edges = graph.merge_edges(key_edges(spark, d))
     entry = nodes.filter("kind = 'region' and seq < 3").select("uid")
-    return graph.reachability(nodes, edges, entry)
+    return graph.reachability(nodes, edges, entry, paths=False)
 
 
 @query(_REACH + " SELECT n.uid, r.uid IS NOT NULL AS reachable, true AS measured, r.hops, r.confidence FROM nodes n LEFT JOIN r ON n.uid = r.uid")
@@ -217,7 +217,7 @@ def reach_depth(spark: SparkSession, d: str) -> DataFrame:
     return _reach(spark, d).select("uid", "reachable", "measured", "hops", "confidence")
 
 
-@query(_REACH + " SELECT n.uid, round(CASE WHEN r.uid IS NULL THEN 0.15 ELSE greatest(0.4, 1 - 0.08 * r.hops) * greatest(r.confidence, 0.5) END, 3) AS score FROM nodes n LEFT JOIN r ON n.uid = r.uid")
+@query(_REACH + " SELECT n.uid, round(CASE WHEN r.uid IS NULL THEN CASE WHEN n.uid IN (SELECT dst FROM edges) THEN 0.15 ELSE 0.05 END ELSE greatest(0.4, 1 - 0.08 * r.hops) * greatest(r.confidence, 0.5) END, 3) AS score FROM nodes n LEFT JOIN r ON n.uid = r.uid")
 def reach_score(spark: SparkSession, d: str) -> DataFrame:
     return graph.reachability_score(_reach(spark, d)).select("uid", "score")
 
@@ -227,7 +227,7 @@ def reach_unmeasured(spark: SparkSession, d: str) -> DataFrame:
     """Without entrypoints nothing is measured, which is told from unreachable."""
     nodes = key_nodes(spark, d).filter("kind = 'nation'")
     none = spark.createDataFrame([], "uid string")
-    return graph.reachability_score(graph.reachability(nodes, graph.merge_edges(key_edges(spark, d)), none)).select("uid", "reachable", "measured", "score")
+    return graph.reachability_score(graph.reachability(nodes, graph.merge_edges(key_edges(spark, d)), none, paths=False)).select("uid", "reachable", "measured", "score")
 
 
 @query(f"""WITH RECURSIVE {EDGES_SQL}, {NODES_SQL}, s AS (SELECT uid FROM nodes WHERE kind = 'supplier'), c AS (SELECT uid AS root, uid, 0 AS hops FROM s UNION SELECT root, src, hops + 1 FROM c JOIN edges ON uid = dst WHERE hops < 6),

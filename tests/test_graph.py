@@ -110,6 +110,80 @@ def test_paths_and_closures_on_random_graphs(spark, seed):
     assert hops == {k: len(v) - 1 for k, v in want.items() if len(v) > 1}
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_bits_of_many_roots(spark, seed):
+    """Over two blocks of roots, with cycles and a hub: pairs, counts and label counts equal plain searches."""
+    rnd = random.Random(seed)
+    names = [f"n{i:03d}" for i in range(330)]
+    pairs = {(rnd.choice(names), rnd.choice(names)) for _ in range(420)} | {("n000", n) for n in names[::7]} | {(n, "n000") for n in names[::11]}
+    e = edges_of(spark, [(a, b, "CALLS", ["p"], 0.5) for a, b in sorted(pairs)])
+    steps, back = {}, {}
+    for a, b in pairs:
+        steps.setdefault(a, set()).add(b)
+        back.setdefault(b, set()).add(a)
+
+    def plain(steps, root):
+        hops, level = {root: 0}, {root}
+        for h in range(1, 4):
+            level = {b for a in level for b in steps.get(a, ())} - set(hops)
+            hops |= dict.fromkeys(level, h)
+        return {u: h for u, h in hops.items() if h}
+
+    seeds = spark.createDataFrame([(n,) for n in [*names, names[5], None]], "uid string")
+    found = graph.reach(e, seeds, 3)
+    want = {(r, u): h for r in names for u, h in plain(steps, r).items()}
+    assert {(r.root, r.uid): r.hops for r in found.pairs().collect()} == want
+    counts = {}
+    for (r, _), h in want.items():
+        counts[r, h] = counts.get((r, h), 0) + 1
+    assert {(r.root, r.hops): r.n for r in found.counts().collect()} == counts
+    nodes = spark.createDataFrame([node(n, file=f"d{int(n[1:]) % 9}/{n}.py") for n in names[:-5]], NODE)
+    for r in graph.blast_radius(e, nodes, seeds.dropna(), 3).collect():
+        callers = plain(back, r.uid)
+        modules = {int(u[1:]) % 9 for u in callers if u in names[:-5]}
+        assert (r.direct, r.transitive, r.modules) == (sum(h == 1 for h in callers.values()), len(callers), len(modules))
+    assert graph.reach(e, seeds.filter("false"), 3).counts().collect() == []
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_nearest_entrypoint_paths(spark, seed):
+    """The path is the one that a search back over sorted callers meets first."""
+    rnd = random.Random(seed)
+    names = [f"n{i:02d}" for i in range(20)]
+    pairs = {(rnd.choice(names), rnd.choice(names)) for _ in range(45)}
+    weight = {p: rnd.choice([0.35, 0.55, 1.0]) for p in pairs}
+    e = graph.merge_edges(edges_of(spark, [(a, b, "CALLS", ["p"], weight[a, b]) for a, b in sorted(pairs)] + [("n00", "n19", "READS", ["p"], 1.0)]))
+    entries = {"n00", "n01", "n02"}
+
+    def back(uid):
+        if uid in entries:
+            return [uid], 1.0
+        queue, seen = [([uid], 1.0)], {uid}
+        while queue:
+            path, c = queue.pop(0)
+            for caller in sorted(a for a, b in pairs if b == path[0]):
+                if caller not in seen:
+                    seen.add(caller)
+                    new = [caller, *path], min(c, weight[caller, path[0]])
+                    if caller in entries:
+                        return new
+                    if len(new[0]) < 12:
+                        queue.append(new)
+        return None, None
+
+    nodes = spark.createDataFrame([node(n) for n in names], NODE)
+    got = graph.reachability(nodes, e, spark.createDataFrame([(n,) for n in sorted(entries)], "uid string"), kinds=("CALLS",))
+    for r in graph.reachability_score(got).collect():
+        path, c = back(r.uid)
+        assert (r.path, r.confidence) == (path, c), r.uid
+        called = any(b == r.uid for _, b in pairs)
+        assert r.score == (round(max(0.4, 1 - 0.08 * (len(path) - 1)) * max(c, 0.5), 3) if path else 0.15 if called else 0.05)
+    asked = spark.createDataFrame([("n00", n) for n in names[5:9]], "root string, uid string")
+    some = {r.uid: r.path for r in graph.shortest_paths(e, spark.createDataFrame([("n00",)], "uid string"), 6, asked).collect()}
+    every = {r.uid: r.path for r in graph.shortest_paths(e, spark.createDataFrame([("n00",)], "uid string"), 6).collect()}
+    assert some == {u: p for u, p in every.items() if u in names[5:9]}
+
+
 def test_dangling_and_orphans(spark):
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "uid string")
     e = edges_of(spark, [("a", "b", "K", ["p"], 1.0), ("a", "x", "K", ["p"], 1.0)])
@@ -193,7 +267,7 @@ def test_closure_of_the_whole_event_log(spark):
         for h in range(1, 7):
             level = {b for a in level for b in steps.get(a, ())} - set(hops)
             hops |= dict.fromkeys(level, h)
-        want |= {(root, u, h) for u, h in hops.items() if u != root}
+        want |= {(root, h, sum(x == h for x in hops.values())) for h in set(hops.values()) - {0}}
     got = [tuple(r) for r in entry.queries()["closure_cyclic"](spark, d).collect()]
     assert len(got) == len(want) and set(got) == want
 
