@@ -115,21 +115,27 @@ def flow_endpoints(flows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def best_match(findings: DataFrame, flows: DataFrame) -> DataFrame:
-    """findings (id, file, line) with the flow that starts at the same line, else the first of the file."""
-    found = findings.alias("f").join(flows.select("file", F.col("line").alias("at"), "ref", "seq"), "file", "left")
-    pick = F.min_by("ref", F.when(F.col("ref").isNotNull(), F.struct(F.col("at") != F.col("line"), F.col("seq"))))
-    return found.groupBy("id", "file", "line").agg(pick.alias("flow_ref"))
+    """findings (id, file, line) with the flow that starts at the same line, else the first of the file.
+
+    Each place and each file has one flow to give, so findings meet two rows at most."""
+    first = lambda name: F.min_by("ref", F.struct("seq", "ref")).alias(name)
+    own = flows.filter("ref is not null")
+    found = findings.select("id", "file", "line").distinct()
+    found = found.join(own.groupBy("file", "line").agg(first("_at")), ["file", "line"], "left").join(own.groupBy("file").agg(first("_in")), "file", "left")
+    return found.select("id", "file", "line", F.coalesce("_at", "_in").alias("flow_ref"))
 
 
 def match_clause(findings: DataFrame, clauses: DataFrame) -> DataFrame:
     """findings (id, kind, file, function) with a clause (clause_id, kind, file, function, seq): of the same
-    function the first, else of the same file the last, else the first of the kind."""
-    c = clauses.select("kind", F.col("clause_id"), F.col("file").alias("cf"), F.col("function").alias("cn"), F.col("seq").alias("cs"))
-    same_file = F.col("file") == F.col("cf")
-    tier = F.when(same_file & (F.col("function") == F.col("cn")), 0).when(same_file, 1).otherwise(2)
-    order = F.struct(tier, F.when(tier == 1, -F.col("cs")).otherwise(F.col("cs")))
-    joined = findings.join(c, "kind", "left")
-    return joined.groupBy("id", "kind", "file", "function").agg(F.min_by("clause_id", F.when(F.col("clause_id").isNotNull(), order)).alias("clause_id"))
+    function the first, else of the same file the last, else the first of the kind.
+
+    Each function, file and kind has one clause to give, so findings meet three rows at most."""
+    own = clauses.filter("clause_id is not null")
+    first, last = F.min_by("clause_id", F.struct("seq", "clause_id")), F.max_by("clause_id", F.struct("seq", "clause_id"))
+    found = findings.select("id", "kind", "file", "function").distinct()
+    for keys, pick, name in ((["kind", "file", "function"], first, "_function"), (["kind", "file"], last, "_file"), (["kind"], first, "_kind")):
+        found = found.join(own.groupBy(*keys).agg(pick.alias(name)), keys, "left")
+    return found.select("id", "kind", "file", "function", F.coalesce("_function", "_file", "_kind").alias("clause_id"))
 
 
 def within_budget(items: DataFrame, budget: int, by: str, order: list[str], size: str = "size") -> DataFrame:

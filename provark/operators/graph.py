@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from provark.functions.text import digest, dirname, merge_maps
 from provark.operators.reach import reach, search
+from provark.plans.storage import stored
 
 #: The providers that resolve, and the kinds that say nothing.
 RESOLVING = ("gitnexus", "runtime", "semgrep")
@@ -206,19 +207,36 @@ def siblings(nodes: DataFrame, limit: int = 40) -> DataFrame:
     return every.select("uid", "s.sibling", "s.tier", (F.col("_at") + 1).alias("rank"))
 
 
+def _blocks(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, level, block, owner: the aligned blocks of 2 ** level places that cover the spans (_start to _end), at most two
+    a level and span, and for each block the best span that has it."""
+    low = "shiftright(_start + shiftleft(1L, l) - 1, l)"
+    high = "shiftright(_end + 1, l)"
+    place = f"""filter(flatten(transform(sequence(0, greatest(0, int(floor(log2(_end + 1 - _start))))), l -> array(
+        if({low} < {high} and {low} % 2 <> 0, struct(l as level, {low} as block), null),
+        if({low} < {high} and {high} % 2 <> 0, struct(l as level, {high} - 1 as block), null)))), x -> x is not null)"""
+    cover = spans.filter("_start <= _end").select(*keys, "_start", "_seq", "owner", F.explode(F.expr(place)).alias("_b"))
+    best = F.max_by("owner", F.struct("_start", -F.col("_seq")))
+    rank = F.max(F.struct("_start", -F.col("_seq")))
+    return cover.groupBy(*keys, F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")).agg(best.alias("owner"), rank.alias("_rank"))
+
+
 def innermost(points: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ("file",), at: str = "line", order: str = "seq") -> DataFrame:
     """points with the uid of the innermost span that holds them (null without one): the latest start, then
     the first inserted. points: keys, `at`; spans: keys, uid, start_line, end_line, seq.
 
-    Equal keys join by hash, the range is a residual; spans without an end are one line."""
-    inner = spans.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("uid").alias("owner"), F.col("start_line").alias("_start"), F.coalesce(F.when(F.col("end_line") > 0, F.col("end_line")), F.col("start_line")).alias("_end"), F.col(order).alias("_seq"))
-    marked = points.withColumn("_row", F.monotonically_increasing_id())
-    match = (F.col(at) >= F.col("_start")) & (F.col(at) <= F.col("_end"))
-    for k in keys:
-        match &= F.col(k) == F.col(f"_{k}")
-    best = F.max_by("owner", F.struct("_start", -F.col("_seq")))
-    joined = marked.join(inner, match, "left")
-    return joined.groupBy("_row", *points.columns).agg(best.alias("owner")).drop("_row")
+    A span becomes aligned blocks, of which each keeps its best span; a place looks up the blocks that hold it, one a
+    level, by equality. So a file of many spans and many points costs their sum by the logarithm of its length, and no
+    key gathers more than one row. Spans without an end are one line; places and ends are whole numbers."""
+    start, end = F.col("start_line").cast("long"), F.col("end_line").cast("long")
+    inner = spans.select(*keys, F.col("uid").alias("owner"), start.alias("_start"), F.coalesce(F.when(end > 0, end), start).alias("_end"), F.col(order).alias("_seq"))
+    blocks = stored(_blocks(inner, list(keys)), "blocks")
+    levels = [r[0] for r in blocks.select("_level").distinct().collect()]  # 64 of them at most
+    places = points.select(*keys, F.col(at).cast("long").alias("_at")).dropna().distinct()
+    level = F.explode(F.array(*map(F.lit, sorted(levels)))) if levels else F.lit(0)
+    asked = places.select(*keys, "_at", level.alias("_level")).withColumn("_block", F.expr("shiftright(_at, _level)"))
+    found = asked.join(blocks, [*keys, "_level", "_block"]).groupBy(*keys, "_at").agg(F.max_by("owner", "_rank").alias("owner"))
+    return points.withColumn("_at", F.col(at).cast("long")).join(found, [*keys, "_at"], "left").select(*points.columns, "owner")
 
 
 def untested(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provark.functions.text import digest
+from provark.plans.storage import stored
 
 #: Fixed value: what the first record of a chain follows.
 GENESIS = "0" * 64
@@ -16,35 +21,60 @@ def link_hash(key: Column, seq: Column, evidence: Column, previous: Column) -> C
     return F.sha2(F.concat_ws("|", previous, key.cast("string"), seq.cast("string"), evidence), 256)
 
 
-def build_chain(rows: DataFrame, key: str, order: str, evidence: list[str]) -> DataFrame:
-    """key, seq (from 1), evidence_hash, previous_hash, hash of append-only records. `evidence` names every field that
-    must not change unnoticed: actor, action, subject, time and payload of an audit record.
+def linked(rows: DataFrame) -> DataFrame:
+    """key, seq, evidence_hash, previous_hash, hash of records (key, o, e, head, at) in the order of o, then e, each key's
+    from its head and place on.
 
-    A chain is sequential by nature: one fold over a key's ordered digests; keys are independent. A key's
-    digests are held together, 64 bytes a record."""
-    base = rows.select(F.col(key).alias("key"), F.col(order).alias("o"), digest(*[F.col(c) for c in evidence]).alias("e"))
-    lists = base.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("o", "e"))).alias("l"))
-    first = F.array().cast("array<struct<seq:int,evidence_hash:string,previous_hash:string,hash:string>>")
+    A chain is sequential by nature; keys are independent. A task streams its keys in order and holds one hash."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, seq, last = object(), 0, ""
+        for b in batches:
+            seqs, before, own = [], [], []
+            for name, e, head, at in zip(b["name"].to_pylist(), b["e"].to_pylist(), b["head"].to_pylist(), b["at"].to_pylist(), strict=True):
+                if name != current:
+                    current, seq, last = name, at, head
+                seq += 1
+                before.append(last)
+                last = hashlib.sha256("|".join(x for x in (last, name, str(seq), e) if x is not None).encode()).hexdigest()
+                seqs.append(seq)
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([b["key"], pa.array(seqs, pa.int32()), b["e"], pa.array(before, pa.string()), pa.array(own, pa.string())], ["key", "seq", "evidence_hash", "previous_hash", "hash"])
 
-    def step(acc: Column, x: Column) -> Column:
-        previous = F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], F.lit(GENESIS))
-        return F.concat(acc, F.array(F.struct((F.size(acc) + 1).alias("seq"), x["e"].alias("evidence_hash"), previous.alias("previous_hash"), link_hash(F.col("key"), F.size(acc) + 1, x["e"], previous).alias("hash"))))
+    kind = rows.schema["key"].dataType.simpleString()
+    ordered = rows.repartition("key").sortWithinPartitions("key", "o", "e").select("key", F.col("key").cast("string").alias("name"), "e", "head", "at")
+    return ordered.mapInArrow(fold, f"key {kind}, seq int, evidence_hash string, previous_hash string, hash string")
 
-    return lists.select("key", F.explode(F.aggregate("l", first, step)).alias("r")).select("key", "r.*")
+
+def build_chain(rows: DataFrame, key: str, order: str, evidence: list[str]) -> DataFrame:
+    """key, seq (from 1), evidence_hash, previous_hash, hash of append-only records. `evidence` names every field that
+    must not change unnoticed: actor, action, subject, time and payload of an audit record."""
+    base = rows.select(F.col(key).alias("key"), F.col(order).alias("o"), digest(*[F.col(c) for c in evidence]).alias("e"))
+    return linked(base.withColumns({"head": F.lit(GENESIS), "at": F.lit(0)}))
 
 
-def verify_chain(chain: DataFrame) -> DataFrame:
+def verify_chain(chain: DataFrame, block: int = 1 << 16) -> DataFrame:
     """key, records, valid, break_seq, reason: the first break of each chain, in the order of its seq.
 
-    At one record a sequence gap is told before a wrong previous hash, and that before a wrong own hash."""
-    by = Window.partitionBy("key").orderBy("seq")
-    checked = chain.withColumns({"_n": F.row_number().over(by), "_p": F.coalesce(F.lag("hash").over(by), F.lit(GENESIS))})
+    At one record a sequence gap is told before a wrong previous hash, and that before a wrong own hash. A chain is read
+    in blocks of `block` sequence numbers, each in a task of its own; a block's last record is handed on to the next
+    block that has any, so only one row a block is ordered by key alone."""
+    part = F.floor((F.col("seq") - 1) / block)
+    rows = chain.withColumn("_part", part)
+    by = Window.partitionBy("key", "_part").orderBy("seq")
+    inner = rows.withColumns({"_s": F.lag("seq").over(by), "_p": F.lag("hash").over(by), "_i": F.row_number().over(by)})
+    ends = rows.groupBy("key", "_part").agg(F.max(F.struct("seq", "hash")).alias("_e"))
+    before = F.lag("_e").over(Window.partitionBy("key").orderBy("_part"))
+    handed = ends.select("key", F.col("_part"), before["seq"].alias("_hs"), before["hash"].alias("_hp"))
+    met = inner.filter("_i > 1").withColumns({"_hs": F.lit(None).cast("long"), "_hp": F.lit(None).cast("string")})
+    met = met.unionByName(inner.filter("_i = 1").join(handed, [F.equal_null(inner["key"], handed["key"]), F.equal_null(inner["_part"], handed["_part"])], "left").select(inner["*"], handed["_hs"].cast("long").alias("_hs"), handed["_hp"]))
+    seq, last = F.coalesce("_s", "_hs", F.lit(0)), F.coalesce("_p", "_hp", F.lit(GENESIS))
     reason = (
-        F.when(F.col("seq") != F.col("_n"), "sequence gap")
-        .when(F.col("previous_hash") != F.col("_p"), "previous hash does not match")
+        F.when(F.col("seq") != seq + 1, "sequence gap")
+        .when(F.col("previous_hash") != last, "previous hash does not match")
         .when(F.col("hash") != link_hash(F.col("key"), F.col("seq"), F.col("evidence_hash"), F.col("previous_hash")), "hash does not match")
     )
-    out = checked.withColumn("_r", reason).groupBy("key").agg(F.count("*").alias("records"), F.min(F.when(F.col("_r").isNotNull(), F.struct("seq", "_r"))).alias("_b"))
+    out = met.withColumn("_r", reason).groupBy("key").agg(F.count("*").alias("records"), F.min(F.when(F.col("_r").isNotNull(), F.struct("seq", "_r"))).alias("_b"))
     return out.select("key", "records", F.col("_b").isNull().alias("valid"), F.col("_b.seq").alias("break_seq"), F.col("_b._r").alias("reason"))
 
 
@@ -181,6 +211,7 @@ def attach(findings: DataFrame, symbols: DataFrame, flows: DataFrame, tests: Dat
     ending = findings.select("ref", "file", "line").join(flows.select("file", "line", F.col("ref").alias("flow")), ["file", "line"])
     tested = owned.join(tests.select(F.col("uid").alias("owner"), "test"), "owner")
     edges = to(owned, "LOCATED_IN", "owner").union(to(ending, "EXHIBITS", "flow")).union(to(tested, "COVERED_BY", "test")).distinct()
+    edges = stored(edges, "evidence")  # nodes come from edges, and both are read
     kind = F.create_map(*[F.lit(x) for x in ("LOCATED_IN", "symbol", "EXHIBITS", "flow", "COVERED_BY", "test")])[F.col("relation")]
     nodes = findings.select("ref", F.lit("finding").alias("type")).union(edges.select(F.col("target_ref").alias("ref"), kind.alias("type"))).distinct()
     return nodes, edges

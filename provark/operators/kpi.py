@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provark.functions.text import dirname
+from provark.plans.storage import stored
 
 
 def dashboard(runs: DataFrame) -> DataFrame:
@@ -76,8 +77,9 @@ def page(rows: DataFrame, order: list, offset: int, limit: int, most: int = 200)
 
 
 def capped(rows: DataFrame, n: int = 40) -> DataFrame:
-    """At most n rows with truncated: whether there were more. One row too many is read to know."""
-    more = rows.limit(n + 1)
+    """At most n rows with truncated: whether there were more. One row too many is read to know; they are stored, so
+    that rows and answer come from one read."""
+    more = stored(rows.limit(n + 1), "capped")
     flag = more.agg((F.count("*") > n).alias("truncated"))
     return more.limit(n).crossJoin(F.broadcast(flag))  # one row
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provark.functions.text import lines_of
+from provark.functions.text import dirname, lines_of
 from provark.operators import graph, kpi
 from provark.operators.rules import severity_rank
 
@@ -53,7 +53,7 @@ def get_file(m: Model, path: str, start: int = 1, end: int | None = None) -> Dat
 
 def get_function(m: Model, uid: str) -> DataFrame:
     own = m.nodes.filter((F.col("uid") == uid) & F.col("kind").isin(*graph.CALLABLE))
-    return own.join(graph.neighbours(m.edges), "uid", "left")
+    return own.join(graph.neighbours(m.edges.filter((F.col("src") == uid) | (F.col("dst") == uid))), "uid", "left")
 
 
 def get_class(m: Model, uid: str) -> DataFrame:
@@ -79,7 +79,9 @@ def get_dependents(m: Model, uid: str, depth: int = 6) -> DataFrame:
 
 
 def get_siblings(m: Model, uid: str) -> DataFrame:
-    return graph.siblings(m.nodes, ROWS).filter(F.col("uid") == uid).orderBy("rank")
+    folder = m.nodes.filter(F.col("uid") == uid).select(dirname(F.col("file")).alias("_dir"))
+    near = m.nodes.withColumn("_dir", dirname(F.col("file"))).join(folder, "_dir", "left_semi").drop("_dir")
+    return graph.siblings(near, ROWS).filter(F.col("uid") == uid).orderBy("rank")
 
 
 def get_execution_path(m: Model, source: str, target: str) -> DataFrame:

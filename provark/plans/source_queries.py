@@ -232,7 +232,7 @@ def event_sink(spark: SparkSession, d: str) -> DataFrame:
     path, rows = _folder(spark, "events"), ev.dedup(run_events(spark, d))
     sinks.append_events(rows.filter("seq <= 3"), path)
     sinks.append_events(rows.filter("seq > 3"), path)
-    back = spark.read.schema("seq long, ts timestamp, t string, payload string, run_id string").parquet(path)
+    back = spark.read.schema("run_id string, seq long, ts timestamp, t string, payload string, bucket int").parquet(path)
     return back.groupBy("run_id").agg(F.count("*").alias("events"), F.max("seq").alias("last"))
 
 

@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provark.functions.text import digest
 
 
+#: Folders of the event table.
+BUCKETS = 64
+
+
+def run_bucket(run: Column) -> Column:
+    return F.pmod(F.xxhash64(run), F.lit(BUCKETS)).cast("int")
+
+
 def append_events(events: DataFrame, path: str) -> None:
-    """Appends run events, laid out by run, so that a replay reads its own run only."""
-    events.write.mode("append").partitionBy("run_id").parquet(path)
+    """Appends run events in order of bucket, run and sequence number, in a bounded number of folders and files: a replay
+    reads one bucket, and the statistics of its files show where its run is. A long run is spread over several files."""
+    rows = events.withColumn("bucket", run_bucket(F.col("run_id")))
+    rows.repartitionByRange("bucket", "run_id", "seq").sortWithinPartitions("bucket", "run_id", "seq").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def run_of(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """A run's events, read from its bucket only."""
+    rows = spark.read.schema("run_id string, seq long, ts timestamp, t string, payload string, bucket int").parquet(path)
+    return rows.filter((F.col("bucket") == run_bucket(F.lit(run_id))) & (F.col("run_id") == run_id)).drop("bucket")
 
 
 def checkpoint(state: DataFrame, root: str, run_id: str, stage: str, seq: int) -> DataFrame:
@@ -33,19 +49,13 @@ def artifacts(rows: DataFrame, name: str = "name", body: str = "body") -> DataFr
 
 def append_audit(chain: DataFrame | None, records: DataFrame, key: str, order: str, evidence: list[str]) -> DataFrame:
     """The chain's new records, each key's first linked to its head; keys advance independently of each other."""
-    from provark.operators.integrity import GENESIS, chain_head, link_hash
-
-    spark = records.sparkSession
-    heads = chain_head(chain) if chain is not None else spark.createDataFrame([], "key string, head string, seq int")
-    base = records.select(F.col(key).alias("key"), F.col(order).alias("o"), digest(*[F.col(c) for c in evidence]).alias("e")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("o", "e"))).alias("l")).join(heads, "key", "left")
-    start = F.array().cast("array<struct<seq:int,evidence_hash:string,previous_hash:string,hash:string>>")
-    at, head = F.coalesce(F.col("seq").cast("int"), F.lit(0)), F.coalesce("head", F.lit(GENESIS))
-
-    def step(acc, x):
-        previous = F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], head)
-        return F.concat(acc, F.array(F.struct((at + F.size(acc) + 1).alias("seq"), x["e"].alias("evidence_hash"), previous.alias("previous_hash"), link_hash(F.col("key"), at + F.size(acc) + 1, x["e"], previous).alias("hash"))))
+    from provark.operators.integrity import GENESIS, chain_head, linked
 
-    return base.select("key", F.explode(F.aggregate("l", start, step)).alias("r")).select("key", "r.*")
+    base = records.select(F.col(key).alias("key"), F.col(order).alias("o"), digest(*[F.col(c) for c in evidence]).alias("e"))
+    if chain is None:
+        return linked(base.withColumns({"head": F.lit(GENESIS), "at": F.lit(0)}))
+    heads = chain_head(chain).select("key", "head", F.col("seq").cast("int").alias("at"))
+    return linked(base.join(heads, "key", "left").select("key", "o", "e", F.coalesce("head", F.lit(GENESIS)).alias("head"), F.coalesce("at", F.lit(0)).alias("at")))
 
 
 def remaining_work(changes: DataFrame, results: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provark.sources.sinks import run_bucket
+
 EVENT = "run_id string, seq long, ts timestamp, t string, payload string"
 #: The fields that an event of each type may have.
 FIELDS = {
@@ -71,7 +73,8 @@ def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"):
 
 def append_slices(stream: DataFrame, path: str, checkpoint: str):
     """Appends a stream to the event table once per trigger, exactly once by the sink's own log."""
-    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("run_id").trigger(availableNow=True).start()
+    rows = stream.withColumn("bucket", run_bucket(F.col("run_id")))
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("bucket").trigger(availableNow=True).start()
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

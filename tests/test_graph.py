@@ -76,6 +76,31 @@ def test_innermost_owner_and_ties(spark):
     assert got == {("a.py", 15): "inner", ("a.py", 30): "outer", ("a.py", 60): None, ("b.py", 5): "one", (None, 5): None}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_innermost_by_blocks_matches_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    spans = [(f"f{rnd.randrange(3)}", f"u{i}", (a := rnd.randrange(-20, 300)), rnd.choice([0, a, a + rnd.randrange(200), a - 5]), rnd.randrange(50) * 100 + i) for i in range(150)]
+    points = [(f"f{rnd.randrange(4)}", rnd.randrange(-30, 520)) for _ in range(400)] + [("f1", None), (None, 4)]
+    s = spark.createDataFrame(spans, "file string, uid string, start_line int, end_line int, seq int")
+    p = spark.createDataFrame(points, "file string, line int").withColumn("owner_", F.lit(1))
+
+    def brute(file, line):
+        inside = [(a, -q, u) for f, u, a, b, q in spans if f == file and line is not None and a <= line <= (b if b > 0 else a)]
+        return max(inside)[2] if inside else None
+
+    got = sorted(((r.file, r.line, r.owner) for r in graph.innermost(p, s).collect()), key=str)
+    assert got == sorted(((f, n, brute(f, n)) for f, n in points), key=str)
+    assert {r.owner for r in graph.innermost(p, s.filter("false")).collect()} == {None}
+
+
+def test_innermost_of_one_large_file(spark):
+    """A hundred thousand spans and points in one file, nested and flat: rows stay near both, not their product."""
+    n = 100_000
+    spans = spark.range(n).select(F.lit("a").alias("file"), F.col("id").cast("string").alias("uid"), F.col("id").alias("start_line"), (F.lit(2 * n) - F.col("id")).alias("end_line"), F.col("id").alias("seq"))
+    points = spark.range(n).select(F.lit("a").alias("file"), F.col("id").alias("line"))
+    assert graph.innermost(points, spans).filter("owner = cast(line as string)").count() == n
+
+
 def brute_paths(steps, roots, most):
     out = {}
     for r in roots:
