@@ -135,10 +135,18 @@ def all_channels(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def sibling_shortlist(hits: DataFrame, tokens: list[str], repaired: DataFrame) -> DataFrame:
-    """Places like a repaired one: hits whose snippet holds any of the tokens, outside repaired and test files;
-    confidence .35 and .15 a token, at most .9."""
-    n = F.size(F.filter(F.array(*map(F.lit, tokens)), lambda t: F.contains("snippet", t)))
-    rows = hits.withColumn("hits", n).filter("hits > 0").join(repaired.select("file"), "file", "left_anti")
+def sibling_shortlist(hits: DataFrame, tokens: list[str], repaired: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """Places like a repaired one: hits whose snippet, in lower case, holds any of the tokens, outside repaired and test
+    files; confidence .35 and .15 a token, at most .9.
+
+    With symbols (uid, parameters, body; one row a uid) a hit with an owner (uid) is kept only if one of the owner's
+    parameters is named in its snippet or body: what nobody outside can reach is no sibling. A hit whose owner is not
+    known stays, as nothing was measured."""
+    held = F.filter(F.array(*[F.lit(t.lower()) for t in tokens]), lambda t: F.contains(F.lower("snippet"), t))
+    rows = hits.withColumn("hits", F.size(held)).filter("hits > 0").join(repaired.select("file"), "file", "left_anti")
     rows = rows.filter(~F.col("file").rlike(r"(^|/)tests?/"))
+    if symbols is not None:
+        known = symbols.select(F.col("uid").alias("owner"), F.coalesce("parameters", F.array().cast("array<string>")).alias("_given"), F.coalesce("body", F.lit("")).alias("_body"))
+        place = F.concat_ws("\n", "snippet", "_body")
+        rows = rows.join(known, "owner", "left").filter(F.col("_given").isNull() | F.exists("_given", lambda p: F.contains(place, p))).drop("_given", "_body")
     return rows.withColumn("confidence", F.round(F.least(F.lit(0.9), 0.35 + 0.15 * F.col("hits")), 3))

@@ -277,16 +277,21 @@ def resolve_names(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return near.select("call_id", "dst", "tier", F.round(prior / F.least("n", F.lit(3)), 3).alias("confidence"))
 
 
+#: Names of callables that a program or a library is entered by, and how decorators of routes begin.
+PROGRAM = ("main", "lambda_handler", "llvmfuzzertestoneinput")
+LIBRARY = ("handle", "handler", "entrypoint", "dispatch", "serve", "app")
+ROUTES = ("@app.", "@router.", "@get", "@post", "@route")
+
+
 def mark_entrypoints(nodes: DataFrame) -> DataFrame:
-    """nodes with entrypoint (why) by ordered rules over decorators and names; null for none."""
-    decorated = lambda pattern: F.exists("decorators", lambda d: d.rlike(pattern))
-    why = (
-        F.when(decorated(r"\.(route|get|post|put|delete|patch)\("), "http route")
-        .when(decorated(r"(command|task|job)\b"), "command")
-        .when(F.col("name").isin("main", "__main__", "handler", "lambda_handler"), "main")
-        .when(F.col("name").rlike(r"^(handle|on)_"), "handler")
-    )
-    return nodes.withColumn("entrypoint", why)
+    """nodes with entrypoint: cli, library or http by exact names, then by the beginnings of decorators, in lower case;
+    null for none and for classes. A name that only begins or ends like one is none: reachability hangs on it."""
+    name = F.lower("name")
+    given = F.coalesce("decorators", F.array().cast("array<string>"))
+    at = lambda d: F.when(d.startswith("@"), d).otherwise(F.concat(F.lit("@"), d))
+    routed = F.exists(given, lambda d: F.exists(F.array(*map(F.lit, ROUTES)), lambda r: F.startswith(F.lower(at(d)), r)))
+    kind = F.when(name.isin(*PROGRAM), "cli").when(name.isin(*LIBRARY), "library").when(routed, "http")
+    return nodes.withColumn("entrypoint", F.when(~F.col("kind").eqNullSafe("class"), kind))
 
 
 def content_hash(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from provark.plans.analysis_queries import CLAUSES, _VERDICTS, run_events
 from provark.plans.bindings import EDGES_SQL, NODES_SQL, key_edges, key_nodes, records
 from provark.plans.storage import query, shared_dir, stored, table
 from provark.sources import code_rules, readers, sinks, taint
+from provark.sources import manifests as manifests_of
 from provark.streaming import events as ev
 from provark.streaming import follow
 
@@ -105,7 +106,38 @@ def manifests(spark: SparkSession, d: str) -> DataFrame:
     text = case(
         _text("# needs\nPkg", k % 60, "==", k, ".0\n"), _text('{"dependencies": {"@s/n', k % 50, '": "^', k, '.1"}}'), _text("module a\nrequire x.org/m", k % 40, " v", k, ".2\n"), _text("<dependency><artifactId>art", k % 30, "</artifactId><version>", k, ".3</version></dependency>")
     )
-    return readers.dependencies(table(spark, d, "part").select(F.concat(folder, name).alias("path"), text.alias("text"))).select("ecosystem", "name", "version", "path")
+    return manifests_of.dependencies(table(spark, d, "part").select(F.concat(folder, name).alias("path"), text.alias("text"))).select("ecosystem", "name", "version", "path")
+
+
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s FROM lineitem),
+d AS (SELECT k, k % 4 AS f, n, p, 'p' || p AS name, (n % 2 = 0 AND k % 4 <> 2) AS dev, CASE WHEN n % 3 = 0 AND k % 4 IN (0, 1) THEN NULL ELSE CASE k % 4 WHEN 2 THEN 'v' WHEN 3 THEN '^' ELSE '' END || n || '.' || s || CASE k % 4 WHEN 2 THEN '.0' ELSE '' END END AS version, s FROM l)
+SELECT ['pypi', 'crates', 'go', 'npm'][f + 1] AS ecosystem, k AS file, CASE f WHEN 2 THEN 'x.io/' ELSE '' END || name AS name, min(version) AS version, bool_or(dev) AS dev, count(*) AS times FROM d GROUP BY ALL""")
+def manifest_files(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest an order in one of four formats, its line items as dependencies of runtime and development, among what
+    is none: build requirements, features, scripts, replaced modules."""
+    own = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
+    f, dev = F.col("k") % 4, F.col("n") % 2 == 0
+    bare = F.col("n") % 3 == 0
+    version = _text(F.col("n"), ".", F.col("s"))
+    line = (
+        F.when(f == 0, _text('  "p', F.col("p"), "[x]", F.when(bare, "").otherwise(F.concat(F.lit(">="), version)), "; extra == 'a'\","))
+        .when(f == 1, F.when(bare, _text("p", F.col("p"), ' = { git = "https://a.b/1.2" }')).otherwise(F.when(F.col("n") % 5 == 0, _text("p", F.col("p"), ' = { version = "', version, '", features = ["y"] }')).otherwise(_text("p", F.col("p"), ' = "', version, '"'))))
+        .when(f == 2, _text("\tx.io/p", F.col("p"), " v", version, ".0 // indirect"))
+        .otherwise(_text('    "p', F.col("p"), '": "^', version, '"'))
+    )
+    lines = lambda cond, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("n", "p", "s", "line")))), lambda s: s["line"]), by)
+    files = own.withColumn("line", line).groupBy("k").agg(lines(~dev, "\n").alias("a"), lines(dev, "\n").alias("b"), lines(~dev, ",\n").alias("ja"), lines(dev, ",\n").alias("jb"), lines(F.lit(True), "\n").alias("all"))
+    a, b = F.col("a"), F.col("b")
+    text = (
+        F.when(f == 0, _text('[build-system]\nrequires = [\n  "hatch>=1",\n]\n[project]\nversion = "1.0"\ndependencies = [ # own\n', a, "\n]\n[project.optional-dependencies]\nt = [\n", b, "\n]\n[project.urls]\nhome = 'x'\n"))
+        .when(f == 1, _text('[package]\nname = "self"\nversion = "9.9"\n\n[dependencies]\n', a, "\n\n[features]\nz = []\n[dev-dependencies]\n", b, "\n"))
+        .when(f == 2, _text("module self\n\ngo 1.22\nrequire (\n", F.col("all"), "\n)\nreplace (\n\tx.io/gone v1.0.0 => ../x v0.0.0\n)\n"))
+        .otherwise(_text('{"version": "1.0", "engines": {"node": "18"}, "scripts": {"a": "1.0"},\n  "dependencies": {\n', F.col("ja"), '\n  },\n  "devDependencies": {\n', F.col("jb"), "\n  }\n}\n"))
+    )
+    name = F.element_at(F.array(*map(F.lit, ("pyproject.toml", "Cargo.toml", "go.mod", "package.json"))), (f + 1).cast("int"))
+    found = manifests_of.declared(files.select(_text(F.col("k"), "/", name).alias("path"), text.alias("text")))
+    by = ["ecosystem", F.substring_index("path", "/", 1).cast("long").alias("file"), "name"]
+    return found.groupBy(*by).agg(F.min("version").alias("version"), F.bool_or("dev").alias("dev"), F.count("*").alias("times"))
 
 
 @query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 2 THEN 0 ELSE p_size END AS locked FROM part")
@@ -121,7 +153,7 @@ def config_files(spark: SparkSession, d: str) -> DataFrame:
     """What configuration files are for, by path, and the ports that they declare."""
     k = F.col("s_suppkey")
     path = F.element_at(F.array(*map(F.lit, ("x/Dockerfile", "docker-compose.dev.yml", ".github/workflows/a.yml", "k8s/a.yaml", "x/.env.local", "a/b.toml", "a/b.txt"))), (k % 7 + 1).cast("int"))
-    text = _text("port: ", k + 1000, "\nEXPOSE 8080\nlisten=", k + 1000, "\n")
+    text = _text("port: ", k + 1000, "\nsupport 4321\nEXPOSE 8080\nEXPOSE 99999\nlisten=", k + 1000, "\n")
     return table(spark, d, "supplier").select("s_suppkey", readers.config_roles(path).alias("role"), readers.ports(text).alias("ports"))
 
 

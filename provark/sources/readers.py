@@ -80,30 +80,6 @@ def dotenv(texts: DataFrame, id_col: str, text_col: str, limit: int = 200) -> Da
     return parsed.groupBy("id", "key").agg(F.max_by("value", "at").alias("value"))
 
 
-def dependencies(files: DataFrame) -> DataFrame:
-    """ecosystem, name, version, path of manifests (path, text): npm, PyPI, Go, Cargo, RubyGems, Maven, Composer.
-
-    One of each (ecosystem, lower-case name) stays, the first by path and line."""
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    text = F.col("text")
-    pairs = lambda pattern: F.transform(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("b")), lambda s: F.struct(s["a"].alias("name"), s["b"].alias("version")))
-    kinds = {
-        "npm": (name == "package.json", r'"((?:@[a-z0-9-]+/)?[a-z0-9._-]+)"\s*:\s*"([~^<>=]*[0-9][^"]*)"'),
-        "pypi": (name.rlike(r"^requirements.*\.txt$"), r"(?m)^([A-Za-z0-9._-]+)\s*(?:[=~<>!]=?\s*([0-9][^\s;#]*))?"),
-        "go": (name == "go.mod", r"(?m)^\s*(?:require\s+)?([a-z0-9.-]+\.[a-z]+/\S+)\s+(v[0-9]\S*)"),
-        "cargo": (name == "Cargo.toml", r'(?m)^([a-z0-9_-]+)\s*=\s*(?:\{[^}]*version\s*=\s*)?"([0-9][^"]*)"'),
-        "gem": (name == "Gemfile", r"""(?m)^\s*gem\s+["']([^"']+)["'](?:\s*,\s*["']([^"']+)["'])?"""),
-        "maven": (name == "pom.xml", r"<artifactId>([^<]+)</artifactId>\s*<version>([^<]+)</version>"),
-        "composer": (name == "composer.json", r'"([a-z0-9-]+/[a-z0-9._-]+)"\s*:\s*"([^"]+)"'),
-    }
-    every = None
-    for ecosystem, (match, pattern) in kinds.items():
-        rows = files.filter(match).select(F.lit(ecosystem).alias("ecosystem"), "path", F.posexplode(pairs(pattern)).alias("at", "d")).select("ecosystem", "path", "at", "d.name", "d.version")
-        every = rows if every is None else every.union(rows)
-    first = F.row_number().over(Window.partitionBy("ecosystem", F.lower("name")).orderBy("path", "at"))
-    return every.withColumn("_n", first).filter("_n = 1").select("ecosystem", "name", F.nullif("version", F.lit("")).alias("version"), "path")
-
-
 def locked_count(files: DataFrame) -> DataFrame:
     """path, locked: entries of lock files by their format; 0 where one does not parse."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
@@ -130,8 +106,14 @@ def config_roles(path: Column) -> Column:
 
 
 def ports(text: Column) -> Column:
-    """Declared ports: distinct, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(?:port|expose|listen)\D{0,3}([0-9]{2,5})"), F.lit(1)), lambda p: p.cast("int")))
+    """Declared ports from 1 to 65535: distinct, in order. A port is a setting named so (`port: 80`, `HTTP_PORT=80`), an
+    EXPOSE or listen instruction, or an entry of a compose list (`"8080:80"`, of which both count)."""
+    setting = r"""(?im)(?:^|[^A-Za-z])(?:port|listen)["']?\s*[:=]\s*["']?(?:[\w.\-]*:)?([0-9]{1,5})(?![0-9.:])"""
+    told = r"""(?im)^\s*(?:expose|listen)\s+(?:[\d.]+:)?([0-9]{1,5})(?![0-9.:])"""
+    published = r"""(?m)^\s*-\s*["']?(?:[\d.]+:)?([0-9]{1,5}):([0-9]{1,5})(?:/(?:tcp|udp))?["']?\s*$"""
+    whole = F.regexp_extract_all(text, F.lit(f"{setting}|{told}|{published}"), F.lit(0))
+    numbers = F.flatten(F.transform(whole, lambda x: F.array(*[F.try_to_number(F.nullif(F.regexp_extract(x, p, g), F.lit("")), F.lit("99999")).cast("int") for p, g in ((setting, 1), (told, 1), (published, 1), (published, 2))])))
+    return F.array_distinct(F.filter(numbers, lambda n: n.between(1, 65535)))
 
 
 def test_files(files: DataFrame, frameworks: dict[str, list[str]]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from provark.functions import arrow_udfs, text
 from provark.operators import candidates, compare, contract, flows, integrity, kpi, rules, tools
-from provark.sources import readers, sinks, taint
+from provark.sources import manifests, readers, sinks, taint
 from provark.streaming import events
 
 RECORDS = "seq long, scope string, case_id string, metrics map<string,double>"
@@ -237,7 +237,7 @@ def test_sources(spark, tmp_path):
     record = readers.index_tree(spark, str(tmp_path)).head()
     assert (record.path, record.language, record.lines) == ("src/a.py", "python", 7)
     files = readers.list_files(spark, str(tmp_path)).select("path", F.decode("content", "UTF-8").alias("text"))
-    assert sorted((r.name, r.version) for r in readers.dependencies(files).collect()) == [("Flask", "2.0"), ("requests", "2")]
+    assert sorted((r.name, r.version) for r in manifests.dependencies(files).collect()) == [("Flask", "2.0"), ("requests", "2")]
     flow = taint.taint_flows(files).head()
     assert (flow.function, flow.source_kind, flow.sink_kind, flow.interpolated, flow.sanitized) == ("f", "stdin", "command", True, False)
     table = spark.createDataFrame([(1, "| a | b |\n|---|---|\n| 1 | x\\|y |\n| 2 |\n|  | z |")], "id int, t string")
