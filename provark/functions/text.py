@@ -87,6 +87,24 @@ def boundary_values(literals: Column, cap: int = 12) -> Column:
     return F.slice(F.array_distinct(around), 1, cap)
 
 
+def boundary_inputs(literals: Column, cap: int = 12) -> Column:
+    """Inputs around the literals (kind, value) of a condition: a whole number, both neighbours; a fraction and one more and
+    less; a text, its capitals, one letter more, and nothing; true and false for a flag; for `len` texts of 0, 1, 64 and
+    1024 letters. As texts: distinct, in order, at most `cap`."""
+    v = lambda x: x["value"]
+    whole = lambda x: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: (v(x).cast("long") + d).cast("string"))
+    part = lambda x: F.transform(F.array(F.lit(0), F.lit(-1), F.lit(1)), lambda d: (v(x).cast("double") + d).cast("string"))
+    told = lambda x: (
+        F.when(x["kind"] == "int", whole(x))
+        .when(x["kind"] == "float", part(x))
+        .when(x["kind"] == "str", F.array(v(x), F.upper(v(x)), F.concat(v(x), F.lit("x")), F.lit("")))
+        .when(x["kind"] == "bool", F.array(F.lit("true"), F.lit("false")))
+        .when(x["kind"] == "len", F.array(F.lit(""), F.lit("x"), F.repeat(F.lit("x"), 64), F.repeat(F.lit("x"), 1024)))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    return F.slice(F.array_distinct(F.flatten(F.transform(literals, told))), 1, cap)
+
+
 def merge_maps(first: Column, second: Column) -> Column:
     """Both maps; the second wins where they share a key."""
     return F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k)), second)

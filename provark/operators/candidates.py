@@ -97,20 +97,27 @@ def transitions(log: DataFrame, key: str = "id") -> DataFrame:
 
 
 def static_channel(hits: DataFrame) -> DataFrame:
-    """Rule hits as candidates of channel `static`; what the rule says of severity, class and plan."""
+    """Rule hits as candidates of channel `static`; what the rule says of severity, class and plan.
+
+    Where hits come enriched (exposure, radius, measured: see graph.enriched) these are the candidate's reachability and
+    radius; a hit whose owner is not known is not measured. Hits of plain texts, which no call graph knows, count as
+    reached as they stand (1.0) with the least radius (.2)."""
+    known = {"exposure", "radius", "measured"} <= set(hits.columns)
+    reach = F.coalesce("exposure", F.lit(0.05)) if known else F.lit(1.0)
+    radius = F.coalesce("radius", F.lit(0.2)) if known else F.lit(0.2)
     return hits.select(
         F.col("seq"),
         F.lit("static").alias("channel"),
         F.concat_ws(":", F.col("id").cast("string"), F.col("line").cast("string")).alias("location"),
         "severity",
-        F.lit(1.0).alias("reachability"),
+        reach.alias("reachability"),
         "confidence",
-        F.lit(0.2).alias("blast_radius"),
+        radius.alias("blast_radius"),
         "cwe",
         F.concat(F.lit("static."), F.col("rule_id")).alias("rule_id"),
         F.array(F.concat_ws("#", F.col("id").cast("string"), "rule_id")).alias("evidence_refs"),
         F.col("severity").isin("critical", "high").alias("has_plan"),
-        F.lit(True).alias("reachability_measured"),
+        (F.coalesce("measured", F.lit(False)) if known else F.lit(True)).alias("reachability_measured"),
     )
 
 

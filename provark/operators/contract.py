@@ -237,7 +237,9 @@ def verdicts(records: DataFrame, clauses: list[tuple[str, str, str]], mode: str
     map<string,boolean>). clauses: (clause_id, scope, predicate).
 
     mode full counts everything; mode first stops at the first failure: passes before it, at most 1 failure.
-    Never applicable: UNSUPPORTED, which is not false."""
+    Never applicable: UNSUPPORTED, which is not false. No clauses: an empty table."""
+    if not clauses:
+        return records.sparkSession.createDataFrame([], "clause_id string, scope string, applicable long, passed long, failed long, counterexample string, status string")
     parts = []
     for clause_id, scope, text in clauses:
         predicate = Predicate(text)

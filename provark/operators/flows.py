@@ -150,7 +150,8 @@ def specificity(clauses: DataFrame, key: str = "id") -> DataFrame:
 
 
 def testability(kind: Column) -> Column:
-    return F.when(kind.isin("http route", "command", "main"), "direct").when(kind == "handler", "harness").otherwise("unknown")
+    """Entrypoints of a program or a route are driven directly, those of a library need a harness."""
+    return F.when(kind.isin("http", "cli"), "direct").when(kind == "library", "harness").otherwise("unknown")
 
 
 def triage(confidence_cwe: Column, reachable: Column, callers: Column) -> Column:
@@ -159,6 +160,21 @@ def triage(confidence_cwe: Column, reachable: Column, callers: Column) -> Column
     return F.round(F.least(F.lit(0.97), value), 2)
 
 
+#: Fixed value: how many raw findings are looked at.
+MOST_TRIAGED = 40
+
+
+def triaged(findings: DataFrame, classes: DataFrame, most: int = MOST_TRIAGED) -> DataFrame:
+    """rule_id, location, cwe, severity, clause_kind, confidence of the first `most` findings (seq, rule_id, location,
+    reachable, callers). classes: rule_id, cwe, severity, clause_kind, one row a rule; a rule that has none is of MEDIUM
+    severity and no class. The cut comes before the lookup, so it is the report's and not the rules'."""
+    first = findings.orderBy("seq").limit(most)
+    known = first.join(classes, "rule_id", "left")
+    value = triage(F.coalesce("cwe", F.lit("")), F.coalesce("reachable", F.lit(False)), F.greatest(F.lit(0), F.coalesce("callers", F.lit(0))))
+    none = lambda c, default="": F.coalesce(c, F.lit(default)).alias(c)
+    return known.select("rule_id", F.substring("location", 1, 300).alias("location"), none("cwe"), none("severity", "MEDIUM"), none("clause_kind"), value.alias("confidence"))
+
+
 def security_stats(flows: DataFrame) -> DataFrame:
     """metric, key, flows, reachable, sanitized: flows by source kind, by sink kind and by basis."""
     def by(metric: str) -> DataFrame:

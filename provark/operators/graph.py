@@ -189,6 +189,32 @@ def subgraph(edges: DataFrame, uid: str, depth: int = 2, limit: int = 200, direc
     return found.groupBy("uid").agg(F.min("hops").alias("hops")).orderBy("hops", "uid").limit(limit)
 
 
+def rings(nodes: DataFrame, edges: DataFrame, uid: str, depth: int = 6) -> DataFrame:
+    """uid, ring of every node around one: steps along edges in either direction, and for what `depth` steps do not reach
+    one ring further out than the last."""
+    both = edges.select("src", "dst").union(edges.select("dst", "src"))
+    seed = edges.sparkSession.createDataFrame([(uid,)], "uid string")
+    found = closure(both, seed, depth, together=True).select("uid", "hops").union(seed.select("uid", F.lit(0).alias("hops")))
+    met = stored(nodes.select("uid").distinct().join(found, "uid", "left"), "rings")
+    last = met.agg(F.max("hops")).head()[0]
+    return met.select("uid", F.coalesce("hops", F.lit(0 if last is None else last + 1)).alias("ring"))
+
+
+def enriched(findings: DataFrame, symbols: DataFrame, edges: DataFrame, entrypoints: DataFrame, depth: int = 6) -> DataFrame:
+    """findings (file, line) with owner (the innermost symbol), callers, reachable, measured, exposure and radius of it.
+
+    callers: distinct ones over CALLS; exposure: reachability_score; radius: blast_radius. Without an owner they are null."""
+    calls = edges.filter("kind = 'CALLS'")
+    owned = innermost(findings, symbols)
+    own = owned.select(F.col("owner").alias("uid")).dropna().distinct()
+    called = calls.groupBy(F.col("dst").alias("owner")).agg(F.count_distinct("src").alias("callers"))
+    reached = reachability_score(reachability(own, calls, entrypoints, paths=False)).select(F.col("uid").alias("owner"), "reachable", "measured", F.col("score").alias("exposure"))
+    radius = blast_radius(calls, symbols, own, depth).select(F.col("uid").alias("owner"), F.col("score").alias("radius"))
+    out = owned.join(called, "owner", "left").join(reached, "owner", "left").join(radius, "owner", "left")
+    known = F.when(F.col("owner").isNotNull(), F.coalesce("callers", F.lit(0)))
+    return out.select(*findings.columns, "owner", known.alias("callers"), "reachable", "measured", "exposure", "radius")
+
+
 def siblings(nodes: DataFrame, limit: int = 40) -> DataFrame:
     """uid, sibling, tier, rank: others of the same file (1), then of the same directory (2), `limit` of them.
 

@@ -140,6 +140,72 @@ def assurance_level(rows: DataFrame) -> DataFrame:
     return rows.withColumn("level", level)
 
 
+def _texts(*parts: Column) -> Column:
+    return F.array_compact(F.array(*parts))
+
+
+def _said(*parts: Column | str) -> Column:
+    """Parts of a sentence, one after the other; a number as a whole one or to one place."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("?")) for p in parts])
+
+
+#: Fixed value: how many unproved places a statement names.
+NAMED_SIBLINGS = 8
+
+
+def assurance(rows: DataFrame) -> DataFrame:
+    """rows with level, rationale and limitations: what speaks for a level, and what it leaves open, as arrays of sentences.
+
+    Further columns: failing_stage, shield_active, clauses, held, siblings (array of location and why), failed (array of
+    stage and detail), iteration, iterations. At R: not repaired, whether a shield still stands, which round of how many,
+    and each failed stage. At C: each part that did not pass. At B: how many places are unproved, and the first eight as
+    `unproved: location - why`. At A: bounded evidence, and the share of lines that ran."""
+    own = assurance_level(rows.withColumn("unproved_siblings", F.size("siblings")))
+    passed = lambda c: F.coalesce(F.col(c), F.lit(False))
+    one = lambda c: F.format_string("%.1f", c)
+    swing = F.abs(F.col("coverage_after") - F.col("coverage_before"))
+    moved = _said(one(F.col("coverage_before")), "% to ", one(F.col("coverage_after")), "%")
+    base = F.array(
+        F.lit("the validated exploit no longer works"), F.lit("mutated exploits: pass"), F.lit("differential replay: pass"), _said("clauses: ", F.col("held"), " of ", F.col("clauses"), " in scope hold"), F.lit("sibling hunt: pass")
+    )
+    refuted = _texts(_said("refuted at: ", F.coalesce("failing_stage", F.lit("exploit still works"))), F.lit("the change is withdrawn"), F.when(~passed("exploit_eliminated"), "the validated exploit still works"))
+    bounded = F.array(_said("coverage: ", moved), F.lit("no unproved place is left"))
+    rationale = F.when(F.col("level") == "R", refuted).when(F.col("level") == "A", F.concat(base, bounded)).otherwise(base)
+    stages = F.transform(F.coalesce("failed", F.array().cast("array<struct<stage: string, detail: string>>")), lambda s: F.concat_ws(": ", s["stage"], s["detail"]))
+    at_r = F.concat(F.array(F.lit("not repaired"), F.when(passed("shield_active"), "a reversible shield blocks the exploit").otherwise("no shield stands"), _said("round ", F.col("iteration"), " of ", F.col("iterations"))), stages)
+    at_c = _texts(
+        F.when(~passed("replay_passed"), "replay did not show every benign case unchanged"),
+        F.when(~passed("contract_passed"), "a clause in scope is not confirmed"),
+        F.when(F.col("unsupported") > 0, _said(F.col("unsupported"), " clauses could not be evaluated")),
+        F.when(swing.isNull(), F.lit("coverage was not measured")).when(F.round(swing, 2) > MOST_SWING, _said("coverage moved by ", one(swing), " points: ", moved)),
+    )
+    named = F.transform(F.slice("siblings", 1, NAMED_SIBLINGS), lambda s: _said("unproved: ", s["location"], " - ", s["why"]))
+    at_b = F.concat(F.array(_said(F.size("siblings"), " places with the same pattern are unproved")), named)
+    at_a = F.array(F.lit("bounded evidence, no proof"), _said("lines run: ", one(F.col("coverage_after")), "%"))
+    limits = F.when(F.col("level") == "R", at_r).when(F.col("level") == "C", at_c).when(F.col("level") == "B", at_b).otherwise(at_a)
+    return own.withColumns({"rationale": rationale, "limitations": limits})
+
+
+def residuals(runs: DataFrame, sandboxes: DataFrame, ledger_: DataFrame) -> DataFrame:
+    """run_id, kind, location, detail of what stays open: unproved siblings at B, every limitation at C, the finding itself at
+    R; the execution boundary of runs whose sandbox (run_id, adapter, suitable, notes) is not known to suit untrusted code;
+    and for people to look at, hypotheses that stayed UNKNOWN (run_id, handle, location, status, reason) and changes at C
+    and R, which nobody but them may publish."""
+    each = runs.select("run_id", "handle", "level", F.explode_outer("limitations").alias("detail"))
+    place = F.trim(F.regexp_extract("detail", r"^unproved:\s*(.*?)(?: - .*)?$", 1))
+    at_b = each.filter((F.col("level") == "B") & F.col("detail").startswith("unproved:")).select("run_id", F.lit("unproved sibling").alias("kind"), place.alias("location"), "detail")
+    at_c = each.filter("level = 'C' and detail is not null").select("run_id", F.lit("incomplete verification").alias("kind"), F.col("handle").alias("location"), "detail")
+    at_r = runs.filter("level = 'R'").select("run_id", F.lit("unrepaired, shield only").alias("kind"), F.col("handle").alias("location"), F.lit("the change was refuted and withdrawn").alias("detail"))
+    weak = runs.select("run_id").join(sandboxes, "run_id", "left").filter(~F.coalesce("suitable", F.lit(False)))
+    boundary = weak.select("run_id", F.lit("execution boundary").alias("kind"), F.coalesce("adapter", F.lit("unknown")).alias("location"), F.coalesce("notes", F.lit("")).alias("detail"))
+    unknown = ledger_.filter("status = 'UNKNOWN'").select("run_id", F.lit("review: unknown").alias("kind"), F.concat_ws(" at ", "handle", "location").alias("location"), F.coalesce("reason", F.lit("")).alias("detail"))
+    publish = runs.filter("level in ('C', 'R')").select("run_id", F.lit("review: publish").alias("kind"), F.col("handle").alias("location"), F.concat(F.lit("level "), F.col("level")).alias("detail"))
+    out = at_b
+    for part in (at_c, at_r, boundary, unknown, publish):
+        out = out.unionByName(part)
+    return out
+
+
 def stage_fold(results: DataFrame) -> DataFrame:
     """run_id, passed, total, first_failure (the failed stage of the least ord), verdict."""
     out = results.groupBy("run_id").agg(F.count_if("ok").alias("passed"), F.count("*").alias("total"), F.min_by("stage", F.when(~F.col("ok"), F.col("ord"))).alias("first_failure"))

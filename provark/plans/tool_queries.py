@@ -253,7 +253,7 @@ def clause_specificity(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'direct' WHEN 'MACHINERY' THEN 'harness' ELSE 'unknown' END AS testability FROM customer")
 def testability(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("c_mktsegment") == "BUILDING", "http route").when(F.col("c_mktsegment") == "MACHINERY", "handler").otherwise("other")
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "http").when(F.col("c_mktsegment") == "MACHINERY", "library").otherwise("other")
     return table(spark, d, "customer").select("c_custkey", flows.testability(kind).alias("testability"))
 
 
@@ -267,13 +267,21 @@ def admitted_resolved(spark: SparkSession, d: str) -> DataFrame:
     return graph.admitted(graph.merge_edges(key_edges(spark, d)), "resolved").select("src", "dst")
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'http route' WHEN c_custkey % 4 = 1 THEN 'command' WHEN c_custkey % 5 = 0 THEN 'main' WHEN c_custkey % 7 = 0 THEN 'handler' END AS entrypoint FROM customer""")
+_NAMES = ("main", "Main", "serve", "serve_all", "handler", "on_load", "lambda_handler", "LLVMFuzzerTestOneInput", "App", "dispatch", "parse_header", "handle", "entrypoint_2")
+_DECORATORS = ("", "@app.get('/a')", "@router.post('/b')", "@pytest.mark.task", "@GET('/c')", "app.route('/d')", "@cli.command", "@cached", "@route('/e')")
+
+
+@query(f"""WITH c AS (SELECT c_custkey, [{', '.join(f"'{n}'" for n in _NAMES)}][c_custkey % 13 + 1] AS name, ['{"', '".join(x.replace("'", "''") for x in _DECORATORS)}'][c_custkey // 13 % 9 + 1] AS deco, c_mktsegment = 'MACHINERY' AS class FROM customer)
+SELECT c_custkey, CASE WHEN class THEN NULL WHEN lower(name) IN ('main', 'lambda_handler', 'llvmfuzzertestoneinput') THEN 'cli' WHEN lower(name) IN ('handle', 'handler', 'entrypoint', 'dispatch', 'serve', 'app') THEN 'library'
+  WHEN regexp_matches(lower(deco), '^@?(app\.|router\.|get|post|route)') THEN 'http' END AS entrypoint FROM c""")
 def entrypoint_marks(spark: SparkSession, d: str) -> DataFrame:
-    """Decorators before names, in the order of the rules."""
+    """Names as they are, then decorators by their beginnings; 234 combinations of name, decorator and kind."""
     k = F.col("c_custkey")
-    decorators = F.when(k % 4 == 0, F.array(F.lit("@x"), F.lit("@app.get('/a')"))).when(k % 4 == 1, F.array(F.lit("@cli.command"))).otherwise(F.array().cast("array<string>"))
-    name = F.when(k % 5 == 0, "main").when(k % 7 == 0, "on_click").otherwise("f")
-    return graph.mark_entrypoints(table(spark, d, "customer").select("c_custkey", decorators.alias("decorators"), name.alias("name"))).select("c_custkey", "entrypoint")
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (k % 13 + 1).cast("int"))
+    decorator = F.element_at(F.array(*map(F.lit, _DECORATORS)), (F.floor(k / 13) % 9 + 1).cast("int"))
+    kind = F.when(F.col("c_mktsegment") == "MACHINERY", "class").otherwise("function")
+    rows = table(spark, d, "customer").select("c_custkey", name.alias("name"), kind.alias("kind"), F.filter(F.array(F.lit("@x"), decorator), lambda x: x != "").alias("decorators"))
+    return graph.mark_entrypoints(rows).select("c_custkey", "entrypoint")
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'web service' WHEN s_suppkey % 5 = 0 THEN 'command line' WHEN s_suppkey % 2 = 0 THEN 'library' ELSE 'unknown' END AS type,

@@ -6,7 +6,8 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql.functions import pandas_udf
 
 from provark.sources.flow_states import FlowStates, Mark, Origin, State, Value, dotted, either, marked, scopes
 
@@ -72,3 +73,26 @@ def taint_flows(files: DataFrame) -> DataFrame:
             yield pd.DataFrame([f for p, t in zip(batch["path"], batch["text"]) for f in flows_of(p, t or "")], columns=names)
 
     return files.filter("path like '%.py'").select("path", "text").mapInPandas(run, FLOW)
+
+
+LITERAL = "array<struct<kind string, value string>>"
+
+
+def literals_of(condition: str | None) -> list[tuple[str, str]]:
+    """(kind, value) of the literals that a Python condition compares with, and `len` for each length that it asks."""
+    try:
+        tree = ast.parse(condition or "", mode="eval")
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    out = []
+    for n in ast.walk(tree):
+        if isinstance(n, ast.Compare):
+            out += [(type(c.value).__name__, str(c.value)) for c in n.comparators if isinstance(c, ast.Constant) and isinstance(c.value, (int, float, str))]
+        elif isinstance(n, ast.Call) and dotted(n.func).split(".")[-1] == "len":
+            out.append(("len", ""))
+    return out
+
+
+def condition_literals(conditions: Column) -> Column:
+    """literals_of, a batch at a time; null has none."""
+    return pandas_udf(lambda batch: batch.map(literals_of), LITERAL)(conditions)

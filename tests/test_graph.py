@@ -235,8 +235,15 @@ def test_name_resolution_tiers(spark):
 
 
 def test_entrypoints(spark):
-    nodes = spark.createDataFrame([node("a", decorators=["@app.get('/x')"]), node("main"), node("on_click"), node("other")], NODE)
-    assert {r.uid: r.entrypoint for r in graph.mark_entrypoints(nodes).select("uid", "entrypoint").collect()} == {"a": "http route", "main": "main", "on_click": "handler", "other": None}
+    nodes = [node("a", decorators=["@app.get('/x')"]), node("main"), node("on_load"), node("serve"), node("Dispatch"), node("serve_all"), node("b", decorators=["@pytest.mark.task"]), node("app", kind="class"), node("c", decorators=["@cli.command"]), node("LLVMFuzzerTestOneInput"), node("d", decorators=["x", "@Router.post('/')"])]
+    got = {r.uid: r.entrypoint for r in graph.mark_entrypoints(spark.createDataFrame(nodes, NODE)).select("uid", "entrypoint").collect()}
+    assert got == {"a": "http", "main": "cli", "on_load": None, "serve": "library", "Dispatch": "library", "serve_all": None, "b": None, "app": None, "c": None, "LLVMFuzzerTestOneInput": "cli", "d": "http"}
+
+
+def test_rings(spark):
+    nodes = spark.createDataFrame([(n,) for n in "abcdexyz"], "uid string")
+    e = edges_of(spark, [("a", "b", "K", ["p"], 1.0), ("c", "b", "K", ["p"], 1.0), ("c", "d", "K", ["p"], 1.0), ("d", "e", "K", ["p"], 1.0), ("x", "y", "K", ["p"], 1.0)])
+    assert {r.uid: r.ring for r in graph.rings(nodes, e, "a", 3).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "x": 4, "y": 4, "z": 4}
 
 
 def test_stats_of_nothing(spark):
