@@ -15,6 +15,7 @@ from provark.plans.bindings import EDGES_SQL, NODES_SQL, key_edges, key_nodes, r
 from provark.plans.storage import query, shared_dir, stored, table
 from provark.sources import code_rules, readers, sinks, taint
 from provark.sources import manifests as manifests_of
+from provark.sources import settings as settings_of
 from provark.streaming import events as ev
 from provark.streaming import follow
 
@@ -157,6 +158,52 @@ def config_files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", readers.config_roles(path).alias("role"), readers.ports(text).alias("ports"))
 
 
+#: Settings of services: a line that is one of the guarded ones, and its harmless twin; @ is a number.
+_TWINS = (
+    ("debug_enabled", "debug: true", "debug: false"),
+    ("bind_all_interfaces", "bind: 0.0.0.0:@", "netmask: 0.0.0.0"),
+    ("tls_verification_disabled", "verify: False", "verify: True"),
+    ("permissive_cors", 'allow_origins: "*"', 'allow_methods: "*"'),
+    ("secret_literal", 'password: "pw@abcdefgh"', 'password: "changeme@"'),
+    ("auth_disabled", "auth_required: no", "auth_required: yes"),
+    ("privileged_container", "privileged: true", "privileged: false"),
+)
+_SETTINGS_SQL = f"""sl AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, p, s) AS i FROM (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s FROM lineitem)),
+hit AS (SELECT *, [{', '.join(f"'{t[0]}'" for t in _TWINS)}][n % 7 + 1] AS id, [{', '.join(f"'{t[1].split(':')[0]}'" for t in _TWINS)}][n % 7 + 1] AS key FROM sl WHERE p % 2 = 0)"""
+
+
+def _service_files(spark: SparkSession, d: str) -> DataFrame:
+    """A YAML file an order with a service a line item, nested under its name, between comments."""
+    own = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
+    pick = lambda i: F.element_at(F.array(*[F.lit(t[i]) for t in _TWINS]), (F.col("n") % 7 + 1).cast("int"))
+    line = F.replace(F.when(F.col("p") % 2 == 0, pick(1)).otherwise(pick(2)), F.lit("@"), F.col("p").cast("string"))
+    part = _text("svc", F.col("n"), ":\n    # debug: true\n    ", line, "\n")
+    files = own.withColumn("part", part).groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "p", "s", "part"))), lambda x: x["part"]), "").alias("text"))
+    return files.select(_text(F.col("k"), "/config.yaml").alias("path"), "text")
+
+
+@query(f"WITH {_SETTINGS_SQL} SELECT id, k AS file, i * 3 AS line, 'svc' || n || '.' || key AS keys FROM hit")
+def config_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Guarded settings with the key path that leads to them; comments and harmless twins are none."""
+    found = settings_of.guarded(settings_of.settings(_service_files(spark, d)))
+    return found.select("id", F.substring_index("path", "/", 1).cast("long").alias("file"), "line", "keys")
+
+
+@query(f"""WITH {_SETTINGS_SQL}, u AS (SELECT s_suppkey AS k, list_filter([CASE WHEN s_suppkey % 3 <> 1 THEN 'root' END, 'port', CASE WHEN s_suppkey % 2 = 0 THEN 'bound' END], lambda x: x IS NOT NULL) AS signals FROM supplier)
+SELECT 'config.' || id AS rule_id, count(*) AS n, CASE id WHEN 'debug_enabled' THEN 'CWE-489' WHEN 'bind_all_interfaces' THEN 'CWE-1327' ELSE '' END AS cwe, CASE WHEN id IN ('debug_enabled', 'bind_all_interfaces') THEN 'medium' ELSE 'low' END AS severity, 0.75::DOUBLE AS confidence FROM hit GROUP BY id UNION ALL
+SELECT 'deployment.container_image', sum(len(signals)), '', 'low', 0.6 FROM u UNION ALL SELECT 'config.permission_change', least(10, count(*)), '', 'low', 0.45 FROM part UNION ALL
+SELECT 'config.container_runs_as_root', count(*), '', 'low', 0.75 FROM supplier WHERE s_suppkey % 3 = 2""")
+def config_channel(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of configuration: settings, images of three kinds, and the first ten lines that change permissions."""
+    k = F.col("s_suppkey")
+    user = F.when(k % 3 == 0, "").when(k % 3 == 1, "USER app\n").otherwise("USER root\n")
+    image = _text("FROM a\n", user, "EXPOSE ", k + 1000, "\n", F.when(k % 2 == 0, "CMD serve 0.0.0.0\n").otherwise("CMD serve 10.0.0.0\n"))
+    files = _service_files(spark, d).unionByName(table(spark, d, "supplier").select(_text("s", k, "/Dockerfile").alias("path"), image.alias("text")))
+    files = files.unionByName(table(spark, d, "part").select(_text("p", F.col("p_partkey"), "/run.sh").alias("path"), _text("echo ", F.col("p_name"), "\n  chmod ", F.col("p_size"), " x\n").alias("text")))
+    found = settings_of.config_candidates(files)
+    return found.groupBy("rule_id", "cwe", "severity", "confidence").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'pytest' WHEN p_partkey % 3 = 0 THEN 'jest' END AS framework, list_sort(['test_' || p_partkey, 'test_b']) AS cases FROM part WHERE p_partkey % 5 <> 0""")
 def test_files(spark: SparkSession, d: str) -> DataFrame:
     """Test files by path, the framework of most markers, their cases."""
