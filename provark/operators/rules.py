@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, replace
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,20 +72,92 @@ def applies(rule: Rule, language: Column) -> Column:
     return F.lit(True) if "*" in rule.languages else F.coalesce(language.isin(*rule.languages), F.lit(False))
 
 
+def _needed(tree) -> tuple[str, ...]:
+    """Of a parsed pattern: literals of which a match holds one, the set whose shortest is longest; empty if none is sure."""
+    best, run = (), ""
+    sets = []
+    for op, arg in [*tree, (None, None)]:
+        name = str(op)
+        if name == "LITERAL" and arg < 128:
+            run += chr(arg).lower()
+            continue
+        if run:
+            sets.append((run,))
+            run = ""
+        if name == "SUBPATTERN":
+            sets.append(_needed(arg[-1]))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
+            sets.append(_needed(arg[-1]))
+        elif name == "ATOMIC_GROUP":
+            sets.append(_needed(arg))
+        elif name == "BRANCH":
+            every = [_needed(x) for x in arg[1]]
+            sets.append(tuple(sorted({x for e in every for x in e})) if all(every) else ())
+    for s in sets:
+        if s and min(map(len, s)) > min(map(len, best), default=0):
+            best = s
+    return best
+
+
+def needed_literals(rule: Rule) -> tuple[str, ...]:
+    """Lower-case literals of which every line that matches the rule holds one; none where the pattern does not say. Those
+    that the rule states itself come first. A pattern that Python cannot parse says nothing."""
+    if rule.literals and all(x.isascii() for x in rule.literals):
+        return tuple(sorted({x.lower() for x in rule.literals}))
+    try:
+        parsed = re._parser.parse(rule.pattern)
+    except (re.error, OverflowError, RecursionError):
+        return ()
+    return () if parsed.state.flags & re.VERBOSE else _needed(parsed)
+
+
+def _trie(words: list[str]) -> str:
+    """A pattern of all words that branches letter by letter and takes the longest."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    parts = [re.escape(c) + _trie(rest) for c, rest in sorted(heads.items())]
+    if not parts:
+        return ""
+    return f"(?:{'|'.join(parts)})" + ("?" if "" in words else "")
+
+
 def match_rules(lines: DataFrame, rules: list[Rule], language: str | None = None) -> DataFrame:
     """A row for each line and rule that matches it: the line's columns, rule_id, category, kind, cwe,
-    severity, confidence, snippet (what matched first). All rules are tried in one projection."""
-    hits = []
+    severity, confidence, snippet (what matched first).
+
+    Literals that a match must hold are taken out of the patterns once. One pass over a line, by a pattern that branches
+    letter by letter, finds which of them it holds; only rules of those, and rules without any, are tried on it. So a line
+    costs much the same for ten rules and for hundreds. The rules themselves are a constant."""
+    owners: dict[str, set[int]] = {}
+    always = []
     for i, r in enumerate(rules):
-        found = F.lit(True) if not r.literals else reduce(or_, [F.contains("content", F.lit(x)) for x in r.literals])
-        found &= F.col("content").rlike(r.pattern)
-        if r.unless:
-            found &= ~F.col("content").rlike(r.unless)
-        if language:
-            found &= applies(r, F.col(language))
-        snippet = F.regexp_extract("content", r.pattern, 0)
-        hits.append(F.when(found, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.kind).alias("kind"), F.lit(r.cwe).alias("cwe"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), snippet.alias("snippet"), F.lit(i).alias("rule_seq"))))
-    return lines.select("*", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select(*lines.columns, "hit.*")
+        if needed := needed_literals(r):
+            for x in needed:
+                owners.setdefault(x, set()).add(i)
+        else:
+            always.append(i)
+    # the longest literal at a place is found; those that it begins with are there too
+    held = {x: sorted(set().union(*[o for y, o in owners.items() if x.startswith(y)])) for x in owners}
+    tried = F.array(*map(F.lit, always)).cast("array<int>")
+    if held:
+        told = F.from_json(F.lit(json.dumps(held)), "map<string, array<int>>")
+        there = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(f"(?=({_trie(sorted(held))}))"), F.lit(1)))
+        tried = F.array_distinct(F.concat(tried, F.flatten(F.transform(there, lambda x: told[x]))))
+    if not rules:
+        return lines.limit(0).selectExpr("*", "'' rule_id", "'' category", "'' kind", "'' cwe", "'' severity", "0d confidence", "'' snippet", "0 rule_seq")
+    given = [{"rule_id": r.id, "category": r.category, "kind": r.kind, "cwe": r.cwe, "severity": r.severity, "confidence": r.confidence, "pattern": r.pattern, "unless": r.unless, "spoken": r.languages, "rule_seq": i} for i, r in enumerate(rules)]
+    fields = "rule_id string, category string, kind string, cwe string, severity string, confidence double, pattern string, unless string, spoken array<string>, rule_seq int"
+    table = F.from_json(F.lit(json.dumps(given)), f"array<struct<{fields.replace(' ', ': ').replace(',:', ',')}>>")
+    rows = lines.select("*", F.explode(tried).alias("_i")).withColumn("_r", F.get(table, F.col("_i")))
+    r = F.col("_r")
+    found = F.rlike("content", r["pattern"]) & ((r["unless"] == "") | ~F.rlike("content", r["unless"]))
+    if language:
+        found &= F.array_contains(r["spoken"], "*") | F.coalesce(F.array_contains(r["spoken"], F.col(language)), F.lit(False))
+    snippet = F.call_function("regexp_extract", F.col("content"), r["pattern"], F.lit(0))
+    told = ["rule_id", "category", "kind", "cwe", "severity", "confidence"]
+    return rows.filter(found).select(*lines.columns, *[r[c].alias(c) for c in told], snippet.alias("snippet"), r["rule_seq"].alias("rule_seq"))
 
 
 def dedup_hits(hits: DataFrame, keys: tuple[str, ...] = ("category", "id", "line")) -> DataFrame:
