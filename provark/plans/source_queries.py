@@ -13,7 +13,7 @@ from provark.operators import candidates, compare, contract, flows, graph, integ
 from provark.plans.analysis_queries import CLAUSES, _VERDICTS, run_events
 from provark.plans.bindings import EDGES_SQL, NODES_SQL, key_edges, key_nodes, records
 from provark.plans.storage import query, shared_dir, stored, table
-from provark.sources import code_rules, readers, sinks, taint
+from provark.sources import code_rules, external, readers, sinks, taint
 from provark.sources import manifests as manifests_of
 from provark.sources import settings as settings_of
 from provark.streaming import events as ev
@@ -304,6 +304,40 @@ def bound_findings(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.substring_index("file", "/", 1).cast("long").alias("id"), "rule", "line")
 
 
+@query(f"WITH {EDGES_SQL} SELECT kind, count(*) AS n, count(DISTINCT src) AS sources, round(sum(confidence), 3)::DOUBLE AS confidence FROM edges GROUP BY kind")
+def provider_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A provider's graph in pages of JSON lines, read by the external format, a task a page."""
+    external.register(spark)
+    path = _folder(spark, "provider")
+    pages = graph.merge_edges(key_edges(spark, d)).select("src", "dst", "kind", "confidence")
+    pages.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path}/raw")
+    _pages(spark, f"{path}/raw", f"{path}/pages", "edges")
+    found = spark.read.format("provider_graph").option("path", f"{path}/pages").load()
+    return found.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("src").alias("sources"), F.round(F.sum("confidence"), 3).alias("confidence"))
+
+
+def _pages(spark: SparkSession, raw: str, pages: str, name: str) -> None:
+    """Names a folder's part files as a provider's pages: renames only, nothing is read."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(raw).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm.Path(pages))
+    for i, status in enumerate(fs.listStatus(jvm.Path(raw))):
+        if status.getPath().getName().startswith("part-"):
+            fs.rename(status.getPath(), jvm.Path(f"{pages}/{name}-{i:05d}.jsonl"))
+
+
+@query("SELECT user_id::VARCHAR AS run_id, count(*) AS events, max(seq) AS last FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) GROUP BY 1")
+def committed_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events appended by a stream to the external log, batch by batch, and read back from what is committed."""
+    external.register(spark)
+    path = _folder(spark, "log")
+    ev.dedup(run_events(spark, d)).select("run_id", "seq", "t", "payload").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(external.LOGGED).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+    stream.writeStream.format("event_log").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    back = spark.read.format("event_log").option("path", f"{path}/out").load()
+    return back.groupBy("run_id").agg(F.count("*").alias("events"), F.max("seq").alias("last"))
+
+
 # -- sinks --------------------------------------------------------------------------------------------
 @query("SELECT user_id::VARCHAR AS run_id, count(*) AS events, max(seq) AS last FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) GROUP BY 1")
 def event_sink(spark: SparkSession, d: str) -> DataFrame:
