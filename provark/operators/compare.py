@@ -227,6 +227,14 @@ def select_engine(engines: DataFrame, language: str, strategy: str) -> DataFrame
     return best.withColumn("reason", F.when(F.col("engine").isNull(), F.lit(f"no engine for {language} and {strategy}")))
 
 
+def select_engines(engines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """language, strategy, engine, reason for each wanted (language, strategy): as select_engine, for all of them at once."""
+    each = engines.filter("available").select("id", "feedback", "fallback", F.explode("languages").alias("language"), "strategies").withColumn("strategy", F.explode("strategies"))
+    best = each.groupBy("language", "strategy").agg(F.min_by("id", F.struct(~F.col("feedback"), "fallback", "id")).alias("engine"))
+    out = wanted.select("language", "strategy").distinct().join(best, ["language", "strategy"], "left")
+    return out.withColumn("reason", F.when(F.col("engine").isNull(), F.concat(F.lit("no engine for "), "language", F.lit(" and "), "strategy")))
+
+
 def cross_checked(ours: DataFrame, others: DataFrame) -> DataFrame:
     """Changed files by either source: a cross-check can only widen the set."""
     return ours.select("path").union(others.select("path")).distinct()

@@ -121,6 +121,18 @@ def scope_match(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("clause", "record", contract.scope_matches(F.col("clause"), F.col("record")).alias("matches"))
 
 
+_SCOPES = ("*", "m3.py:view", "m3.py:*", "click", "m1*", "m9.py:none", "m*.py:view")
+
+
+@query(f"""WITH r AS (SELECT 'm' || user_id % 12 || '.py:' || event_type AS v FROM events), c AS (SELECT unnest({list(_SCOPES)}) AS c)
+SELECT c AS clause, count(*) AS records, count(DISTINCT v) AS scopes FROM r JOIN c ON c = '*' OR c = v OR (ends_with(c, '*') AND starts_with(v, left(c, length(c) - 1))) OR (NOT contains(c, ':') AND c = split_part(v, ':', -1)) GROUP BY c""")
+def scope_records(spark: SparkSession, d: str) -> DataFrame:
+    """How many records of the event log each clause's scope covers; clauses are a constant of each row, not a table."""
+    scope = F.concat(F.lit("m"), (F.col("user_id") % 12).cast("string"), F.lit(".py:"), F.col("event_type"))
+    met = table(spark, d, "events").select(scope.alias("scope"), F.explode(F.array(*map(F.lit, _SCOPES))).alias("clause"))
+    return met.filter(contract.scope_matches(F.col("clause"), F.col("scope"))).groupBy("clause").agg(F.count("*").alias("records"), F.count_distinct("scope").alias("scopes"))
+
+
 # -- candidates -------------------------------------------------------------------------------------
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     """Three channels over documents: rule hits, labels, exact copies; location `doc:line`, class by rule."""

@@ -30,35 +30,50 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 # -- sources ------------------------------------------------------------------------------------------
-@query("SELECT 'src/d' || c_custkey % 7 || '/f' || c_custkey || '.py' AS path, 'python' AS language, 2 AS lines FROM customer WHERE c_custkey % 3 = 0 AND c_custkey <= 40 ORDER BY path")
-def tree_index(spark: SparkSession, d: str) -> DataFrame:
-    """A tree of files on storage, walked and indexed: ignored folders and unknown languages are left out.
+def _written(rows: DataFrame, root: str) -> None:
+    """Files (path, text) below a shared folder, each by the task that has its row; a task that runs again writes the same."""
+    base = root.removeprefix("file://").removeprefix("file:")
+
+    def write(batches):
+        import os
+
+        import pyarrow as pa
+
+        for b in batches:
+            for path, text in zip(b["path"].to_pylist(), b["text"].to_pylist(), strict=True):
+                full = os.path.join(base, path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "w", encoding="utf-8") as f:
+                    f.write(text)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    rows.select("path", "text").mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
-    The tree has forty small files, whatever the tables' size: it is a fixture of the reader."""
-    k = F.col("c_custkey")
-    rows = table(spark, d, "customer").filter("c_custkey <= 40")
+
+@query("""WITH f AS (SELECT 'src/' || CASE s_suppkey % 3 WHEN 1 THEN 'node_modules' ELSE 'd' || s_suppkey % 7 END || '/f' || s_suppkey || CASE s_suppkey % 3 WHEN 2 THEN '.unknown' ELSE '.py' END AS path, s_suppkey % 5 AS more FROM supplier),
+g AS (SELECT * FROM f WHERE NOT contains(path, 'node_modules') ORDER BY path LIMIT 4000)
+SELECT path, 'python' AS language, 2 + more AS lines FROM g WHERE ends_with(path, '.py')""")
+def tree_index(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of files on storage, one a supplier, walked and indexed: ignored folders and unknown languages are left out,
+    and the first 4,000 files count, as the reader's bound has it."""
+    k = F.col("s_suppkey")
     folder = F.when(k % 3 == 1, "node_modules").otherwise(_text("d", k % 7))
     suffix = F.when(k % 3 == 2, ".unknown").otherwise(".py")
-    named = rows.select(_text("src/", folder, "/f", k, suffix).alias("path"), _text("x = ", k, "\n").alias("text"))
+    text = F.concat(_text("x = ", k, "\n"), F.repeat(F.lit("y = 1\n"), (k % 5).cast("int")))
     root = _folder(spark, "tree")
-    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in named.collect():
-        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{r.path}"))
-        out.write(bytearray(r.text.encode()))
-        out.close()
+    _written(table(spark, d, "supplier").select(_text("src/", folder, "/f", k, suffix).alias("path"), text.alias("text")), root)
     return readers.index_tree(spark, root).select("path", "language", "lines")
 
 
-@query("SELECT event_id AS case_id, value FROM events WHERE event_id % 10 <> 9 AND event_id < 50")
+@query("SELECT s_suppkey AS case_id, s_acctbal AS value FROM supplier WHERE s_suppkey % 10 <> 9 ORDER BY s_suppkey LIMIT 40")
 def corpus_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Cases from a folder of JSON files, in order of file name; a file that does not parse is left out (a fixture of 50)."""
+    """Cases from a folder of JSON files, one a supplier, in order of file name, up to the reader's bound; a file that does not
+    parse is left out."""
+    k = F.col("s_suppkey")
+    text = F.concat(_text('{"case_id": ', k, ', "value": ', F.col("s_acctbal")), F.when(k % 10 == 9, "").otherwise("}"))
     root = _folder(spark, "corpus")
-    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in table(spark, d, "events").filter("event_id < 50").collect():
-        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/case-{r.event_id:04d}.json"))
-        out.write(bytearray((f'{{"case_id": {r.event_id}, "value": {r.value}' + ("" if r.event_id % 10 == 9 else "}")).encode()))
-        out.close()
-    return readers.json_corpus(spark, root, "case_id long, value double", 60).select("case_id", "value")
+    _written(table(spark, d, "supplier").select(_text("case-", F.lpad(k.cast("string"), 9, "0"), ".json").alias("path"), text.alias("text")), root)
+    return readers.json_corpus(spark, root, "case_id long, value double", 40).select("case_id", "value")
 
 
 @query("SELECT row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, user_id AS case_id, event_type AS scope, 'value' AS metric, value AS v_num FROM events")
@@ -290,6 +305,32 @@ def taint_programs(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("function", "source_kind", "sink_kind", "hops", "interpolated", "validated", "sanitized").agg(F.count("*").alias("flows"), F.sum(F.col("sink_line") - F.col("source_line")).alias("lines"))
 
 
+#: Statements and the rule that each breaks, if any.
+_STATEMENTS = (
+    ("os.system(x)", "shell"), ("os.system('fixed')", ""), ("subprocess.run(a, shell=True)", "shell"), ("subprocess.run(a)", ""), ("eval(y)", "eval"), ("eval('1')", ""), ("c.execute('a' + x)", "sql"), ("c.execute('a')", ""),
+    ("c.execute(f'a {x}')", "sql"), ("pickle.loads(b)", "deserialisation"), ("json.loads(b)", ""), ("yaml.load(b)", "deserialisation"), ("yaml.load(b, Loader=L)", ""), ("requests.get(u, verify=False)", "tls"), ("requests.get(u)", ""),
+    ("app.run(debug=True)", "debug"), ("app.run(debug=False)", ""), ("app.run(host='0.0.0.0')", "bind_all"), ("app.run(host='127.0.0.1')", ""), ("password = 'hunter22'", "secret"), ("password = 'changeme1'", ""), ("render_template_string(t)", "template"), ("render_template_string('t')", ""),
+)
+_BLOCKS = ("", "if c:", "for i in xs:", "while c:", "with o:", "class K:")
+
+
+@query(f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, p, s) AS i FROM (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s FROM lineitem)),
+b AS (SELECT *, CASE WHEN (p + n) % {len(_BLOCKS)} = 0 THEN 1 ELSE 2 END AS size, [{', '.join(f"'{r}'" for _, r in _STATEMENTS)}][(p * 7 + s) % {len(_STATEMENTS)} + 1] AS rule FROM l),
+at AS (SELECT *, sum(size) OVER (PARTITION BY k ORDER BY i) AS line FROM b),
+c AS (SELECT * FROM (VALUES {', '.join(f"('{r}', '{c}')" for r, (c, _) in code_rules.RULES.items())}) v(rule, cwe))
+SELECT k AS id, rule, line::BIGINT AS line, cwe FROM at JOIN c USING (rule)""")
+def code_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Rules over programs of a statement a line item, of 23 statements in six kinds of blocks: hits and their twins."""
+    own = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
+    nth = lambda parts, i: F.element_at(F.array(*map(F.lit, parts)), (i % len(parts) + 1).cast("int"))
+    head = nth(_BLOCKS, F.col("p") + F.col("n"))
+    body = nth([x for x, _ in _STATEMENTS], F.col("p") * 7 + F.col("s"))
+    part = F.when(head == "", F.concat(body, F.lit("\n"))).otherwise(F.concat(head, F.lit("\n    "), body, F.lit("\n")))
+    files = own.withColumn("part", part).groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "p", "s", "part"))), lambda x: x["part"]), "").alias("text"))
+    found = code_rules.scan(files.select(_text(F.col("k"), "/a.py").alias("path"), "text"))
+    return found.select(F.substring_index("file", "/", 1).cast("long").alias("id"), "rule", F.col("line").cast("long").alias("line"), "cwe")
+
+
 @query("""SELECT s_suppkey AS id, unnest(['path_join', 'index_write']) AS rule, unnest([2, 7]) AS line FROM supplier WHERE s_suppkey % 3 = 0
 UNION ALL SELECT s_suppkey, 'c_copy', 3 FROM supplier WHERE s_suppkey % 3 = 1 AND s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'c_copy', 4 FROM supplier WHERE s_suppkey % 3 = 1""")
 def bound_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -569,6 +610,22 @@ def engine_selection(spark: SparkSession, d: str) -> DataFrame:
     return one("python").union(one("c")).union(one("go"))
 
 
+@query("""WITH e AS (SELECT s_name AS id, unnest(['l' || s_nationkey, 'l' || s_suppkey % 40]) AS language, unnest(CASE WHEN s_suppkey % 5 = 0 THEN ['fuzz', 'replay'] ELSE ['fuzz'] END) AS strategy, s_suppkey % 3 = 0 AS feedback, s_suppkey % 2 = 0 AS fallback FROM supplier WHERE s_acctbal > 0),
+x AS (SELECT id, feedback, fallback, l.language, t.strategy FROM (SELECT DISTINCT id, feedback, fallback, language FROM e WHERE language IS NOT NULL) l JOIN (SELECT DISTINCT id, strategy FROM e WHERE strategy IS NOT NULL) t USING (id)),
+b AS (SELECT language, strategy, arg_min(id, CASE WHEN feedback THEN '0' ELSE '1' END || CASE WHEN fallback THEN '1' ELSE '0' END || id) AS engine FROM x GROUP BY ALL),
+w AS (SELECT DISTINCT 'l' || c_custkey % 45 AS language, unnest(['fuzz', 'replay', 'prove']) AS strategy FROM customer)
+SELECT language, strategy, engine, CASE WHEN engine IS NULL THEN 'no engine for ' || language || ' and ' || strategy END AS reason FROM w LEFT JOIN b USING (language, strategy)""")
+def engine_choices(spark: SparkSession, d: str) -> DataFrame:
+    """The engine for every language and strategy that is wanted, of all suppliers as engines; or why there is none."""
+    k = F.col("s_suppkey")
+    engines = table(spark, d, "supplier").select(
+        F.col("s_name").alias("id"), F.array_distinct(F.array(_text("l", F.col("s_nationkey")), _text("l", k % 40))).alias("languages"), F.when(k % 5 == 0, F.array(F.lit("fuzz"), F.lit("replay"))).otherwise(F.array(F.lit("fuzz"))).alias("strategies"),
+        (k % 3 == 0).alias("feedback"), (k % 2 == 0).alias("fallback"), (F.col("s_acctbal") > 0).alias("available"),
+    )
+    wanted = table(spark, d, "customer").select(_text("l", F.col("c_custkey") % 45).alias("language"), F.explode(F.array(*map(F.lit, ("fuzz", "replay", "prove")))).alias("strategy"))
+    return compare.select_engines(engines, wanted)
+
+
 @query("""WITH e AS (SELECT user_id AS case_id, event_id AS seq, event_type = 'view' AS opens FROM events WHERE event_type IN ('view', 'click')),
 d AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER (PARTITION BY case_id ORDER BY seq) + CASE WHEN opens THEN 0 ELSE 1 END AS depth FROM e)
 SELECT c.case_id, c.seq AS return_seq, (SELECT max(o.seq) FROM d o WHERE o.case_id = c.case_id AND o.depth = c.depth AND o.opens AND o.seq < c.seq) AS call_seq FROM d c WHERE NOT c.opens""")
