@@ -316,9 +316,9 @@ _BLOCKS = ("", "if c:", "for i in xs:", "while c:", "with o:", "class K:")
 
 @query(f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, p, s) AS i FROM (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s FROM lineitem)),
 b AS (SELECT *, CASE WHEN (p + n) % {len(_BLOCKS)} = 0 THEN 1 ELSE 2 END AS size, [{', '.join(f"'{r}'" for _, r in _STATEMENTS)}][(p * 7 + s) % {len(_STATEMENTS)} + 1] AS rule FROM l),
-at AS (SELECT *, sum(size) OVER (PARTITION BY k ORDER BY i) AS line FROM b),
+spot AS (SELECT *, sum(size) OVER (PARTITION BY k ORDER BY i) AS line FROM b),
 c AS (SELECT * FROM (VALUES {', '.join(f"('{r}', '{c}')" for r, (c, _) in code_rules.RULES.items())}) v(rule, cwe))
-SELECT k AS id, rule, line::BIGINT AS line, cwe FROM at JOIN c USING (rule)""")
+SELECT k AS id, rule, line::BIGINT AS line, cwe FROM spot JOIN c USING (rule)""")
 def code_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Rules over programs of a statement a line item, of 23 statements in six kinds of blocks: hits and their twins."""
     own = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
