@@ -273,7 +273,7 @@ _DECORATORS = ("", "@app.get('/a')", "@router.post('/b')", "@pytest.mark.task",
 
 @query(f"""WITH c AS (SELECT c_custkey, [{', '.join(f"'{n}'" for n in _NAMES)}][c_custkey % 13 + 1] AS name, ['{"', '".join(x.replace("'", "''") for x in _DECORATORS)}'][c_custkey // 13 % 9 + 1] AS deco, c_mktsegment = 'MACHINERY' AS class FROM customer)
 SELECT c_custkey, CASE WHEN class THEN NULL WHEN lower(name) IN ('main', 'lambda_handler', 'llvmfuzzertestoneinput') THEN 'cli' WHEN lower(name) IN ('handle', 'handler', 'entrypoint', 'dispatch', 'serve', 'app') THEN 'library'
-  WHEN regexp_matches(lower(deco), '^@?(app\.|router\.|get|post|route)') THEN 'http' END AS entrypoint FROM c""")
+  WHEN regexp_matches(lower(deco), '^@?(app[.]|router[.]|get|post|route)') THEN 'http' END AS entrypoint FROM c""")
 def entrypoint_marks(spark: SparkSession, d: str) -> DataFrame:
     """Names as they are, then decorators by their beginnings; 234 combinations of name, decorator and kind."""
     k = F.col("c_custkey")
