@@ -20,8 +20,9 @@ from provark.llm.common import lookup, materialise
 
 #: A float's error is far below these factors; they round bounds to the safe side.
 _UP, _DOWN = 1 + 1e-9, 1 - 1e-9
-#: Lower bounds are stored in units of a 16th of the upper bound, so 255 means "about 16 times as far".
-_UNITS = 16.0
+#: Lower bounds are stored as sixteen steps of a quarter of the upper bound, the last of which means "or further": few
+#: values, which compress well, and still a bound for every entry.
+_UNITS, _MOST = 4.0, 15
 _STATE = "vec_id {}, label {}, vector array<int>, code binary, upper binary, lower binary"
 
 
@@ -122,7 +123,7 @@ def _round(books: Codebooks, dim: int, final: bool):
             else:
                 upper = np.maximum(np.sqrt(squares.astype(np.float64)) * _UP, 1.0).astype(np.float32)
                 upper = np.nextafter(upper, np.float32(np.inf))
-                lower = np.minimum(low / (upper[:, :, None].astype(np.float64) / _UNITS), 255).astype(np.uint8)
+                lower = np.minimum(low / (upper[:, :, None].astype(np.float64) / _UNITS), _MOST).astype(np.uint8)
                 ints = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dim), pa.int32()), pa.array(x.ravel(), pa.int32()))
                 columns = {"vector": ints, "code": _bytes(code), "upper": _bytes(upper.astype("<f4")), "lower": _bytes(lower.reshape(len(x), -1))}
             columns = {"vec_id": batch["vec_id"], "label": batch["label"]} | columns
