@@ -309,69 +309,99 @@ def _searcher(k: int, percent: int):
     return search
 
 
-def _block(n: Column, block: int, salt: int) -> Column:
-    """A node's block among those of a component of n nodes, each of about `block` nodes."""
-    return F.when(n > block, F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(n / (block * 0.9)))).otherwise(F.lit(0)).cast("long")
+def _keyed(k: int, percent: int, levels):
+    """Batches of (..., text) to one row a prefix key: the other columns and the key, as a long."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Prefixes(percent, levels.value)
+        for batch in text_batches(batches, 1 << 20):
+            found = [np.unique(signer.of(tokens)) if len(tokens) else np.zeros(0, np.uint64) for tokens in shingle_sets(batch.column(batch.num_columns - 1), k)]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            rest = [batch.column(i).take(at) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(np.concatenate(found).view(np.int64))], names=[*batch.schema.names[:-1], "key"])
+
+    return keys
+
+
+def _block(n: Column, salt: int) -> Column:
+    """A node's block among those of a component of n nodes, each of about `per` nodes."""
+    return F.when(n > F.col("per"), F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(n / (F.col("per") * 0.9)))).otherwise(F.lit(0)).cast("long")
 
 
 def _follow(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (node, root, label) with each label replaced by the one that it is linked to."""
-    return labels.join(links, F.col("label") == F.col("a"), "left").select("node", "root", F.coalesce("b", "label").alias("label"))
+    """labels (node, root, label) with each label replaced by the one that it is linked to; a label may hold most nodes."""
+    sized = labels.groupBy(F.col("label").alias("a")).agg(F.count("*").alias("size"))
+    moves = materialise(links.join(sized, "a").select(F.col("a").alias("label"), "b", "size"), "ngram-moves")
+    return lookup(labels, moves, "label", "size").select("node", "root", F.coalesce("b", "label").alias("label"))
 
 
-def linked_labels(texts: DataFrame, search, block: int) -> DataFrame:
+def linked_labels(texts: DataFrame, search, keys) -> DataFrame:
     """(node, label): nodes with the same label are reachable by links within their candidate component.
 
-    texts: stored (node, root, n, text), n the nodes of the component. 1. A component of up to `block` nodes is
-    searched in one task, a larger one in blocks. 2. The blocks' labels stand for their members and are searched in turn,
-    as long as that joins them. 3. Members outside of a component's largest label are asked, in groups of `block`,
-    against each of its blocks: no link between different labels is left out, and no task holds more than two blocks."""
+    texts: stored (node, root, n, per, text), n the nodes of the component and per those of a block. 1. A component of up
+    to `per` nodes is searched in one task, a larger one in blocks. 2. The blocks' labels stand for their members and are
+    searched in turn, as long as that joins them. 3. Members outside of a component's largest label are asked against
+    those blocks only in which another label holds one of their prefix keys: linked sets share a key, so no link between
+    different labels is left out, and no task holds more than two blocks."""
     edges = "a long, b long"
-    blocks = texts.withColumn("sub", _block(F.col("n"), block, 0))
+    blocks = texts.withColumn("sub", _block(F.col("n"), 0))
     found = materialise(blocks.withColumn("label", F.col("node")).groupBy("root", "sub").applyInArrow(search, edges), "ngram-links")
-    labels = _follow(texts.select("node", "root", F.col("node").alias("label")), found)
-    if not texts.filter(F.col("n") > block).head(1):
+    labels = texts.select("node", "root", F.col("node").alias("label")).join(found, F.col("label") == F.col("a"), "left").select("node", "root", F.coalesce("b", "label").alias("label"))
+    if not texts.filter("n > per").head(1):
         return labels.select("node", "label")
-    small = labels.join(texts.filter(F.col("n") <= block).select("node"), "node", "left_semi")
-    large = blocks.filter(F.col("n") > block)
-    labels = materialise(_follow(large.select("node", "root", F.col("node").alias("label")), found), "ngram-labels")
+    small = labels.join(texts.filter("n <= per").select("node"), "node", "left_semi")
+    large = blocks.filter("n > per")
+    labels = materialise(labels.join(large.select("node"), "node", "left_semi"), "ngram-labels")
     for turn in range(1, 40):
         leaders = labels.filter("node = label").select("node", "root")
         many = materialise(leaders.groupBy("root").agg(F.count("*").alias("m")).filter("m > 1"), "ngram-many")
-        sizes = many.agg(F.sum("m"), F.max("m")).head()
-        if not sizes[0]:
+        total = many.agg(F.sum("m")).head()[0]
+        if not total:
             break
-        asked = lookup(leaders, many, "root", "m").filter("m is not null").withColumn("part", _block(F.col("m"), block, turn))
-        asked = large.select("node", "text").join(asked, "node").withColumn("label", F.col("node"))
+        asked = lookup(leaders, many, "root", "m").filter("m is not null")
+        asked = large.select("node", "per", "text").join(asked, "node").withColumn("part", _block(F.col("m"), turn)).withColumn("label", F.col("node")).drop("per")
         found = materialise(asked.groupBy("root", "part").applyInArrow(search, edges), "ngram-links")
+        whole = not large.select("root", "per").distinct().join(many, "root").filter("m > per").head(1)
         labels = materialise(_follow(labels, found), "ngram-labels")
-        if sizes[1] <= block or found.count() * 10 < sizes[0]:
+        if whole or found.count() * 10 < total:
             break
     sizes = labels.groupBy("root", "label").agg(F.count("*").alias("c")).groupBy("root").agg(F.max(F.struct("c", "label"))["label"].alias("most"), F.sum("c").alias("all"), F.max("c").alias("c"))
-    open_ = materialise(sizes.filter(F.col("all") > F.col("c")).select("root", "most", F.col("all").alias("n_all"), (F.col("all") - F.col("c")).alias("n_rest")), "ngram-open")
+    open_ = materialise(sizes.filter(F.col("all") > F.col("c")).select("root", "most", F.col("all").alias("n_all")), "ngram-open")
     if open_.head(1):
-        known = large.select("node", "sub", "text").join(labels, "node")
-        known = lookup(known, open_, "root", "n_all").filter("n_all is not null")
-        subs, groups = F.ceil(F.col("n_all") / (block * 0.9)), F.ceil(F.col("n_rest") / block)
+        known = lookup(large.select("node", "sub", "text").join(labels, "node"), open_, "root", "n_all").filter("n_all is not null")
+        signed = known.select("root", "sub", "node", "label", "most", "text").mapInArrow(keys, "root long, sub long, node long, label long, most long, key long")
+        signed = materialise(signed, "ngram-keys")
+        mixed = signed.groupBy("root", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+        live = materialise(signed.join(mixed, ["root", "key"], "left_semi"), "ngram-mixed")
+        salt = F.pmod(F.xxhash64("node"), F.lit(16)).cast("int")
+        asks = live.filter("label != most").select("root", "key", "node", "label", salt.alias("salt"))
+        held = live.groupBy("root", "key", "sub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        pairs = asks.join(held, ["root", "key", "salt"]).filter("label != lo or label != hi").select("root", "node", "sub").distinct()
+        pairs = materialise(pairs, "ngram-pairs")
+        asked = pairs.groupBy("root", "sub").agg(F.count("*").alias("asked"))
+        sized = large.select("root", "sub", "per").distinct().join(asked, ["root", "sub"])
+        sized = materialise(sized.select("root", "sub", F.ceil(F.col("asked") / F.col("per")).alias("groups")), "ngram-groups")
         columns = ["root", "sub", "group", "label", "text"]
-        members = known.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), groups - 1))).select(columns)
-        rest = known.filter("label != most").withColumn("group", F.pmod(F.xxhash64("node", F.lit(-1)), groups))
-        rest = rest.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), subs - 1))).select(columns)
-        met = materialise(members.union(rest).groupBy("root", "sub", "group").applyInArrow(search, edges), "ngram-links")
+        content = large.select("node", "text").join(labels.select("node", "label"), "node")
+        members = large.select("root", "sub", "node").join(sized, ["root", "sub"]).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+        rest = pairs.join(sized, ["root", "sub"]).withColumn("group", F.pmod(F.xxhash64("node", F.lit(-1)), F.col("groups")))
+        both = members.select("root", "sub", "node", "group").union(rest.select("root", "sub", "node", "group")).join(content, "node").select(columns)
+        met = materialise(both.groupBy("root", "sub", "group").applyInArrow(search, edges), "ngram-links")
         joined = components(met, "ngram-last").select(F.col("node").alias("a"), F.col("root").alias("b"))
         labels = _follow(labels, joined)
     return small.select("node", "label").union(labels.select("node", "label"))
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, block: int = 256) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, block: int = 256, block_shingles: int = 1 << 20) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id.
 
     Documents link when 100 * common >= percent * all distinct shingles of both; component_id is the smallest id
     reachable by links. Within a task texts of the same words are one representative. Representatives' prefix keys,
     packed by hash bucket, meet once; those that share one form candidate components, which are closed under
     linking. Only their representatives' texts are fetched, and each component is searched by `divide_skip`,
-    in blocks of about `block` representatives (`linked_labels`), over the words themselves: hashes of words only bring
-    texts together.
+    in blocks of about `block` representatives, fewer where they hold over `block_shingles` (`linked_labels`), over the
+    words themselves: hashes of words only bring texts together.
 
     Null text counts as empty; documents without words link with nothing. Rows with the same id count as one
     document with several texts. A null id sorts last. Empty tables give no rows; other columns are ignored."""
@@ -462,10 +492,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = met.filter("other is null").select("doc_id", "mark", "n_shingles", "node", "first")
     labels = components(met.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), "ngram")
 
-    counts = materialise(labels.groupBy("root").agg(F.count("*").alias("n")), "ngram-counts")
-    wanted = members.filter("first").join(lookup(labels, counts, "root", "n"), "node").select("node", "root", "n", F.col("doc_id").alias("id"), F.col("mark").alias("m"))
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m"))).dropDuplicates(["node"]).select("node", "root", "n", "text")
-    linked = linked_labels(materialise(texts, "ngram-texts"), _searcher(k, percent), block)
+    counts = members.filter("first").join(labels, "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all"))
+    per = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("n") * block_shingles / F.greatest("all", F.lit(1))))).cast("long")
+    counts = materialise(counts.select("root", "n", per.alias("per")), "ngram-counts")
+    wanted = members.filter("first").join(lookup(labels, counts, "root", "n"), "node").select("node", "root", "n", "per", F.col("doc_id").alias("id"), F.col("mark").alias("m"))
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m"))).dropDuplicates(["node"]).select("node", "root", "n", "per", "text")
+    linked = linked_labels(materialise(texts, "ngram-texts"), _searcher(k, percent), _keyed(k, percent, levels))
     rooted = materialise(members.join(linked, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("root")), "ngram-rooted")
     least = materialise(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")), "ngram-least")
     return lookup(rooted, least, "root", "size").select("doc_id", "n_shingles", "component_id")

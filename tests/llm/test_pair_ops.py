@@ -126,6 +126,25 @@ def test_ngram_components(spark, k, percent, block):
     assert ngram_join.ngram_components(docs.filter("false"), k=k, percent=percent).count() == 0
 
 
+def chained(n_groups, width=30):
+    """Groups of near copies of which the next shares a third of its words: one candidate component of many labels."""
+    words = [f"c{i}" for i in range((n_groups + 3) * 10)]
+    rows = []
+    for g in range(n_groups):
+        base = words[g * 10 : g * 10 + width]
+        for c in range(9):
+            rows.append((len(rows), " ".join(base + [f"end{(g + c) % 4}"] * (c % 3 == 0))))
+    return rows
+
+
+@pytest.mark.parametrize("block, shingles", [(8, 1 << 20), (16, 200), (256, 60)])
+def test_labels_of_other_blocks_meet_by_prefix_keys(spark, block, shingles):
+    rows = chained(40) + [(1000 + i, t.upper()) for i, t in near_copies(11, 120)[:120]]
+    docs = spark.createDataFrame(rows, DOC).repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs, k=3, percent=60, block=block, block_shingles=shingles).collect()}
+    assert got == brute_join(rows, 3, 60)
+
+
 def test_words_that_a_sum_of_powers_cannot_tell_apart(spark):
     words = ["a", "b"]
     for _ in range(10):
