@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provark.functions.text import lines_of
+from provark.plans.storage import numbered
 
 SEVERITY = {"critical": 5, "high": 4, "medium": 3, "low": 2, "info": 1}
 
@@ -188,3 +189,8 @@ def setting_hits(lines: DataFrame) -> DataFrame:
 
 
 __all__ = ["Rule", "TEXT_RULES", "applies", "dedup_hits", "explode_lines", "match_rules", "override", "override_rows", "replace", "setting_hits", "severity_rank", "union_engines"]
+
+
+def scan_order(findings: DataFrame) -> DataFrame:
+    """findings with their place, from 0, by file, line and rule. Nulls come first; equal rows follow each other in any order."""
+    return numbered(findings, [F.col("file"), F.col("line"), F.col("rule")], "at")
