@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provark.functions import arrow_udfs
+from provark.functions import text as tx
 from provark.operators import compare, rules
 from provark.plans.source_queries import _text
 from provark.plans.storage import query, table
@@ -104,3 +105,82 @@ def scan_order(spark: SparkSession, d: str) -> DataFrame:
     """Findings in a scan's order."""
     rows = table(spark, d, "lineitem").select(_text("src/f", F.col("l_partkey") % 97, ".py").alias("file"), (F.col("l_orderkey") % 500).alias("line"), _text("r", F.col("l_suppkey") % 13).alias("rule"))
     return rules.scan_order(rows.distinct())
+
+
+@query(f"""WITH {_LINES}, a AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, p, s) AS i FROM l)
+SELECT k AS id, 'K' || s % 3 AS key, arg_max(p || CASE WHEN p % 5 = 1 THEN ' x' ELSE '' END, i) AS value FROM a WHERE p % 5 IN (0, 1, 3) GROUP BY k, s % 3""")
+def order_env(spark: SparkSession, d: str) -> DataFrame:
+    """Environment files of exported, quoted, repeated and commented keys and of lines that are none."""
+    n, p, key = F.col("n"), F.col("p"), _text("K", F.col("s") % 3)
+    line = F.when(p % 5 == 0, _text("export ", key, "=", p)).when(p % 5 == 1, _text(key, ' = "', p, ' x"')).when(p % 5 == 2, _text("# ", key, "=", p)).when(p % 5 == 3, _text(key, "='", p, "'")).otherwise(_text("no line ", n))
+    return readers.dotenv(_gathered(_lines(spark, d), F.concat(line, F.lit("\n"))), "id", "text")
+
+
+@query(f"""WITH {_LINES}, a AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, p, s) AS row FROM l)
+SELECT k AS id, row, CASE WHEN p % 4 = 3 THEN 'x|' || p ELSE p::VARCHAR END AS a, CASE WHEN p % 4 <> 1 THEN s::VARCHAR END AS b FROM a WHERE p % 4 <> 2""")
+def order_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Tables in pipes that mix whole, empty, escaped and ragged rows; a ragged row keeps its number to itself."""
+    p, s = F.col("p"), F.col("s")
+    line = F.when(p % 4 == 0, _text("| ", p, " | ", s, " |\n")).when(p % 4 == 1, _text("| ", p, " | |\n")).when(p % 4 == 2, "| ragged |\n").otherwise(_text("|x\\|", p, "|", s, "|\n"))
+    texts = _gathered(_lines(spark, d), line).select("id", _text("title\n| a | b |\n|:--|---|\n", F.col("text")).alias("text"))
+    cells = readers.pipe_table(texts, "id", "text")
+    return cells.select("id", F.col("row").cast("long").alias("row"), F.col("cells")["a"].alias("a"), F.col("cells")["b"].alias("b"))
+
+
+@query(f"""WITH {_LINES}, f AS (SELECT k, CASE WHEN p % 6 = 5 THEN 'f' || p || '.lock' ELSE ['src', 'lib', 'a'][p % 3 + 1] || repeat('/x', s % 3) || CASE WHEN n % 2 = 0 THEN '/gen' ELSE '' END || '/f' || p || CASE WHEN p % 4 = 0 THEN '.lock' ELSE '.py' END END AS path FROM l),
+g AS (SELECT k, path, string_split(path, '/') AS w FROM f)
+SELECT k AS id, count(*) FILTER (w[1] = 'src' AND len(w) > 2 AND w[-2] = 'gen' AND suffix(path, '.py')) AS guarded, count(*) FILTER (len(w) = 1 AND suffix(path, '.lock')) AS locked, count(*) FILTER (w[1] = 'lib' AND len(w) = 3 AND suffix(path, '.py')) AS direct FROM g GROUP BY k""")
+def order_globs(spark: SparkSession, d: str) -> DataFrame:
+    """Files of each order that three patterns match: folders of any depth, a name without a folder, one folder."""
+    n, p, s = F.col("n"), F.col("p"), F.col("s")
+    deep = F.concat(F.element_at(F.array(*map(F.lit, ("src", "lib", "a"))), (p % 3 + 1).cast("int")), F.repeat(F.lit("/x"), (s % 3).cast("int")), F.when(n % 2 == 0, "/gen").otherwise(""), _text("/f", p), F.when(p % 4 == 0, ".lock").otherwise(".py"))
+    path = F.when(p % 6 == 5, _text("f", p, ".lock")).otherwise(deep)
+    patterns = {"guarded": "src/**/gen/*.py", "locked": "*.lock", "direct": "lib/*/*.py"}
+    return _lines(spark, d).withColumn("path", path).groupBy(F.col("k").alias("id")).agg(*[F.count_if(F.col("path").rlike(tx.glob_to_regex(g))).alias(a) for a, g in patterns.items()])
+
+
+#: Parts of field names; the SQL names those that hide a value.
+_HEADS, _SEPARATORS, _TAILS = ("db", "token", "my", "x"), ("_", ".", "-"), ("password", "tokens", "api_key", "name", "secret")
+
+
+@query(f"""WITH {_LINES} SELECT k AS id, n, p, s, {list(_HEADS)}[p % 4 + 1] || {list(_SEPARATORS)}[s % 3 + 1] || {list(_TAILS)}[n % 5 + 1] AS name,
+CASE WHEN p % 4 = 1 OR n % 5 IN (0, 2, 4) THEN '***' ELSE p::VARCHAR END AS value FROM l""")
+def order_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of sixty names, masked by a whole segment or a part of the name."""
+    pick = lambda words, c, m: F.element_at(F.array(*map(F.lit, words)), (F.col(c) % m + 1).cast("int"))
+    lines = _lines(spark, d).withColumn("name", F.concat(pick(_HEADS, "p", 4), pick(_SEPARATORS, "s", 3), pick(_TAILS, "n", 5)))
+    masked = tx.redact_map(F.create_map("name", F.col("p").cast("string")))
+    return lines.select(F.col("k").alias("id"), "n", "p", "s", "name", F.map_values(masked)[0].alias("value"))
+
+
+@query(f"""WITH {_LINES} SELECT k AS id, '{{"rows":[0' || string_agg(CASE p % 3 WHEN 0 THEN ',{{"p":' || p || ',"s":' || s || '}}' WHEN 1 THEN ',{{"p":{{"z":' || s || '}}}}' ELSE ',[' || p || ',{{}}]' END, '' ORDER BY n, p, s) || ']}}' AS stable FROM l GROUP BY k""")
+def order_stable_json(spark: SparkSession, d: str) -> DataFrame:
+    """Nested JSON of three kinds of members without what differs from run to run."""
+    n, p, s = F.col("n"), F.col("p"), F.col("s")
+    member = F.when(p % 3 == 0, _text(', {"s": ', s, ', "p": ', p, "}")).when(p % 3 == 1, _text(', {"pid": ', n, ', "p": {"timestamp": "t", "z": ', s, "}}")).otherwise(_text(", [", p, ', {"duration_ms": ', s, "}]"))
+    return _gathered(_lines(spark, d), member).select("id", arrow_udfs.without_volatile(_text('{"rows": [0', F.col("text"), '], "timestamp": 1}')).alias("stable"))
+
+
+@query(f"WITH {_LINES} SELECT k AS id, count(*) FILTER (p % 3 > 0)::INT AS locked FROM l GROUP BY k")
+def order_locks(spark: SparkSession, d: str) -> DataFrame:
+    """Lock files of four formats with lines that are no entries."""
+    k, p = F.col("k"), F.col("p")
+    packages = F.when(p % 3 > 0, _text("[[package]]\nname = ", p, "\n")).otherwise("# [[package]]\n")
+    sums = F.when(p % 3 > 0, _text("a/b", p, " v1.", p, " h1:x=\n")).otherwise(_text("a/b", p, "\n"))
+    yarn = F.when(p % 3 > 0, _text('"b', p, '@1":\n  version "1"\n')).otherwise("  dependencies:\n")
+    files = _gathered(_lines(spark, d), F.when(k % 4 < 2, packages).when(k % 4 == 2, sums).otherwise(yarn))
+    name = F.element_at(F.array(*map(F.lit, ("poetry.lock", "Cargo.lock", "go.sum", "yarn.lock"))), (F.col("id") % 4 + 1).cast("int"))
+    return readers.locked_count(files.select(_text(F.col("id"), "/", name).alias("path"), "text")).select(F.substring_index("path", "/", 1).cast("long").alias("id"), "locked")
+
+
+@query(f"""WITH {_LINES}, h AS (SELECT k, count(*) FILTER (p % 4 = 0) AS a, 2 * count(*) FILTER (p % 4 = 2) AS b,
+list(DISTINCT CASE WHEN p % 4 = 1 THEN 'test_' || s % 5 ELSE 'case ' || s % 5 END) FILTER (p % 2 = 1) AS cases FROM l WHERE k % 4 < 3 GROUP BY k)
+SELECT k AS id, CASE WHEN a + b = 0 THEN NULL WHEN a >= b THEN 'pytest' ELSE 'jest' END AS framework, list_sort(coalesce(cases, [])) AS cases FROM h""")
+def order_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Test files by three kinds of paths; markers of two frameworks are mixed and may tie, cases repeat."""
+    i, p, s = F.col("id"), F.col("p"), F.col("s") % 5
+    line = F.when(p % 4 == 0, "import pytest\n").when(p % 4 == 1, _text("def test_", s, "():\n  pass\n")).when(p % 4 == 2, "describe(expect(\n").otherwise(_text("it('case ", s, "')\n"))
+    path = F.when(i % 4 == 0, _text("tests/a", i, ".py")).when(i % 4 == 1, _text("src/test_", i, ".py")).when(i % 4 == 2, _text("src/", i, ".spec.ts")).otherwise(_text("src/", i, ".py"))
+    files = _gathered(_lines(spark, d), line).select(path.alias("path"), "text")
+    found = readers.test_files(files, {"pytest": ["import pytest"], "jest": [r"describe\(", r"expect\("]})
+    return found.select(F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("id"), "framework", "cases")
