@@ -184,3 +184,36 @@ def order_tests(spark: SparkSession, d: str) -> DataFrame:
     files = _gathered(_lines(spark, d), line).select(path.alias("path"), "text")
     found = readers.test_files(files, {"pytest": ["import pytest"], "jest": [r"describe\(", r"expect\("]})
     return found.select(F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("id"), "framework", "cases")
+
+
+#: What a trace's other lines say, and the labels by which they are counted.
+_SIGNALS = {"timed out": "timeout", "out of memory": "oom", "stack overflow": "overflow", "killed": "oom"}
+
+
+@query(f"""WITH {_LINES}, f AS (SELECT *, CASE WHEN p % 3 > 0 THEN 'src/' ELSE '/usr/lib/' END || 'm' || s % 7 || '.py:' || n * 10 AS site, row_number() OVER (PARTITION BY k ORDER BY n, p, s) AS i FROM l),
+g AS (SELECT k, arg_max(site, i) FILTER (p % 5 > 0 AND p % 3 > 0) AS site, bool_or(p % 5 = 0 AND s % 4 = 0) AS t, bool_or(p % 5 = 0 AND s % 4 = 1) AS o, bool_or(p % 5 = 0 AND s % 4 = 3) AS late, bool_or(p % 5 = 0 AND s % 4 = 2) AS v FROM f GROUP BY k)
+SELECT k AS id, site, list_filter([CASE WHEN t THEN 'timeout' END, CASE WHEN o THEN 'oom' END, CASE WHEN v THEN 'overflow' END, CASE WHEN late AND NOT o THEN 'oom' END],
+  lambda x: x IS NOT NULL) AS signals FROM g""")
+def order_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Traces that mix frames of the project and of libraries with messages: the last own frame and the signals, in order."""
+    n, p, s = F.col("n"), F.col("p"), F.col("s")
+    frame = _text('  File "', F.when(p % 3 > 0, "src/").otherwise("/usr/lib/"), "m", s % 7, '.py", line ', n * 10, ", in g", s, "\n")
+    message = F.element_at(F.array(*map(F.lit, _SIGNALS)), (s % 4 + 1).cast("int"))
+    texts = _gathered(_lines(spark, d), F.when(p % 5 == 0, F.concat(message, F.lit("\n"))).otherwise(frame))
+    return texts.select("id", tx.crash_site(F.col("text"), "src/").alias("site"), tx.markers(F.col("text"), _SIGNALS).alias("signals"))
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT *, ['src', './lib', 'a\\b'][p % 3 + 1] AS dir FROM l)
+SELECT k AS id, n, p, s, dir || '/f' || s || CASE WHEN n % 3 = 1 THEN ':x' ELSE '' END AS file, CASE WHEN n % 3 = 0 THEN (p % 1000)::INT END AS line,
+  regexp_replace(replace(dir, '\\', '/'), '^[.]/', '') || '/f' || s || CASE WHEN s % 2 = 0 THEN '' ELSE ':g' || p END AS uid,
+  ['GET', 'POST', 'PUT', 'DELETE', 'PATCH', 'GET'][p % 6 + 1] AS method, '/v' || s % 9 || CASE WHEN n % 2 = 0 THEN '/{{id}}' ELSE '' END AS route, 'red ' || p AS plain FROM c""")
+def line_places(spark: SparkSession, d: str) -> DataFrame:
+    """Locations, ids, decorators and escapes in all combinations of folder, suffix, kind and method."""
+    n, p, s = F.col("n"), F.col("p"), F.col("s")
+    file = _text(F.element_at(F.array(*map(F.lit, ("src", "./lib", "a\\b"))), (p % 3 + 1).cast("int")), "/f", s)
+    place, line = tx.split_location(F.concat(file, F.when(n % 3 == 0, _text(":", p % 1000)).when(n % 3 == 1, ":x").otherwise("")))
+    call = F.element_at(F.array(*map(F.lit, (*_METHODS, "route"))), (p % 6 + 1).cast("int"))
+    method, path = tx.route(_text("@app.", call, F.when(s % 2 == 0, "('").otherwise('( "'), "/v", s % 9, F.when(n % 2 == 0, "/{id}").otherwise(""), F.when(s % 2 == 0, "')").otherwise('")')))
+    uid = tx.canonical_uid(file, _text("g", p), F.when(s % 4 == 0, "File").when(s % 4 == 2, "file").otherwise("function"))
+    plain = tx.strip_ansi(_text("\x1b[", s % 40, ";1mred\x1b[0m ", p, "\x1b[K"))
+    return _lines(spark, d).select(F.col("k").alias("id"), "n", "p", "s", place.alias("file"), line.alias("line"), uid.alias("uid"), method.alias("method"), path.alias("route"), plain.alias("plain"))

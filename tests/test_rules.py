@@ -72,3 +72,12 @@ def test_many_rules_cost_little_more(spark):
     seconds(made[:2])
     few, many = seconds(made[:12]), seconds(made)
     assert many < 2 * few + 0.5, (few, many)
+
+
+def test_scan_order(spark):
+    rows = [("b", 1, "x"), ("a", 10, "x"), ("a", 9, "y"), ("a", 9, "x"), (None, 1, "x"), ("a", None, "x"), ("a", 9, "x")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "file string, line int, rule string, other int").repartition(4)
+    got = sorted(rules.scan_order(df).collect(), key=lambda r: r.at)
+    assert [r.at for r in got] == list(range(7))
+    assert [(r.file, r.line, r.rule) for r in got] == [(None, 1, "x"), ("a", None, "x"), ("a", 9, "x"), ("a", 9, "x"), ("a", 9, "y"), ("a", 10, "x"), ("b", 1, "x")]
+    assert rules.scan_order(df.filter("false")).count() == 0
