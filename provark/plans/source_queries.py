@@ -357,6 +357,18 @@ def provider_pages(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("src").alias("sources"), F.round(F.sum("confidence"), 3).alias("confidence"))
 
 
+@query("SELECT 'customer:' || o_custkey AS src, 'order:' || o_orderkey AS dst FROM orders WHERE o_orderstatus = 'F'")
+def provider_matches(spark: SparkSession, d: str) -> DataFrame:
+    """What a provider gives for one kind: it filters while it reads, without a limit."""
+    external.register(spark)
+    path = _folder(spark, "provider")
+    o = table(spark, d, "orders")
+    edges = o.select(_text("customer:", F.col("o_custkey")).alias("src"), _text("order:", F.col("o_orderkey")).alias("dst"), _text("HAS_", F.col("o_orderstatus")).alias("kind"), F.lit(1.0).alias("confidence"))
+    edges.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path}/raw")
+    _pages(spark, f"{path}/raw", f"{path}/pages", "edges")
+    return external.matching(spark, f"{path}/pages", limit=None, kind="HAS_F").select("src", "dst")
+
+
 def _pages(spark: SparkSession, raw: str, pages: str, name: str) -> None:
     """Names a folder's part files as a provider's pages: renames only, nothing is read."""
     jvm = spark._jvm.org.apache.hadoop.fs

@@ -16,7 +16,7 @@ from typing import Any
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamWriter, InputPartition, WriterCommitMessage
 
 EDGE = "src string, dst string, kind string, confidence double"
@@ -39,11 +39,16 @@ class Page(InputPartition):
 
 
 class GraphReader(DataSourceReader):
-    """A page is a file of JSON lines; pages are read by tasks of their own. A line that does not parse is an error."""
+    """A page is a file of JSON lines; pages are read by tasks of their own. A line that does not parse is an error.
 
-    def __init__(self, folder: str, table: str, rows: int):
-        self.folder, self.table, self.rows = folder, table, rows
+    `match` (field to value) is tried while a page is read, and a page is left as soon as it gave `most` rows. A field
+    that the table has not is an error."""
+
+    def __init__(self, folder: str, table: str, rows: int, match: dict[str, Any] | None = None, most: int | None = None):
+        self.folder, self.table, self.rows, self.match, self.most = folder, table, rows, match or {}, most
         self.fields = _fields(NODE if table == "nodes" else EDGE)
+        if unknown := sorted(set(self.match) - {n for n, _ in self.fields}):
+            raise ValueError(f"{table} have no field {', '.join(unknown)}")
 
     def partitions(self) -> list[Page]:
         pages = sorted(f for f in os.listdir(self.folder) if re.match(rf"{self.table}[^/]*\.jsonl?$", f))
@@ -53,13 +58,18 @@ class GraphReader(DataSourceReader):
 
     def read(self, page: Page) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        given = 0
         with open(page.path, encoding="utf-8") as f:
             for line in f:
-                if line.strip():
-                    held.append(json.loads(line))
+                row = json.loads(line) if line.strip() else None
+                if row is not None and all(row.get(k) == v for k, v in self.match.items()):
+                    held.append(row)
+                    given += 1
                 if len(held) >= self.rows:
                     yield self._batch(held)
                     held = []
+                if given == self.most:
+                    break
         if held:
             yield self._batch(held)
 
@@ -68,7 +78,8 @@ class GraphReader(DataSourceReader):
 
 
 class ProviderGraph(DataSource):
-    """format("provider_graph"), options path (a folder of pages), table (edges or nodes), rows (of a batch)."""
+    """format("provider_graph"), options path (a folder of pages), table (edges or nodes), rows (of a batch), match (JSON
+    of fields and the values that they equal), most (rows of a page)."""
 
     @classmethod
     def name(cls) -> str:
@@ -78,7 +89,18 @@ class ProviderGraph(DataSource):
         return NODE if self.options.get("table", "edges") == "nodes" else EDGE
 
     def reader(self, schema: Any) -> GraphReader:
-        return GraphReader(_local(self.options["path"]), self.options.get("table", "edges"), int(self.options.get("rows", "4096")))
+        get = self.options.get
+        most = int(get("most")) if get("most") else None
+        return GraphReader(_local(self.options["path"]), get("table", "edges"), int(get("rows", "4096")), json.loads(get("match", "{}")), most)
+
+
+def matching(spark: SparkSession, path: str, table: str = "edges", limit: int | None = 200, **match: Any) -> DataFrame:
+    """At most `limit` rows of a provider's table whose fields equal `match`. The provider filters, and no page is read
+    beyond the limit; None reads every page, in tasks of their own. What fails (a folder without pages, a field that is none, a broken line) is raised, never an empty table."""
+    if limit is not None and limit < 1:  # Spark would not even ask the provider
+        raise ValueError("a limit is at least 1")
+    reader = spark.read.format("provider_graph").option("path", path).option("table", table).option("match", json.dumps(match))
+    return reader.load() if limit is None else reader.option("most", str(limit)).load().limit(limit)
 
 
 @dataclass

@@ -25,6 +25,22 @@ def test_graph_pages(spark, tmp_path):
         spark.read.format("provider_graph").option("path", str(tmp_path / "..")).load().collect()
 
 
+def test_matching_rows(spark, tmp_path):
+    external.register(spark)
+    edges = [{"src": f"a{i}", "dst": f"b{i % 4}", "kind": "CALLS" if i % 3 else "IMPORTS", "confidence": None} for i in range(60)]
+    for p in range(3):
+        (tmp_path / f"edges-{p}.jsonl").write_text("\n".join(json.dumps(e) for e in edges[p::3]))
+    want = {e["src"] for e in edges if e["kind"] == "CALLS" and e["dst"] == "b1"}
+    assert {r.src for r in external.matching(spark, str(tmp_path), kind="CALLS", dst="b1").collect()} == want
+    some = external.matching(spark, str(tmp_path), limit=7, kind="CALLS").collect()
+    assert len(some) == 7 and {r.kind for r in some} == {"CALLS"}
+    assert external.matching(spark, str(tmp_path), kind="NONE").count() == 0
+    assert external.matching(spark, str(tmp_path), confidence=None).count() == 60
+    for wrong, told in (({"colour": "red"}, "no field colour"), ({"limit": 0}, "at least 1"), ({"table": "nodes"}, "no page of nodes")):
+        with pytest.raises(Exception, match=told):
+            external.matching(spark, str(tmp_path), **wrong).collect()
+
+
 def test_batches_are_committed_once(tmp_path):
     from pyspark.sql.types import StructType
 
