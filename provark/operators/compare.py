@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,42 +139,67 @@ def oracle_verdict(kind: Column, exit_code: Column, timed_out: Column, signals:
     )
 
 
+_OLD, _NEW = re.compile(r"^@@ -[0-9]+(?:,([0-9]+))?"), re.compile(r"^@@ -\S+ \+[0-9]+(?:,([0-9]+))?")
+
+
+def _walked(patch: str) -> Iterator[tuple[str | None, str | None, str]]:
+    """file, op, raw of a patch's lines; what diff_lines says of them."""
+
+    def length(head: re.Pattern, raw: str) -> int:
+        found = head.match(raw)
+        return int(found[1]) if found and found[1] else 1
+
+    def name(raw: str) -> str:
+        found = re.match(r"(?:---|\+\+\+) ([^\t]*)", raw)[1]
+        return found[2:] if found[:2] in ("a/", "b/") else found
+
+    old = new = 0
+    was = file = None
+    for raw in patch.split("\n"):
+        op = None
+        if old > 0 or new > 0:
+            op = raw[:1] if raw[:1] in ("+", "-") else None if raw[:1] == "\\" else " "
+            old -= op in ("-", " ")
+            new -= op in ("+", " ")
+        elif raw.startswith("@@ "):
+            op, old, new = "@", length(_OLD, raw), length(_NEW, raw)
+        elif raw.startswith("+++ "):
+            op, own = "f", name(raw)
+            file = was if own == "/dev/null" else own
+        elif raw.startswith("--- "):
+            was = name(raw)
+        yield file, op, raw
+
+
 def diff_lines(patches: DataFrame, id_col: str = "id", patch_col: str = "patch") -> DataFrame:
     """id, at, file, op, raw of the lines of unified diffs. op: `@` a hunk's head, `f` the file that the lines behind
     it change (the old name where it is removed), `+`, `-` or a blank inside a hunk, null for anything else.
 
-    A hunk's head says how many lines it has, so a removed line that begins with dashes is no file's head."""
-    line = "struct<at:int,file:string,op:string,raw:string>"
-    length = lambda raw, side: F.coalesce(F.nullif(F.regexp_extract(raw, rf"^@@ {side}[0-9]+(?:,([0-9]+))?", 1), F.lit("")).cast("int"), F.lit(1))
-    name = lambda raw: F.regexp_replace(F.regexp_extract(raw, r"^(?:---|\+\+\+) ([^\t]*)", 1), "^[ab]/", "")
-
-    def step(s, raw):
-        inside, first = (s["old"] > 0) | (s["new"] > 0), F.substring(raw, 1, 1)
-        kind = F.when(first.isin("+", "-"), first).when(first == "\\", F.lit(None)).otherwise(" ")
-        op = F.when(inside, kind).when(raw.startswith("@@ "), "@").when(raw.startswith("+++ "), "f")
-        was = F.when(~inside & raw.startswith("--- "), name(raw)).otherwise(s["was"])
-        file = F.when(op == "f", F.when(name(raw) == "/dev/null", was).otherwise(name(raw))).otherwise(s["file"])
-        own = F.array(F.struct(s["at"].alias("at"), file.alias("file"), op.alias("op"), raw.alias("raw")))
-        return F.struct(
-            (s["at"] + 1).alias("at"),
-            F.when(op == "@", length(raw, "-")).otherwise(s["old"] - F.when(op.isin("-", " "), 1).otherwise(0)).alias("old"),
-            F.when(op == "@", length(raw, r"-\S+ \+")).otherwise(s["new"] - F.when(op.isin("+", " "), 1).otherwise(0)).alias("new"),
-            was.alias("was"),
-            file.alias("file"),
-            F.concat(s["out"], own).alias("out"),
-        )
-
-    none, zero = F.lit(None).cast("string"), F.lit(0)
-    start = F.struct(zero.alias("at"), zero.alias("old"), zero.alias("new"), none.alias("was"), none.alias("file"), F.array().cast(f"array<{line}>").alias("out"))
-    walked = F.aggregate(F.split(patch_col, "\n"), start, step, lambda s: s["out"])
-    return patches.select(F.col(id_col).alias("id"), F.explode(walked).alias("l")).select("id", "l.*")
+    A hunk's head says how many lines it has, so a removed line that begins with dashes is no file's head. Lines are
+    walked in batches: what a line is depends on all before it, and an expression would carry the whole list along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first in range(0, b.num_rows, 1000):
+                part = b.slice(first, 1000)
+                lines = [None if t is None else list(_walked(t)) for t in part["patch"].to_pylist()]
+                n = [len(x or ()) for x in lines]
+                rows = [x for own in lines for x in own or ()]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+                at = [i for k in n for i in range(k)]
+                ids = part["id"].take(pa.array([i for i, k in enumerate(n) for _ in range(k)], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int32()), *[pa.array(c, pa.string()) for c in columns]], ["id", "at", "file", "op", "raw"])
+
+    own = patches.select(F.col(id_col).alias("id"), F.col(patch_col).alias("patch"))
+    kind = own.schema["id"].dataType.simpleString()
+    return own.mapInArrow(run, f"id {kind}, at int, file string, op string, raw string")
 
 
 def diff_stats(patches: DataFrame, id_col: str = "id", patch_col: str = "patch") -> DataFrame:
     """id, files (different ones), hunks, added, removed."""
     n = lambda op: F.count_if(F.col("op") == op)
     rows = diff_lines(patches, id_col, patch_col)
-    return rows.groupBy("id").agg(F.count_distinct(F.when(F.col("op") == "f", F.col("file"))).alias("files"), n("@").alias("hunks"), n("+").alias("added"), n("-").alias("removed"))
+    return rows.groupBy("id").agg(F.size(F.collect_set(F.when(F.col("op") == "f", F.col("file")))).cast("long").alias("files"), n("@").alias("hunks"), n("+").alias("added"), n("-").alias("removed"))
 
 
 #: The order of assurance levels, the best first.
@@ -190,20 +219,36 @@ def policy_violations(
 ) -> DataFrame:
     """id, rule, detail: a row for each broken rule: protected path, binary, too many files, too large, import and,
     where given, a blast radius (id, score) beyond its bound and a certificate's level (id, level) below the least."""
-    rows, stats = diff_lines(patches), diff_stats(patches)
     guard = "|".join(glob_to_regex(p) for p in protected) or "$^"
-    told = lambda df, rule, detail: df.select("id", F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
-    out = told(rows.filter((F.col("op") == "f") & F.col("file").rlike(guard)), "protected_path", F.col("file")).distinct()
-    out = out.union(told(rows.filter(F.col("op").isNull() & F.col("raw").startswith("Binary files")), "binary", F.lit("")).distinct())
     named = r"^\+\s*(import|from)\s+(" + "|".join(i.replace(".", r"\.") for i in banned_imports) + r")\b"
-    out = out.union(told(rows.filter((F.col("op") == "+") & F.col("raw").rlike(named)), "import", F.col("raw")))
-    out = out.union(told(stats.filter(F.col("files") > max_files), "file_count", F.col("files")))
-    out = out.union(told(stats.filter(F.col("added") > max_added), "size", F.col("added")))
+    told = lambda df, rule, detail: df.select("id", F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
+    op, raw, file = F.col("op"), F.col("raw"), F.col("file")
+    said = diff_lines(patches).groupBy("id").agg(
+        F.collect_set(F.when((op == "f") & file.rlike(guard), file)).alias("protected_path"),
+        F.bool_or(op.isNull() & raw.startswith("Binary files")).alias("binary"),
+        F.collect_list(F.when((op == "+") & raw.rlike(named), raw)).alias("import"),
+        F.size(F.collect_set(F.when(op == "f", file))).alias("files"),
+        F.count_if(op == "+").alias("added"),
+    )
+    rule = lambda name, details: F.transform(details, lambda x: F.struct(F.lit(name).alias("rule"), x.cast("string").alias("detail")))
+    one = lambda cond, detail: F.array_compact(F.array(F.when(cond, detail.cast("string"))))
+    every = [
+        rule("protected_path", F.col("protected_path")),
+        rule("binary", one(F.col("binary"), F.lit(""))),
+        rule("import", F.col("import")),
+        rule("file_count", one(F.col("files") > max_files, F.col("files"))),
+        rule("size", one(F.col("added") > max_added, F.col("added"))),
+    ]
+    out = said.select("id", F.explode(F.concat(*every)).alias("v")).select("id", "v.*")
+    given = []
     if radius is not None:
-        out = out.union(told(radius.join(patches.select("id"), "id", "left_semi").filter(F.col("score") > max_radius), "blast_radius", F.col("score")))
+        given.append(told(radius.filter(F.col("score") > max_radius), "blast_radius", F.col("score")))
     if levels is not None:
-        below = levels.join(patches.select("id"), "id", "left_semi").filter(F.col("level").isin(*LEVELS[LEVELS.index(least_level) + 1 :]))
-        out = out.union(told(below, "assurance_level", F.col("level")))
+        below = levels.filter(F.col("level").isin(*LEVELS[LEVELS.index(least_level) + 1 :]))
+        given.append(told(below, "assurance_level", F.col("level")))
+    if given:
+        beyond = given[0] if len(given) == 1 else given[0].union(given[1])
+        out = out.union(beyond.join(patches.select("id"), "id", "left_semi"))
     return out
 
 
