@@ -248,8 +248,8 @@ def verdicts(records: DataFrame, clauses: list[tuple[str, str, str]], mode: str
     rows = records.select("seq", "case_id", F.explode(F.array(*parts)).alias("v")).select("seq", "case_id", "v.*")
     failed = F.col("ok") == F.lit(False)
     if mode == "first":
-        first = Window.partitionBy("clause_id", "clause_scope")
-        rows = rows.withColumn("_f", F.min(F.when(failed, F.col("seq"))).over(first)).filter("_f is null or seq <= _f")
+        first = rows.filter(failed).groupBy("clause_id", "clause_scope").agg(F.min("seq").alias("_f"))  # a row a clause
+        rows = rows.join(F.broadcast(first), ["clause_id", "clause_scope"], "left").filter("_f is null or seq <= _f")
     out = rows.groupBy("clause_id", F.col("clause_scope").alias("scope")).agg(
         F.count_if(F.col("ok").isNotNull()).alias("applicable"),
         F.count_if("ok").alias("passed"),
