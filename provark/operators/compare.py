@@ -92,16 +92,20 @@ def root_cause(claims: DataFrame, frames: DataFrame, sizes: DataFrame, band: int
     where symbols (file, uid, name, start_line, end_line, seq) and scopes (scope) are given, the innermost symbol around
     it ran: a scope is its uid, or ends with a colon and its name. Beyond the last line and at null lines nothing is.
 
-    A band join: file and the line's bucket of `band` are hash keys, each claim against three buckets."""
-    f = frames.select("file", F.col("line").alias("_at"), F.floor(F.col("line") / band).alias("_b"))
-    c = claims.withColumn("_b", F.explode(F.array(*[F.floor(F.col("line") / band) + d for d in (-1, 0, 1)])))
-    on_path = c.join(f, ["file", "_b"]).filter(F.abs(F.col("line") - F.col("_at")) <= band).select("id")
+    A band join of which claims are dealt out once: a bucket is as wide as the band, so a frame of a claim's own bucket is
+    near, and of the buckets beside it only the nearest frame matters. Each claim is judged by itself."""
+    d, line = F.col("_d"), F.col("line")
+    at = frames.select("file", line.alias("_at"), F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("_d")).withColumn("_b", F.floor(F.col("_at") / band) + d)
+    near = at.groupBy("file", "_b").agg(F.bool_or(d == 0).alias("_own"), F.max(F.when(d == 1, F.col("_at"))).alias("_before"), F.min(F.when(d == -1, F.col("_at"))).alias("_behind"))
+    rows = claims.select("id", "file", "line").withColumn("_b", F.floor(line / band)).join(near, ["file", "_b"], "left")
+    either = lambda *cs: F.greatest(*[F.coalesce(c, F.lit(False)) for c in cs])
+    rows = rows.select("id", "file", "line", either(F.col("_own"), line - F.col("_before") <= band, F.col("_behind") - line <= band).alias("_ran"))
     if symbols is not None and scopes is not None:
-        owned = innermost(claims.select("id", "file", "line"), symbols).join(symbols.select(F.col("uid").alias("owner"), "name"), "owner")
         ended = scopes.filter(F.contains("scope", F.lit(":"))).select(F.substring_index("scope", ":", -1).alias("name"))
-        on_path = on_path.union(owned.join(scopes.select(F.col("scope").alias("owner")), "owner", "left_semi").select("id")).union(owned.join(ended, "name", "left_semi").select("id"))
-    ran = on_path.distinct().withColumn("_ran", F.lit(True))
-    known = claims.join(sizes.select("file", "lines"), "file", "left").join(ran, "id", "left")
+        ran = symbols.join(scopes.select(F.col("scope").alias("uid")), "uid", "left_semi").select("uid").union(symbols.join(ended, "name", "left_semi").select("uid")).distinct()
+        told = symbols.join(ran.withColumn("_in", F.lit(True)), "uid", "left").withColumn("uid", F.coalesce("_in", F.lit(False)))  # what is asked of the innermost one
+        rows = innermost(rows, told).withColumn("_ran", either(F.col("_ran"), F.col("owner")))
+    known = rows.join(sizes.select("file", "lines"), "file", "left")
     return known.select("id", "file", "line", F.coalesce((F.col("line") >= 1) & (F.col("line") <= F.col("lines")) & F.col("_ran"), F.lit(False)).alias("verified"))
 
 
