@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provark.sources.readers import ports
+from provark.sources.taint import again
 
 #: Fixed value: larger files are data, not configuration.
 MOST_BYTES = 400_000
@@ -60,6 +61,7 @@ def config_role(path: Column) -> Column:
     return role.when(path.rlike("(?i)" + SUFFIXES) & ~inner & (named | shallow), "generic")
 
 
+@again
 def _plain(raw: str) -> str:
     text = raw.strip().rstrip(",").strip()
     if len(text) > 1 and text[0] in "\"'" and text[0] in text[1:]:
@@ -67,14 +69,24 @@ def _plain(raw: str) -> str:
     return re.split(r"\s+[#;]", text, maxsplit=1)[0].strip()
 
 
+@again
+def _keyed(line: str) -> tuple[int, str, str | None, str]:
+    """Indent, dashes, key and value of a line of YAML."""
+    m = _KEYED.match(line)
+    return len(m[1]), m[2], m[4], m[5]
+
+
+_KEYED = re.compile(r"^(\s*)((?:-\s+)*)(?:([\"']?)([\w.\-/$@ ]+?)\3\s*:(?=\s|$)\s*)?(.*)$")
+
+
 def _indented(lines: list[str]) -> Iterator[tuple[int, list[str], str]]:
     """Keys by indentation; an item of a list belongs to the key above it."""
     open_: list[tuple[int, str]] = []
     for n, line in enumerate(lines, 1):
-        m = re.match(r"^(\s*)((?:-\s+)*)(?:([\"']?)([\w.\-/$@ ]+?)\3\s*:(?=\s|$)\s*)?(.*)$", line)
-        indent, dashes, key, value = len(m[1]), m[2], m[4], m[5]
-        if not line.strip() or line.strip().startswith("#"):
+        bare = line.strip()
+        if not bare or bare.startswith("#"):
             continue
+        indent, dashes, key, value = _keyed(line)
         at = indent + len(dashes)
         # an item may stand right under its key
         open_ = [o for o in open_ if o[0] < indent or (dashes and o[0] == indent)]
