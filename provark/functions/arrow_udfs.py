@@ -63,12 +63,12 @@ def hmac_verify(key: bytes):
     return lambda text, signature: F.coalesce(hmac_sha256(key)(text) == (F.col(signature) if isinstance(signature, str) else signature), F.lit(False))
 
 
-@F.pandas_udf(StringType())
-def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
-    """Diffs of texts, null as empty; a last line without an end is marked as such."""
+@F.udf(StringType(), useArrow=False)
+def unified_diff(before: str | None, after: str | None) -> str:
+    """Diffs of texts, null as empty; a last line without an end is marked as such. Whole texts go by the hundred, not by
+    batches of Arrow: a batch is counted in rows, so its bytes would follow the texts."""
     ended = lambda line: line if line.endswith("\n") else f"{line}\n{NO_END}\n"
-    one = lambda a, b: "".join(map(ended, difflib.unified_diff(_lines(a), _lines(b), "a", "b")))
-    return pd.Series([one(a, b) for a, b in zip(before, after)], dtype=object)
+    return "".join(map(ended, difflib.unified_diff(_lines(before), _lines(after), "a", "b")))
 
 
 NO_END = "\\ No newline at end of file"
@@ -116,17 +116,13 @@ def apply_patch(before: str, patch: str) -> str:
     return "".join(out + source[at:])
 
 
-@F.pandas_udf(StringType())
-def patched(before: pd.Series, patch: pd.Series) -> pd.Series:
-    """Texts after their diffs; null where a diff does not fit."""
-
-    def one(text, diff):
-        try:
-            return apply_patch(text or "", diff or "")
-        except ValueError:
-            return None
-
-    return pd.Series([one(a, b) for a, b in zip(before, patch)], dtype=object)
+@F.udf(StringType(), useArrow=False)
+def patched(before: str | None, patch: str | None) -> str | None:
+    """Texts after their diffs; null where a diff does not fit. Rows go as in unified_diff."""
+    try:
+        return apply_patch(before or "", patch or "")
+    except ValueError:
+        return None
 
 
 @F.pandas_udf(StringType())
