@@ -96,8 +96,7 @@ def order_routes(spark: SparkSession, d: str) -> DataFrame:
     )
     files = _gathered(_lines(spark, d), route)
     read = F.when(F.col("id") % 4 == 0, _text("request.args.get('q", F.col("id") % 3, "')\n")).otherwise("")
-    found = readers.http_routes(files.select(_text("s", F.col("id"), ".py").alias("path"), F.concat("text", read).alias("text")))
-    return found.select("method", "path", "params", F.size("files").cast("long").alias("files"))
+    return readers.route_counts(files.select(_text("s", F.col("id"), ".py").alias("path"), F.concat("text", read).alias("text")))
 
 
 @query("""SELECT *, row_number() OVER (ORDER BY file, line, rule) - 1 AS at FROM (SELECT DISTINCT 'src/f' || l_partkey % 97 || '.py' AS file, l_orderkey % 500 AS line, 'r' || l_suppkey % 13 AS rule FROM lineitem)""")

@@ -131,27 +131,44 @@ def http_routes(files: DataFrame) -> DataFrame:
     and app.get(...) calls by method, @app.route with its methods (GET without), comparisons with a pathname (GET),
     and file paths: Next.js `app/**/route.*` by the methods that it exports, `pages/api/**` for any method (ANY).
     params: placeholders of the path, and query parameters that the file reads."""
-    shapes = [r"""@\w+\.(get|post|put|delete|patch)\(\s*["']([^"']+)""", r"""\b(?:app|router)\.(get|post|put|delete|patch)\(\s*["'`]([^"'`]+)"""]
-    every = None
-    for s in shapes:
-        both = F.arrays_zip(F.regexp_extract_all("text", F.lit(s), F.lit(1)).alias("m"), F.regexp_extract_all("text", F.lit(s), F.lit(2)).alias("p"))
-        rows = files.select(F.col("path").alias("file"), F.explode(both).alias("r")).select("file", F.upper("r.m").alias("method"), F.col("r.p").alias("path"))
-        every = rows if every is None else every.union(rows)
+    known = _route_rows(files)
+    return known.groupBy("method", "path").agg(_route_params(), F.array_sort(F.collect_set("file")).alias("files"))
+
+
+def route_counts(files: DataFrame) -> DataFrame:
+    """method, path, params, files: the routes of http_routes with the number of their files, a row of files being one
+    file: a route that thousands of files have is counted where they are, and no row gathers their names."""
+    return _route_rows(files).groupBy("method", "path").agg(_route_params(), F.count("*").alias("files"))
+
+
+def _route_params() -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set("_p")))).alias("params")
+
+
+def _route_rows(files: DataFrame) -> DataFrame:
+    """file, method, path, _p: the distinct routes of each file (path, text; a row a file), all families in one read."""
     found = lambda pattern, i: F.regexp_extract_all("text", F.lit(pattern), F.lit(i))
-    route = r"""@\w+\.route\(\s*["']([^"']+)["']([^)]*)\)"""
-    flask = files.select(F.col("path").alias("file"), F.explode(F.arrays_zip(found(route, 1).alias("p"), found(route, 2).alias("o"))).alias("r"))
-    named = F.regexp_extract_all("r.o", F.lit(r"""["'](GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)["']"""), F.lit(1))
-    every = every.union(flask.select("file", F.explode(F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("GET")))).alias("method"), F.col("r.p").alias("path")))
-    every = every.union(files.select(F.col("path").alias("file"), F.lit("GET").alias("method"), F.explode(found(r"""pathname\s*===?\s*["']([^"']+)["']""", 1)).alias("path")))
+    route = lambda method, path: F.struct(method.alias("method"), path.alias("path"))
+    none = F.array().cast("array<struct<method:string,path:string>>")
+    shapes = [r"""@\w+\.(get|post|put|delete|patch)\(\s*["']([^"']+)""", r"""\b(?:app|router)\.(get|post|put|delete|patch)\(\s*["'`]([^"'`]+)"""]
+    every = [F.zip_with(found(s, 1), found(s, 2), lambda m, p: route(F.upper(m), p)) for s in shapes]
+    flask = r"""@\w+\.route\(\s*["']([^"']+)["']([^)]*)\)"""
+    named = lambda o: F.regexp_extract_all(o, F.lit(r"""["'](GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)["']"""), F.lit(1))
+    told = lambda o: F.when(F.size(named(o)) > 0, named(o)).otherwise(F.array(F.lit("GET")))
+    every.append(F.flatten(F.zip_with(found(flask, 1), found(flask, 2), lambda p, o: F.transform(told(o), lambda m: route(m, p)))))
+    every.append(F.transform(found(r"""pathname\s*===?\s*["']([^"']+)["']""", 1), lambda p: route(F.lit("GET"), p)))
     below = lambda pattern: F.regexp_replace(F.concat(F.lit("/"), F.regexp_extract("path", pattern, 1)), r"/$", "")
     app, api = r"(?:^|/)app/(.*?)/?route\.[jt]sx?$", r"(?:^|/)pages/(api/.*?)(?:/index)?\.[jt]sx?$"
     exported = found(r"export\s+(?:async\s+)?(?:function|const)\s+(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b", 1)
-    every = every.union(files.filter(F.col("path").rlike(app)).select(F.col("path").alias("file"), F.explode(exported).alias("method"), F.when(below(app) == "", "/").otherwise(below(app)).alias("path")))
-    every = every.union(files.filter(F.col("path").rlike(api)).select(F.col("path").alias("file"), F.lit("ANY").alias("method"), below(api).alias("path")))
-    reads = files.select(F.col("path").alias("file"), F.concat(found(r"""(?:request\.args\.get|searchParams\.get|query\.get)\(\s*["'](\w+)""", 1), found(r"req\.query\.(\w+)", 1)).alias("_q"))
+    every.append(F.when(F.col("path").rlike(app), F.transform(exported, lambda m: route(m, F.when(below(app) == "", "/").otherwise(below(app))))))
+    every.append(F.when(F.col("path").rlike(api), F.array(route(F.lit("ANY"), below(api)))))
+    routes = F.array_distinct(F.concat(*[F.coalesce(e, none) for e in every]))
+    reads = F.concat(found(r"""(?:request\.args\.get|searchParams\.get|query\.get)\(\s*["'](\w+)""", 1), found(r"req\.query\.(\w+)", 1))
+    # outer: else the array is made once more to look whether it is empty; an empty one falls with the filter
+    rows = files.select(F.col("path").alias("file"), reads.alias("_q"), F.explode_outer(routes).alias("r")).select("file", "_q", "r.*")
     params = F.regexp_extract_all("path", F.lit(r"[{:<\[](?:\w+:)?(\w+)[}>\]]?"), F.lit(1))
-    known = every.distinct().filter(F.col("path").startswith("/")).join(reads, "file", "left")
-    return known.withColumn("_p", F.concat(params, F.coalesce("_q", F.array().cast("array<string>")))).groupBy("method", "path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_p")))).alias("params"), F.array_sort(F.collect_set("file")).alias("files"))
+    own = rows.filter(F.col("path").startswith("/"))
+    return own.select("file", "method", "path", F.concat(params, F.coalesce("_q", F.array().cast("array<string>"))).alias("_p"))
 
 
 def edge_pattern(nodes: DataFrame, edges: DataFrame, kind: str, source_kind: str | None = None, target_kind: str | None = None) -> DataFrame:
