@@ -7,7 +7,7 @@ import ast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provark.plans.storage import numbered
+from provark.plans.storage import numbered, stored
 
 METRICS = "seq long, scope string, case_id string, kind string, metric string, v_type string, v_num double, v_str string, v_bool boolean"
 
@@ -236,16 +236,25 @@ def verdicts(records: DataFrame, clauses: list[tuple[str, str, str]], mode: str
     (seq, scope, case_id, metrics map<string,double> and, where there are any, texts map<string,string> and flags
     map<string,boolean>). clauses: (clause_id, scope, predicate).
 
+    A record meets the clauses of the scopes that match it, not all of them.
+
     mode full counts everything; mode first stops at the first failure: passes before it, at most 1 failure.
     Never applicable: UNSUPPORTED, which is not false. No clauses: an empty table."""
     if not clauses:
         return records.sparkSession.createDataFrame([], "clause_id string, scope string, applicable long, passed long, failed long, counterexample string, status string")
-    parts = []
+    own: dict[str, list[Column]] = {}
+    taken: dict[tuple[str, str], str] = {}  # a metric that many clauses name is looked up once a record
     for clause_id, scope, text in clauses:
         predicate = Predicate(text)
-        value = predicate.column({m: _metric(records, m, predicate.type_of(m)) for m in predicate.metrics})
-        parts.append(F.struct(F.lit(clause_id).alias("clause_id"), F.lit(scope).alias("clause_scope"), F.when(scope_matches(F.lit(scope), F.col("scope")), value).alias("ok")))
-    rows = records.select("seq", "case_id", F.explode(F.array(*parts)).alias("v")).select("seq", "case_id", "v.*")
+        value = predicate.column({m: F.col(taken.setdefault((m, predicate.type_of(m)), f"_m{len(taken)}")) for m in predicate.metrics})
+        own.setdefault(scope, []).append(F.struct(F.lit(clause_id).alias("clause_id"), F.lit(scope).alias("clause_scope"), value.alias("ok")))
+    none = F.array().cast("array<struct<clause_id: string, clause_scope: string, ok: boolean>>")
+    met = [F.when(scope_matches(F.lit(scope), F.col("scope")), F.array(*parts)).otherwise(none) for scope, parts in own.items()]
+    every = F.array(*[F.struct(F.lit(c).alias("clause_id"), F.lit(s).alias("clause_scope"), F.lit(None).cast("boolean").alias("ok")) for c, s, _ in clauses])
+    first_row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # of a partition: it has every clause, so that those of no scope are seen
+    flat = records.select("seq", "scope", "case_id", *[_metric(records, m, t).alias(name) for (m, t), name in taken.items()])
+    rows = flat.select("seq", "case_id", F.concat(*met, F.when(first_row, every).otherwise(none)).alias("v"))
+    rows = rows.select("seq", "case_id", F.explode("v").alias("v")).select("seq", "case_id", "v.*")
     failed = F.col("ok") == F.lit(False)
     if mode == "first":
         first = rows.filter(failed).groupBy("clause_id", "clause_scope").agg(F.min("seq").alias("_f"))  # a row a clause
@@ -280,8 +289,9 @@ def in_radius(clauses: DataFrame, touched: DataFrame) -> DataFrame:
 
 def falsify(base: DataFrame, records: DataFrame, metrics: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """Profiles and last verdicts after at most `rounds` of proposing, checking on records and widening by
-    the metrics of falsified clauses. Only clause texts, at most 200, reach the driver."""
-    current, last = base, None
+    the metrics of falsified clauses. Only clause texts, at most 200, reach the driver. Profiles, a row a scope and
+    metric, are stored a round, so that metrics are read once for each."""
+    current, last = stored(base, "profiles"), None
     for _ in range(rounds):
         texts = [(f"{r.scope}/{r.metric}", r.scope, r.predicate) for r in propose(current).collect()]
         if not texts:
@@ -291,5 +301,5 @@ def falsify(base: DataFrame, records: DataFrame, metrics: DataFrame, rounds: int
         if not broken:
             break
         key = F.concat_ws("/", "scope", "metric")
-        current = widen(current, metrics.filter(key.isin(*broken)))
+        current = stored(widen(current, metrics.filter(key.isin(*broken))), "profiles")
     return current, last

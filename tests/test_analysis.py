@@ -452,3 +452,17 @@ def test_routes_are_read_once_and_counted(spark):
     got = {(r.method, r.path): (r.params, r.files) for r in readers.http_routes(files).collect()}
     assert got == {("GET", "/x/{id}"): (["id", "q"], ["a.py", "b.py"]), ("GET", "/y"): (["q"], ["a.py", "b.py"]), ("POST", "/y"): (["q"], ["a.py"]), ("ANY", "/api/u"): ([], ["pages/api/u.ts"]), ("GET", "/"): ([], ["web/app/route.ts"])}
     assert {(r.method, r.path): (r.params, r.files) for r in readers.route_counts(files).collect()} == {k: (p, len(f)) for k, (p, f) in got.items()}
+
+
+def test_typed_records_are_rows_of_the_log_and_meet_their_scopes_clauses_only(spark, tmp_path):
+    """A repeated event is two records, as in SQL; nothing is grouped, and a record makes a row a clause of its scope."""
+    from provark.plans import analysis_queries
+
+    rows = [(1, "click", 2.0, '{"k": 3}'), (1, "click", 2.0, '{"k": 3}'), (6, "view", None, "{}")]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double, props string").selectExpr("*", "1L as user_id", "timestamp'2024-01-01' as ts").write.parquet(f"{tmp_path}/events.parquet")
+    records = analysis_queries.typed_records(spark, str(tmp_path))
+    assert "Exchange" not in records._jdf.queryExecution().executedPlan().toString()
+    clauses = [("a", "click", "k <= 2"), ("b", "*", "tag == 't1'"), ("c", "", "big == True"), ("d", "none", "k > 0")]
+    got = {r.clause_id: (r.applicable, r.passed, r.failed, r.status, r.counterexample) for r in contract.verdicts(records, clauses).collect()}
+    assert got == {"a": (2, 0, 2, "FALSIFIED", "c1"), "b": (3, 3, 0, "SURVIVING", None), "c": (2, 2, 0, "SURVIVING", None), "d": (0, 0, 0, "UNSUPPORTED", None)}
+    assert contract.verdicts(records.limit(0), clauses).count() == 0
