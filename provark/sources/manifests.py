@@ -17,8 +17,14 @@ _REQUIREMENT = r"^\s*([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)\s*(?:\[[^\]]*\
 _STRINGS = r"""(?:[^\]"'#]|#[^\n]*|"[^"]*"|'[^']*')*"""
 
 
+def _once(value: Column, build: Callable[[Column], Column]) -> Column:
+    """What `build` makes of a value that it names more than once: a column named twice is worked out twice."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def _dep(name: Column, version: Column, dev: Column) -> Column:
-    return F.struct(name.alias("name"), F.nullif(F.trim(version), F.lit("")).alias("version"), dev.alias("dev"))
+    given = _once(F.trim(version), lambda v: F.nullif(v, F.lit("")))
+    return F.struct(name.alias("name"), given.alias("version"), dev.alias("dev"))
 
 
 def _all(text: Column, pattern: str, build: Callable[[Column], Column]) -> Column:
@@ -28,13 +34,13 @@ def _all(text: Column, pattern: str, build: Callable[[Column], Column]) -> Colum
 
 def _version(spec: Column) -> Column:
     """The first version number of a specifier; a direct reference has none."""
-    return F.when(~F.ltrim(spec).startswith("@"), F.regexp_extract(spec, r"([0-9][^\s,;)#]*)", 1))
+    return _once(spec, lambda x: F.when(~F.ltrim(x).startswith("@"), F.regexp_extract(x, r"([0-9][^\s,;)#]*)", 1)))
 
 
 def _json(maps: dict[str, bool]) -> Callable[[Column], Column]:
     def read(text: Column) -> Column:
         found = F.from_json(text, ", ".join(f"`{m}` map<string, string>" for m in maps))
-        return F.concat(*[_entries(found[m], dev) for m, dev in maps.items()])
+        return _once(found, lambda j: F.concat(*[_entries(j[m], dev) for m, dev in maps.items()]))
 
     return read
 
@@ -46,7 +52,7 @@ def _entries(own: Column, dev: bool) -> Column:
 
 def _requirement(line: Column, dev: Column) -> Column:
     own = F.regexp_replace(line, ";.*$", "")  # a marker says where, not what
-    return _dep(F.regexp_extract(own, _REQUIREMENT, 1), _version(F.regexp_extract(own, _REQUIREMENT, 2)), dev)
+    return _once(own, lambda x: _dep(F.regexp_extract(x, _REQUIREMENT, 1), _version(F.regexp_extract(x, _REQUIREMENT, 2)), dev))
 
 
 def _requirements(text: Column) -> Column:
@@ -70,8 +76,8 @@ def _pairs(body: Column, dev: Column, but: str = "") -> Column:
     given = F.filter(F.regexp_extract_all(body, F.lit("(?m)" + line), F.lit(0)), lambda x: ~F.trim(x).startswith("#"))
     value = lambda x: F.regexp_extract(x, line, 2)
     version = lambda v: F.when(v.startswith("{"), F.regexp_extract(v, r"""\bversion\s*=\s*["']([^"']*)["']""", 1)).otherwise(F.regexp_extract(v, r"""^["']([^"']*)["']""", 1))
-    named = F.transform(given, lambda x: F.struct(F.trim(x).alias("x")))
-    found = F.transform(named, lambda s: _dep(F.regexp_extract(s["x"], line, 1), version(value(s["x"])), dev))
+    named = F.transform(given, lambda x: F.trim(x))
+    found = F.transform(named, lambda x: _dep(F.regexp_extract(x, line, 1), _once(value(x), version), dev))
     # a dotted name is a key of another one's table: only its version says something
     found = F.transform(found, lambda d: F.struct(F.regexp_replace(d["name"], r"\.version$", "").alias("name"), d["version"].alias("version"), d["dev"].alias("dev")))
     return F.filter(found, lambda d: ~d["name"].contains(".") & (d["name"] != but))
@@ -122,11 +128,11 @@ def _pipfile(text: Column) -> Column:
 
 
 def _go(text: Column) -> Column:
-    plain = F.regexp_replace(text, r"(?m)//.*$", "")
-    blocks = F.array_join(F.regexp_extract_all(plain, F.lit(r"(?ms)^\s*require\s*\((.*?)^\s*\)"), F.lit(1)), "\n")
-    alone = F.array_join(F.regexp_extract_all(plain, F.lit(r"(?m)^\s*require\s+([^\s(]\S*\s+v\S+)"), F.lit(1)), "\n")
+    blocks = lambda plain: F.array_join(F.regexp_extract_all(plain, F.lit(r"(?ms)^\s*require\s*\((.*?)^\s*\)"), F.lit(1)), "\n")
+    alone = lambda plain: F.array_join(F.regexp_extract_all(plain, F.lit(r"(?m)^\s*require\s+([^\s(]\S*\s+v\S+)"), F.lit(1)), "\n")
     line = r"(?m)^\s*(\S+)\s+(v\S+)"
-    return _all(F.concat_ws("\n", alone, blocks), line, lambda x: _dep(F.regexp_extract(x, line, 1), F.regexp_extract(x, line, 2), F.lit(False)))
+    given = _once(F.regexp_replace(text, r"(?m)//.*$", ""), lambda plain: F.concat_ws("\n", alone(plain), blocks(plain)))
+    return _all(given, line, lambda x: _dep(F.regexp_extract(x, line, 1), F.regexp_extract(x, line, 2), F.lit(False)))
 
 
 def _gem(text: Column) -> Column:
@@ -178,12 +184,15 @@ def declared(files: DataFrame) -> DataFrame:
 
     version is null where none is given; a requirement has the number only, other formats the text as it stands. A file
     that does not parse has none, nor has a null text. Every file is read by the one format of its name, in one scan."""
-    name, text = F.regexp_extract("path", r"([^/]+)$", 1), F.coalesce("text", F.lit(""))
-    read, kind = F.when(F.lit(False), F.array().cast(_DEP)), F.when(F.lit(False), "")
-    for pattern, ecosystem, reader in FORMATS:
-        read, kind = read.when(name.rlike(pattern), reader(text).cast(_DEP)), kind.when(name.rlike(pattern), ecosystem)
-    known = "|".join(f"(?:{p})" for p, _, _ in FORMATS)
-    rows = files.filter(name.rlike(known)).select(kind.alias("ecosystem"), "path", F.posexplode(read).alias("at", "d"))
+    name, at = F.substring_index("path", "/", -1), F.lit(None).cast("int")
+    for i, (pattern, _, _) in reversed([*enumerate(FORMATS)]):
+        at = F.when(name.rlike(pattern), i).otherwise(at)
+    text, read = F.coalesce("text", F.lit("")), F.when(F.lit(False), F.array().cast(_DEP))
+    for i, (_, _, reader) in enumerate(FORMATS):
+        read = read.when(F.col("_format") == i, reader(text).cast(_DEP))
+    known = files.select("path", "text", at.alias("_format"))  # once a file, not a dependency
+    rows = known.select("_format", "path", F.posexplode(read).alias("at", "d"))  # of no format: null, so no row
+    rows = rows.withColumn("ecosystem", F.get(F.array(*[F.lit(e) for _, e, _ in FORMATS]), F.col("_format")))
     return rows.select("ecosystem", "path", "at", "d.*").filter("name <> ''")
 
 

@@ -137,3 +137,17 @@ def test_ports(spark, text, found):
     df = spark.createDataFrame([(text,)], "t string")
     assert (df.select(readers.ports(F.col("t"))).head()[0] or []) == found
     assert all(1 <= p <= 65535 for p in found) and (text is None or all(re.search(str(p), text) for p in found))
+
+
+def test_a_manifest_is_named_and_parsed_once(spark, tmp_path):
+    """A format is told once a file and a text parsed once, not for each dependency, map or group; repeated items count once."""
+    from provark.plans import source_queries
+
+    plan = manifests.declared(spark.createDataFrame([("a/package.json", "{}")], "path string, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2 and plan.count("^go\\.mod$") == 1
+    rows = [(k, n, 7, 5) for k in (4, 5, 6, 7) for n in (1, 2, 2, 3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = source_queries.manifest_files(spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    got = sorted(tuple(r) for r in found.select("ecosystem", "file", "name", "version", "dev", "times").collect())
+    assert got == [("crates", 5, "p7", "1.5", True, 3), ("go", 6, "x.io/p7", "v1.5.0", False, 3), ("npm", 7, "p7", "^1.5", True, 3), ("pypi", 4, "p7", "1.5", True, 3)]
