@@ -101,6 +101,21 @@ def test_innermost_of_one_large_file(spark):
     assert graph.innermost(points, spans).filter("owner = cast(line as string)").count() == n
 
 
+def test_innermost_span_is_few_ranges_and_a_block_a_short_row(spark):
+    """A span of a million places is two ranges a group of levels; more ranges than a block has parts become a best one a part."""
+    as_spans = "file string, uid string, start_line long, end_line long, seq long"
+    inner = lambda rows: spark.createDataFrame(rows, as_spans).selectExpr("file", "uid as owner", "start_line as _start", "end_line as _end", "seq as _seq")
+    cut = graph._pieces(inner([("a", "u", 5, 5 + 2**20, 1)]), ["file"]).select("_group", F.size("_in").alias("n")).collect()
+    assert sum(r.n for r in cut) <= 5
+    rnd = random.Random(4)
+    spans = [("a", f"u{i}", (a := rnd.randrange(256, 380)), rnd.randrange(a, 384), i) for i in range(900)] + [("a", "far", -(2**40), 2**40, 900), ("a", "one", 2**33, 2**33, 901)]
+    rows = graph._pieces(inner(spans), ["file"])
+    assert rows.agg(F.max(F.size("_in"))).head()[0] <= 128 < len({s[2:4] for s in spans})
+    points = [("a", n) for n in [*range(250, 390), -(2**40) - 1, -(2**40), 2**40, 2**40 + 1, 2**33]]
+    got = {r.line: r.owner for r in graph.innermost(spark.createDataFrame(points, "file string, line long"), spark.createDataFrame(spans, as_spans)).collect()}
+    assert got == {n: max([(a, -q, u) for _, u, a, b, q in spans if a <= n <= b], default=(None,) * 3)[2] for _, n in points}
+
+
 def brute_paths(steps, roots, most):
     out = {}
     for r in roots:
