@@ -8,6 +8,7 @@ from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -64,16 +65,21 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
 
 
 class Prefixes:
-    """Keys such that any two sets with num-hundredths Jaccard similarity share one: prefix tokens by size class.
+    """Keys such that any two sets with num-hundredths Jaccard similarity share one: prefixes of a set's parts by size class.
 
     Size classes grow by the threshold, so a partner's class is the same or a neighbour; a set signs for its
-    own class and the next. Linked sets have at least num / den of either's tokens in common, so in any order
-    of all tokens their prefixes of size - that + 1 tokens meet. The order puts frequent tokens last: first
-    the level of a token's counter, then its hash. A wrong level costs time, never a pair."""
+    own class and the next. Linked sets of a class differ in at most h tokens. The space of tokens is cut into
+    1.5 h + 1 ranges, of which all but h hold the same tokens in both, so in any order of all (range, tokens in it) the
+    prefixes of h + 1 ranges meet. A key stands for all tokens of a range, about six at 90 and two at 80 hundredths:
+    texts that share a word or a passage seldom share one, however many texts there are. The order puts ranges of few or
+    frequent tokens last: a token counts by how far its counter's level is below the highest. A wrong level costs time,
+    never a pair."""
 
     def __init__(self, num: int, levels: np.ndarray, den: int = 100):
         self.num, self.den, self.levels = num, den, levels
+        self.above = int(levels.max()) + 1
         self.tops = [0, 1]
+        self.cuts: dict[int, tuple[int, np.ndarray]] = {}
 
     def group(self, size: int) -> int:
         """The class of a size: the first whose top reaches it."""
@@ -82,23 +88,40 @@ class Prefixes:
             self.tops.append(max(low, low * self.den // self.num))
         return int(np.searchsorted(self.tops, size))
 
+    def cut(self, group: int) -> tuple[int, np.ndarray]:
+        """By how many tokens linked sets of a class differ at most, and where its ranges but the first begin."""
+        if group not in self.cuts:
+            while len(self.tops) <= group:
+                self.group(self.tops[-1] + 1)
+            h = 2 * self.tops[group] * (self.den - self.num) // (self.den + self.num)
+            n = h + h // 2 + 1
+            self.cuts[group] = h, np.array([(i << 64) // n for i in range(1, n)], np.uint64)
+        return self.cuts[group]
+
     def of(self, tokens: np.ndarray) -> np.ndarray:
         """Keys of a set given as ascending tokens."""
-        size = len(tokens)
-        own = self.group(size)
-        level = self.levels[tokens & np.uint64(len(self.levels) - 1)]
-        first = np.argsort(level, kind="stable")[: size - -(-self.num * size // self.den) + 1]
-        groups = mix(np.array([own, own + 1], np.uint64))
-        return mix(tokens[first][:, None] ^ groups[None, :]).reshape(-1)
-
-
-def token_levels(rows: DataFrame, k: int, counters: int = 1 << 24, pieces: int = 128) -> np.ndarray:
+        n = len(tokens)
+        own = self.group(n)
+        sums, common = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.int64)
+        np.cumsum(tokens, out=sums[1:])
+        np.cumsum(self.levels[tokens & np.uint64(len(self.levels) - 1)], out=common[1:])
+        folds = []
+        for group in (own, own + 1):
+            h, begins = self.cut(group)
+            at = np.zeros(len(begins) + 2, np.int64)
+            at[1:-1], at[-1] = np.searchsorted(tokens, begins), n
+            first = np.argsort(np.diff(common[at] - self.above * at), kind="stable")[: h + 1]
+            folds.append(np.diff(sums[at])[first] ^ mix(first.astype(np.uint64) << np.uint64(20) ^ np.uint64(group)))
+        return mix(np.concatenate(folds))
+
+
+def token_levels(rows: DataFrame, k: int, counters: int = 1 << 22, pieces: int = 128) -> np.ndarray:
     """Levels of frequency, one a counter, of all documents' distinct shingles (rows: doc_id, text, mark).
 
     Every shingle of every document is counted in one of `counters` cells (a power of two); tasks add up their own
     cells, then pieces of the cells are added up across tasks. A level is a twelfth of a doubling of the count, so a
     token of a low level is rare for certain. The size is fixed, whatever the corpus: a byte a cell to the
-    driver and to tasks; more cells tell rare tokens apart in a larger corpus."""
+    driver and to tasks. It is enough that words and passages of very many documents stand out."""
     spark = rows.sparkSession
     width = counters // pieces
 
@@ -271,7 +294,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     In a round every node takes its least neighbour below it as parent, parents' parents are taken until
     nothing moves, and edges are carried to the roots: what was joined is one node then, so rounds and jumps
-    are logarithmic. No node's neighbours are ever gathered; tables are stored at each step."""
+    are logarithmic. No node's neighbours are ever gathered; tables are stored at each step and deleted when read."""
     labels = None
     current = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), f"{name}-edges")
     while current.head(1):
@@ -281,17 +304,29 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             jump = step.alias("x").join(step.alias("y"), F.col("x.p") == F.col("y.v")).select(F.col("x.v").alias("v"), F.col("y.p").alias("p"), (F.col("x.p") != F.col("y.p")).alias("moved"))
             jumped = materialise(jump, f"{name}-step")
             if not jumped.filter("moved").head(1):
+                jumped.forget()
                 break
+            step.forget()
             step = jumped.select("v", "p")
+            step.forget = jumped.forget
         if labels is None:
-            labels = step.select(F.col("v").alias("node"), F.col("p").alias("root"))
+            new = step.select(F.col("v").alias("node"), F.col("p").alias("root"))
         else:
-            labels = materialise(labels.join(step, F.col("root") == F.col("v"), "left").select("node", F.coalesce("p", "root").alias("root")), f"{name}-labels")
+            new = materialise(labels.join(step, F.col("root") == F.col("v"), "left").select("node", F.coalesce("p", "root").alias("root")), f"{name}-labels")
         to = lambda end: step.select(F.col("v").alias(end), F.col("p").alias(f"p{end}"))  # noqa: E731, B023
         moved = current.join(to("a"), "a").join(to("b"), "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-        current = materialise(moved.filter("a < b").distinct(), f"{name}-edges")
+        before, current = current, materialise(moved.filter("a < b").distinct(), f"{name}-edges")
+        before.forget()
+        if labels is None:
+            new.forget = step.forget
+        else:
+            labels.forget(), step.forget()
+        labels = new
     if labels is None:
         labels = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        labels.forget = current.forget
+    else:
+        current.forget()
     return labels
 
 
@@ -344,8 +379,9 @@ def linked_labels(texts: DataFrame, search, keys) -> DataFrame:
     those blocks only in which another label holds one of their prefix keys: linked sets share a key, so no link between
     different labels is left out, and no task holds more than two blocks."""
     edges = "a long, b long"
+    tasks = partitions(texts.sparkSession)  # searches take longer than their bytes tell, so small ones are not put together
     blocks = texts.withColumn("sub", _block(F.col("n"), 0))
-    found = materialise(blocks.withColumn("label", F.col("node")).groupBy("root", "sub").applyInArrow(search, edges), "ngram-links")
+    found = materialise(blocks.withColumn("label", F.col("node")).repartition(tasks, "root", "sub").groupBy("root", "sub").applyInArrow(search, edges), "ngram-links")
     labels = texts.select("node", "root", F.col("node").alias("label")).join(found, F.col("label") == F.col("a"), "left").select("node", "root", F.coalesce("b", "label").alias("label"))
     if not texts.filter("n > per").head(1):
         return labels.select("node", "label")
@@ -360,7 +396,7 @@ def linked_labels(texts: DataFrame, search, keys) -> DataFrame:
             break
         asked = lookup(leaders, many, "root", "m").filter("m is not null")
         asked = large.select("node", "per", "text").join(asked, "node").withColumn("part", _block(F.col("m"), turn)).withColumn("label", F.col("node")).drop("per")
-        found = materialise(asked.groupBy("root", "part").applyInArrow(search, edges), "ngram-links")
+        found = materialise(asked.repartition(tasks, "root", "part").groupBy("root", "part").applyInArrow(search, edges), "ngram-links")
         whole = not large.select("root", "per").distinct().join(many, "root").filter("m > per").head(1)
         labels = materialise(_follow(labels, found), "ngram-labels")
         if whole or found.count() * 10 < total:
@@ -373,12 +409,14 @@ def linked_labels(texts: DataFrame, search, keys) -> DataFrame:
         signed = materialise(signed, "ngram-keys")
         mixed = signed.groupBy("root", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
         live = materialise(signed.join(mixed, ["root", "key"], "left_semi"), "ngram-mixed")
+        signed.forget()
         salt = F.pmod(F.xxhash64("node"), F.lit(16)).cast("int")
         asks = live.filter("label != most").select("root", "key", "node", "label", salt.alias("salt"))
         held = live.groupBy("root", "key", "sub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
         pairs = asks.join(held, ["root", "key", "salt"]).filter("label != lo or label != hi").select("root", "node", "sub").distinct()
         pairs = materialise(pairs, "ngram-pairs")
+        live.forget()
         asked = pairs.groupBy("root", "sub").agg(F.count("*").alias("asked"))
         sized = large.select("root", "sub", "per").distinct().join(asked, ["root", "sub"])
         sized = materialise(sized.select("root", "sub", F.ceil(F.col("asked") / F.col("per")).alias("groups")), "ngram-groups")
@@ -387,28 +425,59 @@ def linked_labels(texts: DataFrame, search, keys) -> DataFrame:
         members = large.select("root", "sub", "node").join(sized, ["root", "sub"]).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
         rest = pairs.join(sized, ["root", "sub"]).withColumn("group", F.pmod(F.xxhash64("node", F.lit(-1)), F.col("groups")))
         both = members.select("root", "sub", "node", "group").union(rest.select("root", "sub", "node", "group")).join(content, "node").select(columns)
-        met = materialise(both.groupBy("root", "sub", "group").applyInArrow(search, edges), "ngram-links")
+        met = materialise(both.repartition(tasks, "root", "sub", "group").groupBy("root", "sub", "group").applyInArrow(search, edges), "ngram-links")
         joined = components(met, "ngram-last").select(F.col("node").alias("a"), F.col("root").alias("b"))
         labels = _follow(labels, joined)
     return small.select("node", "label").union(labels.select("node", "label"))
 
 
+def held_marks(marks: DataFrame, bits: int = 1 << 26, pieces: int = 64):
+    """A function of a column of longs: whether it may be among marks (one column). A bit a mark, of fixed number whatever
+    the corpus: more marks let more others pass, and lose none."""
+    spark = marks.sparkSession
+    mark, width = marks.columns[0], bits // pieces
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) & np.uint64(bits - 1)
+            for piece in np.unique(at // np.uint64(width)).tolist():
+                own = sets.setdefault(piece, np.zeros(width, bool))
+                own[(at[at // np.uint64(width) == piece] % np.uint64(width)).astype(np.int64)] = True
+        for piece, own in sets.items():
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], names=["piece", "cells"])
+
+    dealt = marks.repartition(min(pieces, partitions(spark)), F.floor(F.pmod(mark, F.lit(bits)) / width))
+    cells = np.zeros(bits // 8, np.uint8)
+    for r in dealt.mapInArrow(put, "piece int, cells binary").collect():  # at most `pieces` rows of fixed size
+        cells[r.piece * width // 8 : (r.piece + 1) * width // 8] |= np.frombuffer(bytes(r.cells), np.uint8)
+    shared = spark.sparkContext.broadcast(cells)
+
+    @F.pandas_udf("boolean")
+    def held(mark: pd.Series) -> pd.Series:
+        at = (mark.to_numpy(np.int64).view(np.uint64) & np.uint64(bits - 1)).astype(np.int64)
+        return pd.Series(shared.value[at >> 3] >> (7 - (at & 7)) & 1 == 1)
+
+    return held
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, block: int = 256, block_shingles: int = 1 << 20) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id.
 
     Documents link when 100 * common >= percent * all distinct shingles of both; component_id is the smallest id
     reachable by links. Within a task texts of the same words are one representative. Representatives' prefix keys,
     packed by hash bucket, meet once; those that share one form candidate components, which are closed under
-    linking. Only their representatives' texts are fetched, and each component is searched by `divide_skip`,
+    linking; in a component texts of the same words are one again. Only texts of components with different words are
+    fetched and shuffled, found by a fixed number of bits, and each such component is searched by `divide_skip`,
     in blocks of about `block` representatives, fewer where they hold over `block_shingles` (`linked_labels`), over the
-    words themselves: hashes of words only bring texts together.
+    words themselves: hashes of words only bring texts together. Tables are deleted when nothing reads them any more.
 
     Null text counts as empty; documents without words link with nothing. Rows with the same id count as one
     document with several texts. A null id sorts last. Empty tables give no rows; other columns are ignored."""
     spark = docs.sparkSession
     buckets = partitions(spark) * 2
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
-    pair = np.dtype([("key", "<u8"), ("node", "<u4")])
+    pair = np.dtype([("key", "<u4"), ("node", "<u4")])  # a bucket and half a key tell keys apart well enough to be candidates
     levels = spark.sparkContext.broadcast(token_levels(rows, k))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,26 +485,27 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         base = TaskContext.get().partitionId() << 32
         signer, seen, count = Prefixes(percent, levels.value), {}, 0
-        held: list[np.ndarray] = []
-        names = ["doc_id", "mark", "n_shingles", "node", "first", "bucket", "base", "blob"]
+        held: list[tuple[np.ndarray, int]] = []
+        names = ["doc_id", "mark", "n_shingles", "node", "first", "words", "bucket", "base", "blob"]
 
         def packed() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            every = np.concatenate(held)
+            key, node = np.concatenate([k for k, _ in held]), np.repeat(np.array([n for _, n in held], np.uint32), [len(k) for k, _ in held])
             held.clear()
-            bucket = (every["key"] >> np.uint64(40)) % np.uint64(buckets)
+            bucket = (key >> np.uint64(40)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
-            every, bucket = every[order], bucket[order]
+            every, bucket = np.empty(len(key), pair), bucket[order]
+            every["key"], every["node"] = key[order] & np.uint64(0xFFFFFFFF), node[order]
             at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             blobs = [every[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(every)))]
             n = len(at)
             none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(n, pa.bool_()), pa.array(bucket[at].astype(np.int64)), pa.array(np.full(n, base)), pa.array(blobs, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.array(bucket[at].astype(np.int64)), pa.array(np.full(n, base)), pa.array(blobs, pa.binary())], names=names)
 
         size = 0
         for batch in text_batches(batches, 2 << 20):
-            nodes, firsts, sizes = [], [], []
+            nodes, firsts, sizes, contents = [], [], [], []
             for tokens, words in zip(shingle_sets(batch.column(1), k), word_lists(batch.column(1))):
                 sizes.append(len(tokens))
                 content = hashlib.blake2b(b" ".join(words), digest_size=20).digest()
@@ -445,14 +515,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     node, count = count, count + 1
                     if len(tokens):
                         seen[content] = node
-                        keys = np.unique(signer.of(tokens))
-                        own = np.empty(len(keys), pair)
-                        own["key"], own["node"] = keys, node
-                        held.append(own)
-                        size += len(own)
+                        held.append((signer.of(tokens), node))
+                        size += len(held[-1][0])
                 nodes.append(base | node)
+                contents.append(content if firsts[-1] else None)
             n = len(nodes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(firsts, pa.bool_()), pa.array(np.arange(n) % buckets), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(firsts, pa.bool_()), pa.array(contents, pa.binary()), pa.array(np.arange(n) % buckets), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
             if size > 2_000_000:
                 yield from packed()
                 size = 0
@@ -461,16 +529,16 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents' rows go through; blobs become edges between the nodes that share a key."""
         keys, nodes = [], []
-        names = ["doc_id", "mark", "n_shingles", "node", "first", "other"]
+        names = ["doc_id", "mark", "n_shingles", "node", "first", "words", "other"]
         for batch in batches:
-            blob = batch.column(7)
+            blob = batch.column(8)
             own = batch.filter(blob.is_null())
             if own.num_rows:
-                yield pa.RecordBatch.from_arrays([*[own.column(i) for i in range(5)], pa.nulls(own.num_rows, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([*[own.column(i) for i in range(6)], pa.nulls(own.num_rows, pa.int64())], names=names)
             signed = batch.filter(blob.is_valid())
-            for i, base in enumerate(signed.column(6).to_pylist()):
-                got = np.frombuffer(signed.column(7)[i].as_buffer(), pair)
-                keys.append(got["key"])
+            for i, (bucket, base) in enumerate(zip(signed.column(6).to_pylist(), signed.column(7).to_pylist())):
+                got = np.frombuffer(signed.column(8)[i].as_buffer(), pair)
+                keys.append(got["key"].astype(np.uint64) | np.uint64(bucket << 32))
                 nodes.append(got["node"].astype(np.int64) | base)
         if not keys:
             return
@@ -485,19 +553,34 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for a in range(0, len(edges), 100_000):
             part = edges[a : a + 100_000]
             none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(part[:, 0]), pa.nulls(len(part), pa.bool_()), pa.array(part[:, 1])], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(part[:, 0]), pa.nulls(len(part), pa.bool_()), pa.nulls(len(part), pa.binary()), pa.array(part[:, 1])], names=names)
 
-    signed = rows.mapInArrow(sign, "doc_id long, mark long, n_shingles long, node long, first boolean, bucket long, base long, blob binary")
-    met = materialise(signed.repartition(partitions(spark), "bucket").mapInArrow(meet, "doc_id long, mark long, n_shingles long, node long, first boolean, other long"), "ngram-met")
-    members = met.filter("other is null").select("doc_id", "mark", "n_shingles", "node", "first")
+    about = "doc_id long, mark long, n_shingles long, node long, first boolean, words binary"
+    signed = rows.mapInArrow(sign, f"{about}, bucket long, base long, blob binary")
+    met = materialise(signed.repartition(partitions(spark), "bucket").mapInArrow(meet, f"{about}, other long"), "ngram-met")
+    members = met.filter("other is null")
     labels = components(met.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), "ngram")
 
-    counts = members.filter("first").join(labels, "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all"))
+    own = materialise(members.filter("first").join(labels, "node").select("root", "words", "node", F.col("doc_id").alias("id"), F.col("mark").alias("m"), "n_shingles"), "ngram-own")
+    same = own.groupBy("root", "words").agg(F.min(F.struct("node", "id", "m", "n_shingles")).alias("first"))
+    same = materialise(same.select("root", "words", "first.*"), "ngram-same")
+    counts = same.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all")).filter("n > 1")
     per = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("n") * block_shingles / F.greatest("all", F.lit(1))))).cast("long")
     counts = materialise(counts.select("root", "n", per.alias("per")), "ngram-counts")
-    wanted = members.filter("first").join(lookup(labels, counts, "root", "n"), "node").select("node", "root", "n", "per", F.col("doc_id").alias("id"), F.col("mark").alias("m"))
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m"))).dropDuplicates(["node"]).select("node", "root", "n", "per", "text")
-    linked = linked_labels(materialise(texts, "ngram-texts"), _searcher(k, percent), _keyed(k, percent, levels))
-    rooted = materialise(members.join(linked, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("root")), "ngram-rooted")
+    wanted = materialise(lookup(same, counts, "root", "n").filter("n is not null").select("node", "root", "n", "per", "id", "m"), "ngram-wanted")
+    near = rows.filter(held_marks(wanted.select("m"))("mark"))
+    near = near.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")))
+    texts = materialise(near.select("node", "root", "n", "per", "text"), "ngram-texts")
+    if texts.count() > wanted.count():  # rows that are repeated as they are
+        texts, again = materialise(texts.dropDuplicates(["node"]), "ngram-texts"), texts
+        again.forget()
+    linked = linked_labels(texts, _searcher(k, percent), _keyed(k, percent, levels))
+    linked = materialise(linked.select(F.col("node").alias("one"), "label"), "ngram-linked")
+    texts.forget(), wanted.forget(), counts.forget()
+    named = own.select("root", "words", "node").join(same.select("root", "words", F.col("node").alias("one")), ["root", "words"])
+    named = named.join(linked, "one", "left").select("node", F.coalesce("label", "one").alias("label"))
+    rooted = materialise(members.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("root")), "ngram-rooted")
+    for done in (met, labels, own, same, linked):
+        done.forget()
     least = materialise(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")), "ngram-least")
     return lookup(rooted, least, "root", "size").select("doc_id", "n_shingles", "component_id")
