@@ -34,12 +34,16 @@ def keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     return materialise(docs.withColumn(key, F.monotonically_increasing_id()), f"{name}-rows"), key
 
 
-def firsts(rows: DataFrame, key: str, groups: DataFrame, group: str, *order: Column) -> DataFrame:
-    """Exactly one row of each group, the first by `order`, then by row key; `groups` has the row key as doc_id."""
+def first_keys(rows: DataFrame, key: str, groups: DataFrame, group: str, *order: Column) -> DataFrame:
+    """The row key of each group's first row by `order`, then by row key; `groups` has the row key as doc_id."""
     members = groups.select(F.col("doc_id").alias(key), F.col(group).alias("group"))
     ranked = rows.select(key, F.struct(*order, F.col(key).alias("key")).alias("rank")).join(members, key)
-    best = ranked.groupBy("group").agg(F.min("rank").alias("rank")).select(F.col("rank.key").alias(key))
-    return rows.join(best, key, "left_semi").drop(key)
+    return ranked.groupBy("group").agg(F.min("rank").alias("rank")).select(F.col("rank.key").alias(key))
+
+
+def firsts(rows: DataFrame, key: str, groups: DataFrame, group: str, *order: Column) -> DataFrame:
+    """Exactly one row of each group, as by `first_keys`."""
+    return rows.join(first_keys(rows, key, groups, group, *order), key, "left_semi").drop(key)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +59,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of near copies, the smallest id stays.
 
-    One row of each group stays, as in `drop_copies`; texts without words are near to none, so all of them stay."""
+    One row of each group stays, as in `drop_copies`; texts without words are near to none, so all of them stay.
+    Only rows that may have to go, by a fixed number of bits, are shuffled with their texts."""
     rows, key = keyed(docs, "near")
     groups = ngram_join.ngram_components(rows, id_col=key, k=WORDS, percent=PERCENT)
-    return firsts(rows, key, groups, "component_id", *by_id()).select(docs.columns)
+    others = rows.select(key).join(first_keys(rows, key, groups, "component_id", *by_id()), key, "left_anti")
+    others = materialise(others, "near-others")
+    may_go = ngram_join.held_marks(others.select(F.xxhash64(key).alias("mark")))(F.xxhash64(key))
+    kept = rows.filter(may_go).join(others, key, "left_anti").unionByName(rows.filter(~may_go))
+    return kept.select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
